@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,36 +69,51 @@ def _anchors(first: int, window: int):
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             size = np.diff(np.append(np.flatnonzero(head), len(key)))
-            # What repeats inside the batch is settled here; one row stands for it in the shuffle, however often it repeats.
-            kind = np.where(head, np.repeat(size > 1, size).astype(np.int8), np.int8(2))
-            route = np.where(head, key, mix(key ^ doc.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(kind)], ["route", "h", "doc_id", "kind"])
+            # What repeats inside the batch is settled here and goes on packed by document; one row of each hash, however
+            # often it repeats, meets those of other batches.
+            sure = np.repeat(size > 1, size)
+            open_ = head & ~sure
+            yield _anchor_rows(key[open_], doc[open_], key[:0], None)
+            yield _anchor_rows(key[head & sure], doc[head & sure], key[:0], np.zeros(int((head & sure).sum()) + 1, np.int32))
+            key, doc = key[sure], doc[sure]
+            order = np.argsort(doc, kind="stable")
+            key, doc = key[order], doc[order]
+            at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[: len(doc)]
+            yield _anchor_rows(mix(doc[at].astype(np.uint64)), doc[at], key, np.append(at, len(doc)))
 
     return run
 
 
+def _anchor_rows(route, doc, keys, bounds) -> pa.RecordBatch:
+    """keys: null where the hash `route` is open, empty where it is known to repeat, else settled hashes of the document."""
+    packed = pa.nulls(len(doc), pa.list_(pa.int64())) if bounds is None else lists(keys.view(np.int64), bounds, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), packed], ["route", "doc_id", "keys"])
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash and document, in: those whose hash is in two documents or more, out. One row is held between batches."""
+    """Rows sorted by hash and document, in: hashes that are in two documents or more, by document, out. Holds one row between batches."""
     held = None  # hash, document, whether it is out already
     for batch in batches:
-        route, h, doc, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        out_h, out_doc = [h[kind == 2]], [doc[kind == 2]]
-        own = kind != 2
-        h, doc, sure = h[own], doc[own], kind[own] == 1
-        if len(h):
-            skip = 0
-            if held is not None:
-                h, doc, sure = np.insert(h, 0, held[0]), np.insert(doc, 0, held[1]), np.insert(sure, 0, held[2])
-                skip = int(held[2])
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.diff(np.append(at, len(h)))
-            good = np.logical_or.reduceat(sure, at) | (doc[at] != doc[at + size - 1])
-            keep = np.repeat(good, size)
-            keep[:skip] = False
-            out_h.append(h[keep])
-            out_doc.append(doc[keep])
-            held = (h[at[-1]], doc[at[-1]], bool(good[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_h))], ["doc_id", "h"])
+        size = batch.column(2).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        settled = pa.array(size > 0)
+        if (size > 0).any():
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(settled), batch.column(2).filter(settled)], ["doc_id", "keys"])
+        own = size <= 0
+        h, doc, sure = batch.column(0).to_numpy(zero_copy_only=False)[own], batch.column(1).to_numpy(zero_copy_only=False)[own], size[own] == 0
+        if not len(h):
+            continue
+        skip = 0
+        if held is not None:
+            h, doc, sure = np.insert(h, 0, held[0]), np.insert(doc, 0, held[1]), np.insert(sure, 0, held[2])
+            skip = int(held[2])
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(at, len(h)))
+        good = np.logical_or.reduceat(sure, at) | (doc[at] != doc[at + size - 1])
+        keep = np.repeat(good, size)
+        keep[:skip] = False
+        held = (h[at[-1]], doc[at[-1]], bool(good[-1]))
+        h, doc = h[keep], doc[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(doc), lists(h, np.arange(len(h) + 1), pa.int64())], ["doc_id", "keys"])
 
 
 def _text_hashes(batch: pa.RecordBatch) -> np.ndarray:
@@ -106,8 +122,11 @@ def _text_hashes(batch: pa.RecordBatch) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, batch.num_rows).view(np.int64)
 
 
-def _rows(route, h, doc, th, pos, bounds) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(h), pa.array(doc), pa.array(th), lists(pos, bounds, pa.int32())], ["route", "h", "doc_id", "th", "pos"])
+def _window_rows(route, doc, th, pos, hashes, bounds, late, late_bounds) -> pa.RecordBatch:
+    n = len(doc)
+    open_ = pa.nulls(n, pa.list_(pa.int64())) if hashes is None else lists(hashes.view(np.int64), bounds, pa.int64())
+    sealed = pa.nulls(n, pa.list_(pa.int32())) if late is None else lists(late, late_bounds, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), pa.array(th), pa.array(pos, pa.int32()), open_, sealed], ["route", "doc_id", "th", "pos", "hs", "late"])
 
 
 def _candidates(first: int, window: int):
@@ -120,49 +139,42 @@ def _candidates(first: int, window: int):
             tag = mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
             owner = np.repeat(tag, keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             seen = np.isin(mix(least ^ tag[of]), mix(keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ owner))
-            at, of = at[seen], of[seen]
+            at, of, least = at[seen], of[seen], least[seen]
             if not len(at):
                 continue
             ids, th = _ids(batch), _text_hashes(batch)
             key, doc, pos = shingles(h, window)[at], ids[of], (at - bounds[of]).astype(np.int32)
             order = np.lexsort((doc, key))
-            key, doc, pos, of = key[order], doc[order], pos[order], of[order]
-            head = np.append(True, key[1:] != key[:-1])
-            least_doc = np.repeat(doc[head], np.diff(np.append(np.flatnonzero(head), len(key))))
+            head = np.append(True, key[order][1:] != key[order][:-1])
+            least_doc = np.empty_like(doc)
+            least_doc[order] = np.repeat(doc[order][head], np.diff(np.append(np.flatnonzero(head), len(key))))
             late = doc > least_doc  # a smaller document of this batch has the window: settled
-            open_ = ~late
-            n = int(open_.sum())
-            yield _rows(key[open_].view(np.int64), key[open_].view(np.int64), doc[open_], th[of[open_]], pos[open_], np.arange(n + 1))
             if late.any():
-                yield _packed(ids, th, of[late], pos[late])
+                where = np.flatnonzero(late)
+                cut = np.flatnonzero(np.append(True, of[where][1:] != of[where][:-1]))
+                which = of[where][cut]
+                yield _window_rows(mix(ids[which].astype(np.uint64)), ids[which], th[which], np.zeros(len(cut)), None, None, pos[where], np.append(cut, len(where)))
+            # Equal windows have the same smallest half, so runs of windows that share one can travel together.
+            own = np.flatnonzero(~late)
+            if len(own):
+                cut = np.flatnonzero(np.append(True, (np.diff(pos[own]) != 1) | (of[own][1:] != of[own][:-1]) | (least[own][1:] != least[own][:-1])))
+                which = own[cut]
+                yield _window_rows(least[which], doc[which], th[of[which]], pos[which], key[own], np.append(cut, len(own)), None, None)
 
     return run
 
 
-def _packed(ids, th, of, pos) -> pa.RecordBatch:
-    """One row a text, with its settled places; dealt by text."""
-    order = np.argsort(of, kind="stable")
-    of, pos = of[order], pos[order]
-    at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    which = of[at]
-    route = mix(ids[which].astype(np.uint64) ^ th[which].view(np.uint64)).view(np.int64)
-    return _rows(route, pa.nulls(len(at), pa.int64()), ids[which], th[which], pos, np.append(at, len(of)))
-
-
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash and document, in: places of windows that a smaller document has too, out. Holds one hash and its first document."""
+    """Rows (doc_id, th, pos, late, h) sorted by hash and document, in: places of windows that a smaller document has too, out. Holds one hash and its first document."""
     held = None
     for batch in batches:
-        sealed = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        doc, th = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-        if sealed.any():
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(sealed)) for x in batch.columns[2:]], ["doc_id", "th", "pos"])
-        own = np.flatnonzero(~sealed)
-        if not len(own):
+        sealed = batch.column(4).is_null()
+        if sealed.true_count:
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(sealed) for i in (0, 1, 3)], ["doc_id", "th", "pos"])
+        batch = batch.filter(pc.invert(sealed))
+        if not batch.num_rows:
             continue
-        h = batch.column(1).filter(pa.array(~sealed)).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc, th = doc[own], th[own]
-        pos = batch.column(4).filter(pa.array(~sealed)).flatten().to_numpy(zero_copy_only=False)
+        doc, th, pos, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
         head = np.append(True, h[1:] != h[:-1])
         first = doc[head]
         if held is not None and held[0] == h[0]:
@@ -217,16 +229,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = known
     for longer in steps[1:]:
         anchors = (
-            places.select("doc_id", "text").mapInArrow(_anchors(length, longer), "route long, h long, doc_id long, kind byte")
-            .repartition("route").sortWithinPartitions("h", "doc_id")
-            .mapInArrow(_repeated, "doc_id long, h long")
-            .groupBy("doc_id").agg(F.collect_set("h").alias("keys"))
+            places.select("doc_id", "text").mapInArrow(_anchors(length, longer), "route long, doc_id long, keys array<long>")
+            .repartition("route").sortWithinPartitions("route", "doc_id")
+            .mapInArrow(_repeated, "doc_id long, keys array<long>")
+            .groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
         )
         places = known.join(anchors, "doc_id")
         before, length = length, longer
     removed = (
-        places.select("doc_id", "text", "keys").mapInArrow(_candidates(before, window), "route long, h long, doc_id long, th long, pos array<int>")
-        .repartition("route").sortWithinPartitions("h", "doc_id")
+        places.select("doc_id", "text", "keys").mapInArrow(_candidates(before, window), "route long, doc_id long, th long, pos int, hs array<long>, late array<int>")
+        .repartition("route").select("doc_id", "th", "pos", "late", F.posexplode_outer("hs").alias("step", "h"))
+        .select("doc_id", "th", (F.col("pos") + F.coalesce("step", F.lit(0))).alias("pos"), "late", "h").sortWithinPartitions("h", "doc_id")
         .mapInArrow(_later, "doc_id long, th long, pos array<int>")
         .groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("removed"))
     )
