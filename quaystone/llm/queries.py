@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import table
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystone.llm.line_dedup import line_duplicates
+
+    return line_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystone.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaystone.llm.substring_dedup import substring_dedup
 
@@ -16,7 +28,35 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP4_SQL = """
+WITH lines AS (
+    SELECT doc_id, i - 1 AS line_no, l[i] AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(generate_series(1, len(l))) AS u(i)
+    WHERE l[i] <> ''
+), texts AS (SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM lines GROUP BY line),
+variants AS (
+    SELECT line, n, first, i, hash(left(line, i - 1) || substr(line, i + 1)) AS k FROM texts, unnest(generate_series(1, n)) AS u(i) WHERE n >= 8
+), whole AS (SELECT line, n, first, hash(line) AS k FROM texts WHERE n >= 8),
+replaced AS (SELECT k, i, n, min(first) AS earliest FROM variants GROUP BY k, i, n HAVING count(DISTINCT line) > 1),
+shorter AS (SELECT k, n, min(first) AS earliest FROM variants WHERE n >= 9 GROUP BY k, n),
+late AS (
+    SELECT v.line FROM variants v JOIN replaced r USING (k, i, n) WHERE r.earliest < v.first
+    UNION SELECT v.line FROM variants v JOIN whole w ON v.k = w.k AND w.n = v.n - 1 WHERE w.first < v.first
+    UNION SELECT w.line FROM whole w JOIN shorter s ON w.k = s.k AND w.n = s.n - 1 WHERE s.earliest < w.first
+), gone AS (
+    SELECT doc_id, list(line_no ORDER BY line_no) AS removed_lines FROM lines JOIN texts USING (line)
+    WHERE (doc_id, line_no) <> first OR line IN (SELECT line FROM late) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(len(removed_lines), 0) AS n_removed,
+       coalesce(removed_lines, [])::INTEGER[] AS removed_lines
+FROM documents d LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": _OP4_SQL,
+}
