@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII characters that are neither letters nor digits; bytes of other scripts are parts of words.
+BREAKS = np.zeros(256, bool)
+BREAKS[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at a time: the 64-bit arrays of one piece stay near the cache.
@@ -86,8 +89,8 @@ def string_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True):
-    """Words `[^\\x20\\x09-\\x0D]+` of all texts in one byte buffer.
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
+    """Words `[^\\x20\\x09-\\x0D]+` (or other runs without `space`) of all texts in one byte buffer.
 
     Returns (hash, start, end, bounds): a 64-bit hash, the byte span of each word, and for each text the range
     bounds[i]:bounds[i + 1] of its words. Works in pieces cut between words, so long texts need no long temporaries.
@@ -99,28 +102,27 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: boo
     while at < n:
         end = min(n, at + PIECE)
         if end < n:
-            gaps = np.flatnonzero(_SPACE[raw[at:end]] | edge[at:end])
+            gaps = np.flatnonzero(space[raw[at:end]] | edge[at:end])
             gaps = gaps[gaps > 0]
             if len(gaps):
                 end = at + int(gaps[-1])
             else:
-                rest = np.flatnonzero(_SPACE[raw[end:]] | edge[end:n])
+                rest = np.flatnonzero(space[raw[end:]] | edge[end:n])
                 end = end + int(rest[0]) if len(rest) else n
         piece = raw[at:end]
-        space, cut = _SPACE[piece], edge[at : end + 1]
+        gap, cut = space[piece], edge[at : end + 1]
         before = np.empty(len(piece), bool)
         before[0] = True
-        before[1:] = space[:-1]
+        before[1:] = gap[:-1]
         after = np.empty(len(piece), bool)
         after[-1] = True
-        after[:-1] = space[1:]
-        start = np.flatnonzero(~space & (before | cut[:-1]))
-        stop = np.flatnonzero(~space & (after | cut[1:])) + 1
-        if hashed:
-            up, down = _powers(len(piece) + 1)
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum((_LOWER[piece] if lower else piece).astype(np.uint64) * up[1 : len(piece) + 1] + up[: len(piece)], out=total[1:])
-            out[0].append(mix((total[stop] - total[start]) * down[start]))
+        after[:-1] = gap[1:]
+        start = np.flatnonzero(~gap & (before | cut[:-1]))
+        stop = np.flatnonzero(~gap & (after | cut[1:])) + 1
+        up, down = _powers(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((_LOWER[piece] if lower else piece).astype(np.uint64) * up[1 : len(piece) + 1] + up[: len(piece)], out=total[1:])
+        out[0].append(mix((total[stop] - total[start]) * down[start]))
         out[1].append(start + at)
         out[2].append(stop + at)
         at = end

@@ -164,6 +164,24 @@ def _candidates(first: int, window: int):
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of runs to one row a window; rows of settled places as they are."""
+    names = ["doc_id", "th", "pos", "late", "h"]
+    for batch in batches:
+        batch = batch.select(["doc_id", "th", "pos", "hs", "late"])
+        sealed = batch.column(3).is_null()
+        if sealed.true_count:
+            part = batch.filter(sealed)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), pa.nulls(part.num_rows, pa.int64())], names)
+        part = batch.filter(pc.invert(sealed))
+        if part.num_rows:
+            size = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            total = int(size.sum())
+            step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+            doc, th, pos = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), size) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((pos + step).astype(np.int32)), pa.nulls(total, pa.list_(pa.int32())), part.column(3).flatten()], names)
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, th, pos, late, h) sorted by hash and document, in: places of windows that a smaller document has too, out. Holds one hash and its first document."""
     held = None
@@ -223,7 +241,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Returns doc_id, text (kept words joined by one space), n_words and n_removed for each row of docs.
     """
     steps = levels(window)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    # A doc_id that is a long stays as it is, so that both joins below read the same shuffled texts.
+    key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(key, text_of(docs).alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
     length = steps[0]
     places = known
@@ -238,8 +258,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         before, length = length, longer
     removed = (
         places.select("doc_id", "text", "keys").mapInArrow(_candidates(before, window), "route long, doc_id long, th long, pos int, hs array<long>, late array<int>")
-        .repartition("route").select("doc_id", "th", "pos", "late", F.posexplode_outer("hs").alias("step", "h"))
-        .select("doc_id", "th", (F.col("pos") + F.coalesce("step", F.lit(0))).alias("pos"), "late", "h").sortWithinPartitions("h", "doc_id")
+        .repartition("route").mapInArrow(_unpacked, "doc_id long, th long, pos int, late array<int>, h long").sortWithinPartitions("h", "doc_id")
         .mapInArrow(_later, "doc_id long, th long, pos array<int>")
         .groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("removed"))
     )
