@@ -59,7 +59,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     halves = lines.filter(F.col("n") >= MIN_CHARS).select("h", F.explode(_halves()).alias("key"))
     meeting = stored(_shared(halves).select("h").distinct().join(texts, "h"), base, "meeting")
     own_line = F.get(F.split("text", "\n"), F.col("first.line_no"))
-    whole = known.join(meeting.withColumn("doc_id", F.col("first.doc_id")), "doc_id").select("h", "g", "first", own_line.alias("line"))
+    # A shuffle at every size: what meets grows with the lines.
+    whole = known.hint("merge").join(meeting.withColumn("doc_id", F.col("first.doc_id")), "doc_id").select("h", "g", "first", own_line.alias("line"))
     whole = stored(whole.filter(F.xxhash64("line") == F.col("h")).dropDuplicates(["h", "g"]).withColumn("n", F.char_length("line")), base, "whole")
 
     parts = whole.select("h", "g", F.explode(_quarters()).alias("p")).select("h", "g", F.col("p.key").alias("key"), F.col("p.q").alias("q"), F.col("p.part").alias("part"))
