@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import lists, mix, pieces, shingles, string_buffer, text_of, words
 
 WINDOW = 13
+#: Places or hashes that a task packs by document before they leave it.
+PACKED_AT_ONCE = 1 << 20
 
 
 def levels(window: int) -> list[int]:
@@ -92,7 +94,15 @@ def _anchor_rows(route, doc, keys, bounds) -> pa.RecordBatch:
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hash and document, in: hashes that are in two documents or more, by document, out. Holds one row between batches."""
-    held = None  # hash, document, whether it is out already
+    held, waiting = None, []  # hash, document, whether it is out already; hashes and documents to pack
+
+    def packed() -> pa.RecordBatch:
+        h, doc = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[: len(doc)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), lists(h, np.append(at, len(doc)), pa.int64())], ["doc_id", "keys"])
+
     for batch in batches:
         size = batch.column(2).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
         settled = pa.array(size > 0)
@@ -112,8 +122,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.repeat(good, size)
         keep[:skip] = False
         held = (h[at[-1]], doc[at[-1]], bool(good[-1]))
-        h, doc = h[keep], doc[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), lists(h, np.arange(len(h) + 1), pa.int64())], ["doc_id", "keys"])
+        waiting.append((h[keep], doc[keep]))
+        if sum(len(x) for x, _ in waiting) >= PACKED_AT_ONCE:
+            yield packed()
+            waiting.clear()
+    if waiting:
+        yield packed()
 
 
 def _text_hashes(batch: pa.RecordBatch) -> np.ndarray:
@@ -184,7 +198,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, th, pos, late, h) sorted by hash and document, in: places of windows that a smaller document has too, out. Holds one hash and its first document."""
-    held = None
+    held, waiting = None, []
+
+    def packed() -> pa.RecordBatch:
+        doc, th, pos = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.lexsort((th, doc))
+        doc, th, pos = doc[order], th[order], pos[order]
+        at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))[: len(doc)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists(pos, np.append(at, len(doc)), pa.int32())], ["doc_id", "th", "pos"])
+
     for batch in batches:
         sealed = batch.column(4).is_null()
         if sealed.true_count:
@@ -199,12 +221,12 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[0] = held[1]
         held = (h[-1], first[-1])
         late = doc > np.repeat(first, np.diff(np.append(np.flatnonzero(head), len(h))))
-        if late.any():
-            doc, th, pos = doc[late], th[late], pos[late]
-            order = np.lexsort((th, doc))
-            doc, th, pos = doc[order], th[order], pos[order]
-            at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists(pos, np.append(at, len(doc)), pa.int32())], ["doc_id", "th", "pos"])
+        waiting.append((doc[late], th[late], pos[late]))
+        if sum(len(x[0]) for x in waiting) >= PACKED_AT_ONCE:
+            yield packed()
+            waiting.clear()
+    if waiting:
+        yield packed()
 
 
 def _cut(window: int):
