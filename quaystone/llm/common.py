@@ -17,8 +17,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII characters that are neither letters nor digits; bytes of other scripts are parts of words.
 BREAKS = np.zeros(256, bool)
 BREAKS[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Bytes hashed at a time: the 64-bit arrays of one piece stay near the cache.
 PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -89,11 +91,12 @@ def string_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE, tails: bool = False):
     """Words `[^\\x20\\x09-\\x0D]+` (or other runs without `space`) of all texts in one byte buffer.
 
     Returns (hash, start, end, bounds): a 64-bit hash, the byte span of each word, and for each text the range
-    bounds[i]:bounds[i + 1] of its words. Works in pieces cut between words, so long texts need no long temporaries.
+    bounds[i]:bounds[i + 1] of its words. With tails, a full stop or comma that ends a word after an ASCII letter is a word of
+    its own. Works in pieces cut between words, so long texts need no long temporaries.
     """
     n, out = len(raw), ([], [], [])
     edge = np.zeros(n + 1, bool)
@@ -117,11 +120,16 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.n
         after = np.empty(len(piece), bool)
         after[-1] = True
         after[:-1] = gap[1:]
-        start = np.flatnonzero(~gap & (before | cut[:-1]))
-        stop = np.flatnonzero(~gap & (after | cut[1:])) + 1
+        begins, ends = ~gap & (before | cut[:-1]), ~gap & (after | cut[1:])
+        if tails:
+            tail = ((piece == 44) | (piece == 46)) & ends & ~begins
+            tail[1:] &= _LETTER[piece[:-1]]
+            begins |= tail
+            ends[:-1] |= tail[1:]
+        start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         up, down = _powers(len(piece) + 1)
         total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((_LOWER[piece] if lower else piece).astype(np.uint64) * up[1 : len(piece) + 1] + up[: len(piece)], out=total[1:])
+        np.cumsum((LOWER[piece] if lower else piece).astype(np.uint64) * up[1 : len(piece) + 1] + up[: len(piece)], out=total[1:])
         out[0].append(mix((total[stop] - total[start]) * down[start]))
         out[1].append(start + at)
         out[2].append(stop + at)

@@ -3,8 +3,8 @@
 Each partition of the ordered documents writes one shard of three files: `.bin` (token ids, little-endian, 16 bits if the
 vocabulary allows, else 32), `.off` (n + 1 offsets into it, 64 bits) and `.ids` (doc_ids, 64 bits, with `.nul`: one byte each,
 1 for a null doc_id). The manifest has one row a shard; the prefix sums of its counts are the shards' bases, so no task waits
-for another. Words are encoded once per task and assembled by index arithmetic: the tokenizer drops white space, so a text's
-ids are those of its words.
+for another. Words are encoded once and assembled by index arithmetic. The split fits a tokenizer that lower-cases and drops
+white space, as the default one does.
 
 Cases: a null text is an empty one, which gives the end id alone; null doc_ids come first; rows that repeat a doc_id are each
 written, in the order of a hash of their text; an empty table gives shards without documents; extra columns are not carried.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +22,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import pieces, stored, string_buffer, text_of
+from quaystone.llm.common import LOWER, pieces, stored, string_buffer, text_of, words
 from quaystone.llm.files import Reader, filesystem, unique
 
 END_ID = 1
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1 << 20
 
 
 class WordEncoder:
-    """Token ids of texts, through the ids of their words between ASCII white space."""
+    """Token ids of texts, through the ids of their words.
+
+    The tokenizer lower-cases, and no token of its crosses white space, nor the border between an ASCII letter and a full stop
+    or comma before white space. So each distinct lower-case word is encoded once and remembered by a 64-bit hash, with its
+    length and first eight bytes to check it by. Texts with a possible special token are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,60 +44,108 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
+        bar = self._encode(["|"])[0]
+        self.bar = bar[0] if len(bar) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.at, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0
-
-    def learn(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.slots), int(size.sum())
-        while first + len(new) > len(self.at):
-            self.at, self.size = np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
+        self.keys, self.checks, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 18, self.dtype), 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, new: list[str]) -> list[np.ndarray]:
+        """Ids of each word; words travel to the tokenizer many at a time, with a bar between them, where they hold none."""
+        alone = [i for i, w in enumerate(new) if "|" in w or self.bar is None]
+        out: list = [None] * len(new)
+        for i, ids in zip(alone, self._encode([new[i] for i in alone]), strict=True):
+            out[i] = np.array(ids, self.dtype)
+        rest = [i for i, x in enumerate(out) if x is None]
+        groups = [rest[i : i + 100] for i in range(0, len(rest), 100)]
+        for group, ids in zip(groups, self._encode([" | ".join(new[i] for i in g) for g in groups]), strict=True):
+            ids = np.array(ids, self.dtype)
+            cut = np.flatnonzero(ids == self.bar)
+            for i, a, b in zip(group, np.append(0, cut + 1), np.append(cut, len(ids)), strict=True):
+                out[i] = ids[a:b]
+        return out
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, new: list[str]) -> None:
+        """keys ascending and unknown."""
+        ids = self._encode_words(new)
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.dtype, total)
-        self.size[first : first + len(new)] = size
-        self.at[first : first + len(new)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + total] = np.concatenate(ids) if ids else 0
+        place = np.searchsorted(self.keys, keys)
+        at = self.used + np.cumsum(size) - size
+        self.keys, self.checks, self.at, self.size = (np.insert(old, place, add) for old, add in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.size, size)))
         self.used += total
-        self.slots.update(zip(new, range(first, first + len(new)), strict=True))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by the end id, and the number of ids of each."""
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        new = set(words).difference(self.slots)
-        if len(self.slots) + len(new) > REMEMBERED:
-            self.forget()
-            new = set(words)
-        if new:
-            self.learn(list(new))
-        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        size = self.size[slot]
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = np.searchsorted(self.keys, h)
+        slot[slot == len(self.keys)] = 0
+        return slot, (self.keys[slot] == h) if len(self.keys) else np.zeros(len(h), bool)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a byte buffer, each followed by the end id, and the number of ids of each."""
+        low = LOWER[raw]
+        h, start, stop, bounds = words(low, offsets, tails=True)
+        padded = np.append(low, np.zeros(8, np.uint8))
+        check = (stop - start).astype(np.uint64) << np.uint64(56)
+        for j in range(7):
+            check |= np.where(start + j < stop, padded[start + j], 0).astype(np.uint64) << np.uint64(8 * j)
+        slot, known = self._slots(h)
+        if not known.all():
+            keys, first = np.unique(h[~known], return_index=True)
+            if len(self.keys) + len(keys) > REMEMBERED:
+                self.forget()
+                keys, first = np.unique(h, return_index=True)
+            else:
+                first = np.flatnonzero(~known)[first]
+            data = low.tobytes()
+            self._learn(keys, check[first], [data[a:b].decode("utf-8") for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
+            slot, known = self._slots(h)
+        size = self.size[slot].astype(np.int64)
         before = np.append(0, np.cumsum(size))
-        bounds = before[np.append(0, np.cumsum(count))]
-        out = np.full(len(texts) + int(before[-1]), END_ID, self.dtype)
-        place = np.arange(int(before[-1]))
-        text_of_word = np.repeat(np.arange(len(texts)), count)
-        out[place + np.repeat(text_of_word, size)] = self.flat[np.repeat(self.at[slot] - before[:-1], size) + place]
-        return out, np.diff(bounds) + 1
+        total, n = int(before[-1]), len(offsets) - 1
+        place = np.arange(total)
+        out = np.full(n + total, END_ID, self.dtype)
+        out[place + np.repeat(np.repeat(np.arange(n), np.diff(bounds)), size)] = self.flat[np.repeat(self.at[slot] - before[:-1], size) + place]
+        count = np.diff(before[bounds]) + 1
+        odd = set(np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)), offsets))).tolist()) if len(raw) else set()
+        odd |= set((np.searchsorted(bounds, np.flatnonzero(self.checks[slot] != check), side="right") - 1).tolist()) if len(h) else set()
+        if odd:
+            parts = np.split(out, np.cumsum(count)[:-1])
+            for i in odd:
+                ids = self._encode([raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")])[0]
+                parts[i] = np.array([*ids, END_ID], self.dtype)
+                count[i] = len(parts[i])
+            out = np.concatenate(parts)
+        return out, count
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder a Python worker: what it remembers serves all its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _writer(out_dir: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = encoder_for(tokenizer), TaskContext.get().partitionId()
         system, folder = filesystem(out_dir)
         system.create_dir(folder, recursive=True)
         name = unique("tokens", task)
         sizes, ids, nulls = [np.zeros(1, np.int64)], [], []
         with system.open_output_stream(f"{folder}/{name}.bin") as out:
             for batch in pieces(batches, limit=4 << 20):
-                raw, offsets = string_buffer(batch.column(1))
-                view = raw.tobytes()
-                tokens, count = encoder.encode([view[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+                tokens, count = encoder.encode(*string_buffer(batch.column(1)))
                 out.write(tokens.astype(tokens.dtype.newbyteorder("<")).tobytes())
                 sizes.append(count)
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
