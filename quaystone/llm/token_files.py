@@ -27,7 +27,7 @@ from quaystone.llm.files import Reader, filesystem, unique
 
 END_ID = 1
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 
 
 class WordEncoder:
