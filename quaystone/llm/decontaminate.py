@@ -74,19 +74,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1).astype(np.int32)), pa.array(np.append(count[seen], total))], ["word", "n"])
 
 
-def _passages(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray, step: int):
-    """Sum of the table's rows over each run of words, scaled by the run's TF-IDF length: (vectors, starts, scale)."""
-    starts, _ = _runs(bounds, step)
-    b = ids & (WORDS - 1)
-    scale = 1 / np.sqrt(np.maximum(np.add.reduceat(idf[b] ** 2, starts), 1e-12))
-    out = np.empty((len(starts), table.shape[1]), np.float32)
-    at = 0
-    while at < len(starts):  # long texts in pieces of whole runs
-        end = min(len(starts), at + max(1, AT_ONCE // step))
-        hi = starts[end] if end < len(starts) else len(ids)
-        out[at:end] = np.add.reduceat(table[b[starts[at] : hi]], starts[at:end] - starts[at], axis=0)
-        at = end
-    return out, starts, scale.astype(np.float32)
+def _places(starts: np.ndarray, ends: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Word places of each run, one row a place; n (a word that isn't there) past the end of a run."""
+    at = np.arange(size)[:, None] + starts
+    return np.where(at < ends, at, n)
+
+
+def _sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows over each column of `rows`, in blocks that stay in the cache. The table's last row is zero."""
+    out, part = np.zeros((rows.shape[1], table.shape[1]), np.float32), np.empty((256, table.shape[1]), np.float32)
+    for at in range(0, len(out), 256):
+        own = out[at : at + 256]
+        for row in rows[:, at : at + 256]:
+            np.take(table, row, axis=0, out=part[: len(own)], mode="clip")
+            own += part[: len(own)]
+    return out
+
+
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, *table.shape[1:]), table.dtype)])
+
+
+def _passages(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive passages as sums of the table's rows (not scaled), the reciprocal of their TF-IDF lengths, and their words."""
+    starts, text = _runs(bounds, 2 * STEP)
+    words_of = np.append((ids & (WORDS - 1)).astype(np.int64), WORDS)[_places(starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), 2 * STEP, len(ids))]
+    scale = 1 / np.sqrt(np.maximum((_with_zero(idf) ** 2)[words_of].sum(axis=0), 1e-12))
+    return _sums(table, words_of), scale.astype(np.float32), words_of
 
 
 def _sliced(total: np.ndarray) -> pa.RecordBatch:
@@ -98,28 +112,24 @@ def _range(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The product of the transposed passage matrix with (passage matrix x random matrix), over this task's passages."""
         idf = model.value["idf"]
-        table = (idf[:, None] * np.random.default_rng(11).standard_normal((WORDS, RANK))).astype(np.float32)
-        total = np.zeros((WORDS, RANK))
+        table = _with_zero((idf[:, None] * np.random.default_rng(11).standard_normal((WORDS, RANK))).astype(np.float32))
+        total = np.zeros((RANK, WORDS))
         for _, ids, bounds in _parts(batches):
-            y, starts, scale = _passages(ids, bounds, table, idf, 2 * STEP)
+            y, scale, words_of = _passages(ids, bounds, table, idf)
             y *= (scale**2)[:, None]
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-            for at in range(0, len(ids), AT_ONCE):
-                b = ids[at : at + AT_ONCE] & (WORDS - 1)
-                order = np.argsort(b, kind="stable")
-                b = b[order]
-                head = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                total[b[head]] += np.add.reduceat(y[passage[at : at + AT_ONCE][order]], head, axis=0)
-        yield _sliced(total * idf[:, None])
+            flat = words_of.ravel()
+            for k in range(RANK):
+                total[k] += np.bincount(flat, weights=np.tile(y[:, k], 2 * STEP), minlength=WORDS + 1)[:WORDS]
+        yield _sliced(total.T * idf[:, None])
 
     return run
 
 
 def _gram(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((RANK, RANK))
+        total, table = np.zeros((RANK, RANK)), _with_zero(model.value["table"])
         for _, ids, bounds in _parts(batches):
-            x, _, scale = _passages(ids, bounds, model.value["table"], model.value["idf"], 2 * STEP)
+            x, scale, _ = _passages(ids, bounds, table, model.value["idf"])
             x *= scale[:, None]
             total += x.T @ x
         yield _sliced(total)
@@ -162,17 +172,26 @@ def fit_space(tokenized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return idf, (idf[:, None] * (q @ w / sigma)).astype(np.float32)
 
 
-def _latent(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray):
-    """Unit vectors of overlapping passages (two runs of STEP words), the first word of each, and its text."""
-    runs, starts, _ = _passages(ids, bounds, table, idf, STEP)
-    _, text = _runs(bounds, STEP)
+def _latent(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray, known: np.ndarray | None = None):
+    """Unit vectors of overlapping passages (two runs of STEP words), the first word of each, and its text.
+
+    known: words of the other side. A passage whose known words carry too small a part of its TF-IDF length to reach COSINE
+    with any passage made of them (by the Cauchy-Schwarz inequality) is left out.
+    """
+    starts, text = _runs(bounds, STEP)
     follows = np.append(text[1:] == text[:-1], False)
-    x = runs.copy()
-    x[follows] += runs[np.flatnonzero(follows) + 1]
     alone = np.append(True, text[1:] != text[:-1])  # the last run of a text is a passage only if it is the first too
     keep = follows | alone
-    x = x[keep]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), starts[keep], text[keep]
+    starts, text = starts[keep], text[keep]
+    places = _places(starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), 2 * STEP, len(ids))
+    b = np.append((ids & (WORDS - 1)).astype(np.int64), WORDS)
+    if known is not None:
+        weight = np.append(idf[b[:-1]] ** 2, 0)
+        part = np.append(weight[:-1] * known[ids], 0)
+        able = np.flatnonzero(part[places].sum(axis=0) >= COSINE**2 * weight[places].sum(axis=0))
+        starts, text, places = starts[able], text[able], places[:, able]
+    x = _sums(table, b[places])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), starts, text
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -199,10 +218,13 @@ def _has_answer(answer: np.ndarray, text: np.ndarray) -> bool:
 def _search(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        items, answers, vectors, owner = m["items"], m["answers"], m["vectors"], m["owner"]
+        items, answers, vectors, owner, table = m["items"], m["answers"], m["vectors"], m["owner"], _with_zero(m["table"])
+        known = np.zeros(1 << 16, bool)
+        for item in items:
+            known[item] = True
         for batch, ids, bounds in _parts(batches):
             found: dict[tuple[int, int], tuple] = {}
-            x, starts, text = _latent(ids, bounds, m["table"], m["idf"])
+            x, starts, text = _latent(ids, bounds, table, m["idf"], known)
             for lo in range(0, len(x), 4096):
                 cosine = x[lo : lo + 4096] @ vectors.T
                 for p, v in zip(*np.nonzero(cosine >= COSINE), strict=True):
@@ -246,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer: str | None = Non
         given, given_bounds = tokens(pa.array([r["answer"] for r in block]))
         items = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         answers = [given[a:b] for a, b in zip(given_bounds[:-1], given_bounds[1:], strict=True)] if answer else [x[-ANSWER_WORDS:] for x in items]
-        vectors, _, owner = _latent(ids, bounds, table, idf) if len(ids) else (np.zeros((0, RANK), np.float32), None, np.zeros(0, np.int64))
+        vectors, _, owner = _latent(ids, bounds, _with_zero(table), idf) if len(ids) else (np.zeros((0, RANK), np.float32), None, np.zeros(0, np.int64))
         model = spark.sparkContext.broadcast({"ids": [r["item_id"] for r in block], "items": items, "answers": answers, "vectors": vectors.astype(np.float32), "owner": owner, "table": table, "idf": idf})
         return tokenized.mapInArrow(_search(model), schema)
 
