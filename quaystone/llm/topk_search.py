@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK, QUERIES_PER_BLOCK, TILE = 8192, 1024, 128
+ROWS_PER_BLOCK, QUERIES_PER_BLOCK, TILE, ROW_TILE = 8192, 1024, 64, 512
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -47,31 +47,37 @@ def _block(k: int, scale: float):
         bound = int(np.abs(weights).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(1, terms)
         kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
         weights, query = weights[:, :terms].astype(kind), query[:, :terms].astype(kind)
-        postings = [(where, weights[where, t][:, None]) for t in range(terms) for where in [np.flatnonzero(weights[:, t] != 0)]]
-        found = []
+        # Postings of a term that most rows have are the column itself; of the others, places and weights.
+        filled = [np.flatnonzero(weights[:, t]) for t in range(terms)]
+        columns = np.ascontiguousarray(weights.T)
+        found, part = [], np.empty((TILE, ROW_TILE), kind)
         for at in range(0, len(asked), TILE):
-            score = np.zeros((len(ids), min(TILE, len(asked) - at)), kind)
-            for t, (where, weight) in enumerate(postings):
-                mine = np.flatnonzero(query[at : at + TILE, t] != 0)
-                if not len(mine) or not len(where):
-                    continue
-                if len(mine) == score.shape[1] and 2 * len(where) > len(ids):
-                    score += weights[:, t][:, None] * query[at : at + TILE, t]
-                else:
-                    score[np.ix_(where, mine)] += weight * query[at + mine, t]
+            mine = np.ascontiguousarray(query[at : at + TILE].T)
+            score = np.zeros((mine.shape[1], len(ids)), kind)
+            asking = [np.flatnonzero(mine[t]) for t in range(terms)]
+            for lo in range(0, len(ids), ROW_TILE):
+                own = score[:, lo : lo + ROW_TILE]
+                buffer = part[: own.shape[0], : own.shape[1]]
+                for t in range(terms):
+                    if 2 * len(filled[t]) > len(ids) and 2 * len(asking[t]) > own.shape[0]:
+                        np.multiply(mine[t][:, None], columns[t, lo : lo + ROW_TILE], out=buffer)
+                        own += buffer
+            for t in range(terms):
+                if len(filled[t]) and len(asking[t]) and not (2 * len(filled[t]) > len(ids) and 2 * len(asking[t]) > score.shape[0]):
+                    score[np.ix_(asking[t], filled[t])] += mine[t, asking[t]][:, None] * columns[t, filled[t]]
             if kind is object:
                 score = np.clip(score, -(2**63), 2**63 - 1).astype(np.int64)
-            for j in range(score.shape[1]):
-                own = score[:, j]
-                others = ids != asked[at + j]
-                able, value = ids[others], own[others]
-                if len(value) > k:
-                    least = np.partition(value, len(value) - k)[len(value) - k]
+            for j, value in enumerate(score):
+                # One more than k, as the query's own row may be among them.
+                if len(value) > k + 1:
+                    least = np.partition(value, len(value) - k - 1)[len(value) - k - 1]
                     some = np.flatnonzero(value >= least)
-                    # Stable, and ids ascend: ties go to the smaller id.
-                    some = some[np.argsort(-value[some].astype(np.int64), kind="stable")[:k]] if value[some].min() > -(2**62) else some[np.argsort(value[some][::-1], kind="stable")[::-1][:k]]
-                    able, value = able[some], value[some]
-                found.append((np.full(len(able), asked[at + j]), able, value.astype(np.int64)))
+                else:
+                    some = np.arange(len(value))
+                # Ids ascend, and the sort of the reversed rows is stable: ties go to the smaller id.
+                some = some[::-1][np.argsort(value[some][::-1], kind="stable")][::-1]
+                some = some[ids[some] != asked[at + j]][:k]
+                found.append((np.full(len(some), asked[at + j]), ids[some], value[some].astype(np.int64)))
         return pa.table({name: pa.array(np.concatenate([x[i] for x in found]), pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     return run
