@@ -4,7 +4,7 @@ Documents and benchmark items become passages of `2 * STEP` words with TF-IDF we
 randomised SVD of all passages gives a latent space: one pass for document frequencies, one for the range of the matrix (each
 task sends the product of its passages with a fixed random matrix, folded back onto the words), one for the singular values.
 In the space scaled by those, overlapping passages of documents that have a high cosine with a passage of an item are
-candidates. A candidate that shares enough words is checked on all words of the item and the text around it: it is
+candidates. A candidate that shares enough of the TF-IDF weight is checked on all words of the item and the text around it: it is
 contaminated if their longest common subsequence covers `VERBATIM` of the item, or `PARAPHRASE` of it and the item's answer is
 found there too.
 
@@ -28,7 +28,7 @@ from quaystone.llm.common import BREAKS, blobs, pieces, shared_dir, stored, stri
 
 WORDS, RANK, STEP = 4096, 128, 12
 COSINE, SHARED, VERBATIM, PARAPHRASE, ANSWER_WORDS = 0.35, 0.4, 0.7, 0.5, 5
-ITEMS_AT_ONCE = 2000
+ITEMS_AT_ONCE = 500
 #: Buckets in a row of the partial sums that tasks send, and words that are worked on at a time.
 SLICE, AT_ONCE = 256, 1 << 16
 
@@ -65,10 +65,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count, total = np.zeros(WORDS, np.int64), 0
     for _, ids, bounds in _parts(batches):
-        starts, _ = _runs(bounds, 2 * STEP)
-        passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-        pair = np.unique(passage * WORDS + (ids & (WORDS - 1)))
-        count += np.bincount(pair % WORDS, minlength=WORDS)
+        starts, text = _runs(bounds, 2 * STEP)
+        b = np.append(ids & (WORDS - 1), WORDS).astype(np.uint16)[_places(starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), 2 * STEP, len(ids))].T.copy()
+        b.sort(axis=1)
+        first = np.ones(b.shape, bool)
+        first[:, 1:] = b[:, 1:] != b[:, :-1]
+        count += np.bincount(b[first], minlength=WORDS + 1)[:WORDS]
         total += len(starts)
     seen = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1).astype(np.int32)), pa.array(np.append(count[seen], total))], ["word", "n"])
@@ -222,24 +224,40 @@ def _search(model):
         known = np.zeros(1 << 16, bool)
         for item in items:
             known[item] = True
+        # Which item has which of the known words; word 0 stands for all others.
+        local = np.zeros(1 << 16, np.int32)
+        local[known] = np.arange(1, int(known.sum()) + 1)
+        has = np.zeros((len(items), int(known.sum()) + 1), bool)
+        square = m["idf"] ** 2
+        mass = np.zeros(len(items))
+        for i, item in enumerate(items):
+            has[i, local[item]] = True
+            mass[i] = square[item & (WORDS - 1)].sum()
         for batch, ids, bounds in _parts(batches):
             found: dict[tuple[int, int], tuple] = {}
             x, starts, text = _latent(ids, bounds, table, m["idf"], known)
-            for lo in range(0, len(x), 4096):
-                cosine = x[lo : lo + 4096] @ vectors.T
-                for p, v in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    at, item = starts[lo + p], int(owner[v])
-                    own, t = items[item], int(text[lo + p])
-                    passage = ids[at : min(at + 2 * STEP, bounds[t + 1])]
-                    if np.isin(passage, own).sum() < SHARED * min(len(own), len(passage)):
-                        continue
+            for lo in range(0, len(x), 1024):
+                row, v = np.nonzero(x[lo : lo + 1024] @ vectors.T >= COSINE)
+                row, item = row + lo, owner[v]
+                cosine = np.einsum("ij,ij->i", x[row], vectors[v])
+                end = np.minimum(starts[row] + 2 * STEP, bounds[text[row] + 1])
+                shared, total = np.zeros(len(row)), np.zeros(len(row))
+                for j in range(2 * STEP):
+                    w = ids[np.minimum(starts[row] + j, len(ids) - 1)]
+                    weight = np.where(starts[row] + j < end, square[w & (WORDS - 1)], 0)
+                    total += weight
+                    shared += weight * has[item, local[w]]
+                for c in np.flatnonzero(shared >= SHARED * np.minimum(total, mass[item])).tolist():
+                    own, t, at = items[item[c]], int(text[row[c]]), int(starts[row[c]])
                     slack = len(own) + STEP
                     around = ids[max(bounds[t], at - slack) : min(bounds[t + 1], at + 2 * STEP + slack)]
                     lcs = common_subsequence(own, around)
-                    answer = _has_answer(answers[item], around)
-                    if lcs >= VERBATIM * len(own) or (lcs >= PARAPHRASE * len(own) and answer):
-                        row = (lcs, float(cosine[p, v]), answer)
-                        found[t, item] = max(found.get((t, item), row), row)
+                    if lcs < PARAPHRASE * len(own):
+                        continue
+                    answer = _has_answer(answers[item[c]], around)
+                    if lcs >= VERBATIM * len(own) or answer:
+                        key, best = (t, int(item[c])), (lcs, float(cosine[c]), answer)
+                        found[key] = max(found.get(key, best), best)
             if found:
                 doc = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array([t for t, _ in found]))
                 rest = [(m["ids"][i], r[1], r[0], len(items[i]), r[2]) for (_, i), r in found.items()]
