@@ -19,9 +19,15 @@ from quaystone.llm.token_files import token_table
 from quaystone.llm.toxicity import THRESHOLD, scored
 
 
+def _aside(docs: DataFrame, clashes: str) -> DataFrame:
+    """docs with columns out of the way that an operator's own would replace; they get their names back at the end."""
+    return docs.toDF(*[f"__kept_{c}" if c.startswith(clashes) else c for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
-    return scored(docs, table(spark, sf_dir, "labels")).filter(F.col("toxic_score") < THRESHOLD).select(*docs.columns)
+    safe = _aside(docs, "toxic_score")
+    return scored(safe, table(spark, sf_dir, "labels")).filter(F.col("toxic_score") < THRESHOLD).select(*safe.columns).toDF(*docs.columns)
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -41,9 +47,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: sources by the square root of their counts."""
-    placed = mixed(docs)
+    safe = _aside(docs, "mix_")
     order = ["mix_slot", "mix_place"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return mixed(safe).repartitionByRange(*order).sortWithinPartitions(*order).select(*safe.columns).toDF(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ source finds its slot by arithmetic. When a source runs out, the others go on wi
 counts by source and the rounds are on the driver; both are bounded by `MAX_SOURCES` and `units`, not by documents.
 
 Cases: a null source is a source; sources without a target weight get none of the schedule's rounds and follow in a last phase
-by their counts; rows that repeat a document are each mixed; empty tables give empty tables; all documents stay.
+by their counts; rows that repeat a document are each mixed; empty tables give empty tables; all documents stay. Other columns
+stay, but for those whose names begin with mix_, which are replaced.
 """
 
 from __future__ import annotations

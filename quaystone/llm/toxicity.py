@@ -9,7 +9,8 @@ The classifier is fitted on at most `FIT_DOCS` labelled documents of each class,
 by a hash of doc_id; that sample is the only thing on the driver. Scoring reads every whole text.
 
 Cases: a null text is an empty one and is scored as such; a null label is none; of several labels of a document the largest
-counts; without labels of both classes every score is 0; a null doc_id is not held out; extra columns stay.
+counts; without labels of both classes every score is 0; a null doc_id is not held out; extra columns stay, but for a column
+toxic_score, which is replaced.
 """
 
 from __future__ import annotations

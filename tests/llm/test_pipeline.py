@@ -43,10 +43,11 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
 def test_hard_rows(spark, tmp_path):
     rows = [(1, None, "en", "a", 0), (2, "", None, None, None), (None, "text of no one", "en", "b", 14), (3, "word " * 60000, "en", "a", 300000), (3, "word " * 60000, "en", "a", 300000), (4, "x", "en", "c", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"mix_slot": F.lit(1), "toxic_score": F.lit("x"), "rep": F.lit(2)})
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, docs, DIR).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-    assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4, None}
+    assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4, None} and docs.columns == columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DIR).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.filter(F.col("doc_id") < 3), DIR).count() == 2
