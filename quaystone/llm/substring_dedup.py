@@ -75,8 +75,9 @@ def _anchors(first: int, window: int):
             # often it repeats, meets those of other batches.
             sure = np.repeat(size > 1, size)
             open_ = head & ~sure
-            yield _anchor_rows(key[open_], doc[open_], key[:0], None)
-            yield _anchor_rows(key[head & sure], doc[head & sure], key[:0], np.zeros(int((head & sure).sum()) + 1, np.int32))
+            yield _anchor_rows(key[open_], doc[open_], key[:0], np.zeros(int(open_.sum()) + 1, np.int32))
+            proven = head & sure
+            yield _anchor_rows(key[proven], doc[proven], key[proven], np.arange(int(proven.sum()) + 1))
             key, doc = key[sure], doc[sure]
             order = np.argsort(doc, kind="stable")
             key, doc = key[order], doc[order]
@@ -87,9 +88,9 @@ def _anchors(first: int, window: int):
 
 
 def _anchor_rows(route, doc, keys, bounds) -> pa.RecordBatch:
-    """keys: null where the hash `route` is open, empty where it is known to repeat, else settled hashes of the document."""
-    packed = pa.nulls(len(doc), pa.list_(pa.int64())) if bounds is None else lists(keys.view(np.int64), bounds, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), packed], ["route", "doc_id", "keys"])
+    """keys: empty where the hash `route` is open, that hash itself where it is known to repeat, else settled hashes of the
+    document. No null lists: Arrow writers slow down with each null in a row."""
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), lists(keys.view(np.int64), bounds, pa.int64())], ["route", "doc_id", "keys"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +105,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc[at]), lists(h, np.append(at, len(doc)), pa.int64())], ["doc_id", "keys"])
 
     for batch in batches:
-        size = batch.column(2).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-        settled = pa.array(size > 0)
-        if (size > 0).any():
+        size, route = batch.column(2).value_lengths().to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+        sure = size == 1
+        first = (np.cumsum(size) - size)[sure]
+        sure[sure] = batch.column(2).flatten().to_numpy(zero_copy_only=False)[first] == route[sure]
+        own = (size == 0) | sure
+        if not own.all():
+            settled = pa.array(~own)
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(settled), batch.column(2).filter(settled)], ["doc_id", "keys"])
-        own = size <= 0
-        h, doc, sure = batch.column(0).to_numpy(zero_copy_only=False)[own], batch.column(1).to_numpy(zero_copy_only=False)[own], size[own] == 0
+        h, doc, sure = route[own], batch.column(1).to_numpy(zero_copy_only=False)[own], sure[own]
         if not len(h):
             continue
         skip = 0
@@ -137,9 +141,9 @@ def _text_hashes(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _window_rows(route, doc, th, pos, hashes, bounds, late, late_bounds) -> pa.RecordBatch:
-    n = len(doc)
-    open_ = pa.nulls(n, pa.list_(pa.int64())) if hashes is None else lists(hashes.view(np.int64), bounds, pa.int64())
-    sealed = pa.nulls(n, pa.list_(pa.int32())) if late is None else lists(late, late_bounds, pa.int32())
+    none = np.zeros(len(doc) + 1, np.int32)
+    open_ = lists(none[:0], none, pa.int64()) if hashes is None else lists(hashes.view(np.int64), bounds, pa.int64())
+    sealed = lists(none[:0], none, pa.int32()) if late is None else lists(late, late_bounds, pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), pa.array(th), pa.array(pos, pa.int32()), open_, sealed], ["route", "doc_id", "th", "pos", "hs", "late"])
 
 
@@ -183,7 +187,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "th", "pos", "late", "h"]
     for batch in batches:
         batch = batch.select(["doc_id", "th", "pos", "hs", "late"])
-        sealed = batch.column(3).is_null()
+        sealed = pc.equal(batch.column(3).value_lengths(), 0)
         if sealed.true_count:
             part = batch.filter(sealed)
             yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), pa.nulls(part.num_rows, pa.int64())], names)
@@ -193,7 +197,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = int(size.sum())
             step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
             doc, th, pos = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), size) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((pos + step).astype(np.int32)), pa.nulls(total, pa.list_(pa.int32())), part.column(3).flatten()], names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((pos + step).astype(np.int32)), lists(doc[:0], np.zeros(total + 1, np.int32), pa.int32()), part.column(3).flatten()], names)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +243,9 @@ def _cut(window: int):
             for i in range(batch.num_rows):
                 own = texts[i].as_buffer().to_pybytes().split()
                 n_words.append(len(own))
-                spans = removed[i].values if removed[i].is_valid else None
+                spans = removed[i].values
                 gone = np.zeros(0, bool)
-                if spans is not None:
+                if spans is not None and len(spans):
                     mine = spans.filter(pa.array(spans.field("th").to_numpy(zero_copy_only=False) == th[i]))
                     pos = mine.field("pos").flatten().to_numpy(zero_copy_only=False)
                     step = np.zeros(len(own) + 1, np.int32)
@@ -285,5 +289,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("removed"))
     )
     out = "doc_id long, text string, n_words long, n_removed long"
-    lone = docs.filter(F.col("doc_id").isNull()).withColumn("removed", F.lit(None).cast("array<struct<th:bigint,pos:array<int>>>"))
-    return known.join(removed, "doc_id", "left").select("doc_id", "text", "removed").unionByName(lone).mapInArrow(_cut(window), out)
+    none = F.array().cast("array<struct<th:bigint,pos:array<int>>>")
+    lone = docs.filter(F.col("doc_id").isNull()).withColumn("removed", none)
+    return known.join(removed, "doc_id", "left").select("doc_id", "text", F.coalesce("removed", none).alias("removed")).unionByName(lone).mapInArrow(_cut(window), out)
