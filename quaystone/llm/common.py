@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -152,6 +153,14 @@ def shingles(h: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
     return mix(total)
 
 
+def release() -> None:
+    """Give freed memory back to the system, as Python workers live on between tasks and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds about `limit` bytes of text, or one longer text alone."""
     for batch in batches:
@@ -164,6 +173,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8
             end = min(batch.num_rows, max(at + 1, end))
             yield batch.slice(at, end - at)
             at = end
+        release()
 
 
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -27,7 +27,7 @@ from quaystone.llm.files import Reader, filesystem, unique
 
 END_ID = 1
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 
 
 class WordEncoder:
@@ -144,7 +144,7 @@ def _writer(out_dir: str, tokenizer: str):
         name = unique("tokens", task)
         sizes, ids, nulls = [np.zeros(1, np.int64)], [], []
         with system.open_output_stream(f"{folder}/{name}.bin") as out:
-            for batch in pieces(batches, limit=4 << 20):
+            for batch in pieces(batches, limit=2 << 20):
                 tokens, count = encoder.encode(*string_buffer(batch.column(1)))
                 out.write(tokens.astype(tokens.dtype.newbyteorder("<")).tobytes())
                 sizes.append(count)
