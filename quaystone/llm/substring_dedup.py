@@ -24,6 +24,8 @@ from quaystone.llm.common import lists, mix, pieces, shingles, string_buffer, te
 WINDOW = 13
 #: Places or hashes that a task packs by document before they leave it.
 PACKED_AT_ONCE = 1 << 20
+#: Documents whose places travel together, and are in memory together.
+DOCS_PER_GROUP = 2000
 
 
 def levels(window: int) -> list[int]:
@@ -200,21 +202,64 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((pos + step).astype(np.int32)), lists(doc[:0], np.zeros(total + 1, np.int32), pa.int32()), part.column(3).flatten()], names)
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, th, pos, late, h) sorted by hash and document, in: places of windows that a smaller document has too, out. Holds one hash and its first document."""
+def _later(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, th, pos, late, h) sorted by hash and document, in: places of windows that a smaller document has too,
+        out, packed by group of documents. Holds one hash and its first document."""
+        waiting: list = []
+        for part in _late_places(batches):
+            waiting.append(part)
+            if sum(len(x[0]) for x in waiting) >= PACKED_AT_ONCE:
+                yield _grouped(waiting, groups)
+                waiting.clear()
+        if waiting:
+            yield _grouped(waiting, groups)
+
+    return run
+
+
+def _grouped(parts: list, groups: int) -> pa.RecordBatch:
+    doc, th, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    group = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: len(group)]
+    bounds = np.append(at, len(group))
+    return pa.RecordBatch.from_arrays([pa.array(group[at]), lists(doc[order], bounds, pa.int64()), lists(th[order], bounds, pa.int64()), lists(pos[order], bounds, pa.int32())], ["group", "doc_id", "th", "pos"])
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows sorted by group, in: one row a text with its places, out. Holds the places of one group of documents."""
     held, waiting = None, []
 
-    def packed() -> pa.RecordBatch:
+    def merged() -> pa.RecordBatch:
         doc, th, pos = (np.concatenate(x) for x in zip(*waiting, strict=True))
         order = np.lexsort((th, doc))
         doc, th, pos = doc[order], th[order], pos[order]
         at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))[: len(doc)]
         return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists(pos, np.append(at, len(doc)), pa.int32())], ["doc_id", "th", "pos"])
 
+    for batch in batches:
+        group = batch.column(0).to_numpy()
+        cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(group) else np.zeros(0, np.int64)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if held is not None and group[a] != held:
+                yield merged()
+                waiting.clear()
+            held = group[a]
+            waiting.append(tuple(batch.column(i)[a:b].flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3)))
+    if waiting:
+        yield merged()
+
+
+def _late_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    held = None
     for batch in batches:
         sealed = batch.column(4).is_null()
         if sealed.true_count:
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(sealed) for i in (0, 1, 3)], ["doc_id", "th", "pos"])
+            size = batch.column(3).filter(sealed).value_lengths().to_numpy(zero_copy_only=False)
+            doc, th = (np.repeat(batch.column(i).filter(sealed).to_numpy(zero_copy_only=False), size) for i in (0, 1))
+            yield doc, th, batch.column(3).filter(sealed).flatten().to_numpy(zero_copy_only=False)
         batch = batch.filter(pc.invert(sealed))
         if not batch.num_rows:
             continue
@@ -225,12 +270,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[0] = held[1]
         held = (h[-1], first[-1])
         late = doc > np.repeat(first, np.diff(np.append(np.flatnonzero(head), len(h))))
-        waiting.append((doc[late], th[late], pos[late]))
-        if sum(len(x[0]) for x in waiting) >= PACKED_AT_ONCE:
-            yield packed()
-            waiting.clear()
-    if waiting:
-        yield packed()
+        yield doc[late], th[late], pos[late]
 
 
 def _cut(window: int):
@@ -266,7 +306,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, text (kept words joined by one space), n_words and n_removed for each row of docs.
     """
-    steps = levels(window)
+    steps, groups = levels(window), max(1, docs.count() // DOCS_PER_GROUP)
     # A doc_id that is a long stays as it is, so that both joins below read the same shuffled texts.
     key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     docs = docs.select(key, text_of(docs).alias("text"))
@@ -285,7 +325,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     removed = (
         places.select("doc_id", "text", "keys").mapInArrow(_candidates(before, window), "route long, doc_id long, th long, pos int, hs array<long>, late array<int>")
         .repartition("route").mapInArrow(_unpacked, "doc_id long, th long, pos int, late array<int>, h long").sortWithinPartitions("h", "doc_id")
-        .mapInArrow(_later, "doc_id long, th long, pos array<int>")
+        .mapInArrow(_later(groups), "group long, doc_id array<long>, th array<long>, pos array<int>")
+        .repartition("group").sortWithinPartitions("group")
+        .mapInArrow(_by_text, "doc_id long, th long, pos array<int>")
         .groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("removed"))
     )
     out = "doc_id long, text string, n_words long, n_removed long"
