@@ -7,6 +7,8 @@ the number and depth of trees and not on the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,11 @@ from quaystone.models.metrics import average_precision, precision_at_k, roc_auc
 from quaystone.registry import ANOMALY_COLUMNS, MODEL_COLUMNS
 
 FEATURES = [*MODEL_COLUMNS, "port_id_enc"]
-DEFAULTS = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
-TREES, SAMPLE = 100, 256
+#: The reference's model; its share of columns a tree is one a node here.
+DEFAULTS = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+TREES, SAMPLE = 200, 256
+#: Trials of the search, and fits that run at a time.
+TRIALS, FITS_AT_ONCE = 30, 4
 
 
 def with_vector(matrix: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -45,32 +50,55 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def fold_report(rows: DataFrame, splits: DataFrame, params: dict | None = None, k: int = 10, least: int = 20) -> DataFrame | None:
-    """One row a fold: sizes, dates, share of positives, PR-AUC, ROC-AUC, precision at k. A fold with under `least` training
-    rows is left out. Folds are a handful; each is fitted by Spark."""
-    out = None
+def _usable(rows: DataFrame, splits: DataFrame, least: int) -> list[tuple[int, DataFrame, DataFrame]]:
+    """Fold, training and test rows of each fold with at least `least` training rows of both classes."""
+    out = []
     for fold in sorted(r["fold"] for r in splits.select("fold").distinct().collect()):
-        sides = {role: rows.join(F.broadcast(splits.filter((F.col("fold") == fold) & (F.col("role") == role)).select("week_ending")), "week_ending", "left_semi") for role in ("train", "test")}
-        if sides["train"].count() < least or sides["train"].select("is_disruption_week").distinct().count() < 2:
-            continue
-        scored = predict(train_gbt(sides["train"], params), sides["test"]).select(F.lit(fold).alias("fold"), F.col("is_disruption_week").alias("y"), "p", "week_ending", "port_id")
-        size = scored.groupBy("fold").agg(F.count("*").alias("n_test"), F.avg("y").alias("positive_share"), F.min("week_ending").alias("test_start"), F.max("week_ending").alias("test_end"))
-        train = sides["train"].agg(F.count("*").alias("n_train")).withColumn("fold", F.lit(fold))
-        row = size.join(train, "fold").join(average_precision(scored, ["fold"]), "fold").join(roc_auc(scored, ["fold"]), "fold").join(precision_at_k(scored, ["fold"], k, "port_id"), "fold")
-        out = row if out is None else out.unionByName(row)
+        train, test = (rows.join(F.broadcast(splits.filter((F.col("fold") == fold) & (F.col("role") == role)).select("week_ending")), "week_ending", "left_semi") for role in ("train", "test"))
+        if train.count() >= least and train.select("is_disruption_week").distinct().count() == 2:
+            out.append((fold, train, test))
     return out
 
 
+def _fold_scores(folds: list[tuple[int, DataFrame, DataFrame]], params: dict | None) -> DataFrame:
+    """Scored test rows of all folds. Folds are a handful; each is fitted by Spark, some at a time."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = list(pool.map(lambda f: train_gbt(f[1], params), folds))
+    parts = [predict(model, test).select(F.lit(fold).alias("fold"), F.col("is_disruption_week").alias("y"), "p", "week_ending", "port_id") for model, (fold, _, test) in zip(models, folds, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fold_report(rows: DataFrame, splits: DataFrame, params: dict | None = None, k: int = 10, least: int = 20) -> DataFrame | None:
+    """One row a fold: sizes, dates, share of positives, PR-AUC, ROC-AUC, precision at k. A fold with under `least` training
+    rows is left out."""
+    folds = _usable(rows, splits, least)
+    if not folds:
+        return None
+    scored = _fold_scores(folds, params)
+    size = scored.groupBy("fold").agg(F.count("*").alias("n_test"), F.avg("y").alias("positive_share"), F.min("week_ending").alias("test_start"), F.max("week_ending").alias("test_end"))
+    train = reduce(DataFrame.unionByName, [t.select(F.lit(fold).alias("fold")) for fold, t, _ in folds]).groupBy("fold").agg(F.count("*").alias("n_train"))
+    return size.join(train, "fold").join(average_precision(scored, ["fold"]), "fold").join(roc_auc(scored, ["fold"]), "fold").join(precision_at_k(scored, ["fold"], k, "port_id"), "fold")
+
+
+def settings(trials: int = TRIALS, seed: int = 42) -> list[dict]:
+    """Seeded draws from the reference's ranges of all parameters that Spark's boosted trees have (they have no L1 and L2 terms)."""
+    rng = np.random.default_rng(seed)
+    return [
+        {
+            "maxIter": int(rng.integers(50, 401)), "maxDepth": int(rng.integers(3, 9)), "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
+            "subsamplingRate": float(rng.uniform(0.6, 1.0)), "featureSubsetStrategy": f"{rng.uniform(0.5, 1.0):.4f}", "minInstancesPerNode": int(rng.integers(1, 11)),
+        }
+        for _ in range(trials)
+    ]
+
+
 def search(rows: DataFrame, splits: DataFrame, grid: list[dict]) -> DataFrame:
-    """Mean PR-AUC over the folds for each setting of the grid."""
-    out = None
-    for i, params in enumerate(grid):
-        report = fold_report(rows, splits, params)
-        if report is None:
-            continue
-        row = report.agg(F.avg("pr_auc").alias("mean_pr_auc"), F.count("*").alias("folds")).select(F.lit(i).alias("trial"), F.lit(str(sorted(params.items()))).alias("params"), "mean_pr_auc", "folds")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Mean PR-AUC over the folds for each setting of the grid; one row a trial is on the driver."""
+    folds, out = _usable(rows, splits, 20), []
+    for i, params in enumerate(grid if folds else []):
+        mean, n = average_precision(_fold_scores(folds, params), ["fold"]).agg(F.avg("pr_auc"), F.count("*")).first()
+        out.append((i, str(sorted(params.items())), mean, n))
+    return rows.sparkSession.createDataFrame(out, "trial int, params string, mean_pr_auc double, folds long")
 
 
 def last_share(rows: DataFrame, share: float = 0.2, least: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from quaystone.registry import ANOMALY_COLUMNS
 from quaystone.scoring import cards as c
 from quaystone.sources.lake import scratch
 
-FOLDS = 2
+FOLDS = 5
 
 
 def matrix(spark, sf_dir) -> DataFrame:
@@ -53,7 +53,7 @@ def ml_cv_score(spark, sf_dir):
 @query("ml_param_search")
 def ml_param_search(spark, sf_dir):
     rows = labelled(matrix(spark, sf_dir))
-    return t.search(rows, m.walk_forward(rows.select("week_ending"), folds=1), [{"maxDepth": 3, "maxIter": 5}, {"maxDepth": 4, "maxIter": 5}])
+    return t.search(rows, _folds(rows), t.settings())
 
 
 @query("ml_calibrate")

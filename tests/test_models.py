@@ -83,6 +83,35 @@ def test_attributions_add_up_and_match_model(spark):
     assert np.mean([r.drivers[0].feature == "a" for r in got]) > 0.5
 
 
+def test_queries_run_the_whole_training_budget(spark, monkeypatch):
+    from quaystone.plans import training
+
+    seen = []
+    monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: weeks)
+    monkeypatch.setattr(training, "labelled", lambda rows: rows)
+    monkeypatch.setattr(training.t, "search", lambda rows, splits, grid: seen.append((splits, grid)))
+    weeks = spark.createDataFrame([(dt.date(2022, 1, 2) + dt.timedelta(weeks=i),) for i in range(80)], "week_ending date")
+    training.ml_param_search(spark, "")
+    splits, grid = seen[0]
+    assert splits.select("fold").distinct().count() == 5 and len(grid) == 30 and grid == t.settings()
+    assert all(len({g[k] for g in grid}) > 1 for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode"))
+    assert (t.DEFAULTS["maxIter"], t.DEFAULTS["maxDepth"], t.DEFAULTS["stepSize"], t.TREES) == (200, 5, 0.05, 200)
+
+
+def test_report_and_search_over_folds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(dt.date(2022, 1, 2) + dt.timedelta(weeks=i // 4), str(i % 4), *map(float, rng.normal(size=2))) for i in range(240)]
+    df = t.with_vector(spark.createDataFrame([(*r, int(r[2] > 0)) for r in rows], "week_ending date, port_id string, a double, b double, is_disruption_week int"), ["a", "b"])
+    splits = m.walk_forward(df.select("week_ending"))
+    small = {"maxIter": 1, "maxDepth": 2}
+    report = t.fold_report(df, splits, small).collect()
+    assert sorted((r.fold, r.n_train, r.n_test) for r in report) == [(f, 4 * (40 + 4 * f), 16) for f in range(5)]
+    found = t.search(df, splits, [small, small | {"maxDepth": 1}]).collect()
+    assert [(r.trial, r.folds) for r in found] == [(0, 5), (1, 5)]
+    assert abs(found[0].mean_pr_auc - np.mean([r.pr_auc for r in report])) < 1e-9
+    assert t.search(df, splits.limit(0), [small]).count() == 0
+
+
 def test_last_share(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 7) + dt.timedelta(weeks=i // 2), i) for i in range(100)], "week_ending date, i int")
     before, last = t.last_share(df)
