@@ -75,7 +75,7 @@ def ml_iforest(spark, sf_dir):
 @query("ml_drivers")
 def ml_drivers(spark, sf_dir):
     rows = labelled(matrix(spark, sf_dir))
-    return t.drivers(t.train_gbt(rows, {"maxIter": 5, "maxDepth": 3}), rows, t.FEATURES, ["port_id", "week_ending"])
+    return t.drivers(t.train_gbt(rows), rows, t.FEATURES, ["port_id", "week_ending"])
 
 
 @query("sc_risk_card_model")
@@ -83,7 +83,7 @@ def sc_risk_card_model(spark, sf_dir):
     """Cards with a model: calibrated probability, anomaly score and drivers of each port's newest week."""
     rows = matrix(spark, sf_dir)
     known = labelled(rows)
-    model = t.train_gbt(known, {"maxIter": 5, "maxDepth": 3})
+    model = t.train_gbt(known)
     newest = rows.join(F.broadcast(rows.groupBy("port_id").agg(F.max("week_ending").alias("week_ending"))), ["port_id", "week_ending"], "left_semi")
     p = t.predict(model, t.with_vector(newest)).select("port_id", F.col("p").alias("p_disruption"))
     odd = t.forest_score(rows, t.fit_forest(rows), ANOMALY_COLUMNS).join(newest.select("port_id", "week_ending"), ["port_id", "week_ending"]).select("port_id", "anomaly_score")

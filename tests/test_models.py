@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 
@@ -112,6 +114,79 @@ def test_report_and_search_over_folds(spark):
     assert t.search(df, splits.limit(0), [small]).count() == 0
 
 
+def grown(rng, depth, features):
+    """A tree with a random feature at each node and random covers."""
+    t = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+
+    def grow(left, cover):
+        me = len(t["feature"])
+        leaf = left == 0 or (left < depth and rng.random() < 0.1)
+        for k, v in (("feature", -1 if leaf else int(rng.integers(features))), ("threshold", float(rng.normal())), ("left", -1), ("right", -1), ("value", float(rng.normal())), ("cover", cover)):
+            t[k].append(v)
+        if not leaf:
+            share = rng.uniform(0.1, 0.9)
+            t["left"][me] = grow(left - 1, cover * share)
+            t["right"][me] = grow(left - 1, cover * (1 - share))
+        return me
+
+    grow(depth, 100.0)
+    return {k: np.array(v) for k, v in t.items()}
+
+
+def by_subsets(x, tree, features):
+    """Shapley values by all subsets of the features."""
+    out = np.zeros_like(x)
+    value = {s: t._expected(tree, x, frozenset(s)) for k in range(features + 1) for s in combinations(range(features), k)}
+    for s in value:
+        for f in set(range(features)) - set(s):
+            out[:, f] += factorial(len(s)) * factorial(features - len(s) - 1) / factorial(features) * (value[tuple(sorted({*s, f}))] - value[s])
+    return out
+
+
+def test_attributions_against_all_subsets():
+    rng = np.random.default_rng(5)
+    for depth in (0, 1, 2, 4, 6):
+        x, trees = rng.normal(size=(30, 6)), [(w, grown(rng, depth, 6)) for w in (1.0, 0.1)]
+        want = sum(w * by_subsets(x, tree, 6) for w, tree in trees)
+        assert np.abs(t.attributions(x, trees) - want).max() < 1e-9
+
+
+def test_attributions_of_deep_trees_take_few_walks(monkeypatch):
+    rng, plain, calls = np.random.default_rng(6), t._expected, [0]
+
+    def counted(*args):
+        calls[0] += 1
+        assert calls[0] < 100_000
+        return plain(*args)
+
+    x, tree = rng.normal(size=(50, 40)), grown(rng, 8, 40)
+    monkeypatch.setattr(t, "_expected", counted)
+    parts = t.attributions(x, [(1.0, tree)])
+    assert len(set(tree["feature"]) - {-1}) > 30
+    margin, base = plain(tree, x, frozenset(range(40))), plain(tree, x, frozenset())
+    assert np.abs(parts.sum(axis=1) + base - margin).max() < 1e-9
+
+
+def test_drivers_explain_the_served_model(monkeypatch):
+    import pytest
+
+    from quaystone.plans import training
+
+    class Stopped(Exception):
+        pass
+
+    def trained(rows, params=None):
+        assert params is None
+        raise Stopped
+
+    monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: None)
+    monkeypatch.setattr(training, "labelled", lambda rows: rows)
+    monkeypatch.setattr(training.t, "train_gbt", trained)
+    for name in ("ml_gbt_predict", "ml_drivers", "sc_risk_card_model"):
+        with pytest.raises(Stopped):
+            getattr(training, name)(None, "")
+
+
 def test_last_share(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 7) + dt.timedelta(weeks=i // 2), i) for i in range(100)], "week_ending date, i int")
     before, last = t.last_share(df)
