@@ -2,10 +2,10 @@
 
 Each source's documents, in a seeded order, are cut into blocks. With weight w, block k of a source is released at slot
 floor(k / w) and due by slot ceil((k + 1) / w); at each slot the released block with the earliest deadline goes out. At any
-slot each source has then had less than one block more or less than its weight asks for. Weights are whole units of a round,
-so the schedule repeats after one round of as many slots as there are units: a round is worked out once, and block k of a
-source finds its slot by arithmetic. When a source runs out, the others go on with their weights scaled up (a new phase). Only
-counts by source and the rounds are on the driver; both are bounded by `MAX_SOURCES` and `units`, not by documents.
+slot each source has then had less than one block more or less than its weight asks for. Weights are not rounded: they become
+whole units by their exact fractions. A schedule repeats after a round of as many slots as there are units, if it gets that far.
+When a source runs out, the others go on with their weights scaled up (a new phase). Counts by source and the slot of each block
+are on the driver, a row for every `block_docs` documents.
 
 Cases: a null source is a source; sources without a target weight get none of the schedule's rounds and follow in a last phase
 by their counts; rows that repeat a document are each mixed; empty tables give empty tables; all documents stay. Other columns
@@ -16,13 +16,19 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_DOCS, UNITS, MAX_SOURCES, SEED = 16, 1000, 500, 17
+BLOCK_DOCS, MAX_SOURCES, SEED = 16, 500, 17
 #: Rows that one sorting task of the ranking should get.
 RANK_ROWS = 20_000
+#: Releases and deadlines of sources with next to no weight end here.
+FAR = 1 << 62
 
 
 def whole_units(weights: Mapping, total: int) -> dict:
@@ -36,25 +42,36 @@ def whole_units(weights: Mapping, total: int) -> dict:
     return units
 
 
-def one_round(units: Mapping) -> dict:
-    """Slots of a round by source, by earliest deadline among the released; ties to the longer-waiting, then to the name."""
+def exact_units(weights: Mapping) -> dict:
+    """Weights as whole units in exactly their proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def one_round(units: Mapping, left: Mapping | None = None) -> dict:
+    """Slots of a round by source, by earliest deadline among the released; ties to the longer-waiting, then to the name.
+    It ends early when a source has had the blocks it has left."""
     total = sum(units.values())
     releases: dict[int, list] = {}
     done = dict.fromkeys(units, 0)
     slots: dict = {s: [] for s in units}
-    for s in units:
-        releases.setdefault(0, []).append(s)
+    releases[0] = list(units)
     ready: list = []
-    for t in range(total):
+    t = 0
+    while t < total:
         for s in releases.pop(t, ()):
             k, u = done[s], units[s]
             heapq.heappush(ready, (-(-(k + 1) * total // u), k * total // u, str(s), s))
         _, _, _, s = heapq.heappop(ready)
         slots[s].append(t)
         done[s] += 1
+        if left is not None and done[s] == left[s]:
+            break
         if done[s] < units[s]:
             again = max(t + 1, done[s] * total // units[s])
             releases.setdefault(again, []).append(s)
+        t += 1
     return slots
 
 
@@ -62,11 +79,13 @@ def phases(blocks: Mapping, units: Mapping) -> list[dict]:
     """Until all blocks are placed: the sources that still have some, their first block and round, and the first slot."""
     out, used, slot = [], dict.fromkeys(blocks, 0), 0
     while left := {s: u for s, u in units.items() if blocks[s] > used[s]}:
-        rounds, size = one_round(left), sum(left.values())
+        size = sum(left.values())
+        rounds = one_round(left, {s: blocks[s] - used[s] for s in left})
         ends = {}
         for s, u in left.items():
             last = blocks[s] - used[s] - 1
-            ends[s] = last // u * size + rounds[s][last % u]
+            if len(rounds[s]) > last % u:
+                ends[s] = last // u * size + rounds[s][last % u]
         length = min(ends.values()) + 1
         out.append({"slot": slot, "size": size, "first": {s: used[s] for s in left}, "rounds": rounds})
         for s, u in left.items():
@@ -75,11 +94,31 @@ def phases(blocks: Mapping, units: Mapping) -> list[dict]:
     return out
 
 
-def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, block_docs: int = BLOCK_DOCS, units: int = UNITS, seed: int = SEED, key: Column | None = None) -> DataFrame:
+def block_table(plan: list[dict], blocks: Mapping, units: Mapping) -> pa.Table:
+    """Each block's source, number, slot, release and deadline; the plan's slots count from 0."""
+    names, columns = [], []
+    for p, following in zip(plan, [*plan[1:], None], strict=True):
+        live = p["first"]
+        size = p["size"]
+        for s, first in live.items():
+            n = (following["first"].get(s, blocks[s]) if following else blocks[s]) - first
+            u, own = units[s], p["rounds"][s]
+            j = range(n)
+            names += [s] * n
+            columns.append([
+                np.arange(first, first + n), np.array([p["slot"] + i // u * size + own[i % u] for i in j], np.int64),
+                np.array([min(FAR, p["slot"] + i * size // u) for i in j], np.int64), np.array([min(FAR, p["slot"] - (-(i + 1) * size // u)) for i in j], np.int64),
+            ])
+    whole = [np.concatenate([c[i] for c in columns]) if columns else np.zeros(0, np.int64) for i in range(4)]
+    return pa.table([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in whole)], ["mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"])
+
+
+def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, block_docs: int = BLOCK_DOCS, units: int | None = None, seed: int = SEED, key: Column | None = None) -> DataFrame:
     """docs with mix_block (number within the source), mix_release and mix_deadline (slots of its phase), mix_slot and
     mix_place (place in the block). Ordered by (mix_slot, mix_place), sources follow their weights.
 
-    weights: source to weight; by default the source's count to the given power. key: what the seeded order within a source
+    weights: source to weight; by default the source's count to the given power. units: round the weights to about so many
+    units of a round, with one at least for each source; by default they are kept as they are. key: what the seeded order within a source
     hashes (doc_id, if there is one).
     """
     spark = docs.sparkSession
@@ -95,19 +134,15 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, b
         given = {"" if s is None else f"={s}": w for s, w in weights.items() if w > 0}
         first = {s: given[s] for s in counts if s in given}
         rest = {s: float(n) for s, n in counts.items() if s not in given}
-    plan: list[dict] = []
+    tables, start = [], 0
     for group in (first, rest):
         if group:
-            slot = max((p["slot"] + p["length"] for p in plan), default=0)
-            own = {s: blocks[s] for s in group}
-            found = phases(own, whole_units(group, units))
-            for p, nxt in zip(found, [*found[1:], None], strict=True):
-                p["length"] = (nxt["slot"] if nxt else sum(own.values())) - p["slot"]
-            plan += [p | {"slot": p["slot"] + slot} for p in found]
-    # One row for each source and phase: where its blocks begin, and its slots in a round.
-    table = [(s, p["first"][s], p["slot"], p["size"], p["rounds"][s]) for p in plan for s in p["rounds"]]
-    schema = "mix_source string, first long, slot long, size long, round array<int>"
-    steps = spark.createDataFrame(table, schema).groupBy("mix_source").agg(F.sort_array(F.collect_list(F.struct("first", "slot", "size", "round"))).alias("mix_steps"))
+            own, whole = {s: blocks[s] for s in group}, whole_units(group, units) if units else exact_units(group)
+            plan = [p | {"slot": p["slot"] + start} for p in phases(own, whole)]
+            tables.append(block_table(plan, own, whole))
+            start += sum(own.values())
+    schema = "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
+    slots = spark.createDataFrame(pa.concat_tables(tables), schema) if tables else spark.createDataFrame([], schema)
 
     # Rank within a source in two levels, so that no task sorts a whole source: ranges of the hash, then places in a range.
     whole = F.xxhash64(F.lit(seed), *kept)
@@ -120,15 +155,4 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, b
     ranked = ranked.withColumn("mix_rank", F.row_number().over(inner)).join(sizes.drop("count"), ["mix_source", "mix_range"])
     rank = F.coalesce("mix_before", F.lit(0)) + F.col("mix_rank") - 1
     ranked = ranked.withColumn("mix_block", F.floor(rank / block_docs)).withColumn("mix_place", F.pmod(rank, F.lit(block_docs)).cast("int"))
-    # The table of steps has at most MAX_SOURCES rows, and MAX_SOURCES phases of `units` entries.
-    ranked = ranked.join(F.broadcast(steps), "mix_source")
-    step = F.element_at(F.filter("mix_steps", lambda x: x["first"] <= F.col("mix_block")), -1)
-    ranked = ranked.withColumn("mix_step", step)
-    index, number = F.col("mix_block") - F.col("mix_step.first"), F.size("mix_step.round")
-    slot = F.col("mix_step.slot") + F.floor(index / number) * F.col("mix_step.size") + F.get(F.col("mix_step.round"), F.pmod(index, number).cast("int"))
-    return ranked.select(
-        *kept, "mix_block",
-        (F.col("mix_step.slot") + F.floor(index * F.col("mix_step.size") / number)).alias("mix_release"),
-        (F.col("mix_step.slot") + F.ceil((index + 1) * F.col("mix_step.size") / number)).alias("mix_deadline"),
-        slot.alias("mix_slot"), "mix_place",
-    )
+    return ranked.join(slots, ["mix_source", "mix_block"]).select(*kept, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")

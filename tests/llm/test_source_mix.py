@@ -1,6 +1,6 @@
 import random
 
-from quaystone.llm.source_mix import mixed, one_round, phases, whole_units
+from quaystone.llm.source_mix import block_table, exact_units, mixed, one_round, phases, whole_units
 
 
 def edf(blocks, units):
@@ -38,6 +38,34 @@ def test_rounds_and_phases_against_simulation():
         assert [slots[t] for t in range(sum(blocks.values()))] == edf(blocks, units)
 
 
+def test_slots_follow_the_callers_weights(spark):
+    rng = random.Random(4)
+    many = {f"s{i:03}": 400 if i else 60_000 for i in range(120)}
+    cases = [(many, {s: n**0.5 for s, n in many.items()}), ({"a": 30_000, "b": 5}, {"a": 1e6, "b": 1.0}), ({f"t{i}": 900 for i in range(7)}, {f"t{i}": rng.random() ** 4 for i in range(7)})]
+    for blocks, weights in cases:
+        units = exact_units(weights)
+        plan = phases(blocks, units)
+        rows = block_table(plan, blocks, units).to_pylist()
+        assert sorted(r["mix_slot"] for r in rows) == list(range(sum(blocks.values())))
+        assert {(r["mix_source"], r["mix_block"]) for r in rows} == {(s, k) for s, n in blocks.items() for k in range(n)}
+        assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in rows)
+        order = [r["mix_source"] for r in sorted(rows, key=lambda r: r["mix_slot"])]
+        for i, p in enumerate(plan[:3]):
+            scale, end = sum(weights[s] for s in p["first"]), plan[i + 1]["slot"] if i + 1 < len(plan) else len(order)
+            placed = dict.fromkeys(p["first"], 0)
+            for t in range(p["slot"], end):
+                placed[order[t]] += 1
+                if t % 7 == 0 or t == end - 1:
+                    assert all(abs(n - (t - p["slot"] + 1) * weights[s] / scale) < 1 + 1e-6 for s, n in placed.items())
+
+
+def test_small_weights_are_not_rounded_up(spark):
+    rows = [(i, "a" if i < 4000 else "b", "") for i in range(4050)]
+    got = run(spark, rows, weights={"a": 1e6, "b": 1.0}, block_docs=1)
+    assert sum(r.source == "b" for r in got if r.mix_slot < 3900) <= 1
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+
+
 def test_round_is_full():
     slots = one_round({"a": 3, "b": 1, "c": 5})
     assert sorted(t for v in slots.values() for t in v) == list(range(9)) and len(slots["c"]) == 5
