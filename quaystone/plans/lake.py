@@ -10,6 +10,8 @@ from quaystone.plans.registry import query
 from quaystone.registry import TEU_COLUMNS
 from quaystone.sources import feeds, lake
 
+#: Features of a GeoJSON page, about.
+PAGE_ROWS = 500
 _ALERT = "alert_id:string, port_id:string, event_type:string, severity:string, effective:string"
 
 
@@ -75,6 +77,12 @@ def src_firms_csv(spark, sf_dir):
     return feeds.read_fire_csv(spark, path).select("lat", "lon", "frp", "confidence", F.col("acquired_at").cast("timestamp_ntz").alias("acquired_at"))
 
 
+def _pages(rows, feature):
+    """rows as GeoJSON texts of about PAGE_ROWS features each, however many rows there are."""
+    page = F.pmod(F.xxhash64(F.struct(*rows.columns)), F.lit(max(1, -(-rows.count() // PAGE_ROWS))))
+    return rows.select(page.alias("page"), feature.alias("f")).groupBy("page").agg(F.collect_list("f").alias("features")).select(F.to_json(F.struct("features")).alias("value"))
+
+
 @query("src_nws_geojson", sql("SELECT alert_id, event_type, severity, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'Take care' END AS headline, length(repeat('very long text ', (event_id % 90)::INTEGER)[:1000])::INTEGER AS description_chars, date_trunc('second', effective) AS effective FROM a_nws WHERE severity <> 'Unknown'", "a_nws"))
 def src_nws_geojson(spark, sf_dir):
     n = a.a_nws(spark, sf_dir)
@@ -82,8 +90,7 @@ def src_nws_geojson(spark, sf_dir):
     early = F.col("event_id") % 2 == 0
     props = F.struct(F.col("event_type").alias("event"), "severity", F.when(F.col("event_id") % 3 == 0, "").otherwise("Take care").alias("headline"), F.expr("repeat('very long text ', int(event_id % 90))").alias("description"), F.when(early, at).alias("effective"), at.alias("onset"))
     feature = F.struct(F.concat(F.lit("https://feed.example/alerts/"), "alert_id").alias("id"), props.alias("properties"))
-    packed = n.select((F.col("event_id") % 40).alias("page"), feature.alias("f")).groupBy("page").agg(F.collect_list("f").alias("features")).select(F.to_json(F.struct("features")).alias("value"))
-    found = feeds.parse_alerts(packed)
+    found = feeds.parse_alerts(_pages(n, feature))
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("effective").cast("timestamp_ntz"))
     return found.select("alert_id", "event_type", "severity", "headline", F.char_length("description").alias("description_chars"), utc.alias("effective"))
 
@@ -95,9 +102,8 @@ def src_usgs_geojson(spark, sf_dir):
     whole = F.col("event_id") % 6 != 0
     props = F.struct(F.when(whole, F.col("magnitude")).alias("mag"), ms.alias("time"), F.col("tsunami_flag").cast("int").alias("tsunami"))
     feature = F.struct(F.col("usgs_id").alias("id"), props.alias("properties"), F.struct(F.array("lon", "lat", "depth_km").alias("coordinates")).alias("geometry"))
-    packed = q.select((F.col("event_id") % 40).alias("page"), feature.alias("f")).groupBy("page").agg(F.collect_list("f").alias("features")).select(F.to_json(F.struct("features")).alias("value"))
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("occurred_at").cast("timestamp_ntz"))
-    return feeds.parse_quakes(packed).select("usgs_id", "magnitude", "mag_type", "depth_km", "lat", "lon", utc.alias("occurred_at"), "tsunami_flag")
+    return feeds.parse_quakes(_pages(q, feature)).select("usgs_id", "magnitude", "mag_type", "depth_km", "lat", "lon", utc.alias("occurred_at"), "tsunami_flag")
 
 
 _WIDE = [*TEU_COLUMNS, "long_beach_ca"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone import adapters as a
@@ -176,8 +176,6 @@ def sc_risk_card(spark, sf_dir):
 
 @query("sc_rank_ports", card_sql("SELECT row_number() OVER (ORDER BY risk_score DESC, ord)::INTEGER AS place, port_id, risk_score, n_signals FROM cards"))
 def sc_rank_ports(spark, sf_dir):
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy(F.desc("risk_score"), "ord"))  # ten ports
     return card_frame(spark, sf_dir).select(place.alias("place"), "port_id", "risk_score", "n_signals").orderBy("place")
 
@@ -212,16 +210,29 @@ def sc_simulate(spark, sf_dir):
     return c.simulate(scenarios, i, baseline).select("scenario_id", "port_id", "risk_score", "risk_tier", "baseline_score", "delta_score", F.size("recommended_actions").alias("n_actions"))
 
 
+#: Signals of an evidence pack, about; a port with more gets several packs.
+PACK_SIGNALS = 500
+
+
 def evidence_packs(cards: DataFrame, found: DataFrame) -> DataFrame:
-    """One compact JSON pack a port: its card, and its signals, severest first; with the highest score of all packs."""
-    # A port's pack is one value by nature; its news are capped and the rest is a week of alerts.
+    """Compact JSON packs of each port: its card, and its signals, severest first. Ports with more than PACK_SIGNALS signals get
+    numbered parts, the severest in the first; n_signals counts all signals of the port."""
+    counts = found.groupBy("port_id", "severity_order").agg(F.count("*").alias("n"))
+    port = Window.partitionBy("port_id")
+    chunks = F.ceil(F.col("n") / PACK_SIGNALS)
+    # One row for each port and severity: how many parts it takes, and how many come before.
+    sizes = counts.select("port_id", "severity_order", F.sum("n").over(port).alias("n_signals"), chunks.alias("chunks"), F.sum(chunks).over(port).alias("all"), F.sum(chunks).over(port.orderBy(F.desc("severity_order"))).alias("upto"))
+    one = F.col("n_signals") <= PACK_SIGNALS
+    sizes = sizes.select("port_id", "severity_order", "n_signals", F.when(one, 1).otherwise(F.col("all")).alias("parts"), F.when(one, 1).otherwise(F.col("chunks")).alias("chunks"), F.when(one, 0).otherwise(F.col("upto") - F.col("chunks")).alias("before"))
     order = F.struct((-F.col("severity_order")).alias("o"), F.col("signal_id").alias("signal_id"), F.col("source"), F.col("severity"), F.col("description"), F.col("observed_at"))
-    listed = found.groupBy("port_id").agg(F.sort_array(F.collect_list(order)).alias("active_signals"))
-    packed = cards.join(listed, "port_id", "left").withColumn("active_signals", F.coalesce("active_signals", F.array()))
+    part = (F.col("before") + F.pmod(F.xxhash64(order), F.col("chunks")) + 1).cast("int")
+    placed = found.join(F.broadcast(sizes), ["port_id", "severity_order"]).withColumn("part", part)
+    listed = placed.groupBy("port_id", "part").agg(F.sort_array(F.collect_list(order)).alias("active_signals"), F.max("n_signals").cast("int").alias("n_signals"), F.max("parts").cast("int").alias("parts"))
+    packed = cards.drop("n_signals").join(listed, "port_id", "left").withColumns({"active_signals": F.coalesce("active_signals", F.array()), "n_signals": F.coalesce("n_signals", F.lit(0)), "part": F.coalesce("part", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
     card = F.struct("port_id", "risk_score", "risk_tier", "confidence_score", "confidence_flags", "recommended_actions")
-    port = F.struct("port_id", "name", "region")
-    pack = F.to_json(F.struct(card.alias("risk_card"), F.col("active_signals"), port.alias("port")))
-    return packed.select("port_id", F.size("active_signals").alias("n_signals"), "risk_score", pack.alias("pack"))
+    place = F.struct("port_id", "name", "region")
+    pack = F.to_json(F.struct(card.alias("risk_card"), F.col("active_signals"), place.alias("port")))
+    return packed.select("port_id", "n_signals", "risk_score", pack.alias("pack"), "part", "parts")
 
 
 @query("sc_evidence_pack")

@@ -34,6 +34,22 @@ def test_month_forms(spark):
     assert [str(r[0]) for r in df.select(feeds.month_date(F.col("m"))).collect()] == ["2022-09-01"] * 3 + ["None"]
 
 
+def test_pages_hold_a_number_of_rows(spark, monkeypatch):
+    from quaystone.plans import lake as plans_lake
+
+    pages = []
+    rows = spark.range(30_000).selectExpr("id AS event_id", "cast(id AS string) AS alert_id", "cast(id AS string) AS usgs_id", "'Fog' AS event_type", "'Minor' AS severity", "timestamp_ntz'2024-01-01 00:00:00' AS effective", "timestamp_ntz'2024-01-01 00:00:00' AS occurred_at", "1.0D AS magnitude", "1.0D AS depth_km", "1.0D AS lat", "1.0D AS lon", "true AS tsunami_flag")
+    alerts, quakes = feeds.parse_alerts, feeds.parse_quakes
+    monkeypatch.setattr(plans_lake.a, "a_nws", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(plans_lake.a, "a_usgs_raw", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(feeds, "parse_alerts", lambda raw: pages.append(raw) or alerts(raw))
+    monkeypatch.setattr(feeds, "parse_quakes", lambda raw: pages.append(raw) or quakes(raw))
+    assert plans_lake.src_nws_geojson(spark, "").count() == 30_000 and plans_lake.src_usgs_geojson(spark, "").count() == 25_000
+    for raw in pages:
+        sizes = [r[0] for r in raw.select(F.expr("json_array_length(get_json_object(value, '$.features'))")).collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 700
+
+
 SLOW = {"ml_gbt_predict", "ml_backtest", "ml_cv_score", "ml_param_search", "ml_calibrate", "ml_drivers", "sc_risk_card_model", "ml_iforest"}
 
 

@@ -75,3 +75,22 @@ def test_what_if(spark):
     sc = spark.createDataFrame([(1, "la_lb", 0.9, None), (2, "la_lb", 0.1, 0.1), (3, "nowhere", 0.5, 0.5)], "scenario_id long, port_id string, p_disruption double, anomaly_score double")
     got = {r.scenario_id: r for r in c.simulate(sc, i, base).collect()}
     assert set(got) == {1, 2} and got[1].risk_score > 50 > got[2].risk_score and got[1].delta_score > 0 > got[2].delta_score
+
+
+def test_evidence_packs_come_in_parts(spark):
+    import json
+
+    from quaystone.plans.scoring import evidence_packs
+
+    few = found(spark)
+    many = spark.range(3000).selectExpr("concat('x', id) AS signal_id", "'nws' AS source", "'weather_alert' AS signal_type", "'d' AS description", "'low' AS severity", "'miami' AS port_id", "timestamp_ntz'2024-05-09 00:00:00' AS observed_at", "cast(id % 3 AS int) AS severity_order")
+    signals = few.unionByName(many.select(*[F.col(c).cast(t) for c, t in few.dtypes]))
+    gold = spark.createDataFrame([], "port_id string, week_ending date, data_completeness_score double")
+    rows = evidence_packs(c.cards(impact_table(spark), gold, signals), signals).collect()
+    packs = {(r.port_id, r.part): json.loads(r.pack)["active_signals"] for r in rows}
+    miami = [packs[("miami", i)] for i in range(1, 7)]
+    assert len(rows) == len(packs) == 15 and {(r.n_signals, r.parts) for r in rows if r.port_id == "miami"} == {(3000, 6)}
+    assert sorted(x["signal_id"] for p in miami for x in p) == sorted(f"x{i}" for i in range(3000)) and max(map(len, miami)) < 700
+    severity = [x["o"] for p in miami for x in p]
+    assert severity == sorted(severity)
+    assert [len(packs[(p, 1)]) for p in ("la_lb", "ny_nj", "seattle")] == [24, 1, 0]
