@@ -174,11 +174,11 @@ def fit_space(tokenized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return idf, (idf[:, None] * (q @ w / sigma)).astype(np.float32)
 
 
-def _latent(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray, known: np.ndarray | None = None):
+def _latent(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray, lightest: np.ndarray | None = None):
     """Unit vectors of overlapping passages (two runs of STEP words), the first word of each, and its text.
 
-    known: words of the other side. A passage whose known words carry too small a part of its TF-IDF length to reach COSINE
-    with any passage made of them (by the Cauchy-Schwarz inequality) is left out.
+    lightest: weight of the lightest item with each word, infinite for words of no item. A passage whose words of items weigh too
+    little to reach SHARED with any item that has one of them is left out; the search would drop it after the cosine.
     """
     starts, text = _runs(bounds, STEP)
     follows = np.append(text[1:] == text[:-1], False)
@@ -187,10 +187,10 @@ def _latent(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndar
     starts, text = starts[keep], text[keep]
     places = _places(starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), 2 * STEP, len(ids))
     b = np.append((ids & (WORDS - 1)).astype(np.int64), WORDS)
-    if known is not None:
-        weight = np.append(idf[b[:-1]] ** 2, 0)
-        part = np.append(weight[:-1] * known[ids], 0)
-        able = np.flatnonzero(part[places].sum(axis=0) >= COSINE**2 * weight[places].sum(axis=0))
+    if lightest is not None:
+        weight, mass = np.append(idf[b[:-1]] ** 2, 0), np.append(lightest[ids], np.inf)
+        part, least = np.where(np.isfinite(mass), weight, 0), mass[places].min(axis=0)
+        able = np.flatnonzero(np.isfinite(least) & (part[places].sum(axis=0) >= (1 - 1e-9) * SHARED * np.minimum(weight[places].sum(axis=0), least)))
         starts, text, places = starts[able], text[able], places[:, able]
     x = _sums(table, b[places])
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), starts, text
@@ -229,13 +229,14 @@ def _search(model):
         local[known] = np.arange(1, int(known.sum()) + 1)
         has = np.zeros((len(items), int(known.sum()) + 1), bool)
         square = m["idf"] ** 2
-        mass = np.zeros(len(items))
+        mass, lightest = np.zeros(len(items)), np.full(1 << 16, np.inf)
         for i, item in enumerate(items):
             has[i, local[item]] = True
             mass[i] = square[item & (WORDS - 1)].sum()
+            lightest[item] = np.minimum(lightest[item], mass[i])
         for batch, ids, bounds in _parts(batches):
             found: dict[tuple[int, int], tuple] = {}
-            x, starts, text = _latent(ids, bounds, table, m["idf"], known)
+            x, starts, text = _latent(ids, bounds, table, m["idf"], lightest)
             for lo in range(0, len(x), 1024):
                 row, v = np.nonzero(x[lo : lo + 1024] @ vectors.T >= COSINE)
                 row, item = row + lo, owner[v]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from quaystone.llm import decontaminate as d
 from quaystone.llm.decontaminate import common_subsequence, contaminated
 
 
@@ -52,6 +53,25 @@ def test_verbatim_paraphrase_and_clean(spark):
     assert all(r.lcs_words >= 0.5 * r.item_words for r in got)
 
 
+def test_passages_left_out_could_not_share_enough():
+    """Against the unskipped search: a short item of common words among rare ones stays a candidate, whatever the other items."""
+    rng = np.random.default_rng(2)
+    idf = np.where(np.arange(d.WORDS) < 40, 0.3, 8.0)
+    table = np.concatenate([rng.normal(size=(d.WORDS, 4)), np.zeros((1, 4))]).astype(np.float32)
+    items = [np.array([1, 2, 3, 4], np.uint16), rng.integers(0, d.WORDS, 40).astype(np.uint16)]
+    mass, lightest = [(idf[i] ** 2).sum() for i in items], np.full(1 << 16, np.inf)
+    for i, item in enumerate(items):
+        lightest[item] = np.minimum(lightest[item], mass[i])
+    ids = rng.integers(40, d.WORDS, 4800).astype(np.uint16)
+    ids[100:104], ids[2000:2040], ids[3000] = items[0], items[1], 1
+    bounds = np.array([0, 1500, 1510, 4800])
+    _, every, _ = d._latent(ids, bounds, table, idf)
+    _, kept, _ = d._latent(ids, bounds, table, idf, lightest)
+    ends = {s: min(s + 2 * d.STEP, bounds[np.searchsorted(bounds, s, side="right")]) for s in every.tolist()}
+    able = {s for s, e in ends.items() for i, m in zip(items, mass, strict=True) if (w := idf[ids[s:e]] ** 2)[np.isin(ids[s:e], i)].sum() >= d.SHARED * min(w.sum(), m)}
+    assert {96, 84} & able and able <= set(kept.tolist()) and len(kept) < len(every)
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert contaminated(docs, bench).count() == 0
