@@ -6,7 +6,7 @@ task sends the product of its passages with a fixed random matrix, folded back o
 In the space scaled by those, overlapping passages of documents that have a high cosine with a passage of an item are
 candidates. A candidate that shares enough of the TF-IDF weight is checked on all words of the item and the text around it: it is
 contaminated if their longest common subsequence covers `VERBATIM` of the item, or `PARAPHRASE` of it and the item's answer is
-found there too.
+found there too, or `DENSE` of it within `SPAN` times the item's words of text, or if `RUN` words of the item stand there in a row.
 
 The model has WORDS x RANK numbers, whatever the input; items are worked through in blocks of `ITEMS_AT_ONCE`.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import BREAKS, blobs, pieces, shared_dir, stored, string_buffer, text_of, words
 
 WORDS, RANK, STEP = 4096, 128, 12
-COSINE, SHARED, VERBATIM, PARAPHRASE, ANSWER_WORDS = 0.35, 0.4, 0.7, 0.5, 5
+COSINE, SHARED, VERBATIM, PARAPHRASE, ANSWER_WORDS = 0.25, 0.3, 0.7, 0.5, 5
+DENSE, SPAN, RUN = 0.45, 1.5, 13
 ITEMS_AT_ONCE = 500
 #: Buckets in a row of the partial sums that tasks send, and words that are worked on at a time.
 SLICE, AT_ONCE = 256, 1 << 16
@@ -210,6 +211,22 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def densest(item: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence with any stretch of text of SPAN times the item's words (or an eighth more)."""
+    step = max(1, len(item) // 8)
+    width = int(np.ceil(SPAN * len(item))) + step
+    return max(common_subsequence(item, text[at : at + width]) for at in range(0, max(1, len(text) - width + step), step))
+
+
+def longest_run(item: np.ndarray, text: np.ndarray) -> int:
+    """Words of the item that stand in a row in text, at most."""
+    best, runs = 0, np.zeros(len(text) + 1, np.int32)
+    for row in item[:, None] == text:
+        runs[1:] = (runs[:-1] + 1) * row
+        best = max(best, int(runs.max()))
+    return best
+
+
 def _has_answer(answer: np.ndarray, text: np.ndarray) -> bool:
     """Whether text holds the answer's words in a row."""
     if not len(answer) or len(text) < len(answer):
@@ -253,10 +270,11 @@ def _search(model):
                     slack = len(own) + STEP
                     around = ids[max(bounds[t], at - slack) : min(bounds[t + 1], at + 2 * STEP + slack)]
                     lcs = common_subsequence(own, around)
-                    if lcs < PARAPHRASE * len(own):
+                    if lcs < min(RUN, DENSE * len(own)):
                         continue
                     answer = _has_answer(answers[item[c]], around)
-                    if lcs >= VERBATIM * len(own) or answer:
+                    alike = lcs >= VERBATIM * len(own) or (answer and lcs >= PARAPHRASE * len(own))
+                    if alike or (lcs >= DENSE * len(own) and densest(own, around) >= DENSE * len(own)) or (lcs >= RUN and longest_run(own, around) >= RUN):
                         key, best = (t, int(item[c])), (lcs, float(cosine[c]), answer)
                         found[key] = max(found.get(key, best), best)
             if found:

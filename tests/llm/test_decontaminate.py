@@ -72,6 +72,38 @@ def test_passages_left_out_could_not_share_enough():
     assert {96, 84} & able and able <= set(kept.tolist()) and len(kept) < len(every)
 
 
+def test_heavy_paraphrases_and_parts(spark):
+    """30 to 50 % of the words changed anywhere, and a third to two thirds of an item in a row (13 words at least)."""
+    rng = random.Random(11)
+    clean = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 300 and 3000").orderBy("doc_id").limit(400).collect()]
+    items = [r for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 14]
+    found = {r.doc_id for r in contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(clean)], "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    vocab = [w for words in clean for w in words]
+    rows, want = [], {"paraphrase": set(), "part": set()}
+    for i, words in enumerate(clean):
+        item = items[i % len(items)]
+        own = item.text.split()
+        if i in found or i % 3 == 0:
+            rows.append((i, " ".join(words)))
+            continue
+        if i % 3 == 1:
+            for j in rng.sample(range(len(own)), int(len(own) * rng.uniform(0.3, 0.5))):
+                own[j] = rng.choice(vocab)
+        else:
+            n = max(13, int(len(own) * rng.uniform(1 / 3, 2 / 3)))
+            at = rng.randint(0, len(own) - n)
+            own = own[at : at + n]
+        want["paraphrase" if i % 3 == 1 else "part"].add((i, item.item_id))
+        at = rng.randint(0, len(words))
+        rows.append((i, " ".join([*words[:at], *own, *words[at:]])))
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items)).collect()}
+    recall = {k: len(v & got) / len(v) for k, v in want.items()}
+    planted = set().union(*want.values())
+    false = {doc for doc, _ in got - planted} - found - {doc for doc, _ in planted}
+    print(recall, {k: len(v) for k, v in want.items()}, "false", len(false))
+    assert recall["paraphrase"] > 0.9 and recall["part"] > 0.95 and not false
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert contaminated(docs, bench).count() == 0
