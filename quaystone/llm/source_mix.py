@@ -15,8 +15,9 @@ stay, but for those whose names begin with mix_, which are replaced.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
+from itertools import chain, pairwise
 from math import lcm
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_DOCS, MAX_SOURCES, SEED = 16, 500, 17
+BLOCK_DOCS, SEED = 16, 17
 #: Rows that one sorting task of the ranking should get.
 RANK_ROWS = 20_000
 #: Releases and deadlines of sources with next to no weight end here.
@@ -77,7 +78,12 @@ def one_round(units: Mapping, left: Mapping | None = None) -> dict:
 
 def phases(blocks: Mapping, units: Mapping) -> list[dict]:
     """Until all blocks are placed: the sources that still have some, their first block and round, and the first slot."""
-    out, used, slot = [], dict.fromkeys(blocks, 0), 0
+    return list(each_phase(blocks, units))
+
+
+def each_phase(blocks: Mapping, units: Mapping) -> Iterator[dict]:
+    """Phases one at a time, as there are as many as sources at most and each names all sources that are left."""
+    used, slot = dict.fromkeys(blocks, 0), 0
     while left := {s: u for s, u in units.items() if blocks[s] > used[s]}:
         size = sum(left.values())
         rounds = one_round(left, {s: blocks[s] - used[s] for s in left})
@@ -87,21 +93,22 @@ def phases(blocks: Mapping, units: Mapping) -> list[dict]:
             if len(rounds[s]) > last % u:
                 ends[s] = last // u * size + rounds[s][last % u]
         length = min(ends.values()) + 1
-        out.append({"slot": slot, "size": size, "first": {s: used[s] for s in left}, "rounds": rounds})
+        yield {"slot": slot, "size": size, "first": {s: used[s] for s in left}, "rounds": rounds}
         for s, u in left.items():
             used[s] += length // size * u + sum(t < length % size for t in rounds[s])
         slot += length
-    return out
 
 
-def block_table(plan: list[dict], blocks: Mapping, units: Mapping) -> pa.Table:
+def block_table(plan: Iterable[dict], blocks: Mapping, units: Mapping) -> pa.Table:
     """Each block's source, number, slot, release and deadline; the plan's slots count from 0."""
     names, columns = [], []
-    for p, following in zip(plan, [*plan[1:], None], strict=True):
+    for p, following in pairwise(chain(plan, [None])):
         live = p["first"]
         size = p["size"]
         for s, first in live.items():
             n = (following["first"].get(s, blocks[s]) if following else blocks[s]) - first
+            if not n:
+                continue
             u, own = units[s], p["rounds"][s]
             j = range(n)
             names += [s] * n
@@ -124,9 +131,7 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, b
     spark = docs.sparkSession
     kept = [c for c in docs.columns if not c.startswith("mix_")]
     named = docs.select(*kept, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("mix_source"))
-    counts = {r[0]: r[1] for r in named.groupBy("mix_source").count().limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
+    counts = {r[0]: r[1] for r in named.groupBy("mix_source").count().collect()}  # one row a source
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     if weights is None:
         first, rest = {s: n**power for s, n in counts.items()}, {}
@@ -138,7 +143,7 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, b
     for group in (first, rest):
         if group:
             own, whole = {s: blocks[s] for s in group}, whole_units(group, units) if units else exact_units(group)
-            plan = [p | {"slot": p["slot"] + start} for p in phases(own, whole)]
+            plan = (p | {"slot": p["slot"] + start} for p in each_phase(own, whole))
             tables.append(block_table(plan, own, whole))
             start += sum(own.values())
     schema = "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"

@@ -66,6 +66,13 @@ def test_small_weights_are_not_rounded_up(spark):
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
 
 
+def test_more_sources_than_a_few_hundred(spark):
+    rows = [(i, f"site{min(i % 700, i % 811)}", "") for i in range(6000)]
+    got = run(spark, rows, block_docs=2)
+    assert sorted(r.doc_id for r in got) == list(range(6000)) and len({(r.mix_slot, r.mix_place) for r in got}) == 6000
+    assert len({r.source for r in got}) > 600
+
+
 def test_round_is_full():
     slots = one_round({"a": 3, "b": 1, "c": 5})
     assert sorted(t for v in slots.values() for t in v) == list(range(9)) and len(slots["c"]) == 5
