@@ -1,8 +1,12 @@
 """Exact substring deduplication by level-wise doubling.
 
 A window of `window` words can only repeat if its half-length windows repeat. Level 1 therefore looks at windows of half the
-length (of each run of them, only at the one with the smallest hash, which equal full windows share); only documents and
-places where such a window repeats are extended to twice that length, and so on up to `window` words.
+length (of each run of them, only at the one with the smallest hash, which equal full windows share); only places where such a
+window repeats are extended to twice that length, and so on up to `window` words. Windows are equal if the 64-bit hashes of
+their words and of the half they share are.
+
+What a level finds goes back to the documents packed by group of documents, one row for each task and group, so that rows don't
+grow with documents times tasks. A group holds about `GROUP_BYTES` of text.
 
 Cases: a null text has no words; a null doc_id neither removes nor loses words; rows that share a doc_id are one document for
 "smaller doc_id", and each is judged on its own text; extra columns are not carried (join them back by doc_id).
@@ -24,8 +28,9 @@ from quaystone.llm.common import lists, mix, pieces, shingles, string_buffer, te
 WINDOW = 13
 #: Places or hashes that a task packs by document before they leave it.
 PACKED_AT_ONCE = 1 << 20
-#: Documents whose places travel together, and are in memory together.
-DOCS_PER_GROUP = 2000
+#: Text of the documents whose hashes or places travel together, and are in memory together.
+GROUP_BYTES = 8 << 20
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def levels(window: int) -> list[int]:
@@ -56,10 +61,30 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _anchors(first: int, window: int):
+def _repeats(batch: pa.RecordBatch, of: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which of the hashes `least`, in texts `of`, are among their document's keys (the lower halves of repeated hashes)."""
+    keys = batch.column(batch.schema.get_field_index("keys"))
+    tag = mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
+    owner = np.repeat(tag, keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    known = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+    return np.isin(mix((least & _LOW) ^ tag[of]), mix(known ^ owner))
+
+
+def _anchors(before: int, first: int, window: int):
+    """before: the length from which the level before extended to `first`, 0 at the first level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            _, _, of, least, _ = _windows(batch, first, window)
+            h, at, of, least, _ = _windows(batch, first, window)
+            if before and len(of):
+                # Windows of which each part of the length before repeats.
+                _, part, part_of, key, _ = _windows(batch, before, first)
+                good = np.zeros(len(h) + 1, np.int64)
+                good[part + 1] = _repeats(batch, part_of, key)
+                good = np.cumsum(good)
+                n = window - first + 1
+                alive = good[at + n] - good[at] == n
+                of, least = of[alive], least[alive]
             if not len(of):
                 continue
             new = np.ones(len(of), bool)
@@ -95,17 +120,25 @@ def _anchor_rows(route, doc, keys, bounds) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(doc), lists(keys.view(np.int64), bounds, pa.int64())], ["route", "doc_id", "keys"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash and document, in: hashes that are in two documents or more, by document, out. Holds one row between batches."""
-    held, waiting = None, []  # hash, document, whether it is out already; hashes and documents to pack
+def _repeated(groups: int):
+    """Rows sorted by hash and document, in: hashes that are in two documents or more, packed by group of documents, out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
+        for part in _repeated_hashes(batches):
+            waiting.append(part)
+            if sum(len(x[0]) for x in waiting) >= PACKED_AT_ONCE:
+                yield _packed_keys(waiting, groups)
+                waiting.clear()
+        if waiting:
+            yield _packed_keys(waiting, groups)
+
+    return run
 
-    def packed() -> pa.RecordBatch:
-        h, doc = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))[: len(doc)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[at]), lists(h, np.append(at, len(doc)), pa.int64())], ["doc_id", "keys"])
 
+def _repeated_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents and their repeated hashes. Holds one row between batches."""
+    held = None  # hash, document, whether it is out already
     for batch in batches:
         size, route = batch.column(2).value_lengths().to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
         sure = size == 1
@@ -113,8 +146,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure[sure] = batch.column(2).flatten().to_numpy(zero_copy_only=False)[first] == route[sure]
         own = (size == 0) | sure
         if not own.all():
-            settled = pa.array(~own)
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(settled), batch.column(2).filter(settled)], ["doc_id", "keys"])
+            settled = batch.filter(pa.array(~own))
+            yield np.repeat(settled.column(1).to_numpy(zero_copy_only=False), size[~own]), settled.column(2).flatten().to_numpy(zero_copy_only=False)
         h, doc, sure = route[own], batch.column(1).to_numpy(zero_copy_only=False)[own], sure[own]
         if not len(h):
             continue
@@ -128,12 +161,61 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.repeat(good, size)
         keep[:skip] = False
         held = (h[at[-1]], doc[at[-1]], bool(good[-1]))
-        waiting.append((h[keep], doc[keep]))
-        if sum(len(x) for x, _ in waiting) >= PACKED_AT_ONCE:
-            yield packed()
-            waiting.clear()
-    if waiting:
-        yield packed()
+        yield doc[keep], h[keep]
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Places where any of the columns differs from its row before."""
+    new = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, new))[: len(columns[0])]
+
+
+def _groups_of(doc: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _packed_keys(parts: list, groups: int) -> pa.RecordBatch:
+    """One row a group: its documents, the number of hashes of each, and the lower halves of those."""
+    doc, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    group = _groups_of(doc, groups)
+    order = np.lexsort((doc, group))
+    group, doc, h = group[order], doc[order], h[order]
+    each = _heads(group, doc)
+    count, at = np.diff(np.append(each, len(doc))), _heads(group)
+    bounds = np.append(np.searchsorted(each, at), len(each))
+    low = (h.view(np.uint64) & _LOW).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(group[at]), lists(doc[each], bounds, pa.int64()), lists(count, bounds, pa.int32()), lists(low, np.append(at, len(doc)), pa.int32())], ["group", "doc_id", "n", "keys"])
+
+
+def _by_group(merged):
+    """Packed rows sorted by group, in: what `merged` makes of all rows of a group, out. Holds one group of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = None, []
+        for batch in batches:
+            cut = np.append(_heads(batch.column(0).to_numpy()), batch.num_rows)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                group = batch.column(0)[a].as_py()
+                if held is not None and group != held:
+                    yield merged([np.concatenate(x) for x in zip(*waiting, strict=True)])
+                    waiting.clear()
+                held = group
+                waiting.append([batch.column(i)[a:b].flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3)])
+        if waiting:
+            yield merged([np.concatenate(x) for x in zip(*waiting, strict=True)])
+
+    return run
+
+
+def _keys_by_doc(columns: list[np.ndarray]) -> pa.RecordBatch:
+    doc, n, keys = columns
+    doc = np.repeat(doc, n)
+    order = np.argsort(doc, kind="stable")
+    doc, keys = doc[order], keys[order]
+    at = _heads(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), lists(keys, np.append(at, len(doc)), pa.int32())], ["doc_id", "keys"])
 
 
 def _text_hashes(batch: pa.RecordBatch) -> np.ndarray:
@@ -155,10 +237,7 @@ def _candidates(first: int, window: int):
             h, at, of, least, bounds = _windows(batch, first, window)
             if not len(at):
                 continue
-            keys = batch.column(batch.schema.get_field_index("keys"))
-            tag = mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-            owner = np.repeat(tag, keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            seen = np.isin(mix(least ^ tag[of]), mix(keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ owner))
+            seen = _repeats(batch, of, least)
             at, of, least = at[seen], of[seen], least[seen]
             if not len(at):
                 continue
@@ -186,90 +265,74 @@ def _candidates(first: int, window: int):
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of runs to one row a window; rows of settled places as they are."""
-    names = ["doc_id", "th", "pos", "late", "h"]
+    names = ["route", "doc_id", "th", "pos", "late", "h"]
     for batch in batches:
-        batch = batch.select(["doc_id", "th", "pos", "hs", "late"])
-        sealed = pc.equal(batch.column(3).value_lengths(), 0)
+        batch = batch.select(["route", "doc_id", "th", "pos", "hs", "late"])
+        sealed = pc.equal(batch.column(4).value_lengths(), 0)
         if sealed.true_count:
             part = batch.filter(sealed)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), pa.nulls(part.num_rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], part.column(5), pa.nulls(part.num_rows, pa.int64())], names)
         part = batch.filter(pc.invert(sealed))
         if part.num_rows:
-            size = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            size = part.column(4).value_lengths().to_numpy(zero_copy_only=False)
             total = int(size.sum())
             step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-            doc, th, pos = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), size) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array((pos + step).astype(np.int32)), lists(doc[:0], np.zeros(total + 1, np.int32), pa.int32()), part.column(3).flatten()], names)
+            route, doc, th, pos = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), size) for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc), pa.array(th), pa.array((pos + step).astype(np.int32)), lists(doc[:0], np.zeros(total + 1, np.int32), pa.int32()), part.column(4).flatten()], names)
 
 
 def _later(groups: int):
+    """Rows (route, doc_id, th, pos, late, h) sorted by route, hash and document, in: places of windows that a smaller document
+    has too, out, packed by group of documents. Holds one hash and its first document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, th, pos, late, h) sorted by hash and document, in: places of windows that a smaller document has too,
-        out, packed by group of documents. Holds one hash and its first document."""
         waiting: list = []
         for part in _late_places(batches):
             waiting.append(part)
             if sum(len(x[0]) for x in waiting) >= PACKED_AT_ONCE:
-                yield _grouped(waiting, groups)
+                yield _packed_places(waiting, groups)
                 waiting.clear()
         if waiting:
-            yield _grouped(waiting, groups)
+            yield _packed_places(waiting, groups)
 
     return run
 
 
-def _grouped(parts: list, groups: int) -> pa.RecordBatch:
+def _packed_places(parts: list, groups: int) -> pa.RecordBatch:
     doc, th, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    group = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    group = _groups_of(doc, groups)
     order = np.argsort(group, kind="stable")
-    group = group[order]
-    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: len(group)]
+    at = _heads(group[order])
     bounds = np.append(at, len(group))
-    return pa.RecordBatch.from_arrays([pa.array(group[at]), lists(doc[order], bounds, pa.int64()), lists(th[order], bounds, pa.int64()), lists(pos[order], bounds, pa.int32())], ["group", "doc_id", "th", "pos"])
+    return pa.RecordBatch.from_arrays([pa.array(group[order][at]), lists(doc[order], bounds, pa.int64()), lists(th[order], bounds, pa.int64()), lists(pos[order], bounds, pa.int32())], ["group", "doc_id", "th", "pos"])
 
 
-def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by group, in: one row a text with its places, out. Holds the places of one group of documents."""
-    held, waiting = None, []
-
-    def merged() -> pa.RecordBatch:
-        doc, th, pos = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        order = np.lexsort((th, doc))
-        doc, th, pos = doc[order], th[order], pos[order]
-        at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))[: len(doc)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists(pos, np.append(at, len(doc)), pa.int32())], ["doc_id", "th", "pos"])
-
-    for batch in batches:
-        group = batch.column(0).to_numpy()
-        cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(group) else np.zeros(0, np.int64)
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if held is not None and group[a] != held:
-                yield merged()
-                waiting.clear()
-            held = group[a]
-            waiting.append(tuple(batch.column(i)[a:b].flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3)))
-    if waiting:
-        yield merged()
+def _places_by_text(columns: list[np.ndarray]) -> pa.RecordBatch:
+    doc, th, pos = columns
+    order = np.lexsort((th, doc))
+    doc, th, pos = doc[order], th[order], pos[order]
+    at = _heads(doc, th)
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(th[at]), lists(pos, np.append(at, len(doc)), pa.int32())], ["doc_id", "th", "pos"])
 
 
 def _late_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     held = None
     for batch in batches:
-        sealed = batch.column(4).is_null()
+        sealed = batch.column(5).is_null()
         if sealed.true_count:
-            size = batch.column(3).filter(sealed).value_lengths().to_numpy(zero_copy_only=False)
-            doc, th = (np.repeat(batch.column(i).filter(sealed).to_numpy(zero_copy_only=False), size) for i in (0, 1))
-            yield doc, th, batch.column(3).filter(sealed).flatten().to_numpy(zero_copy_only=False)
+            size = batch.column(4).filter(sealed).value_lengths().to_numpy(zero_copy_only=False)
+            doc, th = (np.repeat(batch.column(i).filter(sealed).to_numpy(zero_copy_only=False), size) for i in (1, 2))
+            yield doc, th, batch.column(4).filter(sealed).flatten().to_numpy(zero_copy_only=False)
         batch = batch.filter(pc.invert(sealed))
         if not batch.num_rows:
             continue
-        doc, th, pos, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-        head = np.append(True, h[1:] != h[:-1])
+        route, doc, th, pos, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5))
+        head = _heads(route, h)
         first = doc[head]
-        if held is not None and held[0] == h[0]:
-            first[0] = held[1]
-        held = (h[-1], first[-1])
-        late = doc > np.repeat(first, np.diff(np.append(np.flatnonzero(head), len(h))))
+        if held is not None and held[:2] == (route[0], h[0]):
+            first[0] = held[2]
+        held = (route[-1], h[-1], first[-1])
+        late = doc > np.repeat(first, np.diff(np.append(head, len(h))))
         yield doc[late], th[late], pos[late]
 
 
@@ -306,28 +369,32 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, text (kept words joined by one space), n_words and n_removed for each row of docs.
     """
-    steps, groups = levels(window), max(1, docs.count() // DOCS_PER_GROUP)
+    if window < 2:
+        raise ValueError("a window has two words at least")
+    total = docs.select(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0
+    steps, groups = levels(window), 1 + total // GROUP_BYTES
     # A doc_id that is a long stays as it is, so that both joins below read the same shuffled texts.
     key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     docs = docs.select(key, text_of(docs).alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
-    length = steps[0]
+    before, length = 0, steps[0]
     places = known
     for longer in steps[1:]:
         anchors = (
-            places.select("doc_id", "text").mapInArrow(_anchors(length, longer), "route long, doc_id long, keys array<long>")
+            places.mapInArrow(_anchors(before, length, longer), "route long, doc_id long, keys array<long>")
             .repartition("route").sortWithinPartitions("route", "doc_id")
-            .mapInArrow(_repeated, "doc_id long, keys array<long>")
-            .groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+            .mapInArrow(_repeated(groups), "group long, doc_id array<long>, n array<int>, keys array<int>")
+            .repartition("group").sortWithinPartitions("group")
+            .mapInArrow(_by_group(_keys_by_doc), "doc_id long, keys array<int>")
         )
         places = known.join(anchors, "doc_id")
         before, length = length, longer
     removed = (
-        places.select("doc_id", "text", "keys").mapInArrow(_candidates(before, window), "route long, doc_id long, th long, pos int, hs array<long>, late array<int>")
-        .repartition("route").mapInArrow(_unpacked, "doc_id long, th long, pos int, late array<int>, h long").sortWithinPartitions("h", "doc_id")
+        places.mapInArrow(_candidates(before, window), "route long, doc_id long, th long, pos int, hs array<long>, late array<int>")
+        .repartition("route").mapInArrow(_unpacked, "route long, doc_id long, th long, pos int, late array<int>, h long").sortWithinPartitions("route", "h", "doc_id")
         .mapInArrow(_later(groups), "group long, doc_id array<long>, th array<long>, pos array<int>")
         .repartition("group").sortWithinPartitions("group")
-        .mapInArrow(_by_text, "doc_id long, th long, pos array<int>")
+        .mapInArrow(_by_group(_places_by_text), "doc_id long, th long, pos array<int>")
         .groupBy("doc_id").agg(F.collect_list(F.struct("th", "pos")).alias("removed"))
     )
     out = "doc_id long, text string, n_words long, n_removed long"

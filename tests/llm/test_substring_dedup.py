@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
-from quaystone.llm.substring_dedup import levels, substring_dedup
+import numpy as np
+import pytest
+
+from quaystone.llm.substring_dedup import _packed_keys, levels, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -27,9 +30,9 @@ def brute(rows, n=13):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, n=13):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_words string")
-    got = substring_dedup(df).collect()
+    got = substring_dedup(df, n).collect()
     return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got), key=str)
 
 
@@ -45,6 +48,23 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("n", [2, 30])
+def test_other_windows(spark, n):
+    rng = random.Random(n)
+    base = [" ".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(4)]
+    rows = [(i, rng.choice(base)[: rng.randint(0, 240)] + " " + rng.choice(base)[2 * rng.randint(0, 100) :]) for i in range(40)]
+    assert run(spark, rows, n) == brute(rows, n)
+
+
+def test_packed_rows_do_not_grow_with_documents():
+    rng = np.random.default_rng(1)
+    for n in (1000, 50_000):
+        doc, h = rng.integers(0, n, 4 * n), rng.integers(-(2**62), 2**62, 4 * n)
+        packed = _packed_keys([(doc[:n], h[:n]), (doc[n:], h[n:])], 8)
+        assert packed.num_rows == 8 and sum(map(len, packed.column(3).to_pylist())) == 4 * n
+        assert all(sum(a) == len(b) for a, b in zip(packed.column(2).to_pylist(), packed.column(3).to_pylist(), strict=True))
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
