@@ -4,11 +4,13 @@ Documents and benchmark items become passages of `2 * STEP` words with TF-IDF we
 randomised SVD of all passages gives a latent space: one pass for document frequencies, one for the range of the matrix (each
 task sends the product of its passages with a fixed random matrix, folded back onto the words), one for the singular values.
 In the space scaled by those, overlapping passages of documents that have a high cosine with a passage of an item are
-candidates. A candidate that shares enough of the TF-IDF weight is checked on all words of the item and the text around it: it is
+candidates, whatever words they share. A candidate is checked on all words of the item and the text around it: it is
 contaminated if their longest common subsequence covers `VERBATIM` of the item, or `PARAPHRASE` of it and the item's answer is
 found there too, or `DENSE` of it within `SPAN` times the item's words of text, or if `RUN` words of the item stand there in a row.
+Words are compared by 32 bits of their hashes.
 
-The model has WORDS x RANK numbers, whatever the input; items are worked through in blocks of `ITEMS_AT_ONCE`.
+The model has WORDS x RANK numbers, whatever the input; items are worked through in blocks of a bounded size, one pass over the
+tokenized documents for each.
 
 Cases: null or empty texts hold no passage; items without words match nothing; a null doc_id is reported as null; rows that
 repeat a doc_id are reported once for each item, with the best of them; empty tables give an empty table; extra columns are
@@ -21,29 +23,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import BREAKS, blobs, pieces, shared_dir, stored, string_buffer, text_of, words
+from quaystone.llm.common import BREAKS, blobs, pieces, shared_dir, shingles, stored, string_buffer, text_of, words
 
 WORDS, RANK, STEP = 4096, 128, 12
-COSINE, SHARED, VERBATIM, PARAPHRASE, ANSWER_WORDS = 0.25, 0.3, 0.7, 0.5, 5
+COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS = 0.25, 0.7, 0.5, 5
 DENSE, SPAN, RUN = 0.45, 1.5, 13
-ITEMS_AT_ONCE = 500
-#: Buckets in a row of the partial sums that tasks send, and words that are worked on at a time.
-SLICE, AT_ONCE = 256, 1 << 16
+#: Items of a block at most, and bytes of its table of words by item.
+ITEMS_AT_ONCE, MASK_BYTES = 2000, 64 << 20
+#: Buckets in a row of the partial sums that tasks send, lanes that those are summed in first; words, passages and rows of a sum
+#: that are worked on at a time.
+SLICE, LANES, AT_ONCE, PASSAGES, AT_A_TIME = 256, 64, 1 << 16, 1024, 16
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case words without ASCII punctuation, as 16 bits of their hash, and their bounds by text."""
+    """Lower-case words without ASCII punctuation, as 32 bits of their hash, and their bounds by text."""
     h, _, _, bounds = words(*string_buffer(texts), lower=True, space=BREAKS)
-    return (h >> np.uint64(48)).astype(np.uint16), bounds
+    return (h >> np.uint64(32)).astype(np.uint32), bounds
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         ids, bounds = tokens(batch.column(batch.schema.get_field_index("text")))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), blobs(ids.tobytes(), 2 * bounds)], ["doc_id", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), blobs(ids.tobytes(), 4 * bounds)], ["doc_id", "words"])
 
 
 def _runs(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +61,11 @@ def _runs(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches with the words of some texts, and their bounds."""
-    for batch in pieces(batches, text="words", limit=2 * AT_ONCE):
+    for batch in pieces(batches, text="words", limit=4 * AT_ONCE):
         raw, offsets = string_buffer(batch.column(batch.schema.get_field_index("words")))
-        ids = raw.view(np.uint16) if raw.ctypes.data % 2 == 0 else raw.copy().view(np.uint16)
+        ids = raw.view(np.uint32) if raw.ctypes.data % 4 == 0 else raw.copy().view(np.uint32)
         if len(ids):
-            yield batch, ids, offsets // 2
+            yield batch, ids, offsets // 4
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +111,24 @@ def _passages(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.nd
     return _sums(table, words_of), scale.astype(np.float32), words_of
 
 
-def _sliced(total: np.ndarray) -> pa.RecordBatch:
+def _sliced(total: np.ndarray, kind: str) -> pa.RecordBatch:
     n = len(total) // SLICE or 1
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([x.astype("<f8").tobytes() for x in np.array_split(total, n)], pa.binary())], ["part", "data"])
+    lane = pa.array([TaskContext.get().partitionId() % LANES] * n, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), lane, pa.array([x.astype(kind).tobytes() for x in np.array_split(total, n)], pa.binary())], ["part", "lane", "data"])
+
+
+def _by_word(y: np.ndarray, words_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the passages' rows of y that hold a word, at most AT_A_TIME of them in one: ascending words, and their sums."""
+    flat = words_of.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    word = flat[order]
+    head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    size = np.diff(np.append(head, len(word)))
+    pieces_of = -(-size // AT_A_TIME)
+    step = np.arange(int(pieces_of.sum())) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+    start, end = np.repeat(head, pieces_of) + AT_A_TIME * step, np.repeat(head + size, pieces_of)
+    passage = np.append(order % len(y), len(y))
+    return word[start], _sums(_with_zero(y), passage[_places(start, np.minimum(start + AT_A_TIME, end), AT_A_TIME, len(order))])
 
 
 def _range(model):
@@ -116,14 +136,14 @@ def _range(model):
         """The product of the transposed passage matrix with (passage matrix x random matrix), over this task's passages."""
         idf = model.value["idf"]
         table = _with_zero((idf[:, None] * np.random.default_rng(11).standard_normal((WORDS, RANK))).astype(np.float32))
-        total = np.zeros((RANK, WORDS))
+        total = np.zeros((WORDS + 1, RANK))
         for _, ids, bounds in _parts(batches):
             y, scale, words_of = _passages(ids, bounds, table, idf)
             y *= (scale**2)[:, None]
-            flat = words_of.ravel()
-            for k in range(RANK):
-                total[k] += np.bincount(flat, weights=np.tile(y[:, k], 2 * STEP), minlength=WORDS + 1)[:WORDS]
-        yield _sliced(total.T * idf[:, None])
+            word, part = _by_word(y, words_of)
+            head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            total[word[head]] += np.add.reduceat(part, head, axis=0)
+        yield _sliced(total[:WORDS] * idf[:, None], "<f4")
 
     return run
 
@@ -135,24 +155,28 @@ def _gram(model):
             x, scale, _ = _passages(ids, bounds, table, model.value["idf"])
             x *= scale[:, None]
             total += x.T @ x
-        yield _sliced(total)
+        yield _sliced(total, "<f8")
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal parts, one batch of them in memory at a time."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(data.as_buffer(), "<f8")
-            total[part] = total[part] + x if part in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "data"])
+def _summed(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of equal parts, one batch of them in memory at a time."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(data.as_buffer(), kind).astype(np.float64)
+                total[part] = total[part] + x if part in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "data"])
+
+    return run
 
 
-def _collected(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over tasks of a matrix of fixed size."""
-    parts = sorted((r["part"], bytes(r["data"])) for r in rows.repartition("part").mapInArrow(_summed, "part int, data binary").collect())
+def _collected(rows: DataFrame, shape: tuple[int, int], kind: str) -> np.ndarray:
+    """The sum over tasks of a matrix of fixed size: first by part and lane, so that no task gets a part from every task."""
+    by_lane = rows.repartition("part", "lane").select("part", "data").mapInArrow(_summed(kind), "part int, data binary")
+    parts = sorted((r["part"], bytes(r["data"])) for r in by_lane.repartition("part").mapInArrow(_summed("<f8"), "part int, data binary").collect())
     flat = np.concatenate([np.zeros(0), *(np.frombuffer(d, "<f8") for _, d in parts)])
     return flat.reshape(shape) if len(flat) else np.zeros(shape)
 
@@ -165,36 +189,35 @@ def fit_space(tokenized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     df = np.zeros(WORDS)
     df[list(counts)] = list(counts.values())
     idf = np.log((2 + total) / (1 + df))
-    part = "part int, data binary"
-    z = _collected(tokenized.mapInArrow(_range(sc.broadcast({"idf": idf})), part), (WORDS, RANK))
+    part = "part int, lane int, data binary"
+    z = _collected(tokenized.mapInArrow(_range(sc.broadcast({"idf": idf})), part), (WORDS, RANK), "<f4")
     q, _ = np.linalg.qr(z)
     table = (idf[:, None] * q).astype(np.float32)
-    gram = _collected(tokenized.mapInArrow(_gram(sc.broadcast({"idf": idf, "table": table})), part), (RANK, RANK))
+    gram = _collected(tokenized.mapInArrow(_gram(sc.broadcast({"idf": idf, "table": table})), part), (RANK, RANK), "<f8")
     squares, w = np.linalg.eigh(gram)
     sigma = np.sqrt(np.maximum(squares, 1e-9 * max(squares.max(), 1e-9)))
     return idf, (idf[:, None] * (q @ w / sigma)).astype(np.float32)
 
 
-def _latent(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, idf: np.ndarray, lightest: np.ndarray | None = None):
-    """Unit vectors of overlapping passages (two runs of STEP words), the first word of each, and its text.
-
-    lightest: weight of the lightest item with each word, infinite for words of no item. A passage whose words of items weigh too
-    little to reach SHARED with any item that has one of them is left out; the search would drop it after the cosine.
-    """
+def _overlapping(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and text of each passage: two runs of STEP words, the last run of a text only where it is the first too."""
     starts, text = _runs(bounds, STEP)
-    follows = np.append(text[1:] == text[:-1], False)
-    alone = np.append(True, text[1:] != text[:-1])  # the last run of a text is a passage only if it is the first too
-    keep = follows | alone
-    starts, text = starts[keep], text[keep]
-    places = _places(starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), 2 * STEP, len(ids))
-    b = np.append((ids & (WORDS - 1)).astype(np.int64), WORDS)
-    if lightest is not None:
-        weight, mass = np.append(idf[b[:-1]] ** 2, 0), np.append(lightest[ids], np.inf)
-        part, least = np.where(np.isfinite(mass), weight, 0), mass[places].min(axis=0)
-        able = np.flatnonzero(np.isfinite(least) & (part[places].sum(axis=0) >= (1 - 1e-9) * SHARED * np.minimum(weight[places].sum(axis=0), least)))
-        starts, text, places = starts[able], text[able], places[:, able]
-    x = _sums(table, b[places])
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), starts, text
+    same = text[1:] == text[:-1]
+    keep = np.append(same, False) | np.append(True, ~same) if len(text) else np.zeros(0, bool)
+    return starts[keep], text[keep]
+
+
+def _latent(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Unit vectors of the passages from each start, which are apart by STEP inside a text, to STEP or 2 * STEP words further."""
+    bucket = np.append((ids & (WORDS - 1)).astype(np.int64), WORDS)
+    # A run is the second half of one passage and the first of the next: it is summed once. Short texts have no second half.
+    second = np.where(starts + STEP < ends, starts + STEP, len(ids))
+    runs, place = np.unique(np.concatenate([starts, second]), return_inverse=True)
+    until = np.empty(len(runs), np.int64)
+    until[place] = np.concatenate([ends, ends])
+    sums = _sums(table, bucket[_places(runs, np.minimum(runs + STEP, until), STEP, len(ids))])
+    x = sums[place[: len(starts)]] + sums[place[len(starts) :]]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -211,6 +234,64 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def item_masks(items: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item and known word (0: any other), the item's places of that word as bits; and all places of the item."""
+    wide = max(1, -(-max(map(len, items)) // 64))
+    masks, full = np.zeros((wide, len(items), len(known) + 1), np.uint64), np.zeros((wide, len(items)), np.uint64)
+    for i, item in enumerate(items):
+        slot = np.searchsorted(known, item) + 1
+        for j, w in enumerate(slot.tolist()):
+            bit = np.uint64(1 << j % 64)
+            masks[j // 64, i, w] |= bit
+            full[j // 64, i] |= bit
+    return masks, full
+
+
+def known_words(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Number of each word among the known ones (sorted), from 1; 0 for any other."""
+    if not len(known):
+        return np.zeros(len(ids), np.int32)
+    flag = np.zeros(1 << 16, bool)
+    flag[known >> np.uint32(16)] = True
+    out, some = np.zeros(len(ids), np.int32), np.flatnonzero(flag[ids >> np.uint32(16)])
+    slot = np.searchsorted(known, ids[some])
+    slot[slot == len(known)] = 0
+    out[some] = np.where(known[slot] == ids[some], slot + 1, 0)
+    return out
+
+
+def common_subsequences(masks: np.ndarray, full: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each item with its stretch lo:hi of the text's known words, all pairs at once
+    and bit-parallel over the items."""
+    order = np.argsort(lo - hi, kind="stable")  # the longest stretches first, so that those still open are in front
+    item, at, size = item[order], lo[order].astype(np.int64), (hi - lo)[order]
+    wide, each = len(masks), masks.shape[2]
+    flat, base, numbers = masks.reshape(wide, -1), item.astype(np.int64) * each, numbers.astype(np.int64)
+    v = [full[w][item] for w in range(wide)]
+    place, u, s = np.empty(len(item), np.int64), np.empty(len(item), np.uint64), np.empty(len(item), np.uint64)
+    for n in (len(size) - np.cumsum(np.bincount(size)))[:-1].tolist() if len(size) else []:
+        np.take(numbers, at[:n], out=place[:n], mode="clip")
+        at[:n] += 1
+        place[:n] += base[:n]
+        carry = None
+        for w in range(wide):
+            x = v[w][:n]
+            np.take(flat[w], place[:n], out=u[:n], mode="clip")
+            u[:n] &= x
+            np.add(x, u[:n], out=s[:n])
+            if wide > 1:
+                over = s[:n] < x
+                if carry is not None:
+                    s[:n] += carry
+                    over |= (s[:n] == 0) & carry
+                carry = over
+            x ^= u[:n]
+            x |= s[:n]
+    out = np.empty(len(item), np.int64)
+    out[order] = sum(np.bitwise_count(full[w][item]).astype(np.int64) - np.bitwise_count(v[w] & full[w][item]) for w in range(wide))
+    return out
+
+
 def densest(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence with any stretch of text of SPAN times the item's words (or an eighth more)."""
     step = max(1, len(item) // 8)
@@ -238,44 +319,50 @@ def _search(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         items, answers, vectors, owner, table = m["items"], m["answers"], m["vectors"], m["owner"], _with_zero(m["table"])
-        known = np.zeros(1 << 16, bool)
-        for item in items:
-            known[item] = True
-        # Which item has which of the known words; word 0 stands for all others.
-        local = np.zeros(1 << 16, np.int32)
-        local[known] = np.arange(1, int(known.sum()) + 1)
-        has = np.zeros((len(items), int(known.sum()) + 1), bool)
-        square = m["idf"] ** 2
-        mass, lightest = np.zeros(len(items)), np.full(1 << 16, np.inf)
-        for i, item in enumerate(items):
-            has[i, local[item]] = True
-            mass[i] = square[item & (WORDS - 1)].sum()
-            lightest[item] = np.minimum(lightest[item], mass[i])
+        known = np.unique(np.concatenate(items))
+        masks, full = item_masks(items, known)
+        sizes = np.array([len(x) for x in items])
+        rows = np.unique(np.concatenate([shingles(x.astype(np.uint64), RUN) for x in items]))
         for batch, ids, bounds in _parts(batches):
             found: dict[tuple[int, int], tuple] = {}
-            x, starts, text = _latent(ids, bounds, table, m["idf"], lightest)
-            for lo in range(0, len(x), 1024):
-                row, v = np.nonzero(x[lo : lo + 1024] @ vectors.T >= COSINE)
-                row, item = row + lo, owner[v]
-                cosine = np.einsum("ij,ij->i", x[row], vectors[v])
-                end = np.minimum(starts[row] + 2 * STEP, bounds[text[row] + 1])
-                shared, total = np.zeros(len(row)), np.zeros(len(row))
-                for j in range(2 * STEP):
-                    w = ids[np.minimum(starts[row] + j, len(ids) - 1)]
-                    weight = np.where(starts[row] + j < end, square[w & (WORDS - 1)], 0)
-                    total += weight
-                    shared += weight * has[item, local[w]]
-                for c in np.flatnonzero(shared >= SHARED * np.minimum(total, mass[item])).tolist():
-                    own, t, at = items[item[c]], int(text[row[c]]), int(starts[row[c]])
-                    slack = len(own) + STEP
-                    around = ids[max(bounds[t], at - slack) : min(bounds[t + 1], at + 2 * STEP + slack)]
-                    lcs = common_subsequence(own, around)
-                    if lcs < min(RUN, DENSE * len(own)):
-                        continue
+            numbers = known_words(ids, known)
+            inner = np.append(0, np.cumsum(numbers > 0))
+            only = numbers[numbers > 0]
+            # Where RUN words in a row begin that some item has in a row too.
+            begun = np.zeros(len(ids) + 1, np.int64)
+            whole = np.flatnonzero(inner[RUN:] - inner[:-RUN] == RUN) if len(ids) >= RUN else np.zeros(0, np.int64)
+            if len(whole):
+                h = shingles(ids.astype(np.uint64), RUN)[whole]
+                begun[whole[np.isin(h, rows)] + 1] = 1
+            begun = np.cumsum(begun)
+            every, text_of_passage = _overlapping(bounds)
+            for first in range(0, len(every), PASSAGES):
+                starts, text = every[first : first + PASSAGES], text_of_passage[first : first + PASSAGES]
+                x = _latent(ids, starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), table)
+                row, v = np.nonzero(x @ vectors.T >= COSINE)
+                if not len(row):
+                    continue
+                # Vectors of an item follow one another, so the first of those it has with a passage stands for all.
+                item = owner[v]
+                head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+                cosine = np.maximum.reduceat(np.einsum("ij,ij->i", x[row], vectors[v]), head)
+                row, item = row[head], item[head]
+                slack = sizes[item] + STEP
+                lo = np.maximum(bounds[text[row]], starts[row] - slack)
+                hi = np.minimum(bounds[text[row] + 1], starts[row] + 2 * STEP + slack)
+                in_row = begun[np.maximum(lo, hi - RUN + 1)] > begun[lo]
+                # A subsequence has no more words than the text has of all items together.
+                able = np.flatnonzero((inner[hi] - inner[lo] >= DENSE * sizes[item]) | in_row)
+                row, item, lo, hi, cosine, in_row = (c[able] for c in (row, item, lo, hi, cosine, in_row))
+                lcs = common_subsequences(masks, full, item, inner[lo], inner[hi], only)
+                in_row &= lcs >= RUN
+                for c in np.flatnonzero((lcs >= DENSE * sizes[item]) | in_row).tolist():
+                    own, t, size = items[item[c]], int(text[row[c]]), int(lcs[c])
+                    around = ids[lo[c] : hi[c]]
                     answer = _has_answer(answers[item[c]], around)
-                    alike = lcs >= VERBATIM * len(own) or (answer and lcs >= PARAPHRASE * len(own))
-                    if alike or (lcs >= DENSE * len(own) and densest(own, around) >= DENSE * len(own)) or (lcs >= RUN and longest_run(own, around) >= RUN):
-                        key, best = (t, int(item[c])), (lcs, float(cosine[c]), answer)
+                    alike = size >= VERBATIM * len(own) or (answer and size >= PARAPHRASE * len(own))
+                    if alike or (size >= DENSE * len(own) and densest(own, around) >= DENSE * len(own)) or (in_row[c] and longest_run(own, around) >= RUN):
+                        key, best = (t, int(item[c])), (size, float(cosine[c]), answer)
                         found[key] = max(found.get(key, best), best)
             if found:
                 doc = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array([t for t, _ in found]))
@@ -286,6 +373,27 @@ def _search(model):
     return run
 
 
+def _item_blocks(rows: Iterator, answer: bool) -> Iterator[dict]:
+    """Items (those with words) with their answers, in blocks of a bounded number of items and bytes of masks."""
+    block: dict = {"ids": [], "items": [], "answers": []}
+    known: set[int] = set()
+    longest = 0
+    for row in rows:
+        item, _ = tokens(pa.array([row["text"]]))
+        if not len(item):
+            continue
+        given = tokens(pa.array([row["answer"]]))[0] if answer else item[-ANSWER_WORDS:]
+        more, wide = known | set(item.tolist()), -(-max(longest, len(item)) // 64)
+        if block["ids"] and (len(block["ids"]) == ITEMS_AT_ONCE or 8 * (len(block["ids"]) + 1) * (len(more) + 1) * wide > MASK_BYTES):
+            yield block
+            block, more, longest = {"ids": [], "items": [], "answers": []}, set(item.tolist()), 0
+        known, longest = more, max(longest, len(item))
+        for k, x in zip(("ids", "items", "answers"), (row["item_id"], item, given), strict=True):
+            block[k].append(x)
+    if block["ids"]:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
     """Documents that hold benchmark items (item_id, text): doc_id, item_id, cosine, lcs_words, item_words, answer_found.
 
@@ -298,22 +406,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, answer: str | None = Non
     listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of(benchmark).alias("text"), (text_of(benchmark, answer) if answer else F.lit("")).alias("answer"))
     listed = listed.filter("item_id IS NOT NULL").orderBy("item_id")
     schema = "doc_id long, item_id long, cosine double, lcs_words int, item_words int, answer_found boolean"
-    out, block = None, []
-
-    def searched(block: list) -> DataFrame:
-        ids, bounds = tokens(pa.array([r["text"] for r in block]))
-        given, given_bounds = tokens(pa.array([r["answer"] for r in block]))
-        items = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        answers = [given[a:b] for a, b in zip(given_bounds[:-1], given_bounds[1:], strict=True)] if answer else [x[-ANSWER_WORDS:] for x in items]
-        vectors, _, owner = _latent(ids, bounds, _with_zero(table), idf) if len(ids) else (np.zeros((0, RANK), np.float32), None, np.zeros(0, np.int64))
-        model = spark.sparkContext.broadcast({"ids": [r["item_id"] for r in block], "items": items, "answers": answers, "vectors": vectors.astype(np.float32), "owner": owner, "table": table, "idf": idf})
-        return tokenized.mapInArrow(_search(model), schema)
-
-    for row in listed.toLocalIterator():
-        block.append(row)
-        if len(block) == ITEMS_AT_ONCE:
-            out, block = searched(block) if out is None else out.unionByName(searched(block)), []
-    if block or out is None:
-        out = searched(block) if out is None else out.unionByName(searched(block))
+    out = spark.createDataFrame([], schema)
+    for number, block in enumerate(_item_blocks(listed.toLocalIterator(), bool(answer))):
+        ids, bounds = np.concatenate(block["items"]), np.cumsum([0, *map(len, block["items"])])
+        starts, owner = _overlapping(bounds)
+        vectors = _latent(ids, starts, np.minimum(starts + 2 * STEP, bounds[owner + 1]), _with_zero(table))
+        model = spark.sparkContext.broadcast(block | {"vectors": vectors.astype(np.float32), "owner": owner, "table": table})
+        out = out.unionByName(stored(tokenized.mapInArrow(_search(model), schema), base, f"found-{number}"))
+        model.destroy()
     best = F.max(F.struct("lcs_words", "cosine", "item_words", "answer_found")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.lcs_words", "b.item_words", "b.answer_found")
