@@ -1,16 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on windows of ordinary text and on word beginnings that toxic texts have far more often
-than ordinary ones. The toxic side compresses with both, the ordinary side with the first alone, so the difference of the two
-lengths of a window is what toxic text explains of it. The largest differences of a whole text and the number of its windows
-give its score by a logistic curve, calibrated on labelled texts.
+Two zstandard dictionaries are trained, one on windows of ordinary text and one on what toxic text has far more often than
+ordinary text: runs of `RUN` bytes wherever they stand (in words or across them), and beginnings of words, as ordinary syllables
+can make up a telling beginning. The ordinary side compresses a window with the first, the toxic side with both, so the
+difference of the two lengths is what toxic text explains of it. Thresholds for that difference are quantiles over windows of
+ordinary text. The largest differences of a whole text, how many of its windows pass each threshold, and the number of its
+windows give its score by a logistic curve.
+
+Thresholds and curve are calibrated on texts that the dictionaries in use were not trained on: the labelled sample is split into
+`FOLDS` parts, and each is measured with dictionaries of the others.
 
 The classifier is fitted on at most `FIT_DOCS` labelled documents of each class, of at most `FIT_CHARS` characters each, chosen
 by a hash of doc_id; that sample is the only thing on the driver. Scoring reads every whole text.
 
 Cases: a null text is an empty one and is scored as such; a null label is none; of several labels of a document the largest
-counts; without labels of both classes every score is 0; a null doc_id is not held out; extra columns stay, but for a column
-toxic_score, which is replaced.
+counts; without labels of both classes every score is 0; a null doc_id is not held out; rows that repeat a document are each
+scored, and count once in the fit; extra columns stay, but for a column toxic_score, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,11 +32,16 @@ from pyspark.sql import functions as F
 
 from quaystone.llm.common import pieces, string_buffer
 
-FIT_DOCS, FIT_CHARS = 2000, 30_000
+FIT_DOCS, FIT_CHARS, FOLDS = 2000, 20_000, 3
 WINDOW, LEVEL, THRESHOLD = 64, 1, 0.3
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
-#: A stem is toxic if this share of toxic texts has it, so many times the share of ordinary texts.
-STEM_SHARE, STEM_RATIO, STEM_SIZES = 0.02, 8, range(4, 11)
+#: Bytes of a run, and of a beginning of a word; shares of toxic texts that must have one.
+RUN, BEGINNINGS = 4, range(4, 11)
+RUN_SHARE, BEGINNING_SHARE = 0.005, 0.02
+#: Telling is what so many times the toxic texts have that the share of ordinary ones suggests, and so many standard deviations more.
+RATIO, RUN_SIGMAS, BEGINNING_SIGMAS = 8, 6, 4
+#: Shares of ordinary windows that stay under each threshold.
+QUANTILES = (0.99, 0.999)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,53 +80,97 @@ def without_copies(texts: list[bytes], labels: list[int]) -> tuple[list[bytes],
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on the samples; the samples themselves where there are too few to train on."""
-    joined = [b"".join(samples[i : i + 40]) for i in range(0, len(samples), 40)] if size <= TOXIC_BYTES else samples
+    """Content of a dictionary trained on the samples; the samples themselves where the trainer finds them too few."""
     try:
-        return zstandard.train_dictionary(size, joined).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(sorted(set(samples)))[-size:]
 
 
-def _stems(words: set[bytes]) -> set[bytes]:
-    return {w[:n] for w in words for n in STEM_SIZES if len(w) >= n}
+def _runs(text: bytes) -> np.ndarray:
+    """Each run of RUN bytes as a number."""
+    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+    out = np.zeros(max(0, len(raw) - RUN + 1), np.uint32)
+    for j in range(RUN if len(out) else 0):
+        out = out << np.uint32(8) | raw[j : j + len(out)]
+    return out
+
+
+def _text_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs, ascending, and the number of texts that have each. What is held grows with different runs only."""
+    runs, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for at in range(0, len(texts), 200):
+        more = np.concatenate([runs, *(np.unique(_runs(t)) for t in texts[at : at + 200])])
+        weight = np.append(counts, np.ones(len(more) - len(counts), np.int64))
+        runs, place = np.unique(more, return_inverse=True)
+        counts = np.bincount(place, weight, len(runs)).astype(np.int64)
+    return runs, counts
+
+
+def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Stretches of the toxic texts that consist of telling runs; texts begin with a space, as words inside them do."""
+    toxic, ordinary = [b" " + t for t in toxic], [b" " + t for t in ordinary]
+    (far, n), (near, others) = _text_counts(toxic), _text_counts(ordinary)
+    also = np.zeros(len(far))
+    if len(near):
+        at = np.minimum(np.searchsorted(near, far), len(near) - 1)
+        also = np.where(near[at] == far, others[at], 0)
+    by_chance = (also + 1) * len(toxic) / max(1, len(ordinary))
+    telling = far[(n >= RUN_SHARE * len(toxic)) & (n >= RATIO * by_chance) & (n >= by_chance + RUN_SIGMAS * np.sqrt(by_chance + 1))]
+    out = []
+    for text in toxic:
+        hit = np.flatnonzero(np.isin(_runs(text), telling))
+        if len(hit):
+            cut = np.flatnonzero(np.append(True, np.diff(hit) > RUN))
+            last = np.append(cut[1:], len(hit)) - 1
+            out += [text[a : b + RUN] for a, b in zip(hit[cut].tolist(), hit[last].tolist(), strict=True)]
+    return out
+
+
+def telling_beginnings(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The longest telling beginning of each word of the toxic texts that has one, after a space."""
+
+    def beginnings(text: bytes) -> set[bytes]:
+        return {w[:n] for w in set(text.split()) for n in BEGINNINGS if len(w) >= n}
+
+    far, near = Counter(), Counter()
+    for texts, counts in ((toxic, far), (ordinary, near)):
+        for t in texts:
+            counts.update(beginnings(t))
+
+    def telling(part: bytes, n: int) -> bool:
+        by_chance = (near[part] + 1) * len(toxic) / max(1, len(ordinary))
+        return n >= max(BEGINNING_SHARE * len(toxic), RATIO * by_chance, by_chance + BEGINNING_SIGMAS * (by_chance + 1) ** 0.5)
+
+    known = {part for part, n in far.items() if telling(part, n)}
+    # The shortest beginning stands for longer ones that are much rarer.
+    known = {part for part in known if part[:-1] not in known or far[part] >= 0.9 * far[part[:-1]]}
+    out = []
+    for t in toxic:
+        for w in t.split():
+            part = next((w[:n] for n in reversed(BEGINNINGS) if w[:n] in known), None)
+            if part is not None:
+                out.append(b" " + part)
+    return out
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and of the toxic side's dictionary."""
-    far, near = Counter(), Counter()
-    split = [t.split() for t in toxic]
-    for words in split:
-        far.update(_stems(set(words)))
-    for t in ordinary:
-        near.update(_stems(set(t.split())))
-
-    def telling(stem: bytes, n: int) -> bool:
-        by_chance = (near[stem] + 1) * len(toxic) / len(ordinary)
-        return n >= max(STEM_SHARE * len(toxic), STEM_RATIO * by_chance, by_chance + 4 * (by_chance + 1) ** 0.5)
-
-    stems = {s for s, n in far.items() if telling(s, n)}
-    # The shortest stem stands for longer ones that are much rarer.
-    stems = {s for s in stems if s[:-1] not in stems or far[s] >= 0.9 * far[s[:-1]]}
-    samples = []
-    for words in split:
-        for w in words:
-            for n in reversed(STEM_SIZES):
-                if w[:n] in stems:
-                    samples.append(b" " + w[:n])
-                    break
-    base = _trained([w for t in ordinary for w in windows(t)][:100_000], ORDINARY_BYTES)
-    return base, base + _trained(samples, TOXIC_BYTES)
+    """Contents of the ordinary dictionary, and of both."""
+    base = _trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+    stretches = telling_beginnings(toxic, ordinary) + telling_stretches(toxic, ordinary)
+    # The trainer wants longer samples than most stretches.
+    joined = [b"".join(stretches[i : i + 40]) for i in range(0, len(stretches), 40)]
+    return base, base + (_trained(joined, TOXIC_BYTES) if joined else b"")
 
 
 class Scorer:
-    """Features of texts from the two dictionaries; a score once it is calibrated."""
+    """Differences of compressed lengths with the two dictionaries; a score once it is calibrated."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray | None = None):
-        self.contents, self.weights, self._sides = (ordinary, toxic), weights, None
+    def __init__(self, ordinary: bytes, toxic: bytes, limits: np.ndarray | None = None, weights: np.ndarray | None = None):
+        self.contents, self.limits, self.weights, self._sides = (ordinary, toxic), limits, weights, None
 
     def __getstate__(self):
-        return {"contents": self.contents, "weights": self.weights, "_sides": None}
+        return {"contents": self.contents, "limits": self.limits, "weights": self.weights, "_sides": None}
 
     def _compressors(self):
         if self._sides is None:
@@ -127,28 +181,32 @@ class Scorer:
                 self._sides.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         return self._sides
 
-    def features(self, text: bytes) -> np.ndarray:
+    def saved(self, text: bytes) -> np.ndarray:
+        """Bytes that the toxic side saves in each window."""
         plain, toxic = self._compressors()
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], np.float64)
-        top = np.sort(saved)[::-1]
-        return np.array([1.0, top[0], top[:2].sum(), top[:4].sum(), np.log(len(saved)), saved.mean()])
-
-    def calibrate(self, texts: list[bytes], labels: np.ndarray) -> None:
-        """Ridge-penalised logistic regression by Newton's method; both classes weigh as many as they are."""
-        x = np.array([self.features(t) for t in texts])
-        mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        mean[0], spread[0] = 0, 1
-        z, w = (x - mean) / spread, np.zeros(x.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            slope = z.T @ (p - labels) + 1e-2 * w
-            w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), slope)
-        w = w / spread
-        w[0] -= (w[1:] * mean[1:]).sum()
-        self.weights = w
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], np.float64)
 
     def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(features(self.saved(text), self.limits) @ self.weights, -30, 30))))
+
+
+def features(saved: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    top = np.sort(saved)[::-1]
+    return np.array([1.0, top[0], top[:2].sum(), top[:4].sum(), np.log(len(saved)), saved.mean(), *(np.log1p((saved > x).sum()) for x in limits)])
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression by Newton's method; both classes weigh as many as they are."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    mean[0], spread[0] = 0, 1
+    z, w = (x - mean) / spread, np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        slope = z.T @ (p - y) + 1e-2 * w
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), slope)
+    w = w / spread
+    w[0] -= (w[1:] * mean[1:]).sum()
+    return w
 
 
 def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> Scorer | None:
@@ -157,16 +215,25 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None) -> Sc
     y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
         return None
-    toxic, ordinary = [t for t, v in zip(texts, labels, strict=True) if v], [t for t, v in zip(texts, labels, strict=True) if not v]
-    hold = len(toxic) // 3 if len(toxic) >= 150 else 0
-    scorer = Scorer(*train_dictionaries(toxic[hold:], ordinary[len(ordinary) // 3 if hold else 0 :]))
-    known = (toxic[:hold] + ordinary[: len(ordinary) // 3]) if hold else toxic + ordinary
-    mark = np.array([1.0] * (hold or len(toxic)) + [0.0] * (len(known) - (hold or len(toxic))))
-    scorer.calibrate(known, mark)
+
+    def trained(part: list[int]) -> Scorer:
+        return Scorer(*train_dictionaries([texts[i] for i in part if y[i]], [texts[i] for i in part if not y[i]]))
+
+    # Every text is measured with dictionaries of other texts; each class is dealt to the folds in turn.
+    fold = np.empty(len(y), int)
+    for kind in (0, 1):
+        fold[y == kind] = np.arange(int((y == kind).sum())) % FOLDS
+    saved: list = [None] * len(y)
+    for f in range(FOLDS):
+        scorer = trained(np.flatnonzero(fold != f).tolist())
+        for i in np.flatnonzero(fold == f).tolist():
+            saved[i] = scorer.saved(texts[i])
+    limits = np.quantile(np.concatenate([x for x, v in zip(saved, labels, strict=True) if not v]), QUANTILES, method="higher")
+    weights = logistic(np.array([features(x, limits) for x in saved]), y)
     if share is not None and 0 < share < 1:  # the sample's share of toxic texts, set right
-        own = mark.mean()
-        scorer.weights[0] += np.log(share / (1 - share)) - np.log(own / (1 - own))
-    return scorer
+        weights[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    whole = trained(list(range(len(y))))
+    return Scorer(*whole.contents, limits, weights)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Scorer | None:
