@@ -3,8 +3,8 @@
 Each partition of the ordered documents writes one shard of three files: `.bin` (token ids, little-endian, 16 bits if the
 vocabulary allows, else 32), `.off` (n + 1 offsets into it, 64 bits) and `.ids` (doc_ids, 64 bits, with `.nul`: one byte each,
 1 for a null doc_id). The manifest has one row a shard; the prefix sums of its counts are the shards' bases, so no task waits
-for another. Words are encoded once and assembled by index arithmetic. The split fits a tokenizer that lower-cases and drops
-white space, as the default one does.
+for another. Words are encoded once and assembled by index arithmetic where the tokenizer's own rules allow it (lower-casing, and
+white space that only separates, as in the default one); with any other tokenizer whole texts are encoded.
 
 Cases: a null text is an empty one, which gives the end id alone; null doc_ids come first; rows that repeat a doc_id are each
 written, in the order of a hash of their text; an empty table gives shards without documents; extra columns are not carried.
@@ -12,6 +12,7 @@ written, in the order of a hash of their text; an empty table gives shards witho
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,17 @@ from quaystone.llm.files import Reader, filesystem, unique
 END_ID = 1
 #: Distinct words that a task remembers; beyond it the memory starts anew.
 REMEMBERED = 1 << 20
+#: Ids (in bytes) and documents that a task reads back, about.
+READ_BYTES, READ_DOCS = 16 << 20, 40_000
+#: Rules of a tokenizer whose words can be encoded one by one (fixed values, as its file states them).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordEncoder:
@@ -43,6 +55,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         bar = self._encode(["|"])[0]
         self.bar = bar[0] if len(bar) == 1 else None
@@ -90,6 +104,9 @@ class WordEncoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a byte buffer, each followed by the end id, and the number of ids of each."""
+        if not self.by_words:
+            found = self._encode([raw[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return np.array([i for ids in found for i in (*ids, END_ID)], self.dtype), np.array([len(ids) + 1 for ids in found], np.int64)
         low = LOWER[raw]
         h, start, stop, bounds = words(low, offsets, tails=True)
         padded = np.append(low, np.zeros(8, np.uint8))
@@ -195,10 +212,13 @@ def _reader(out_dir: str, digest: bool):
 
 
 def read_tokens(manifest: DataFrame, out_dir: str, digest: bool = False, docs_per_read: int = 4000) -> DataFrame:
-    """Read the files back: doc_id, start, n_tokens and ids (array), or ids_crc32 with digest. Large shards are read in several tasks."""
+    """Read the files back: doc_id, start, n_tokens and ids (array), or ids_crc32 with digest. Large shards are read in several
+    tasks; their number follows from the files' sizes, as rows of the manifest are small however much they stand for."""
+    size, docs = manifest.agg(F.sum(F.col("n_tokens") * F.col("width")), F.sum("n_docs")).first()
+    tasks = 1 + (size or 0) // READ_BYTES + (docs or 0) // READ_DOCS
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(docs_per_read).cast("long"))).alias("doc")
     reads = manifest.filter("n_docs > 0").select("name", "width", "n_docs", "first_token", step)
-    reads = reads.select("name", "width", "first_token", "doc", F.least(F.lit(docs_per_read), F.col("n_docs") - F.col("doc")).alias("docs")).repartition("name", "doc")
+    reads = reads.select("name", "width", "first_token", "doc", F.least(F.lit(docs_per_read), F.col("n_docs") - F.col("doc")).alias("docs")).repartition(int(tasks), "name", "doc")
     out = reads.mapInArrow(_reader(out_dir, digest), f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<long>'}")
     return out.withColumnRenamed("last", "ids_crc32" if digest else "ids")
 

@@ -34,6 +34,8 @@ LINES_PER_BLOCK = 512
 #: Captures nearer than this to one another are read at once, up to so many bytes.
 GAP, READ_AT_ONCE = 16 << 10, 4 << 20
 FILE_BYTES = 256 << 20
+#: Bytes of archives and captures that a task of a lookup reads, about.
+READ_PER_TASK, CAPTURES_PER_TASK = 16 << 20, 20_000
 #: A stated time keeps archives the same from run to run.
 DATE = "2024-01-01T00:00:00Z"
 _UNSAFE = re.compile(rb"[\x00-\x20%\x7f]")
@@ -247,18 +249,25 @@ def _read_captures(out_dir: str, payloads: bool):
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(map(url_key, batch.column(0).to_pylist()), pa.string())], ["key"])
+
+
 def look_up(urls: DataFrame, out_dir: str, index_files: DataFrame, payloads: bool = True) -> DataFrame:
     """All captures of the URLs in column `url` (in any form with the same key): key, page_id, url, record_type, refers_to,
     payload_bytes, payload_digest and payload (null without payloads, empty for a revisit)."""
-    to_key = F.udf(url_key, useArrow=True)
-    keys = urls.select("url").distinct().select(to_key("url").alias("key")).distinct()
+    keys = urls.select("url").distinct().mapInArrow(_keys, "key string").distinct()
     # One row an index file, so as many as the index had partitions.
     files = sorted((r["first_key"], r["index"], r["last_key"]) for r in index_files.collect())
     files = [(name, first, last) for first, name, last in files]
     blocks = keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_find_blocks(out_dir, files), "key string, index string, at long, length long")
     captures = blocks.repartition("index", "at").sortWithinPartitions("index", "at", "key").mapInArrow(_find_captures(out_dir), "key string, file string, at long, length long")
     near = F.floor(F.col("at") / READ_AT_ONCE)
-    captures = captures.repartition("file", near).sortWithinPartitions("file", "at")
+    # Captures are small however much they stand for, so the number of tasks follows from the bytes they are to read.
+    captures = stored(captures, out_dir, f"captures-{unique('of', 0)}")
+    size, n = captures.agg(F.sum("length"), F.count("*")).first()
+    captures = captures.repartition(int(1 + (size or 0) // READ_PER_TASK + n // CAPTURES_PER_TASK), "file", near).sortWithinPartitions("file", "at")
     return captures.mapInArrow(_read_captures(out_dir, payloads), "key string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
