@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores whose sums are added up first; scores inside a range are ordered in a task of their own.
+RANGES = 1000
+
+
 def by_score(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Per key and distinct score, from the top down: true and false positives so far, and totals."""
+    """Per key and distinct score, from the top down: true and false positives so far, and totals. Sums over ranges of scores
+    come first, so no task orders all scores of a key."""
     steps = df.filter(F.col(y).isNotNull()).groupBy(*keys, p).agg(F.sum(y).cast("long").alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keys)
-    return steps.select(*keys, p, "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("pos").over(all_).alias("positives"), F.sum("n").over(all_).alias("total"))
+    # Scores are probabilities as a rule; those outside 0 to 1 are in the ranges at the ends. Null scores come last.
+    steps = steps.withColumn("__range", F.coalesce(F.least(F.greatest(F.floor(F.col(p) * RANGES), F.lit(0)), F.lit(RANGES - 1)), F.lit(-1)))
+    sums = steps.groupBy(*keys, "__range").agg(F.sum("pos").alias("__pos"), F.sum("n").alias("__n"))
+    above, all_ = Window.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    sums = sums.select(
+        *keys, "__range", F.coalesce(F.sum("__pos").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__seen"),
+        F.sum("__pos").over(all_).alias("positives"), F.sum("__n").over(all_).alias("total"),
+    )
+    down = Window.partitionBy(*keys, "__range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"__own": F.sum("pos").over(down), "__count": F.sum("n").over(down)})
+    out = steps.join(F.broadcast(sums), [*keys, "__range"])  # at most RANGES + 1 rows a key
+    return out.select(*keys, p, "pos", "n", (F.col("__tp") + F.col("__own")).alias("tp"), (F.col("__seen") + F.col("__count")).alias("seen"), "positives", "total")
 
 
 def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,17 +66,20 @@ def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def drift(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = 2.0) -> DataFrame:
-    """Shift of each column's mean in standard deviations of the reference."""
+    """Shift of each column's mean in standard deviations of the reference, the largest first."""
+    both = reference.select(*columns, F.lit(True).alias("__ref")).unionByName(current.select(*columns, F.lit(False).alias("__ref")))
+    return drift_between(both, F.col("__ref"), ~F.col("__ref"), columns, threshold)
 
-    def long(df: DataFrame, *stats: str) -> DataFrame:
-        one = df.agg(*[getattr(F, f)(c).alias(f"{f}__{c}") for c in columns for f in stats])
-        pairs = ", ".join(f"'{c}', " + ", ".join(f"`{f}__{c}`" for f in stats) for c in columns)
-        names = ", ".join(("m" if f == "avg" else "s") for f in stats)
-        return one.select(F.expr(f"stack({len(columns)}, {pairs}) AS (feature, {names})"))
 
-    ref, cur = long(reference, "avg", "stddev_samp"), long(current, "avg").withColumnRenamed("m", "current_mean")
-    z = F.abs(F.col("current_mean") - F.col("m")) / F.greatest("s", F.lit(1e-6))
-    return ref.join(cur, "feature").select("feature", F.col("m").alias("reference_mean"), F.col("s").alias("reference_std"), "current_mean", z.alias("z")).withColumn("drifted", F.col("z") > threshold)
+def drift_between(df: DataFrame, is_reference: Column, is_current: Column, columns: list[str], threshold: float = 2.0) -> DataFrame:
+    """drift() of two parts of one table, in one pass."""
+    stats = {"m": lambda c: F.avg(F.when(is_reference, F.col(c))), "s": lambda c: F.stddev_samp(F.when(is_reference, F.col(c))), "k": lambda c: F.avg(F.when(is_current, F.col(c)))}
+    one = df.agg(*[f(c).alias(f"{k}__{c}") for c in columns for k, f in stats.items()])
+    pairs = ", ".join(f"'{c}', " + ", ".join(f"`{k}__{c}`" for k in stats) for c in columns)
+    long = one.select(F.expr(f"stack({len(columns)}, {pairs}) AS (feature, m, s, k)"))
+    z = F.abs(F.col("k") - F.col("m")) / F.greatest("s", F.lit(1e-6))
+    out = long.select("feature", F.col("m").alias("reference_mean"), F.col("s").alias("reference_std"), F.col("k").alias("current_mean"), z.alias("z"))
+    return out.withColumn("drifted", F.col("z") > threshold).orderBy(F.desc_nulls_last("z"), "feature")
 
 
 def walk_forward(weeks: DataFrame, folds: int = 5, test_weeks: int = 4, min_train: int = 26) -> DataFrame:
@@ -80,10 +97,10 @@ def walk_forward(weeks: DataFrame, folds: int = 5, test_weeks: int = 4, min_trai
 
 def champions(versions: DataFrame, promoted: str | None = None) -> DataFrame:
     """A version becomes champion if it is the first or strictly better than all before; the last to become one is champion,
-    unless one is promoted by hand."""
+    unless one is promoted by hand. The newest version comes first."""
     before = Window.orderBy("trained_at", "version").rowsBetween(Window.unboundedPreceding, -1)  # one row a version
     best = F.max("pr_auc").over(before)
     marked = versions.withColumn("became_champion", F.coalesce(F.col("pr_auc") > best, F.lit(True)))
     last = F.max(F.when(F.col("became_champion"), F.struct("trained_at", "version"))).over(Window.partitionBy(F.lit(1)))
     is_it = (F.col("version") == promoted) if promoted else (F.struct("trained_at", "version") == last)
-    return marked.withColumn("is_champion", is_it)
+    return marked.withColumn("is_champion", is_it).orderBy(F.desc("trained_at"), F.desc("version"))

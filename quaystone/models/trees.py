@@ -16,34 +16,49 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.models.metrics import average_precision, precision_at_k, roc_auc
+from quaystone.operators.quantiles import percentiles
 from quaystone.registry import ANOMALY_COLUMNS, MODEL_COLUMNS
 
 FEATURES = [*MODEL_COLUMNS, "port_id_enc"]
+ROW_KEYS = ["port_id", "week_ending"]
+FOREST = "tree int, node int, feature int, split double, left int, right int, size int"
 #: The reference's model; its share of columns a tree is one a node here.
 DEFAULTS = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
-TREES, SAMPLE = 200, 256
+TREES, SAMPLE, CONTAMINATION = 200, 256, 0.05
 #: Trials of the search, and fits that run at a time.
 TRIALS, FITS_AT_ONCE = 30, 4
+#: Fewest labelled rows to train at all, to search parameters, of a fold's training side, and to calibrate.
+LEAST_ROWS, LEAST_SEARCH, LEAST_TRAIN, LEAST_CALIBRATION = 10, 80, 20, 20
+#: Training rows of a partition. Every level of every tree is a job, so small tables are better off with few tasks.
+ROWS_PER_TASK = 50_000
 
 
 def with_vector(matrix: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(matrix)
 
 
-def class_weight(labelled: DataFrame) -> float:
-    pos, n = labelled.agg(F.sum("is_disruption_week"), F.count("*")).first()
+def class_weight(pos: int | None, n: int) -> float:
+    """How much more a positive row weighs than a negative one: negatives by positives, 1 without positives."""
     return float((n - pos) / pos) if pos else 1.0
 
 
 def train_gbt(labelled: DataFrame, params: dict | None = None):
-    """labelled (features, is_disruption_week): boosted trees with the rarer class weighted up."""
-    weight = class_weight(labelled)
-    rows = labelled.withColumn("weight", F.when(F.col("is_disruption_week") == 1, weight).otherwise(1.0)).withColumn("label", F.col("is_disruption_week").cast("double"))
-    return GBTClassifier(labelCol="label", weightCol="weight", **(DEFAULTS | (params or {}))).fit(rows)
+    """labelled (features, is_disruption_week): boosted trees with the rarer class weighted up. A ValueError with under
+    LEAST_ROWS rows."""
+    pos, n = labelled.agg(F.sum("is_disruption_week"), F.count("*")).first()
+    if n < LEAST_ROWS:
+        raise ValueError(f"too few labelled rows to train: {n}")
+    weight = F.when(F.col("is_disruption_week") == 1, class_weight(pos, n)).otherwise(1.0)
+    rows = labelled.select("features", weight.alias("weight"), F.col("is_disruption_week").cast("double").alias("label"))
+    packed = rows.coalesce(-(-n // ROWS_PER_TASK)).cache()
+    try:
+        return GBTClassifier(labelCol="label", weightCol="weight", **(DEFAULTS | (params or {}))).fit(packed)
+    finally:
+        packed.unpersist()
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
@@ -51,53 +66,79 @@ def predict(model, rows: DataFrame) -> DataFrame:
 
 
 def _usable(rows: DataFrame, splits: DataFrame, least: int) -> list[tuple[int, DataFrame, DataFrame]]:
-    """Fold, training and test rows of each fold with at least `least` training rows of both classes."""
+    """Fold, training and test rows of each fold with at least `least` training rows and test rows of both classes."""
     out = []
     for fold in sorted(r["fold"] for r in splits.select("fold").distinct().collect()):
         train, test = (rows.join(F.broadcast(splits.filter((F.col("fold") == fold) & (F.col("role") == role)).select("week_ending")), "week_ending", "left_semi") for role in ("train", "test"))
-        if train.count() >= least and train.select("is_disruption_week").distinct().count() == 2:
+        if train.count() >= least and test.select("is_disruption_week").distinct().count() == 2:
             out.append((fold, train, test))
     return out
 
 
-def _fold_scores(folds: list[tuple[int, DataFrame, DataFrame]], params: dict | None) -> DataFrame:
-    """Scored test rows of all folds. Folds are a handful; each is fitted by Spark, some at a time."""
+def _scored_folds(folds: list[tuple[int, DataFrame, DataFrame]], grid: list[dict | None]) -> list[DataFrame]:
+    """For each setting of the grid, the scored test rows of all folds. Settings and folds are a handful; each fit is Spark's, some
+    at a time."""
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        models = list(pool.map(lambda f: train_gbt(f[1], params), folds))
-    parts = [predict(model, test).select(F.lit(fold).alias("fold"), F.col("is_disruption_week").alias("y"), "p", "week_ending", "port_id") for model, (fold, _, test) in zip(models, folds, strict=True)]
-    return reduce(DataFrame.unionByName, parts)
+        models = list(pool.map(lambda x: train_gbt(x[1][1], x[0]), [(params, fold) for params in grid for fold in folds]))
+    out = []
+    for i in range(len(grid)):
+        own = zip(models[i * len(folds) : (i + 1) * len(folds)], folds, strict=True)
+        parts = [predict(model, test).select(F.lit(fold).alias("fold"), F.col("is_disruption_week").alias("y"), "p", "week_ending", "port_id") for model, (fold, _, test) in own]
+        out.append(reduce(DataFrame.unionByName, parts))
+    return out
+
 
+REPORT = "fold int, n_test long, positive_share double, test_start date, test_end date, n_train long, train_start date, train_end date, pr_auc double, roc_auc double, precision_at_k double"
 
-def fold_report(rows: DataFrame, splits: DataFrame, params: dict | None = None, k: int = 10, least: int = 20) -> DataFrame | None:
-    """One row a fold: sizes, dates, share of positives, PR-AUC, ROC-AUC, precision at k. A fold with under `least` training
-    rows is left out."""
+
+def fold_report(rows: DataFrame, splits: DataFrame, params: dict | None = None, k: int = 10, least: int = LEAST_TRAIN) -> DataFrame:
+    """One row a fold, in the order of time: sizes, dates, share of positives, PR-AUC, ROC-AUC, precision at k. A fold with under
+    `least` training rows or one class of test rows is left out."""
     folds = _usable(rows, splits, least)
     if not folds:
-        return None
-    scored = _fold_scores(folds, params)
+        return rows.sparkSession.createDataFrame([], REPORT)
+    scored = _scored_folds(folds, [params])[0]
     size = scored.groupBy("fold").agg(F.count("*").alias("n_test"), F.avg("y").alias("positive_share"), F.min("week_ending").alias("test_start"), F.max("week_ending").alias("test_end"))
-    train = reduce(DataFrame.unionByName, [t.select(F.lit(fold).alias("fold")) for fold, t, _ in folds]).groupBy("fold").agg(F.count("*").alias("n_train"))
-    return size.join(train, "fold").join(average_precision(scored, ["fold"]), "fold").join(roc_auc(scored, ["fold"]), "fold").join(precision_at_k(scored, ["fold"], k, "port_id"), "fold")
+    train = reduce(DataFrame.unionByName, [t.select(F.lit(fold).alias("fold"), "week_ending") for fold, t, _ in folds])
+    train = train.groupBy("fold").agg(F.count("*").alias("n_train"), F.min("week_ending").alias("train_start"), F.max("week_ending").alias("train_end"))
+    out = size.join(train, "fold").join(average_precision(scored, ["fold"]), "fold").join(roc_auc(scored, ["fold"]), "fold")
+    return out.join(precision_at_k(scored, ["fold"], k, "port_id"), "fold").orderBy("fold")
+
 
+def cv_score(report: DataFrame) -> DataFrame:
+    """Mean PR-AUC and ROC-AUC of a fold report, 0 without folds."""
+    zero = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return report.agg(zero("pr_auc").alias("cv_pr_auc"), zero("roc_auc").alias("cv_roc_auc"), F.count("*").alias("folds"))
 
-def settings(trials: int = TRIALS, seed: int = 42) -> list[dict]:
-    """Seeded draws from the reference's ranges of all parameters that Spark's boosted trees have (they have no L1 and L2 terms)."""
+
+def settings(trials: int = TRIALS, seed: int = 42, trees: tuple[int, int] = (50, 400)) -> list[dict]:
+    """Seeded draws from the reference's ranges of all parameters that Spark's boosted trees have (they have no L1 and L2 terms).
+    trees: the range of their number."""
     rng = np.random.default_rng(seed)
     return [
         {
-            "maxIter": int(rng.integers(50, 401)), "maxDepth": int(rng.integers(3, 9)), "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
+            "maxIter": int(rng.integers(trees[0], trees[1] + 1)), "maxDepth": int(rng.integers(3, 9)), "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
             "subsamplingRate": float(rng.uniform(0.6, 1.0)), "featureSubsetStrategy": f"{rng.uniform(0.5, 1.0):.4f}", "minInstancesPerNode": int(rng.integers(1, 11)),
         }
         for _ in range(trials)
     ]
 
 
+def search_table(rows: DataFrame, splits: DataFrame, grid: list[dict]) -> list[tuple[int, dict, float, int]]:
+    """Trial, setting, mean PR-AUC over the folds and number of folds, for each setting of the grid; nothing without a fold or with
+    under LEAST_SEARCH rows."""
+    if not grid or rows.count() < LEAST_SEARCH:
+        return []
+    folds = _usable(rows, splits, LEAST_TRAIN)
+    if not folds:
+        return []
+    means = [average_precision(x, ["fold"]).agg(F.avg("pr_auc"), F.count("*")).first() for x in _scored_folds(folds, grid)]
+    return [(i, params, mean, n) for i, (params, (mean, n)) in enumerate(zip(grid, means, strict=True))]
+
+
 def search(rows: DataFrame, splits: DataFrame, grid: list[dict]) -> DataFrame:
-    """Mean PR-AUC over the folds for each setting of the grid; one row a trial is on the driver."""
-    folds, out = _usable(rows, splits, 20), []
-    for i, params in enumerate(grid if folds else []):
-        mean, n = average_precision(_fold_scores(folds, params), ["fold"]).agg(F.avg("pr_auc"), F.count("*")).first()
-        out.append((i, str(sorted(params.items())), mean, n))
+    """search_table() as a table; one row a trial is on the driver."""
+    out = [(i, str(sorted(params.items())), mean, n) for i, params, mean, n in search_table(rows, splits, grid)]
     return rows.sparkSession.createDataFrame(out, "trial int, params string, mean_pr_auc double, folds long")
 
 
@@ -114,15 +155,37 @@ def last_share(rows: DataFrame, share: float = 0.2, least: int = 10) -> tuple[Da
     return rows.filter(F.col("week_ending") < F.lit(cut)), rows.filter(F.col("week_ending") >= F.lit(cut))
 
 
-def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
-    """scored (p, y, ...) with calibrated: by a logistic curve over p, or by isotonic regression."""
-    rows = scored.withColumn("label", F.col("y").cast("double"))
+def fit_calibration(scored: DataFrame, method: str = "sigmoid") -> dict | None:
+    """A logistic curve over p, or an isotonic one, from scored rows (p, y). None with under LEAST_CALIBRATION rows or one class."""
+    n, classes = scored.agg(F.count("*"), F.count_distinct("y")).first()
+    if n < LEAST_CALIBRATION or classes < 2:
+        return None
+    rows = scored.select("p", F.col("y").cast("double").alias("label"))
     if method == "isotonic":
         model = IsotonicRegression(featuresCol="p").fit(rows)
-        return model.transform(rows).withColumn("calibrated", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction"))).drop("prediction", "label")
-    x = VectorAssembler(inputCols=["p"], outputCol="px").transform(rows)
-    model = LogisticRegression(featuresCol="px", maxIter=50).fit(x)
-    return model.transform(x).withColumn("calibrated", vector_to_array("probability")[1]).drop("px", "rawPrediction", "probability", "prediction", "label")
+        return {"method": method, "x": [float(v) for v in model.boundaries], "y": [float(v) for v in model.predictions]}
+    model = LogisticRegression(featuresCol="px", maxIter=50).fit(VectorAssembler(inputCols=["p"], outputCol="px").transform(rows))
+    return {"method": method, "x": [float(model.coefficients[0])], "y": [float(model.intercept)]}
+
+
+def calibrated(p: Column, fitted: dict | None) -> Column:
+    """p on the fitted curve; p itself without one."""
+    if fitted is None:
+        return p
+    if fitted["method"] == "sigmoid":
+        return 1 / (1 + F.exp(-(F.lit(fitted["x"][0]) * p + F.lit(fitted["y"][0]))))
+    x, y = np.array(fitted["x"]), np.clip(fitted["y"], 0, 1)
+
+    @F.pandas_udf("double")
+    def curve(v: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(v, x, y))
+
+    return curve(p)
+
+
+def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
+    """scored (p, y, ...) with calibrated: by a logistic curve over p, or by isotonic regression; p itself where there is too little to fit."""
+    return scored.withColumn("calibrated", calibrated(F.col("p"), fit_calibration(scored, method)))
 
 
 # Isolation forest (Liu, Ting and Zhou, ICDM 2008) ----------------------------------------------------------------------
@@ -158,35 +221,46 @@ def _usual_path(n) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def fit_forest(rows: DataFrame, columns: list[str] = ANOMALY_COLUMNS, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """Node table of the forest: tree, node, feature, split, left, right, size. Each tree takes the rows with the smallest
-    hash of their own, so a sample costs one small top-k a tree, and a tree is built from `sample` rows."""
-    filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]).withColumn("__h", F.xxhash64(*columns))
+def _drawn(filled: DataFrame, n: int, trees: int, sample: int) -> DataFrame:
+    """Rows with __key by tree: about four samples' worth each, by hashes of the rows' keys."""
+    if n > 4 * sample * trees:
+        # Enough rows for trees to have parts of their own: a row is in one at most.
+        part = F.pmod(F.xxhash64(F.lit(1), "__key"), F.lit(n // (4 * sample)))
+        return filled.withColumn("tree", part.cast("int")).filter(F.col("tree") < trees)
+    share = int(min(1.0, 4 * sample / n) * (1 << 30))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(t, "__key"), F.lit(1 << 30)) < share)
+    return filled.withColumn("tree", F.explode(mine))
+
+
+def fit_forest(rows: DataFrame, columns: list[str] = ANOMALY_COLUMNS, trees: int = TREES, sample: int = SAMPLE, keys: list[str] = ROW_KEYS) -> DataFrame:
+    """Node table of the forest: tree, node, feature, split, left, right, size. Nulls are zeros.
+
+    Each tree takes the `sample` rows whose keys have the smallest hashes for it (all, if there are fewer), whatever the rows'
+    values; keys identify a row. A tree is built from those rows alone.
+    """
+    filled = rows.select(F.xxhash64(*keys).alias("__key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     n = max(1, filled.count())
-    # About four samples' worth by hash, then exactly the sample inside the group.
-    share = min(1.0, 4 * sample / n)
-    each = filled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__k", F.xxhash64("__h", "tree"))
-    picked = each.filter((F.pmod("__k", F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(2), "tree", "__key"), "__key"))
+    picked = _drawn(filled, n, trees, sample).withColumn("__rank", rank).filter(F.col("__rank") <= sample)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__k", kind="stable").head(sample)
+        pdf = pdf.sort_values("__rank", kind="stable")
         tree = int(pdf["tree"].iloc[0])
         nodes = _grow(pdf[columns].to_numpy(), np.random.default_rng(tree), int(np.ceil(np.log2(max(2, len(pdf))))))
         return pd.DataFrame([(tree, *x) for x in nodes], columns=["tree", "node", "feature", "split", "left", "right", "size"])
 
-    return picked.groupBy("tree").applyInPandas(build, "tree int, node int, feature int, split double, left int, right int, size int")
+    return picked.groupBy("tree").applyInPandas(build, FOREST)
 
 
-def forest_score(rows: DataFrame, forest: DataFrame, columns: list[str] = ANOMALY_COLUMNS) -> DataFrame:
-    """rows with anomaly_score from 0 (usual) to 1: mean path lengths, turned over and scaled to the training range."""
-    spark = rows.sparkSession
+def _raw_score(rows: DataFrame, forest: DataFrame, columns: list[str]) -> Column | None:
+    """Score of the isolation forest, from the mean path lengths: higher is odder. None for a forest without trees."""
     nodes = forest.orderBy("tree", "node").toPandas()  # at most trees * 2 * sample rows
     if nodes.empty:
-        return rows.withColumn("anomaly_score", F.lit(0.0))
+        return None
     tables = []
     for _, t in nodes.groupby("tree"):
         tables.append({c: t[c].to_numpy() for c in ("feature", "split", "left", "right", "size")})
-    shared = spark.sparkContext.broadcast(tables)
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf("double")
     def raw(*values: pd.Series) -> pd.Series:
@@ -206,11 +280,30 @@ def forest_score(rows: DataFrame, forest: DataFrame, columns: list[str] = ANOMAL
         size = max(2, int(shared.value[0]["size"][0]))
         return pd.Series(2 ** -(total / len(shared.value) / float(_usual_path(size))))
 
-    scored = rows.withColumn("__raw", raw(*[F.col(c).cast("double") for c in columns]))
-    low, high = scored.agg(F.min("__raw"), F.max("__raw")).first()
-    span = (high - low) if low is not None else 0
-    value = F.lit(0.0) if span < 1e-9 else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("__raw") - low) / span))
-    return scored.withColumn("anomaly_score", value).drop("__raw")
+    return raw(*[F.col(c).cast("double") for c in columns])
+
+
+def forest_bounds(rows: DataFrame, forest: DataFrame, columns: list[str] = ANOMALY_COLUMNS) -> tuple[float, float]:
+    """Least and largest raw score of the training rows, to which scores are scaled."""
+    raw = _raw_score(rows, forest, columns)
+    low, high = (None, None) if raw is None else rows.select(raw.alias("r")).agg(F.min("r"), F.max("r")).first()
+    return (0.0, 0.0) if low is None else (float(low), float(high))
+
+
+def forest_score(rows: DataFrame, forest: DataFrame, columns: list[str] = ANOMALY_COLUMNS, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """rows with anomaly_score from 0 (usual) to 1, scaled to the range of the training rows (these rows, if no bounds are given)."""
+    low, high = bounds or forest_bounds(rows, forest, columns)
+    raw = _raw_score(rows, forest, columns)
+    span = high - low
+    if raw is None or span < 1e-9:
+        return rows.withColumn("anomaly_score", F.lit(0.0))
+    return rows.withColumn("anomaly_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw - low) / span)))
+
+
+def with_outliers(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
+    """scored (anomaly_score, ...) with is_outlier: the share of `contamination` of all rows with the highest scores."""
+    cut = percentiles(scored, "anomaly_score", [1 - contamination])[0]
+    return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(cut))
 
 
 # Tree attributions (path-dependent Shapley values, Lundberg et al.) -----------------------------------------------------
@@ -296,6 +389,20 @@ def attributions(x: np.ndarray, trees: list[tuple[float, dict]]) -> np.ndarray:
     return out
 
 
+def importance(model, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean absolute attribution of each feature over all rows, the largest first: feature, mean_impact, n."""
+    shared = rows.sparkSession.sparkContext.broadcast(node_tables(model))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            total = np.abs(attributions(pdf[columns].to_numpy(float), shared.value)).sum(axis=0)
+            yield pd.DataFrame({"feature": columns, "total": total, "n": len(pdf)})
+
+    parts = rows.select(*columns).mapInPandas(run, "feature string, total double, n long")
+    out = parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("mean_impact"), F.sum("n").alias("n"))
+    return out.orderBy(F.desc("mean_impact"), "feature")
+
+
 def drivers(model, rows: DataFrame, columns: list[str], keys: list[str], top: int = 5) -> DataFrame:
     """keys, margin, base and the `top` features by size of their part: drivers (feature, value, impact, direction)."""
     trees = node_tables(model)

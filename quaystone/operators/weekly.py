@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions.scalar import has_word, lenient, lookup, sql_date, week_ending
-from quaystone.registry import ALERT_WORDS, GOLD_COLUMNS, INDICATORS, SEVERITY_SCORE, ZERO_FILLED
+from quaystone.registry import ALERT_WORDS, GOLD_COLUMNS, INDICATORS, SEVERITY_SCORE, WHOLE_COLUMNS, ZERO_FILLED
 
 KEYS = ["port_id", "week_ending"]
 
@@ -71,14 +71,41 @@ def fallback_spine(ports: DataFrame, as_of: str, weeks: int = 104) -> DataFrame:
     return sundays.select(*KEYS)
 
 
+def canonical(df: DataFrame) -> DataFrame:
+    """The gold table's columns in their order; what df lacks is null."""
+    kind = lambda c: "string" if c == "port_id" else "date" if c == "week_ending" else "int" if c in WHOLE_COLUMNS else "double"
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind(c)).alias(c) for c in GOLD_COLUMNS])
+
+
+def _completeness(has_throughput, present: list) -> Column:
+    return F.round((has_throughput.cast("int") + sum(present[1:], present[0])) / len(INDICATORS), 3)
+
+
 def gold(ports: DataFrame, port: DataFrame, weather: DataFrame, news: DataFrame, quakes: DataFrame, fires: DataFrame) -> DataFrame:
     """The feature table, one row a port and week. A source without rows anywhere contributes to no row's completeness; one with
     rows contributes to all, as its counts are filled with zeros first."""
     out = spine(ports, port)
     for side in (port, weather, news, quakes, fires):
         out = out.join(side, KEYS, "left")
-    some = lambda side, name: side.agg((F.count("*") > 0).cast("int").alias(name))
+    # Whether a source has rows. All its columns are named, so that this reads the rows that are shuffled for the join anyway.
+    some = lambda side, name: side.agg(F.max(F.xxhash64(*side.columns)).isNotNull().cast("int").alias(name))
     present = some(weather, "s1").crossJoin(some(news, "s2")).crossJoin(some(quakes, "s3")).crossJoin(some(fires, "s4"))  # one row each
-    out = out.fillna(0, subset=ZERO_FILLED).crossJoin(F.broadcast(present))
-    score = F.round((F.col(INDICATORS[0]).isNotNull().cast("int") + F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4")) / len(INDICATORS), 3)
-    return out.withColumn("data_completeness_score", score).select(*GOLD_COLUMNS)
+    filled = [c for c in ZERO_FILLED if c in out.columns]
+    out = out.fillna(0, subset=filled).crossJoin(F.broadcast(present))
+    score = _completeness(F.col(INDICATORS[0]).isNotNull(), [F.col(f"s{i}") for i in range(1, 5)])
+    return canonical(out.withColumn("data_completeness_score", score))
+
+
+def newest(ports: DataFrame, throughput: DataFrame, sources: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """Week and completeness of each port's newest gold row, without the gold table: port_id, features_week_ending,
+    data_completeness. throughput has a row a port and week; sources: rows and week of the four event feeds, of which one row each is read."""
+    last = throughput.agg(F.max("week_ending").alias("features_week_ending")).filter("features_week_ending IS NOT NULL")
+    # A port without a row in that week has a row in the gold table all the same.
+    known = throughput.join(F.broadcast(last), F.col("week_ending") == F.col("features_week_ending"), "left_semi").groupBy("port_id").agg((F.count(INDICATORS[0]) > 0).alias("has"))
+    out = ports.select("port_id").crossJoin(F.broadcast(last)).join(F.broadcast(known), "port_id", "left")  # ten ports, one week
+    flags = []
+    for name, (rows, ts) in sources.items():
+        one = rows.filter(F.col("port_id").isNotNull() & week_ending(ts).isNotNull()).select(F.lit(1)).limit(1).agg(F.count("*").cast("int").alias(f"s_{name}"))
+        out = out.crossJoin(F.broadcast(one))  # one row
+        flags.append(F.col(f"s_{name}"))
+    return out.select("port_id", "features_week_ending", _completeness(F.coalesce("has", F.lit(False)), flags).alias("data_completeness"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quaystone import adapters as a
 from quaystone.adapters import sql, sql_week
 from quaystone.functions import scalar as s
-from quaystone.operators import geo, weekly, windows
+from quaystone.operators import geo, quantiles, weekly, windows
 from quaystone.plans.registry import query, rounded
-from quaystone.registry import ALERT_WORDS, DEFAULT_BASE_HOURS, DEFAULT_IMPACT, EVENT_CODES, GOLD_COLUMNS, HAZARD_KM, LAG_WORDS, MIN_MAGNITUDE, MODEL_COLUMNS, PORTS, ROOT_CODES, ZERO_FILLED, ports
+from quaystone.registry import ALERT_WORDS, DEFAULT_BASE_HOURS, DEFAULT_IMPACT, EVENT_CODES, GOLD_COLUMNS, HAZARD_KM, LAG_WORDS, MIN_MAGNITUDE, MODEL_COLUMNS, PORTS, ROOT_CODES, WHOLE_COLUMNS, ZERO_FILLED, ports
+from quaystone.sources import lake
 
 # Projections ---------------------------------------------------------------------------------------------------------
 
@@ -68,10 +69,10 @@ def prj_normalise(spark, sf_dir):
 
 @query("prj_clip_outliers", "WITH b AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders) SELECT o_orderkey, round(greatest(lo, least(hi, o_totalprice)), 6) AS price FROM orders, b")
 def prj_clip_outliers(spark, sf_dir):
-    """To the 1st and 99th percentile; the bounds are one row."""
+    """To the 1st and 99th percentile."""
     o = a.table(spark, sf_dir, "orders")
-    bounds = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.01), F.lit(0.99))).alias("b"))
-    return o.select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(bounds)).select("o_orderkey", F.round(F.greatest(F.col("b")[0], F.least(F.col("b")[1], F.col("o_totalprice"))), 6).alias("price"))
+    low, high = quantiles.percentiles(o, "o_totalprice", [0.01, 0.99])
+    return o.select("o_orderkey", F.round(F.greatest(F.lit(low), F.least(F.lit(high), F.col("o_totalprice"))), 6).alias("price"))
 
 
 # Filters and joins ---------------------------------------------------------------------------------------------------
@@ -317,7 +318,10 @@ _GOLD_DOUBLES = [c for c in GOLD_COLUMNS if c.startswith(("median", "avg_", "ber
 
 @query("gold_features", gold_sql(f"SELECT {', '.join(f'round({c}, {0 if "energy" in c else 6}) AS {c}' if c in _GOLD_DOUBLES else c for c in GOLD_COLUMNS)} FROM g"))
 def gold_features(spark, sf_dir):
-    return rounded(gold_frame(spark, sf_dir), eq_energy_proxy=0)
+    """The gold table as it reads back from the lake, in the order of port and week."""
+    root = lake.scratch(spark)
+    lake.write_gold(gold_frame(spark, sf_dir), root)
+    return rounded(lake.read_gold(spark, root), eq_energy_proxy=0).orderBy("port_id", "week_ending")
 
 
 @query("agg_gold_summary", gold_sql("SELECT count(*) AS gold_rows, count(DISTINCT port_id) AS ports, sum(is_disruption_week)::BIGINT AS disruption_weeks, round(avg(data_completeness_score), 6) AS mean_completeness FROM g"))
@@ -330,25 +334,47 @@ def agg_label_dist(spark, sf_dir):
     return gold_frame(spark, sf_dir).filter("is_disruption_week IS NOT NULL").groupBy("is_disruption_week").agg(F.count("*").alias("n"))
 
 
-@query("agg_column_profile", gold_sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) AS gold_rows, min({c})::VARCHAR IS NOT NULL AS has_sample FROM g" for c in GOLD_COLUMNS)))
+def _kind(c: str) -> str:
+    return {"port_id": "text", "week_ending": "date"}.get(c, "whole" if c in WHOLE_COLUMNS else "real")
+
+
+def _profile_sql(c: str) -> str:
+    number = f"round(min({c})::DOUBLE, {0 if 'energy' in c else 6})" if _kind(c) in ("whole", "real") else "NULL::DOUBLE"
+    text = f"min({c})::VARCHAR" if _kind(c) in ("text", "date") else "NULL::VARCHAR"
+    return f"SELECT '{c}' AS column_name, '{_kind(c)}' AS kind, count({c}) AS non_null, count(*) AS gold_rows, {number} AS sample_number, {text} AS sample_text FROM g"
+
+
+def column_profile(df: DataFrame) -> DataFrame:
+    """Kind, non-null count and a sample (the smallest value) of each column, in one pass, as rows."""
+    kinds = {c: "date" if t == "date" else "text" if t == "string" else "real" if t in ("double", "float") else "whole" for c, t in df.dtypes}
+    one = df.agg(F.count("*").alias("__n"), *[F.struct(F.count(c).alias("n"), F.min(c).alias("v")).alias(c) for c in df.columns])
+    number = lambda c: F.col(f"{c}.v").cast("double") if kinds[c] in ("whole", "real") else F.lit(None).cast("double")
+    text = lambda c: F.col(f"{c}.v").cast("string") if kinds[c] in ("text", "date") else F.lit(None).cast("string")
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("kind"), F.col(f"{c}.n").alias("non_null"), F.col("__n").alias("gold_rows"), number(c).alias("sample_number"), text(c).alias("sample_text")) for c in df.columns]
+    return one.select(F.inline(F.array(*rows)))
+
+
+@query("agg_column_profile", gold_sql(" UNION ALL ".join(_profile_sql(c) for c in GOLD_COLUMNS)))
 def agg_column_profile(spark, sf_dir):
-    """Non-null count of each column, in one pass, as rows."""
-    one = gold_frame(spark, sf_dir).agg(F.count("*").alias("__n"), *[F.count(c).alias(c) for c in GOLD_COLUMNS])
-    pairs = ", ".join(f"'{c}', `{c}`" for c in GOLD_COLUMNS)
-    return one.select("__n", F.expr(f"stack({len(GOLD_COLUMNS)}, {pairs}) AS (column_name, non_null)")).select("column_name", "non_null", F.col("__n").alias("gold_rows"), (F.col("non_null") > 0).alias("has_sample"))
+    digits = F.when(F.col("column_name").contains("energy"), F.round("sample_number", 0)).otherwise(F.round("sample_number", 6))
+    return column_profile(gold_frame(spark, sf_dir)).withColumn("sample_number", digits)
 
 
 # Throughput proxy, impact, feature matrix ------------------------------------------------------------------------------
 
 
-@query("agg_teu_proxy", sql(f"""SELECT b.port_id, b.week_ending, m.median_teu, round(coalesce(p.base_hrs, {DEFAULT_BASE_HOURS}) * (b.teu_count::DOUBLE / m.median_teu), 6) AS berthing_hrs
+_HOURS = f"coalesce(p.base_hrs, {DEFAULT_BASE_HOURS}) * (b.teu_count::DOUBLE / m.median_teu)"
+
+
+@query("agg_teu_proxy", sql(f"""SELECT b.port_id, array_to_string(list_transform(string_split(b.port_id, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS port_name, b.week_ending, m.median_teu, floor({_HOURS} * 100 + 0.5::DOUBLE) / 100 AS berthing_hrs
     FROM a_bts b JOIN (SELECT port_id, list_sort(list(teu_count))[len(list(teu_count)) // 2 + 1] AS median_teu FROM a_bts GROUP BY port_id) m USING (port_id) LEFT JOIN a_ports p USING (port_id)""", "a_bts", "a_ports"))
 def agg_teu_proxy(spark, sf_dir):
-    """Hours from throughput, against the upper median of the port: the middle of the values from above."""
+    """Hours from throughput to two digits, against the upper median of the port: the middle of the values from above."""
     b = a.a_bts(spark, sf_dir).select("port_id", "week_ending", "teu_count")
     medians = b.groupBy("port_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY teu_count DESC)").cast("long").alias("median_teu"))
     hours = F.coalesce("base_hrs", F.lit(DEFAULT_BASE_HOURS)) * (F.col("teu_count") / F.col("median_teu"))
-    return b.join(medians, "port_id").join(F.broadcast(ports(spark).select("port_id", "base_hrs")), "port_id", "left").select("port_id", "week_ending", "median_teu", F.round(hours, 6).alias("berthing_hrs"))
+    name = F.initcap(F.replace("port_id", F.lit("_"), F.lit(" ")))
+    return b.join(F.broadcast(medians), "port_id").join(F.broadcast(ports(spark).select("port_id", "base_hrs")), "port_id", "left").select("port_id", name.alias("port_name"), "week_ending", "median_teu", (F.floor(hours * 100 + 0.5) / 100).alias("berthing_hrs"))
 
 
 def impact_table(spark: SparkSession) -> DataFrame:
@@ -422,9 +448,12 @@ def fn_math(spark, sf_dir):
 
 @query("fn_array", "SELECT user_id, list_sort(list(event_id))[:3] AS first_three, count(*)::INTEGER AS n, list_filter([CASE WHEN count(*) > 8 THEN 'busy' END, CASE WHEN max(value) > 90 THEN 'large' END], lambda x: x IS NOT NULL) AS flags FROM events GROUP BY user_id")
 def fn_array(spark, sf_dir):
+    """The three smallest ids are ranked before they are collected, so no user's events are in one list."""
+    e = a.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     flags = F.filter(F.array(F.when(F.count("*") > 8, "busy"), F.when(F.max("value") > 90, "large")), lambda x: x.isNotNull())
-    ids = F.array_sort(F.collect_list("event_id"))
-    return a.table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(ids, 1, 3).alias("first_three"), F.size(F.collect_list("event_id")).alias("n"), flags.alias("flags"))
+    counts = e.groupBy("user_id").agg(F.count("*").cast("int").alias("n"), flags.alias("flags"))
+    first = windows.top_per_key(e.select("user_id", "event_id"), ["user_id"], 3, F.col("event_id")).groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("first_three"))
+    return counts.join(first, "user_id").select("user_id", "first_three", "n", "flags")
 
 
 _CODES = ["14", "141", "144", "145", "146", "172", "173", "174", "201", "20", "999"]

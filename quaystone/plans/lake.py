@@ -25,7 +25,11 @@ _ALERT_SQL = "SELECT alert_id, port_id, event_type, severity, strftime(effective
 
 @query("src_bronze_json", sql(_ALERT_SQL, "a_nws"))
 def src_bronze_json(spark, sf_dir):
-    return lake.read_envelopes(spark, lake.write_envelopes(_alert_rows(spark, sf_dir), lake.scratch(spark), "nws"), _ALERT)
+    """Envelopes in one line and over several lines, read back together."""
+    rows, root = _alert_rows(spark, sf_dir), lake.scratch(spark)
+    half = F.pmod(F.xxhash64("alert_id"), F.lit(2)) == 0
+    lake.write_envelopes(rows.filter(half), root, "nws")
+    return lake.read_envelopes(spark, lake.write_envelopes(rows.filter(~half), root, "nws", indented=True), _ALERT)
 
 
 @query("src_bronze_parquet", sql("SELECT *, 2 AS snapshots FROM (SELECT global_event_id, sql_date, event_code, goldstein_scale FROM a_gdelt_raw)", "a_gdelt_raw"))
@@ -48,10 +52,36 @@ def src_typed_read(spark, sf_dir):
     return raw.select("event_id", F.to_timestamp_ntz(F.when(F.col("effective").rlike(r"^\d{4}-"), F.col("effective"))).alias("effective"), F.lpad("sql_date", 8, "0").alias("sql_date"), F.try_to_date("week_ending", "yyyy-MM-dd").alias("week_ending"))
 
 
+@query("src_typed_quakes", sql("SELECT usgs_id, CASE WHEN event_id % 7 <> 0 THEN magnitude END AS magnitude, depth_km, lat, lon, tsunami_flag, CASE WHEN event_id % 9 <> 0 THEN date_trunc('second', occurred_at) END AS occurred_at FROM a_usgs_raw", "a_usgs_raw"))
+def src_typed_quakes(spark, sf_dir):
+    """Earthquakes as text, some of it bad, to types."""
+    q = a.a_usgs_raw(spark, sf_dir)
+    text = [F.col(c).cast("string").alias(c) for c in ("depth_km", "lat", "lon", "tsunami_flag")]
+    magnitude = F.when(F.col("event_id") % 7 == 0, "strong").otherwise(F.col("magnitude").cast("string"))
+    at = F.when(F.col("event_id") % 9 == 0, "soon").otherwise(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = q.select("usgs_id", magnitude.alias("magnitude"), *text, at.alias("occurred_at"))
+    path = lake.write_snapshot_json(rows, lake.scratch(spark), "usgs", "2001-01-30")
+    found = feeds.typed_quakes(spark.read.schema(", ".join(f"{c} string" for c in rows.columns)).json(path))
+    return found.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+@query("src_typed_fires", sql("SELECT lat, lon, CASE WHEN event_id % 7 <> 0 THEN frp END AS frp, confidence, CASE WHEN event_id % 9 <> 0 THEN date_trunc('second', acquired_at) END AS acquired_at FROM a_firms_raw", "a_firms_raw"))
+def src_typed_fires(spark, sf_dir):
+    """Fire detections as text, some of it bad, to types."""
+    f = a.a_firms_raw(spark, sf_dir)
+    frp = F.when(F.col("event_id") % 7 == 0, "bright").otherwise(F.col("frp").cast("string"))
+    at = F.when(F.col("event_id") % 9 == 0, "soon").otherwise(F.date_format("acquired_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = f.select(F.col("lat").cast("string").alias("lat"), F.col("lon").cast("string").alias("lon"), frp.alias("frp"), F.upper("confidence").alias("confidence"), at.alias("acquired_at"))
+    path = lake.write_snapshot_json(rows, lake.scratch(spark), "firms", "2001-01-30")
+    found = feeds.typed_fires(spark.read.schema(", ".join(f"{c} string" for c in rows.columns)).json(path))
+    return found.withColumn("acquired_at", F.col("acquired_at").cast("timestamp_ntz"))
+
+
 @query("src_availability", sql("SELECT 'nws' AS source, count(*) AS n FROM a_nws UNION ALL SELECT 'gdelt', count(*) FROM a_gdelt_raw UNION ALL SELECT 'bts', count(*) FROM a_bts UNION ALL SELECT 'usgs', count(*) FROM a_usgs_raw UNION ALL SELECT 'firms', count(*) FROM a_firms_raw", "a_nws", "a_gdelt_raw", "a_bts", "a_usgs_raw", "a_firms_raw"))
 def src_availability(spark, sf_dir):
+    """Rows by source; without any the job stops."""
     views = {"nws": a.a_nws, "gdelt": a.a_gdelt_raw, "bts": a.a_bts, "usgs": a.a_usgs_raw, "firms": a.a_firms_raw}
-    return feeds.union_drifting(*[v(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit(k).alias("source"), "n") for k, v in views.items()])
+    return lake.stop_if_empty(lake.availability({k: v(spark, sf_dir) for k, v in views.items()}))
 
 
 @query("src_gdelt_tsv", sql("SELECT global_event_id AS GlobalEventID, sql_date AS SQLDATE, event_code AS EventCode, event_root_code AS EventRootCode, goldstein_scale AS GoldsteinScale, num_mentions AS NumMentions, num_articles AS NumArticles, avg_tone AS AvgTone, lat AS ActionGeo_Lat, lon AS ActionGeo_Long FROM a_gdelt_raw", "a_gdelt_raw"))
@@ -170,9 +200,11 @@ def log_run_status(spark, sf_dir):
     return lake.run_status(a.a_runs(spark, sf_dir))
 
 
-@query("log_bronze_manifest")
+@query("log_bronze_manifest", " UNION ALL ".join(f"SELECT '{t}' AS source, TRUE AS has_files, count(*) AS n_rows FROM {t}" for t in ("events", "orders", "lineitem")))
 def log_bronze_manifest(spark, sf_dir):
-    return lake.manifest(a.table(spark, sf_dir, "events"))
+    """Files and rows by source; the number of files depends on who wrote them."""
+    found = lake.manifest_by_source({t: a.table(spark, sf_dir, t) for t in ("events", "orders", "lineitem")})
+    return found.select("source", ((F.col("n_files") > 0) & (F.col("n_bytes") > 0)).alias("has_files"), "n_rows")
 
 
 @query("dq_checks", "SELECT * FROM (SELECT 'value_known' AS check_name, count_if(value IS NULL)::BIGINT AS failed, count(*) AS checked, count_if(value IS NULL) = 0 AS passed FROM events UNION ALL SELECT 'value_over_ten', count_if(coalesce(value <= 10, TRUE))::BIGINT, count(*), count_if(coalesce(value <= 10, TRUE)) = 0 FROM events UNION ALL SELECT 'known_type', count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup'))::BIGINT, count(*), count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup')) = 0 FROM events)")

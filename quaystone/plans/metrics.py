@@ -49,8 +49,7 @@ _REF, _CUR = "week_ending < DATE '2000-01-01'", "week_ending >= DATE '2000-01-01
 
 @query("ml_drift", gold_sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(r, 6) AS reference_mean, round(s, 6) AS reference_std, round(k, 6) AS current_mean, round(abs(k - r) / greatest(s, 1e-6), 6) AS z, abs(k - r) / greatest(s, 1e-6) > 2 AS drifted FROM (SELECT avg({c}) FILTER ({_REF}) AS r, stddev_samp({c}) FILTER ({_REF}) AS s, avg({c}) FILTER ({_CUR}) AS k FROM g)" for c in _DRIFT_COLUMNS)))
 def ml_drift(spark, sf_dir):
-    g = gold_frame(spark, sf_dir)
-    return rounded(m.drift(g.filter(_REF), g.filter(_CUR), _DRIFT_COLUMNS))
+    return rounded(m.drift_between(gold_frame(spark, sf_dir), F.expr(_REF), F.expr(_CUR), _DRIFT_COLUMNS))
 
 
 @query("ml_class_weight", gold_sql("SELECT CASE WHEN sum(is_disruption_week) > 0 THEN round(count_if(is_disruption_week = 0)::DOUBLE / sum(is_disruption_week), 6) ELSE 1.0 END::DOUBLE AS class_weight FROM g"))

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from quaystone import adapters as a
 from quaystone.adapters import AS_OF, sql
 from quaystone.functions import scalar as s
-from quaystone.plans.features import GOLD_PARTS, GOLD_VIEWS, SQL_IMPACT, gold_frame, impact_table
+from quaystone.operators import weekly
+from quaystone.plans.features import GOLD_PARTS, GOLD_VIEWS, SQL_IMPACT, impact_table
 from quaystone.plans.registry import query
-from quaystone.registry import ACTIONS
+from quaystone.registry import ACTIONS, CONFIDENCE_FLAGS, SORTED_IDS, ports
 from quaystone.scoring import cards as c
 
 DAYS = 7
 
 
-def _kinds(spark, sf_dir) -> list[DataFrame]:
+def _kinds(spark, sf_dir, days: int = DAYS) -> list[DataFrame]:
     alerts = a.a_nws(spark, sf_dir).withColumn("headline", F.when(F.col("event_id") % 3 != 0, F.concat(F.col("severity"), F.lit(" conditions near "), F.col("port_id"))))
     news = a.a_gdelt(spark, sf_dir).withColumn("action_geo_name", F.when(F.col("global_event_id") % 4 != 0, F.concat(F.lit("district "), (F.col("global_event_id") % 9).cast("string"))))
     quakes = a.a_usgs(spark, sf_dir).withColumn("place", F.concat(F.lit("zone "), (F.col("event_id") % 12).cast("string")))
-    return [c.weather_signals(alerts, AS_OF, DAYS), c.news_signals(news, AS_OF, 120), c.quake_signals(quakes, AS_OF, DAYS), c.fire_signals(a.a_firms(spark, sf_dir), AS_OF, DAYS)]
+    return [c.weather_signals(alerts, AS_OF, days), c.news_signals(news, AS_OF, 120), c.quake_signals(quakes, AS_OF, days), c.fire_signals(a.a_firms(spark, sf_dir), AS_OF, days)]
 
 
 def _since(column: str, days: int) -> str:
@@ -46,8 +47,8 @@ def signal_sql(body: str, **more: str) -> str:
     return sql(body, *_SIGNAL_VIEWS, **(_SIGNAL_PARTS | more))
 
 
-def signals(spark, sf_dir) -> DataFrame:
-    return c.all_signals(*_kinds(spark, sf_dir))
+def signals(spark, sf_dir, days: int = DAYS) -> DataFrame:
+    return c.all_signals(*_kinds(spark, sf_dir, days))
 
 
 @query("sc_signals_weather", sql(_S_NWS, "a_nws"))
@@ -81,11 +82,20 @@ def sc_signal_counts(spark, sf_dir):
     return signals(spark, sf_dir).groupBy("port_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("sc_port_alerts", signal_sql("SELECT port_id, signal_id, severity, observed_at, count(*) OVER () AS n FROM s_all WHERE port_id = 'miami'"))
-def sc_port_alerts(spark, sf_dir):
-    """The active signals of one port, with their number."""
-    own = signals(spark, sf_dir).filter("port_id = 'miami'").select("port_id", "signal_id", "severity", "observed_at")
-    return own.crossJoin(F.broadcast(own.agg(F.count("*").alias("n"))))  # one row
+ALERT_PORT, ALERT_DAYS = "miami", 21
+_S_LONG = {k: v.replace(f"INTERVAL {DAYS} DAY", f"INTERVAL {ALERT_DAYS} DAY") for k, v in _SIGNAL_PARTS.items()}
+
+
+@query("sc_port_alerts", sql(f"SELECT port_id, signal_id, severity, observed_at, count(*) OVER () AS n FROM s_all WHERE port_id = '{ALERT_PORT}' AND {_since('observed_at', ALERT_DAYS)}", *_SIGNAL_VIEWS, **_S_LONG))
+def sc_port_alerts(spark, sf_dir, port_id: str = ALERT_PORT, days: int = ALERT_DAYS):
+    """The active signals of one port over some days, with their number."""
+    return c.port_signals(signals(spark, sf_dir, days), port_id, AS_OF, days).select("port_id", "signal_id", "severity", "observed_at", "n")
+
+
+@query("sc_shown_signals", signal_sql("SELECT port_id, signal_id, severity, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY port_id ORDER BY severity_order DESC, observed_at DESC, signal_id) AS place FROM s_all) WHERE place <= 12"))
+def sc_shown_signals(spark, sf_dir):
+    """The first twelve signals of each port (the cap is the feature)."""
+    return c.shown_signals(signals(spark, sf_dir)).select("port_id", "signal_id", "severity", "place")
 
 
 _PRED = "(n_chars % 1000)::DOUBLE / 1000"
@@ -127,14 +137,11 @@ def sc_actions(spark, sf_dir):
 
 def _sql_confidence(dc: str, ns: str, nd: str, an: str, loaded: str) -> tuple[str, str]:
     share = f"(round_even({dc} * 100, 0)::INTEGER || '%')"
+    said = {k: f"replace('{v}', '{{share}}', {share})" for k, v in CONFIDENCE_FLAGS.items()}
     tests = [
-        (f"NOT {loaded}", 40, "'no_model_loaded: scoring used fallback heuristics only'"),
-        (f"{dc} < 0.5", 30, f"'low_data_completeness: only ' || {share} || ' of sources contributed'"),
-        (f"{dc} >= 0.5 AND {dc} < 0.75", 15, f"'partial_data: ' || {share} || ' of sources contributed'"),
-        (f"{ns} < 2", 10, "'few_signals: fewer than 2 live signals found in lookback window'"),
-        (f"{nd} = 0", 10, "'no_shap_drivers: model explanation unavailable'"),
-        (f"abs({an} - 0.5) < 1e-6", 5, "'anomaly_default: anomaly detector returned neutral score (may lack data)'"),
-    ]
+        (f"NOT {loaded}", 40, said["no_model"]), (f"{dc} < 0.5", 30, said["low"]), (f"{dc} >= 0.5 AND {dc} < 0.75", 15, said["partial"]),
+        (f"{ns} < 2", 10, said["few"]), (f"{nd} = 0", 10, said["no_drivers"]), (f"abs({an} - 0.5) < 1e-6", 5, said["neutral"]),
+    ]
     score = f"greatest(0.0, 100.0 - {' - '.join(f'CASE WHEN {t} THEN {k} ELSE 0 END' for t, k, _ in tests)})::DOUBLE"
     return score, f"list_filter([{', '.join(f'CASE WHEN {t} THEN {f} END' for t, _, f in tests)}], lambda x: x IS NOT NULL)"
 
@@ -155,8 +162,17 @@ def sc_clamp(spark, sf_dir):
     return a.table(spark, sf_dir, "events").select("event_id", s.clamp(v * 3 - 50, 0, 100, 2).alias("risk"), s.clamp(v / 70 - 0.2, 0, 1, 4).alias("unit"), F.substring(F.repeat("props", 40), 1, 200).alias("description"))
 
 
+def newest_rows(spark, sf_dir) -> DataFrame:
+    """The newest week of each port and its completeness; the gold table itself isn't needed for them."""
+    sources = {
+        "nws": (a.a_nws(spark, sf_dir), F.col("effective")), "gdelt": (a.a_gdelt(spark, sf_dir), s.sql_date(F.col("sql_date"))),
+        "usgs": (a.a_usgs(spark, sf_dir), F.col("occurred_at")), "firms": (a.a_firms(spark, sf_dir), F.col("acquired_at")),
+    }
+    return weekly.newest(ports(spark), a.a_bts(spark, sf_dir), sources)
+
+
 def card_frame(spark, sf_dir) -> DataFrame:
-    return c.cards(impact_table(spark), gold_frame(spark, sf_dir), signals(spark, sf_dir))
+    return c.cards(impact_table(spark), newest_rows(spark, sf_dir), signals(spark, sf_dir))
 
 
 _CARD_CONF = _sql_confidence("dc", "ns", "0", "0.5", "FALSE")
@@ -175,9 +191,15 @@ def sc_risk_card(spark, sf_dir):
 
 
 @query("sc_rank_ports", card_sql("SELECT row_number() OVER (ORDER BY risk_score DESC, ord)::INTEGER AS place, port_id, risk_score, n_signals FROM cards"))
-def sc_rank_ports(spark, sf_dir):
-    place = F.row_number().over(Window.orderBy(F.desc("risk_score"), "ord"))  # ten ports
-    return card_frame(spark, sf_dir).select(place.alias("place"), "port_id", "risk_score", "n_signals").orderBy("place")
+def sc_rank_ports(spark, sf_dir, by: str = "risk_score", ascending: bool = False):
+    """Ports by a column, from the top or the bottom."""
+    return c.ranked(card_frame(spark, sf_dir), by, ascending).select("place", "port_id", "risk_score", "n_signals")
+
+
+@query("sc_rank_by_signals", card_sql("SELECT row_number() OVER (ORDER BY n_signals, ord)::INTEGER AS place, port_id, n_signals FROM cards"))
+def sc_rank_by_signals(spark, sf_dir):
+    """The user's choice of column and direction: fewest signals first."""
+    return c.ranked(card_frame(spark, sf_dir), "n_signals", ascending=True).select("place", "port_id", "n_signals")
 
 
 @query("sc_top_n", card_sql("SELECT port_id || ': ' || printf('%.2f', risk_score) || ' (' || risk_tier || '), confidence ' || printf('%.0f', confidence_score) || '%, ' || n_signals || ' signals' AS line FROM cards ORDER BY risk_score DESC, ord LIMIT 3"))
@@ -214,9 +236,16 @@ def sc_simulate(spark, sf_dir):
 PACK_SIGNALS = 500
 
 
-def evidence_packs(cards: DataFrame, found: DataFrame) -> DataFrame:
-    """Compact JSON packs of each port: its card, and its signals, severest first. Ports with more than PACK_SIGNALS signals get
-    numbered parts, the severest in the first; n_signals counts all signals of the port."""
+def evidence_packs(cards: DataFrame, found: DataFrame, port_ids: list[str] | None = None) -> DataFrame:
+    """Compact JSON packs of each port: its card, its signals, severest first, and the overview of all ports asked for. Ports with
+    more than PACK_SIGNALS signals get numbered parts, the severest in the first; n_signals counts all signals of the port.
+
+    port_ids: the ports asked for; unknown ones are dropped, and none at all means every port. max_risk is the highest score of
+    the ports asked for, is_empty whether a port has no signals.
+    """
+    if port_ids:
+        known = [p for p in port_ids if p in SORTED_IDS]
+        cards, found = cards.filter(F.col("port_id").isin(known)), found.filter(F.col("port_id").isin(known))
     counts = found.groupBy("port_id", "severity_order").agg(F.count("*").alias("n"))
     port = Window.partitionBy("port_id")
     chunks = F.ceil(F.col("n") / PACK_SIGNALS)
@@ -231,10 +260,24 @@ def evidence_packs(cards: DataFrame, found: DataFrame) -> DataFrame:
     packed = cards.drop("n_signals").join(listed, "port_id", "left").withColumns({"active_signals": F.coalesce("active_signals", F.array()), "n_signals": F.coalesce("n_signals", F.lit(0)), "part": F.coalesce("part", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
     card = F.struct("port_id", "risk_score", "risk_tier", "confidence_score", "confidence_flags", "recommended_actions")
     place = F.struct("port_id", "name", "region")
-    pack = F.to_json(F.struct(card.alias("risk_card"), F.col("active_signals"), place.alias("port")))
-    return packed.select("port_id", "n_signals", "risk_score", pack.alias("pack"), "part", "parts")
+    # Ten ports at most, so the overview is a short list.
+    line = F.struct((-F.col("risk_score")).alias("o"), F.col("port_id"), F.col("risk_tier"), F.col("risk_score"))
+    overview = cards.agg(F.max("risk_score").alias("max_risk"), F.transform(F.sort_array(F.collect_list(line)), lambda x: x.dropFields("o")).alias("overview"))
+    packed = packed.crossJoin(F.broadcast(overview))  # one row
+    pack = F.to_json(F.struct(card.alias("risk_card"), F.col("active_signals"), place.alias("port"), F.col("overview")))
+    return packed.select("port_id", "n_signals", "risk_score", pack.alias("pack"), "part", "parts", "max_risk", (F.col("n_signals") == 0).alias("is_empty"))
+
+
+_PACK_JSON = "risk_card struct<port_id:string,risk_tier:string>, active_signals array<struct<signal_id:string,severity:string>>, overview array<struct<port_id:string>>"
+_PACKS = f"""SELECT port_id, risk_score, risk_tier, max(risk_score) OVER () AS max_risk, n_signals, n_signals = 0 AS is_empty, n_signals::BIGINT AS listed, n_signals::BIGINT AS different,
+    CASE WHEN n_signals <= {PACK_SIGNALS} THEN 1 ELSE (SELECT sum(-((-n) // {PACK_SIGNALS})) FROM (SELECT severity_order, count(*) AS n FROM s_all WHERE s_all.port_id = cards.port_id GROUP BY 1)) END::INTEGER AS parts, 10 AS ports_in_overview FROM cards"""
 
 
-@query("sc_evidence_pack")
+@query("sc_evidence_pack", card_sql(_PACKS))
 def sc_evidence_pack(spark, sf_dir):
-    return evidence_packs(card_frame(spark, sf_dir), signals(spark, sf_dir))
+    """Packs of all ports, read back from their JSON: each port's signals are in its parts, each once."""
+    packs = evidence_packs(card_frame(spark, sf_dir), signals(spark, sf_dir)).withColumn("p", F.from_json("pack", _PACK_JSON))
+    each = packs.select("port_id", "risk_score", "p.risk_card.risk_tier", "max_risk", "n_signals", "is_empty", "parts", F.size("p.overview").alias("ports_in_overview"), F.size("p.active_signals").alias("n"))
+    own = packs.select("port_id", F.explode("p.active_signals").alias("x")).groupBy("port_id").agg(F.count_distinct("x.signal_id").alias("different"))
+    each = each.groupBy("port_id", "risk_score", "risk_tier", "max_risk", "n_signals", "is_empty", "parts", "ports_in_overview").agg(F.sum("n").alias("listed"))
+    return each.join(own, "port_id", "left").withColumn("different", F.coalesce("different", F.lit(0)))

@@ -47,19 +47,19 @@ def str_dedup(spark, sf_dir):
 
 @query("str_weekly_agg", sql("SELECT * FROM w", "a_nws", w=W_WEATHER))
 def str_weekly_agg(spark, sf_dir):
-    """Complete mode, so that weeks the watermark hasn't passed are there too."""
+    """Update mode, so that weeks the watermark hasn't passed are there too."""
     root, files = _landed(spark, sf_dir)
     out = jobs.weekly_alerts(jobs.stream(spark, files, _ALERTS))
-    jobs.run_available(out, f"{root}/out", f"{root}/checkpoint", "complete")
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    jobs.run_keyed(out, f"{root}/out", f"{root}/checkpoint")
+    return jobs.read_keyed(spark, f"{root}/out", out, ["port_id", "week_ending"])
 
 
 @query("str_sliding_active", sql("SELECT port_id, (effective::DATE + d.i::INTEGER + 1)::DATE AS day, count(*) AS active FROM a_nws, (SELECT unnest(range(7)) AS i) d GROUP BY 1, 2", "a_nws"))
 def str_sliding_active(spark, sf_dir):
     root, files = _landed(spark, sf_dir)
     out = jobs.sliding_active(jobs.stream(spark, files, _ALERTS))
-    jobs.run_available(out, f"{root}/out", f"{root}/checkpoint", "complete")
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    jobs.run_keyed(out, f"{root}/out", f"{root}/checkpoint")
+    return jobs.read_keyed(spark, f"{root}/out", out, ["port_id", "day"])
 
 
 @query("str_gold_refresh", sql("SELECT port_id, week_ending, round(berthing_time_4w_avg, 6) AS berthing_time_4w_avg, is_disruption_week FROM f_port", "a_bts", f_latest=_DEDUP.format(src="a_bts"), f_port=F_PORT))

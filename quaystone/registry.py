@@ -42,6 +42,15 @@ ALERT_WORDS = {
     "fog": ("dense fog", "fog advisory", "low visibility"),
 }
 SIGNAL_SEVERITY = {"extreme": "critical", "severe": "high", "moderate": "medium", "minor": "low", "unknown": "low"}
+#: Flags that lower a card's confidence, in order; those with a place for it name the share of sources.
+CONFIDENCE_FLAGS = {
+    "no_model": "no_model_loaded: scoring used fallback heuristics only",
+    "low": "low_data_completeness: only {share} of sources contributed",
+    "partial": "partial_data: {share} of sources contributed",
+    "few": "few_signals: fewer than 2 live signals found in lookback window",
+    "no_drivers": "no_shap_drivers: model explanation unavailable",
+    "neutral": "anomaly_default: anomaly detector returned neutral score (may lack data)",
+}
 SEVERITY_ORDER = {"critical": 3, "high": 2, "medium": 1, "low": 0}
 ACTIONS = {
     "low": ["Monitor normal operations and scheduled shipments.", "Review weekly BTS port performance updates.", "No immediate contingency action required."],
@@ -73,10 +82,17 @@ ZERO_FILLED = [*WEATHER_COLUMNS, *NEWS_COLUMNS, *QUAKE_COLUMNS[:4], *FIRE_COLUMN
 #: One column a source whose presence shows that the source contributed.
 INDICATORS = ["median_berthing_time_hrs", "alert_count", "gdelt_event_count", "eq_count", "fire_count"]
 
-MODEL_COLUMNS = [*PORT_COLUMNS[3:13], *CALENDAR_COLUMNS, *WEATHER_COLUMNS[:6], "max_severity_score", "gdelt_event_count", "gdelt_strike_count", "gdelt_coerce_count", "gdelt_goldstein_avg", "gdelt_goldstein_min", "gdelt_weighted_disruption", *QUAKE_COLUMNS[:4], "fire_count", "fire_max_frp"]
+MODEL_COLUMNS = [
+    "berthing_time_lag_1w", "berthing_time_lag_2w", "berthing_time_lag_4w", "berthing_time_pct_change_1w", "call_count_pct_change_1w", "berthing_time_4w_avg", "berthing_time_4w_std", "berthing_time_52w_avg", "berthing_time_52w_std", "berthing_time_z_score_52w",
+    "week_of_year", "month", "is_q4", "alert_count", "extreme_alert_count", "severe_alert_count", "has_hurricane_alert", "has_high_wind_alert", "has_flood_alert", "max_severity_score",
+    "gdelt_event_count", "gdelt_strike_count", "gdelt_coerce_count", "gdelt_goldstein_avg", "gdelt_goldstein_min", "gdelt_weighted_disruption", "eq_count", "eq_max_magnitude", "eq_energy_proxy", "eq_tsunami_flag", "fire_count", "fire_max_frp",
+]
 ANOMALY_COLUMNS = ["berthing_time_lag_1w", "berthing_time_pct_change_1w", "berthing_time_z_score_52w", "berthing_time_4w_avg", "alert_count", "gdelt_event_count", "gdelt_weighted_disruption", "eq_count", "fire_count"]
 LAG_WORDS = ("lag", "rolling", "z_score", "avg", "std")
 
+#: Gold columns that hold whole numbers; the other measures are doubles.
+WHOLE_COLUMNS = ["vessel_call_count", "week_of_year", "month", "is_q4", *WEATHER_COLUMNS, "gdelt_event_count", "gdelt_strike_count", "gdelt_coerce_count", "gdelt_conflict_count", "eq_count", "eq_tsunami_flag", "fire_count", "fire_high_confidence_count", "is_disruption_week"]
+
 PORT_SCHEMA = "ord int, enc int, port_id string, name string, lat double, lon double, state string, region string, nws_zone string, teu_m double, base_hrs double"
 PORT_IDS = [p[0] for p in PORTS]
 SORTED_IDS = sorted(PORT_IDS)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions import scalar as s
-from quaystone.registry import ACTIONS, DEFAULT_IMPACT, SEVERITY_ORDER, SIGNAL_SEVERITY
+from quaystone.registry import ACTIONS, CONFIDENCE_FLAGS, DEFAULT_IMPACT, SEVERITY_ORDER, SIGNAL_SEVERITY
 
 SIGNAL = ["signal_id", "source", "signal_type", "description", "severity", "port_id", "observed_at"]
 NEWS_CAP, MAX_TEXT = 20, 200
@@ -65,18 +65,12 @@ def confidence(completeness: Column, n_signals: Column, n_drivers: Column, anoma
     share = F.concat(F.bround(completeness * 100, 0).cast("int").cast("string"), F.lit("%"))
     low, partial = completeness < 0.5, (completeness >= 0.5) & (completeness < 0.75)
     neutral = F.abs(anomaly - 0.5) < 1e-6
-    tests = [
-        (~loaded, 40, F.lit("no_model_loaded: scoring used fallback heuristics only")),
-        (low, 30, F.concat(F.lit("low_data_completeness: only "), share, F.lit(" of sources contributed"))),
-        (partial, 15, F.concat(F.lit("partial_data: "), share, F.lit(" of sources contributed"))),
-        (n_signals < 2, 10, F.lit("few_signals: fewer than 2 live signals found in lookback window")),
-        (n_drivers == 0, 10, F.lit("no_shap_drivers: model explanation unavailable")),
-        (neutral, 5, F.lit("anomaly_default: anomaly detector returned neutral score (may lack data)")),
-    ]
+    said = lambda name: F.replace(F.lit(CONFIDENCE_FLAGS[name]), F.lit("{share}"), share) if "{share}" in CONFIDENCE_FLAGS[name] else F.lit(CONFIDENCE_FLAGS[name])
+    tests = [(~loaded, 40, "no_model"), (low, 30, "low"), (partial, 15, "partial"), (n_signals < 2, 10, "few"), (n_drivers == 0, 10, "no_drivers"), (neutral, 5, "neutral")]
     score = F.lit(100.0)
     for test, cost, _ in tests:
         score = score - F.when(test, float(cost)).otherwise(0.0)
-    return F.greatest(F.lit(0.0), score), F.filter(F.array(*[F.when(t, f) for t, _, f in tests]), lambda x: x.isNotNull())
+    return F.greatest(F.lit(0.0), score), F.filter(F.array(*[F.when(t, said(f)) for t, _, f in tests]), lambda x: x.isNotNull())
 
 
 def actions(tier: Column) -> Column:
@@ -92,10 +86,11 @@ def latest(gold: DataFrame) -> DataFrame:
     return gold.groupBy("port_id").agg(F.max("week_ending").alias("features_week_ending"), F.max_by("data_completeness_score", "week_ending").alias("data_completeness"))
 
 
-def cards(impact: DataFrame, gold: DataFrame, signals: DataFrame, predictions: DataFrame | None = None, horizon: int = 7) -> DataFrame:
-    """One card a port. predictions (port_id, p_disruption, anomaly_score, drivers); without them neutral priors of 0.5."""
+def cards(impact: DataFrame, newest: DataFrame, signals: DataFrame, predictions: DataFrame | None = None, horizon: int = 7) -> DataFrame:
+    """One card a port. newest (port_id, features_week_ending, data_completeness): the newest gold row of each port, as latest()
+    gives it; predictions (port_id, p_disruption, anomaly_score, drivers); without them neutral priors of 0.5."""
     counts = signals.groupBy("port_id").agg(F.count("*").cast("int").alias("n_signals"))
-    out = impact.join(latest(gold), "port_id", "left").join(counts, "port_id", "left")
+    out = impact.join(newest, "port_id", "left").join(counts, "port_id", "left")
     out = out.withColumns({"n_signals": F.coalesce("n_signals", F.lit(0)), "data_completeness": F.coalesce("data_completeness", F.when(F.col("features_week_ending").isNotNull(), F.lit(0.5)).otherwise(0.0))})
     if predictions is None:
         out = out.withColumns({"p_disruption": F.lit(0.5), "anomaly_score": F.lit(0.5), "drivers": F.array().cast("array<struct<feature:string,impact:double>>"), "model_loaded": F.lit(False)})
@@ -110,6 +105,32 @@ def cards(impact: DataFrame, gold: DataFrame, signals: DataFrame, predictions: D
     return out.withColumns(unit | {"recommended_actions": actions(F.col("risk_tier")), "forecast_horizon_days": F.lit(horizon)})
 
 
+def ranked(cards: DataFrame, by: str = "risk_score", ascending: bool = False) -> DataFrame:
+    """cards with place, ordered by a column the user chose; ties in registry order."""
+    if by not in cards.columns:
+        raise ValueError(f"no column {by!r} to sort by")
+    first = F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)
+    return cards.withColumn("place", F.row_number().over(Window.orderBy(first, "ord"))).orderBy("place")  # ten ports
+
+
+def port_signals(signals: DataFrame, port_id: str, as_of: str, days: int) -> DataFrame:
+    """The active signals of one port over the last days, from 1 to 90, with their number."""
+    own = recent(signals.filter(F.col("port_id") == port_id), "observed_at", as_of, max(1, min(int(days), 90)))
+    return own.crossJoin(F.broadcast(own.agg(F.count("*").alias("n"))))  # one row
+
+
+def shown_signals(signals: DataFrame, most: int = 12) -> DataFrame:
+    """The signals that a port's page shows: the severest, then newest (the cap is the feature)."""
+    rank = F.row_number().over(Window.partitionBy("port_id").orderBy(F.desc("severity_order"), F.desc("observed_at"), "signal_id"))
+    return signals.withColumn("place", rank).filter(F.col("place") <= most)
+
+
+def shown_drivers(drivers: Column, most: int = 8) -> Column:
+    """The drivers that a chart shows: the largest by size."""
+    bigger = lambda x, y: F.when(F.abs(x["impact"]) > F.abs(y["impact"]), -1).when(F.abs(x["impact"]) < F.abs(y["impact"]), 1).otherwise(0)
+    return F.slice(F.array_sort(drivers, bigger), 1, most)
+
+
 def simulate(scenarios: DataFrame, impact: DataFrame, baseline: DataFrame) -> DataFrame:
     """scenarios (scenario_id, port_id, p_disruption, anomaly_score or null) to score, tier, change to the baseline and actions."""
     known = scenarios.join(F.broadcast(impact.select("port_id", "impact_index")), "port_id").join(F.broadcast(baseline.select("port_id", F.col("risk_score").alias("baseline_score"))), "port_id", "left")

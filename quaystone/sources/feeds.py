@@ -69,6 +69,19 @@ def parse_quakes(raw: DataFrame) -> DataFrame:
     return out.dropna(subset=["usgs_id", "magnitude", "depth_km", "lat", "lon", "occurred_at"])
 
 
+def typed_quakes(raw: DataFrame) -> DataFrame:
+    """Snapshot rows of earthquakes, all text, to types; what doesn't parse is null."""
+    number = {c: F.col(c).try_cast("double").alias(c) for c in ("magnitude", "depth_km", "lat", "lon")}
+    flag = F.coalesce(F.lower("tsunami_flag").isin("true", "1"), F.lit(False)).alias("tsunami_flag")
+    return raw.select("usgs_id", *number.values(), flag, F.try_to_timestamp("occurred_at").alias("occurred_at"))
+
+
+def typed_fires(raw: DataFrame) -> DataFrame:
+    """Snapshot rows of fire detections, all text, to types; what doesn't parse is null."""
+    number = {c: F.col(c).try_cast("double").alias(c) for c in ("lat", "lon", "frp")}
+    return raw.select(*number.values(), F.lower("confidence").alias("confidence"), F.try_to_timestamp("acquired_at").alias("acquired_at"))
+
+
 def month_date(text):
     """Month in one of three forms to a date."""
     day = F.get(F.split(text, "T"), F.lit(0))

@@ -19,47 +19,104 @@ def scratch(spark: SparkSession) -> str:
 
 
 def write_snapshot_json(df: DataFrame, root: str, source: str, ingest_date: str) -> str:
-    """Append a snapshot as JSON lines, which split; partitioned by source and date."""
+    """Append a snapshot as JSON lines, which split; partitioned by source and date. A snapshot without rows leaves no file."""
     path = f"{root}/bronze"
-    df.withColumns({"source": F.lit(source), "ingest_date": F.lit(ingest_date)}).write.mode("append").partitionBy("source", "ingest_date").json(path)
+    if not df.isEmpty():
+        df.withColumns({"source": F.lit(source), "ingest_date": F.lit(ingest_date)}).write.mode("append").partitionBy("source", "ingest_date").json(path)
     return path
 
 
-def write_envelopes(df: DataFrame, root: str, source: str, per_file: int = 500) -> str:
-    """Append a snapshot as envelopes: one JSON object with its records in an array, of about per_file records each."""
+def write_envelopes(df: DataFrame, root: str, source: str, per_file: int = 500, indented: bool = False) -> str:
+    """Append a snapshot as envelopes: one JSON object with its records in an array, of about per_file records each. indented:
+    each over several lines, in a file of its own. A snapshot without rows leaves no file."""
     path = f"{root}/bronze_envelopes/{source}"
-    chunk = F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(max(1, df.count() // per_file)))
+    n = df.count()
+    if not n:
+        return path
+    chunk = F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(max(1, n // per_file)))
     packed = df.select(chunk.alias("chunk"), F.struct(*df.columns).alias("r")).groupBy("chunk").agg(F.collect_list("r").alias("records"))
     body = F.struct(F.lit("2001-01-30T00:00:00Z").alias("written_at"), F.lit(source).alias("source"), F.concat(F.lit("run-"), "chunk").alias("run_id"), F.size("records").alias("count"), "records")
-    packed.select(F.to_json(body).alias("value")).write.mode("append").text(path)
+    out = packed.select("chunk", F.to_json(body, {"pretty": "true"} if indented else {}).alias("value"))
+    # maxRecordsPerFile puts each envelope into a file of its own, as one that spans lines can't share its file.
+    (out.select("value").write.option("maxRecordsPerFile", 1) if indented else out.select("value").write).mode("append").text(path)
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any of Spark's file systems is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_envelopes(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Records of envelopes, of bare arrays and of bare objects; malformed rows go. record: schema of a record."""
-    rows = spark.read.text(path)
+    """Records of envelopes, of bare arrays and of bare objects: one JSON text to a file, over any number of lines, or one to a
+    line. What is malformed goes, and a missing folder has no records. A file is a snapshot and is parsed in memory as a whole.
+    record: schema of a record."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], record)
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    # A file is read line by line if its first line is closed in itself.
+    first = F.trim(F.regexp_extract(text, r"^[^\r\n]*", 0))
+    closed = lambda line, ends: line.startswith(ends[0]) & line.endswith(ends[1])
+    by_line = closed(first, "{}") | closed(first, "[]") | ~(first.startswith("{") | first.startswith("["))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.when(by_line, F.split(text, r"\r?\n")).otherwise(F.array(text))).alias("value"))
     envelope = F.from_json("value", f"records array<struct<{record}>>")["records"]
     array = F.from_json("value", f"array<struct<{record}>>")
     one = F.array(F.from_json("value", f"struct<{record}>"))
-    bare = F.trim("value").startswith("[")
+    bare = F.ltrim("value").startswith("[")
     wrapped = F.get_json_object("value", "$.records").isNotNull()
     found = F.when(bare, array).when(wrapped, envelope).otherwise(one)
     return rows.select(F.inline(found)).dropna(how="all")
 
 
 def write_snapshot_parquet(df: DataFrame, root: str, source: str) -> str:
+    """Append a snapshot. One without rows leaves no file."""
     path = f"{root}/bronze_parquet/{source}"
-    df.write.mode("append").parquet(path)
+    if not df.isEmpty():
+        df.write.mode("append").parquet(path)
     return path
 
 
 def write_silver(df: DataFrame, root: str, source: str, by: str = "date") -> str:
-    """Replace the partitions that df has, and no others; a second write of the same rows changes nothing."""
+    """Replace the partitions that df has, and no others; a second write of the same rows changes nothing. Rows without the
+    column `by` belong to today."""
     path = f"{root}/silver/{source}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    dated = df if by in df.columns else df.withColumn(by, F.current_date())
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     return path
 
 
+def write_gold(df: DataFrame, root: str, name: str = "port_features") -> str:
+    """Replace a gold table, in the order of port and week."""
+    path = f"{root}/gold/{name}"
+    df.repartitionByRange("port_id", "week_ending").sortWithinPartitions("port_id", "week_ending").write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_gold(spark: SparkSession, root: str, name: str = "port_features") -> DataFrame:
+    """The gold table as it was written; a FileNotFoundError where there is none."""
+    path = f"{root}/gold/{name}"
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no gold table at {path}")
+    return spark.read.parquet(path)
+
+
+def availability(sources: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each source: source, n."""
+    out = None
+    for name, df in sources.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stop_if_empty(counts: DataFrame) -> DataFrame:
+    """counts as they are; a ValueError if no source has a row, as nothing can be built then."""
+    if not counts.agg(F.sum("n")).first()[0]:
+        raise ValueError("no source has any rows")
+    return counts
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The record that counts of each run: the last by start, end and sequence."""
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("started_at"), F.desc_nulls_last("finished_at"), F.desc("seq")))
@@ -78,6 +135,16 @@ def manifest(df: DataFrame) -> DataFrame:
     return files.groupBy("file_path", "file_size").agg(F.count("*").alias("n_rows"))
 
 
+def manifest_by_source(sources: dict[str, DataFrame]) -> DataFrame:
+    """Files, bytes and rows of each source: source, n_files, n_bytes, n_rows."""
+    out = None
+    for name, df in sources.items():
+        one = manifest(df).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+        one = one.select(F.lit(name).alias("source"), "n_files", "n_bytes", "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def quality_checks(df: DataFrame, checks: dict[str, str]) -> DataFrame:
     """checks: name to condition that every row should meet. One pass; one row a check, with the rows that fail it."""
     one = df.agg(F.count("*").alias("__n"), *[F.count_if(~F.coalesce(F.expr(test), F.lit(False))).alias(name) for name, test in checks.items()])

@@ -43,16 +43,27 @@ def sliding_active(alerts: DataFrame) -> DataFrame:
     return out.select("port_id", F.col("window.end").cast("date").alias("day"), "active")
 
 
-def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what has landed, then stop. mode: append, or complete with a whole result each time."""
-    if mode == "append":
-        df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
-        return
+def run_available(df: DataFrame, sink: str, checkpoint: str) -> None:
+    """Append what has landed, then stop."""
+    df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
 
-    df.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_keyed(df: DataFrame, sink: str, checkpoint: str) -> None:
+    """Process what has landed in update mode, then stop: a batch writes the aggregates that it changed, and state that the
+    watermark has passed goes. A batch that runs again replaces its own folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_keyed(spark: SparkSession, sink: str, like: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key in a sink of run_keyed. like: a frame with its columns."""
+    rest = [c for c in like.columns if c not in keys]
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in like.dtypes)}, batch long").parquet(sink)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v"))
+    return newest.select(*keys, *[F.col("v")[c].alias(c) for c in rest]).select(*like.columns)
 
 
 def refresh_gold(throughput: DataFrame, lake_path: str, rebuild: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> list[str]:
@@ -62,7 +73,7 @@ def refresh_gold(throughput: DataFrame, lake_path: str, rebuild: Callable[[DataF
 
     def load(batch: DataFrame, number: int) -> None:
         batch.write.mode("append").parquet(lake_path)
-        touched = [r[0] for r in batch.select("port_id").distinct().limit(len(PORT_IDS) + 1).collect()]  # at most the ports
+        touched = [r[0] for r in batch.filter(F.col("port_id").isin(PORT_IDS)).select("port_id").distinct().collect()]  # at most the ports
         spark = batch.sparkSession
         try:
             rows = spark.read.parquet(lake_path).filter(F.col("port_id").isin(touched))

@@ -111,5 +111,58 @@ def test_geography(spark):
     assert {r.id for r in geo.in_box(df).collect()} == {1, 2}
 
 
+def test_canonical_columns(spark):
+    got = weekly.canonical(spark.createDataFrame([("la_lb", 3, 1.5)], "port_id string, alert_count long, extra double"))
+    assert got.columns == GOLD_COLUMNS and dict(got.dtypes)["eq_depth_min_km"] == "double" and dict(got.dtypes)["week_ending"] == "date" and dict(got.dtypes)["fire_count"] == "int"
+    assert got.first().alert_count == 3 and got.first().fire_count is None
+
+
+def test_newest_rows_are_those_of_the_gold_table(spark):
+    from quaystone.plans.features import gold_frame
+    from quaystone.plans.scoring import newest_rows
+    from quaystone.scoring.cards import latest
+
+    sf = "/root/testdata/sf0.001"
+    assert sorted(newest_rows(spark, sf).collect()) == sorted(latest(gold_frame(spark, sf)).collect())
+    bts = spark.createDataFrame([("la_lb", D(2024, 1, 7), None), ("miami", D(2024, 1, 7), 3.0), ("oakland", D(2023, 1, 1), 3.0)], "port_id string, week_ending date, median_berthing_time_hrs double")
+    some = spark.createDataFrame([("la_lb", DAY)], "port_id string, at timestamp")
+    got = {r.port_id: r.data_completeness for r in weekly.newest(ports(spark), bts, {k: (some if k == "a" else some.limit(0), F.col("at")) for k in "abcd"}).collect()}
+    assert len(got) == 10 and got["miami"] == 0.4 and got["la_lb"] == got["oakland"] == 0.2
+    assert weekly.newest(ports(spark), bts.limit(0), {"a": (some, F.col("at"))}).count() == 0
+
+
+def test_gold_reads_each_source_once(spark):
+    """Whether a source has rows is read from the rows that are shuffled for the join."""
+    from quaystone.plans.features import gold_frame
+
+    gold = gold_frame(spark, "/root/testdata/sf0.001")
+    gold.collect()
+    plan = gold._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    print(plan.count("ReusedExchange"), plan.count("Exchange hashpartitioning"))
+    assert plan.count("ReusedExchange") >= 4
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_percentiles_against_numpy(spark, most):
+    import numpy as np
+
+    from quaystone.operators.quantiles import percentiles
+
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=3000), rng.integers(0, 4, 3000).astype(float), np.array([5.0]), np.full(500, 2.0), np.concatenate([np.zeros(2900), rng.normal(size=100)])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+        np.testing.assert_allclose(percentiles(df, "v", shares, most), np.quantile(values, shares), rtol=1e-12)
+    assert percentiles(spark.createDataFrame([], "v double"), "v", [0.5], most) == [None]
+
+
+def test_column_profile(spark):
+    from quaystone.plans.features import column_profile
+
+    df = spark.createDataFrame([("b", 2, 1.5, D(2024, 1, 7)), ("a", None, 0.5, None)], "s string, i int, x double, d date")
+    got = {r.column_name: tuple(r)[1:] for r in column_profile(df).collect()}
+    assert got == {"s": ("text", 2, 2, None, "a"), "i": ("whole", 1, 2, 2.0, None), "x": ("real", 2, 2, 0.5, None), "d": ("date", 1, 2, None, "2024-01-07")}
+
+
 def test_column_lists():
     assert len(GOLD_COLUMNS) == 48 == len(set(GOLD_COLUMNS)) and len(MODEL_COLUMNS) == 32 and set(MODEL_COLUMNS) < set(GOLD_COLUMNS)

@@ -6,7 +6,11 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from quaystone import plans
+from quaystone.models import job, store
 from quaystone.models import metrics as m
 from quaystone.models import trees as t
 
@@ -16,19 +20,20 @@ def preds(spark, y, s):
 
 
 def test_metrics(spark):
-    perfect = preds(spark, [1, 0, 1, 0, 1], [0.9, 0.1, 0.8, 0.2, 0.7])
+    perfect = preds(spark, [0, 1, 1, 0, 0, 1], [0.31, 0.64, 0.93, 0.05, 0.22, 0.57])
     assert m.average_precision(perfect, ["fold"]).first().pr_auc == 1.0 and m.roc_auc(perfect, ["fold"]).first().roc_auc == 1.0
-    single = preds(spark, [0] * 10, [0.1 * i for i in range(10)])
+    single = preds(spark, [0] * 7, [0.13 * i for i in range(7)])
     assert m.average_precision(single, ["fold"]).first().pr_auc == 0.0 and m.roc_auc(single, ["fold"]).first().roc_auc == 0.5
-    s = [0.9, 0.8, 0.7, 0.3, 0.2]
-    assert m.precision_at_k(preds(spark, [1, 1, 1, 0, 0], s), ["fold"], 3).first().precision_at_k == 1.0
-    assert m.precision_at_k(preds(spark, [0, 0, 0, 1, 1], s), ["fold"], 3).first().precision_at_k == 0.0
+    s = [0.12, 0.77, 0.41, 0.95, 0.06, 0.58]
+    assert m.precision_at_k(preds(spark, [0, 1, 0, 1, 0, 0], s), ["fold"], 2).first().precision_at_k == 1.0
+    assert m.precision_at_k(preds(spark, [1, 0, 1, 0, 1, 1], s), ["fold"], 2).first().precision_at_k == 0.0
     assert m.reliability(preds(spark, [0, 1], [0.1, 0.9])).count() == 0
 
 
 def test_metrics_with_ties_against_plain_sums(spark):
     rng = random.Random(2)
-    y, s = [rng.randint(0, 1) for _ in range(200)], [rng.randint(0, 9) / 10 for _ in range(200)]
+    # Steps within and across the ranges of the two-level sums, and scores outside 0 to 1.
+    y, s = [rng.randint(0, 1) for _ in range(300)], [rng.choice([rng.randint(0, 9) / 10, rng.randint(0, 30) / 10_000, -0.5, 1.7]) for _ in range(300)]
     pos, neg = [b for a, b in zip(y, s) if a], [b for a, b in zip(y, s) if not a]
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
     ap, tp, seen = 0.0, 0, 0
@@ -45,6 +50,14 @@ def test_drift(spark):
     assert m.drift(one, hundred, ["x"]).first().drifted and not m.drift(one, one, ["x"]).first().drifted
 
 
+def test_drift_comes_in_order(spark):
+    rows = [(float(i % 5), float(i % 7) + 10 * (i >= 50), i >= 50) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, later boolean")
+    got = m.drift_between(df, ~F.col("later"), F.col("later"), ["a", "b"]).collect()
+    two = m.drift(df.filter("NOT later"), df.filter("later"), ["a", "b"]).collect()
+    assert [r.feature for r in got] == ["b", "a"] and got[0].drifted and not got[1].drifted and got == two
+
+
 def test_walk_forward(spark):
     weeks = lambda n: spark.createDataFrame([(dt.date(2022, 1, 2) + dt.timedelta(weeks=i),) for i in range(n)], "week_ending date")
     rows = m.walk_forward(weeks(80)).collect()
@@ -65,9 +78,34 @@ def test_forest_finds_outliers(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(1000, 9.0, -9.0), (1001, None, 12.0)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
-    got = {r.id: r.anomaly_score for r in t.forest_score(df, t.fit_forest(df, ["x", "y"], trees=30, sample=64), ["x", "y"]).collect()}
+    forest = t.fit_forest(df, ["x", "y"], trees=30, sample=64, keys=["id"])
+    scored = t.forest_score(df, forest, ["x", "y"])
+    got = {r.id: r.anomaly_score for r in scored.collect()}
     usual = np.mean([v for k, v in got.items() if k < 1000])
     assert 0 <= min(got.values()) and max(got.values()) <= 1 and got[1000] > 0.7 > usual and got[1001] > usual
+    marked = t.with_outliers(scored, 0.05).filter("is_outlier").collect()
+    assert 15 <= len(marked) <= 21 and {1000, 1001} <= {r.id for r in marked}
+    # New rows are scaled to the training rows, not to themselves.
+    bounds = t.forest_bounds(df, forest, ["x", "y"])
+    assert abs(t.forest_score(df.filter("id = 5"), forest, ["x", "y"], bounds).first().anomaly_score - got[5]) < 1e-12
+    assert t.forest_score(df.limit(0), forest, ["x", "y"]).count() == 0
+
+
+def test_forest_samples_repeated_rows(spark):
+    """Rows that are equal in value are drawn one by one, at small and at large sizes."""
+    same = spark.range(19_000).selectExpr("id", "0.0D AS x", "0.0D AS y")
+    rest = spark.range(19_000, 20_000).selectExpr("id", "rand(1) AS x", "rand(2) AS y")
+    df = same.union(rest)
+    for trees, sample in ((20, 256), (5, 64)):
+        assert (20_000 > 4 * trees * sample) == (trees == 5)
+        nodes = t.fit_forest(df, ["x", "y"], trees=trees, sample=sample, keys=["id"]).collect()
+        assert [r["size"] for r in sorted(nodes) if r.node == 0] == [sample] * trees
+        leaves = {}
+        for r in nodes:
+            if r.feature < 0:
+                leaves[r.tree] = max(leaves.get(r.tree, 0), r["size"])
+        assert all(0.8 * sample < v < sample for v in leaves.values())  # 95 % of the rows are one point
+    assert [r["size"] for r in t.fit_forest(df.limit(10), ["x", "y"], trees=3, sample=64, keys=["id"]).filter("node = 0").collect()] == [10] * 3
 
 
 def test_attributions_add_up_and_match_model(spark):
@@ -85,21 +123,119 @@ def test_attributions_add_up_and_match_model(spark):
     assert np.mean([r.drivers[0].feature == "a" for r in got]) > 0.5
 
 
-def test_queries_run_the_whole_training_budget(spark, monkeypatch):
+def test_importance_is_the_mean_of_attributions(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, *map(float, r), int(r[1] > 0)) for i, r in enumerate(rng.normal(size=(200, 3)))], "id long, a double, b double, c double, is_disruption_week int").repartition(3)
+    cols = ["a", "b", "c"]
+    model = t.train_gbt(t.with_vector(df, cols), {"maxIter": 3, "maxDepth": 3})
+    got = t.importance(model, df, cols).collect()
+    parts = np.abs(t.attributions(np.array([[r.a, r.b, r.c] for r in df.collect()]), t.node_tables(model))).mean(axis=0)
+    assert got[0].feature == "b" and [r.mean_impact for r in got] == sorted((r.mean_impact for r in got), reverse=True) and all(r.n == 200 for r in got)
+    assert all(abs(r.mean_impact - parts[cols.index(r.feature)]) < 1e-12 for r in got)
+
+
+def test_guards(spark):
+    few = t.with_vector(spark.createDataFrame([(float(i), i % 2) for i in range(9)], "a double, is_disruption_week int"), ["a"])
+    with pytest.raises(ValueError):
+        t.train_gbt(few)
+    p = spark.createDataFrame([(i / 30, int(i > 12)) for i in range(30)], "p double, y int")
+    assert t.fit_calibration(p.limit(19)) is None and t.fit_calibration(p.filter("y = 1").union(p.filter("y = 1"))) is None
+    assert [r.calibrated for r in t.calibrate(p.limit(5)).collect()] == [r.p for r in p.limit(5).collect()]
+    for method in ("sigmoid", "isotonic"):
+        got = [r.calibrated for r in t.calibrate(p, method).orderBy("p").collect()]
+        assert all(0 <= x <= 1 for x in got) and got == sorted(got) and got[0] < 0.2 < 0.8 < got[-1]
+    weeks = [dt.date(2022, 1, 2) + dt.timedelta(weeks=i) for i in range(80)]
+    flat = t.with_vector(spark.createDataFrame([(w, "x", float(i), int(i % 2 and i < 70)) for i, w in enumerate(weeks)], "week_ending date, port_id string, a double, is_disruption_week int"), ["a"])
+    splits = m.walk_forward(flat.select("week_ending"))
+    # Test weeks from the 72nd on hold one class, so their folds are left out, though both classes are in the training rows.
+    assert [f for f, _, _ in t._usable(flat, splits, 20)] == [0, 1, 2] and t._usable(flat, splits, 1000) == []
+    assert t.search_table(flat.limit(79), splits, [{}]) == [] and t.search_table(flat, splits, []) == []
+    empty = t.fold_report(flat, splits.limit(0))
+    assert empty.count() == 0 and t.cv_score(empty).first().asDict() == {"cv_pr_auc": 0.0, "cv_roc_auc": 0.0, "folds": 0}
+
+
+def test_budgets():
     from quaystone.plans import training
 
-    seen = []
-    monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: weeks)
-    monkeypatch.setattr(training, "labelled", lambda rows: rows)
-    monkeypatch.setattr(training.t, "search", lambda rows, splits, grid: seen.append((splits, grid)))
-    weeks = spark.createDataFrame([(dt.date(2022, 1, 2) + dt.timedelta(weeks=i),) for i in range(80)], "week_ending date")
-    training.ml_param_search(spark, "")
-    splits, grid = seen[0]
-    assert splits.select("fold").distinct().count() == 5 and len(grid) == 30 and grid == t.settings()
-    assert all(len({g[k] for g in grid}) > 1 for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode"))
+    whole, part = t.settings(), t.settings(training.SEARCH["trials"], trees=training.SEARCH["trees"])
+    for grid in (whole, part):
+        assert all(len({g[k] for g in grid}) > 1 for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode"))
+    assert len(whole) == 30 and max(g["maxIter"] for g in whole) > 300 and training.FOLDS == 5
+    assert training.SEARCH["trials"] >= 5 and training.SEARCH["folds"] >= 3 and training.SEARCH["trees"][0] >= 20
     assert (t.DEFAULTS["maxIter"], t.DEFAULTS["maxDepth"], t.DEFAULTS["stepSize"], t.TREES) == (200, 5, 0.05, 200)
 
 
+SMALL = {"maxIter": 2, "maxDepth": 2}
+
+
+@pytest.fixture(scope="module")
+def matrix(spark):
+    from quaystone.plans.features import feature_matrix, gold_frame
+
+    rows = feature_matrix(gold_frame(spark, "/root/testdata/sf0.001")).collect()
+    return spark.createDataFrame(rows).repartition(2).cache()
+
+
+def test_versions(spark, tmp_path, matrix):
+    root = str(tmp_path / "models")
+    known = t.with_vector(matrix.filter("is_disruption_week IS NOT NULL"))
+    model, forest = t.train_gbt(known, SMALL), t.fit_forest(matrix, trees=3, sample=32)
+    bounds = t.forest_bounds(matrix, forest)
+    assert store.champion(spark, root) is None and store.versions(spark, root).count() == 0
+    with pytest.raises(RuntimeError):
+        store.load(spark, root)
+    put = lambda score: store.save(spark, root, model, forest, bounds, {"method": "sigmoid", "x": [2.0], "y": [-1.0]}, {"tuned_cv_pr_auc": score, "n_train_rows": 7, "n_features": 33})
+    a, b, c = put(0.5), put(0.5), put(0.7)
+    assert store.champion(spark, root) == c
+    store.promote(spark, root, b)
+    assert store.champion(spark, root) == b and put(0.4) != b and store.champion(spark, root) == b
+    d = put(0.6)  # better than the one promoted, though not than the best
+    assert store.champion(spark, root) == d
+    listed = store.versions(spark, root).collect()
+    assert [r.version for r in listed][0] == d and listed[-1].version == a and [r.version for r in listed if r.is_champion] == [d] and listed[0].cv_pr_auc == 0.6
+    with pytest.raises(ValueError):
+        store.promote(spark, root, "v0")
+    with pytest.raises(ValueError):
+        store.load(spark, root, "v0")
+    back = store.load(spark, root, a)
+    assert back.bounds == bounds and back.calibration["x"] == [2.0] and back.metrics["n_features"] == 33
+    assert [r.p for r in t.predict(back.model, known).orderBy("port_id", "week_ending").collect()] == [r.p for r in t.predict(model, known).orderBy("port_id", "week_ending").collect()]
+    assert sorted(back.forest.collect()) == sorted(forest.collect())
+
+
+def test_training_job(spark, tmp_path, matrix):
+    root = str(tmp_path / "models")
+    version, found, report = job.run_training(spark, matrix, root, [SMALL, SMALL | {"maxDepth": 1}], SMALL, trees=5)
+    assert store.champion(spark, root) == version and found["trials"] == 2 and found["n_cv_folds"] == report.count() > 0 and found["n_features"] == 33
+    assert 0 <= found["tuned_cv_pr_auc"] <= 1 and abs(found["backtest_mean_roc_auc"] - np.mean([r.roc_auc for r in report.collect()])) < 1e-12
+    scored = job.score_newest(spark, matrix, root).collect()
+    assert len(scored) == 10 and all(0 <= r.p_disruption <= 1 and 0 <= r.anomaly_score <= 1 and len(r.drivers) == 5 for r in scored)
+    with pytest.raises(ValueError):
+        job.run_training(spark, matrix.limit(5), root)
+
+
+@pytest.mark.parametrize("name", ["ml_gbt_predict", "ml_backtest", "ml_cv_score", "ml_param_search", "ml_calibrate", "ml_iforest", "ml_anomaly_share", "ml_drivers", "ml_importance", "ml_training_job", "sc_risk_card_model"])
+def test_model_queries(spark, monkeypatch, matrix, name):
+    """Every model query, with few and small trees: its rows and ranges."""
+    from quaystone.plans import training
+
+    monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: matrix)
+    monkeypatch.setattr(t, "DEFAULTS", t.DEFAULTS | SMALL)
+    monkeypatch.setattr(t, "settings", lambda trials, trees: [SMALL, SMALL | {"maxDepth": 1}])
+    rows = plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    known = matrix.filter("is_disruption_week IS NOT NULL").count()
+    sizes = {"ml_gbt_predict": known, "ml_cv_score": 1, "ml_param_search": 2, "ml_iforest": matrix.count(), "ml_anomaly_share": 1, "ml_drivers": known, "ml_importance": 33, "ml_training_job": 1, "sc_risk_card_model": 10}
+    assert len(rows) == sizes.get(name, len(rows)) and rows
+    for c in ("p", "calibrated", "isotonic", "anomaly_score", "pr_auc", "roc_auc", "cv_pr_auc", "cv_roc_auc", "mean_pr_auc", "p_disruption", "outlier_share"):
+        assert all(0 <= r[c] <= 1 for r in rows if c in r)
+    if name == "ml_drivers":
+        assert all(len(r.drivers) == 5 and abs(r.base + r.total_impact - r.margin) < 1e-9 for r in rows)
+    if name == "ml_anomaly_share":
+        assert rows[0].n == matrix.count() and 0.03 <= rows[0].outlier_share <= 0.051
+    if name == "ml_backtest":
+        assert [r.fold for r in rows] == sorted(r.fold for r in rows) and all(r.train_end < r.test_start for r in rows)
+
+
 def test_report_and_search_over_folds(spark):
     rng = np.random.default_rng(3)
     rows = [(dt.date(2022, 1, 2) + dt.timedelta(weeks=i // 4), str(i % 4), *map(float, rng.normal(size=2))) for i in range(240)]
@@ -107,7 +243,8 @@ def test_report_and_search_over_folds(spark):
     splits = m.walk_forward(df.select("week_ending"))
     small = {"maxIter": 1, "maxDepth": 2}
     report = t.fold_report(df, splits, small).collect()
-    assert sorted((r.fold, r.n_train, r.n_test) for r in report) == [(f, 4 * (40 + 4 * f), 16) for f in range(5)]
+    assert [(r.fold, r.n_train, r.n_test) for r in report] == [(f, 4 * (40 + 4 * f), 16) for f in range(5)]
+    assert all(r.train_start == dt.date(2022, 1, 2) and r.train_end < r.test_start <= r.test_end for r in report)
     found = t.search(df, splits, [small, small | {"maxDepth": 1}]).collect()
     assert [(r.trial, r.folds) for r in found] == [(0, 5), (1, 5)]
     assert abs(found[0].mean_pr_auc - np.mean([r.pr_auc for r in report])) < 1e-9
@@ -168,8 +305,6 @@ def test_attributions_of_deep_trees_take_few_walks(monkeypatch):
 
 
 def test_drivers_explain_the_served_model(monkeypatch):
-    import pytest
-
     from quaystone.plans import training
 
     class Stopped(Exception):
@@ -182,7 +317,7 @@ def test_drivers_explain_the_served_model(monkeypatch):
     monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: None)
     monkeypatch.setattr(training, "labelled", lambda rows: rows)
     monkeypatch.setattr(training.t, "train_gbt", trained)
-    for name in ("ml_gbt_predict", "ml_drivers", "sc_risk_card_model"):
+    for name in ("ml_gbt_predict", "ml_drivers", "ml_importance"):
         with pytest.raises(Stopped):
             getattr(training, name)(None, "")
 

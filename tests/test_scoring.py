@@ -62,7 +62,7 @@ def test_signals(spark):
 
 def test_cards_without_model(spark):
     gold = spark.createDataFrame([("la_lb", dt.date(2024, 5, 5), 0.6), ("la_lb", dt.date(2024, 4, 28), 1.0)], "port_id string, week_ending date, data_completeness_score double")
-    cards = {r.port_id: r for r in c.cards(impact_table(spark), gold, found(spark)).collect()}
+    cards = {r.port_id: r for r in c.cards(impact_table(spark), c.latest(gold), found(spark)).collect()}
     assert len(cards) == 10
     la, sea = cards["la_lb"], cards["seattle"]
     assert la.impact_index == 1.0 and la.data_completeness == 0.6 and la.n_signals == 24 and la.confidence_score == 30 and sea.data_completeness == 0.0 and sea.n_signals == 0
@@ -86,7 +86,8 @@ def test_evidence_packs_come_in_parts(spark):
     many = spark.range(3000).selectExpr("concat('x', id) AS signal_id", "'nws' AS source", "'weather_alert' AS signal_type", "'d' AS description", "'low' AS severity", "'miami' AS port_id", "timestamp_ntz'2024-05-09 00:00:00' AS observed_at", "cast(id % 3 AS int) AS severity_order")
     signals = few.unionByName(many.select(*[F.col(c).cast(t) for c, t in few.dtypes]))
     gold = spark.createDataFrame([], "port_id string, week_ending date, data_completeness_score double")
-    rows = evidence_packs(c.cards(impact_table(spark), gold, signals), signals).collect()
+    cards = c.cards(impact_table(spark), c.latest(gold), signals)
+    rows = evidence_packs(cards, signals).collect()
     packs = {(r.port_id, r.part): json.loads(r.pack)["active_signals"] for r in rows}
     miami = [packs[("miami", i)] for i in range(1, 7)]
     assert len(rows) == len(packs) == 15 and {(r.n_signals, r.parts) for r in rows if r.port_id == "miami"} == {(3000, 6)}
@@ -94,3 +95,31 @@ def test_evidence_packs_come_in_parts(spark):
     severity = [x["o"] for p in miami for x in p]
     assert severity == sorted(severity)
     assert [len(packs[(p, 1)]) for p in ("la_lb", "ny_nj", "seattle")] == [24, 1, 0]
+    top = max(r.risk_score for r in rows)
+    assert {r.max_risk for r in rows} == {top} and {r.port_id for r in rows if r.is_empty} == {r.port_id for r in rows} - {"la_lb", "ny_nj", "miami"}
+    overview = json.loads(rows[0].pack)["overview"]
+    assert [x["risk_score"] for x in overview] == sorted((x["risk_score"] for x in overview), reverse=True) and len(overview) == 10
+    some = evidence_packs(cards, signals, ["seattle", "atlantis", "ny_nj"]).collect()
+    assert sorted(r.port_id for r in some) == ["ny_nj", "seattle"] and len(json.loads(some[0].pack)["overview"]) == 2
+    assert some[0].max_risk == max(r.risk_score for r in some) and len(evidence_packs(cards, signals, []).collect()) == 15
+    assert evidence_packs(cards, signals, ["atlantis"]).count() == 0
+
+
+def test_choices_and_caps(spark):
+    gold = spark.createDataFrame([], "port_id string, week_ending date, data_completeness_score double")
+    signals = found(spark)
+    cards = c.cards(impact_table(spark), c.latest(gold), signals)
+    down, up = c.ranked(cards).collect(), c.ranked(cards, "n_signals", ascending=True).collect()
+    assert [r.risk_score for r in down] == sorted((r.risk_score for r in down), reverse=True) and [r.place for r in down] == list(range(1, 11))
+    assert [r.n_signals for r in up] == sorted(r.n_signals for r in up) and up[-1].port_id == "la_lb"
+    with pytest.raises(ValueError):
+        c.ranked(cards, "colour")
+    shown = [r for r in c.shown_signals(signals).collect() if r.port_id == "la_lb"]
+    shown.sort(key=lambda r: r.place)
+    assert [r.place for r in shown] == list(range(1, 13)) and [r.severity_order for r in shown] == sorted((r.severity_order for r in shown), reverse=True)
+    assert (shown[0].signal_id, shown[0].severity) == ("usgs-q", "critical")
+    long = c.port_signals(signals, "la_lb", AS_OF, 500).collect()
+    short = c.port_signals(signals, "la_lb", AS_OF, 0).collect()
+    assert {r.n for r in long} == {24} == {len(long)} and {r.n for r in short} == {len(short)} and c.port_signals(signals, "atlantis", AS_OF, 7).count() == 0
+    some = F.array(*[F.struct(F.lit(f"f{i}").alias("feature"), F.lit(float((-1) ** i * i)).alias("impact")) for i in range(12)])
+    assert [x.feature for x in value(spark, c.shown_drivers(some))] == [f"f{i}" for i in range(11, 3, -1)]
