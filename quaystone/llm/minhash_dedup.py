@@ -5,8 +5,9 @@
 2. Documents with equal sets are one class; from here on a class is its smallest doc_id.
 3. In each band bucket the smallest member is paired with every other. The popcount of the XOR of two odd sketches estimates
    the similarity; pairs that may reach the threshold are checked on full shingle sets.
-4. Buckets that still hold several components are searched completely, in blocks of members, again on full sets. Only links
-   that join components leave a block, so no task emits all pairs of a group.
+4. Buckets that still hold several components are searched completely, in blocks of members. Their odd sketches tell which
+   members of a block may be linked with one of another component; the full sets of those, and only those, go into the block and
+   settle it. Only links that join components leave a block, so no task emits all pairs of a group.
 5. Connected components of the links give each document the smallest doc_id that it reaches.
 
 A pair at the threshold of 0.85 misses all bands with a chance of 6e-11, at 0.8 of 5e-8.
@@ -22,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import blobs, lists, mix, pieces, shared_dir, shingles, stored, string_buffer, text_of, words
+from quaystone.llm.common import lists, mix, pieces, shared_dir, shingles, stored, string_buffer, text_of, words
 from quaystone.llm.components import connected
 
-SHINGLE, BANDS, ROWS, BITS, BLOCK = 5, 32, 4, 512, 256
+SHINGLE, BANDS, ROWS, BITS, BLOCK = 5, 32, 4, 512, 1024
 SAMPLES = BANDS * ROWS
+#: Columns of a member of a block: the block (bucket, parts p and q of it, whether q is of the largest component), side and node.
+MEMBER = ["bucket", "p", "q", "cored", "side", "rep", "label"]
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _B = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -79,29 +82,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, limit=4 << 20):
         sets = list(_sets(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), blobs(np.concatenate(sets), np.cumsum([0, *(8 * len(x) for x in sets)]))], ["doc_id", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(sets).view(np.int64), np.cumsum([0, *map(len, sets)]), pa.int64())], ["doc_id", "items"])
 
 
-def _views(column: pa.Array) -> list[np.ndarray]:
-    raw, offsets = string_buffer(column)
-    return [raw[a:b].view(np.uint64) if a % 8 == 0 else raw[a:b].copy().view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+def _similar(percent: int) -> Column:
+    """Whether the sets x and y, which are not empty, are alike; row by row, so that memory doesn't depend on their number."""
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    return 100 * both >= percent * (F.size("x") + F.size("y") - both)
 
 
-def _similar(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(_views(batch.column(2)), _views(batch.column(3)), strict=True)):
-                if len(x) > len(y):
-                    x, y = y, x
-                if len(x) and 100 * len(x) >= percent * len(y):
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int((y[at] == x).sum())
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
-
-    return run
+def _arrays(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values of a list column, and their n + 1 bounds."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -124,31 +117,48 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _apart(labels: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Pairs of a block that a link would join: of different components and, between two blocks, of different ones."""
+    out = labels[:, None] != labels[None, :]
+    return out & (side[:, None] != side[None, :]) if side.any() else out
+
+
+def _sketch_block(most: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Members of a block whose odd sketches are near enough to one of another component."""
+        flat, _ = _arrays(group.column("sketch"))
+        words_of = flat.reshape(group.num_rows, -1)
+        odd = np.zeros((len(words_of), len(words_of)), np.int32)
+        for k in range(words_of.shape[1]):
+            odd += np.bitwise_count(words_of[:, None, k] ^ words_of[None, :, k])
+        near = (odd <= most) & _apart(group.column("label").to_numpy(), group.column("side").to_numpy())
+        return group.select(MEMBER).filter(pa.array(near.any(axis=1)))
+
+    return run
+
+
 def _search_block(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """Links between components inside one block, or between two blocks: at most one for each pair of labels, and no cycles."""
+        """Links between components inside one block, or between two blocks: each to the smallest label that it reaches there."""
         labels, side = group.column("label").to_numpy(), group.column("side").to_numpy()
-        sets = _views(group.column("items"))
+        flat, bounds = _arrays(group.column("items"))
+        sets = np.split(flat, bounds[1:-1])
         both = _shared_counts(sets).astype(np.int64)
-        size = np.array([len(x) for x in sets])
-        hit = np.triu((100 * both >= percent * (size[:, None] + size[None, :] - both)) & (labels[:, None] != labels[None, :]), 1)
-        if side.any():
-            hit &= side[:, None] != side[None, :]
+        size = np.diff(bounds)
+        hit = np.triu((100 * both >= percent * (size[:, None] + size[None, :] - both)) & _apart(labels, side), 1)
         i, j = np.nonzero(hit)
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        out = []
-        for a, b in sorted({(min(p), max(p)) for p in zip(labels[i].tolist(), labels[j].tolist(), strict=True)}):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((a, b))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        names, place = np.unique(labels, return_inverse=True)
+        a, b, root = place[i], place[j], np.arange(len(names))
+        while True:
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        joined = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[root[joined]], pa.int64()), "b": pa.array(names[joined], pa.int64())})
 
     return run
 
@@ -183,12 +193,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     stars = stored(stars, base, "stars")
     needed = stored(members.filter("n > 2").select(F.col("rep").alias("doc_id")).union(stars.select("rep")).union(stars.select("center")).distinct(), base, "needed")
-    sets = stored(docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(_full_sets, "doc_id long, items binary"), base, "sets")
+    sets = stored(docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(_full_sets, "doc_id long, items array<long>"), base, "sets")
     pairs = (
         stars.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
         .join(sets.select(F.col("doc_id").alias("center"), F.col("items").alias("x")), "center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "x", "y")
     )
-    links = stored(pairs.mapInArrow(_similar(percent), "a long, b long"), base, "links")
+    links = stored(pairs.filter(_similar(percent)).select("a", "b"), base, "links")
     labels = connected(links, base, "first")
 
     # Complete search of buckets that still hold several components.
@@ -207,8 +217,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             "bucket", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), F.lit(False).alias("cored"), F.expr("IF(blk = other, 0, IF(blk < other, 1, 2))").alias("side"), "rep", "label")
         left = rest.withColumn("q", F.explode(F.expr("sequence(0, cores - 1)"))).select("bucket", F.col("blk").alias("p"), "q", F.lit(True).alias("cored"), F.lit(1).alias("side"), "rep", "label")
         right = cores.withColumn("p", F.explode(F.expr("sequence(0, rests - 1)"))).select("bucket", "p", F.col("blk").alias("q"), F.lit(True).alias("cored"), F.lit(2).alias("side"), "rep", "label")
-        blocks = inner.unionByName(left).unionByName(right).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-        more = blocks.groupBy("bucket", "p", "q", "cored").applyInArrow(_search_block(percent), "a long, b long")
+        block = MEMBER[:4]
+        drawn = inner.unionByName(left).unionByName(right).join(sketches, "rep").groupBy(*block).applyInArrow(_sketch_block(most), "bucket long, p int, q int, cored boolean, side int, rep long, label long")
+        blocks = stored(drawn, base, "blocks").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        more = blocks.groupBy(*block).applyInArrow(_search_block(percent), "a long, b long")
         more = stored(more.distinct(), base, "more-links")
         if more.limit(1).count():
             labels = connected(links.unionByName(more), base, "second")

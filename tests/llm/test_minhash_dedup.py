@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quaystone.llm import minhash_dedup as m
 from quaystone.llm.components import connected
 from quaystone.llm.common import shared_dir
 from quaystone.llm.minhash_dedup import near_duplicates
@@ -51,6 +54,8 @@ def test_against_brute_force(spark):
     base = [[f"W{rng.randrange(5000)}" for _ in range(120)] for _ in range(3)]
     rows = [(i, edited(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3, 4]))) for i in range(150)]
     rows += [(200, None), (201, ""), (202, "a b"), (203, "A  B"), (204, "a b c"), (205, " \n\t"), (206, " ".join(base[0]).upper())]
+    long = [f"L{rng.randrange(10**6)}" for _ in range(20_000)]
+    rows += [(300, " ".join(long)), (301, edited(rng, long, 200)), (302, edited(rng, long, 2000)), *rows[:9]]  # very long texts, repeated rows
     assert run(spark, rows) == brute(rows, 85)
 
 
@@ -66,6 +71,26 @@ def test_chains_in_one_bucket(spark):
     assert run(spark, rows, 80) == brute(rows, 80)
 
 
+def test_near_misses_in_one_bucket(spark):
+    """Many documents a little too far from one another, and a few that are near enough: complete search by sketches and sets."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(260)]
+    rows = [(i, edited(rng, base, rng.choice([2, 5, 7, 8, 9, 10]))) for i in range(700)]
+    assert run(spark, rows) == brute(rows, 85)
+
+
+def test_sketches_leave_out_far_members_only():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in np.where(rng.random(300) < share, rng.integers(0, 10**6, 300), np.arange(300))) for share in (0.0, 0.002, 0.005, 0.3, 0.9, 0.95)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    signed = next(m._signatures(iter([batch])))
+    zero = pa.array([0] * 6, pa.int32())
+    group = pa.table([pa.array([1] * 6, pa.int64()), zero, zero, pa.array([False] * 6), zero, pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), signed.column(5)], [*m.MEMBER, "sketch"])
+    assert m._sketch_block(75)(group).column("rep").to_pylist() == [0, 1, 2]
+    one = group.set_column(6, "label", pa.array([0] * 6, pa.int64()))
+    assert m._sketch_block(75)(one).num_rows == 0
+
+
 def test_null_ids_and_empty(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
