@@ -59,3 +59,12 @@ def test_real_rows_and_texts(spark):
     gone = {d: set(g) for d, _, _, g in want}
     texts = {r.doc_id: r.text for r in without_lines(df, line_duplicates(df)).collect()}
     assert texts == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """A null doc_id keeps all its lines and marks no others; rows that repeat a doc_id have the same positions."""
+    line = "the quick brown fox jumps"
+    df = spark.createDataFrame([(None, line), (None, line), (4, line), (4, line), (4, "another line of text\n" + line), (5, line + "s")], "doc_id long, text string")
+    got = [(r[0], r[2], r[3]) for r in line_duplicates(df).collect()]
+    assert sorted(x for x in got if x[0] is None) == [(None, 0, []), (None, 0, [])]
+    assert sorted(x[1] for x in got if x[0] == 4) == [0, 0, 1] and [x[2] for x in got if x[0] == 5] == [[0]]

@@ -54,3 +54,21 @@ def test_other_orders(spark):
     out = token_table(spark, df, shared_dir(spark), order=[F.col("doc_id") % 7, F.col("doc_id").cast("long")])
     ids = [r.doc_id for r in out.orderBy("start").collect()]
     assert ids == sorted(range(50), key=lambda i: (i % 7, i))
+
+
+def test_repeated_ids_and_other_tokenizers(spark):
+    """Rows that repeat a doc_id are each written; a tokenizer with other rules encodes whole texts."""
+    import os
+
+    rows = [(7, "one text"), (7, "one text"), (7, "another, longer text"), (None, "x"), (None, "x"), (3, "Three.")]
+    got = run(spark, rows)
+    crcs = {t: zlib.crc32(np.array([*TOKENIZER.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows}
+    assert [r[0] for r in got] == [None, None, 3, 7, 7, 7] and sorted(r[3] for r in got) == sorted(crcs[t] for _, t in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    path = os.path.join(os.path.dirname(public_tokenizers.path("word_bpe_49k.json")), "byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    texts = [(1, "Upper  and lower,  two spaces. "), (2, None), (3, "UPPER\tand\nlower")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    folder = shared_dir(spark)
+    back = read_tokens(write_tokens(df, folder, path), folder).orderBy("doc_id").collect()
+    assert [r.ids for r in back] == [[*other.encode(t or "", add_special_tokens=False).ids, 1] for _, t in texts]
