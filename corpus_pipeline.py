@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next one.
 All stages but the last return the columns of documents. The mix decides the order of the rows in its files, and the token
 files follow that order.
+
+Cases, the same in every stage: a null text is an empty one; rows without a doc_id stay up to the end, as nothing can be said of
+them; rows that repeat a doc_id go together in near_dedup and decontamination, and one by one elsewhere; an empty table gives an
+empty table; extra columns stay up to the last stage, also those named as an operator's own.
 """
 
 from __future__ import annotations
