@@ -17,7 +17,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaystone.llm.source_mix import mixed
 
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed(table(spark, sf_dir, "documents"))
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

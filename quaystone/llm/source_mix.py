@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS, SEED = 16, 17
-#: Rows that one sorting task of the ranking should get.
-RANK_ROWS = 20_000
+#: Rows of a source that are ranked together.
+RANK_ROWS = 5_000
+#: Sources of several ranges that every task is told of, at most; more are joined.
+LISTED = 100_000
 #: Releases and deadlines of sources with next to no weight end here.
 FAR = 1 << 62
 
@@ -152,12 +154,22 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, b
     # Rank within a source in two levels, so that no task sorts a whole source: ranges of the hash, then places in a range.
     whole = F.xxhash64(F.lit(seed), *kept)
     hashed = F.xxhash64(F.lit(seed), key) if key is not None else F.when(F.col("doc_id").isNull(), whole).otherwise(F.xxhash64(F.lit(seed), "doc_id")) if "doc_id" in kept else whole
-    parts = max(1, -(-sum(counts.values()) // RANK_ROWS))
-    ranked = named.withColumn("mix_hash", hashed).withColumn("mix_range", F.pmod("mix_hash", F.lit(parts)))
-    inner = Window.partitionBy("mix_source", "mix_range").orderBy("mix_hash")
-    sizes = named.withColumn("mix_range", F.pmod(hashed, F.lit(parts))).groupBy("mix_source", "mix_range").count()
-    sizes = sizes.withColumn("mix_before", F.sum("count").over(Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = ranked.withColumn("mix_rank", F.row_number().over(inner)).join(sizes.drop("count"), ["mix_source", "mix_range"])
-    rank = F.coalesce("mix_before", F.lit(0)) + F.col("mix_rank") - 1
-    ranked = ranked.withColumn("mix_block", F.floor(rank / block_docs)).withColumn("mix_place", F.pmod(rank, F.lit(block_docs)).cast("int"))
-    return ranked.join(slots, ["mix_source", "mix_block"]).select(*kept, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+    # Every source is cut into ranges of its own number, so those of a hot one are no larger than others. Only sources of
+    # several ranges are listed, and there are no more of them than ranges.
+    large = [(s, -(-n // RANK_ROWS)) for s, n in counts.items() if n > RANK_ROWS]
+    cuts = spark.createDataFrame(large, "mix_source string, mix_ranges long")
+    cuts = F.broadcast(cuts) if len(large) <= LISTED else cuts
+    ranged = lambda df: df.join(cuts, "mix_source", "left").withColumn("mix_range", F.expr("pmod(mix_hash, coalesce(mix_ranges, 1))")).drop("mix_ranges")
+    # What a range needs to know, one row each: how many rows are before it, and the slots of its blocks.
+    sizes = ranged(named.select("mix_source", hashed.alias("mix_hash"))).groupBy("mix_source", "mix_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("mix_before", before).withColumn("mix_block", F.explode(F.expr(f"sequence(mix_before div {block_docs}, (mix_before + n - 1) div {block_docs})")))
+    own = F.struct("mix_block", "mix_release", "mix_deadline", "mix_slot")
+    ranges = sizes.join(slots, ["mix_source", "mix_block"]).groupBy("mix_source", "mix_range").agg(F.min("mix_before").alias("mix_before"), F.sort_array(F.collect_list(own)).alias("mix_own"))
+    # The rows move once, for their rank in the range; the ranges meet them there.
+    ranked = ranged(named.withColumn("mix_hash", hashed))
+    ranked = ranked.withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_source", "mix_range").orderBy("mix_hash"))).join(ranges, ["mix_source", "mix_range"])
+    rank = F.col("mix_before") + F.col("mix_rank") - 1
+    block = F.col("mix_own")[(F.floor(rank / block_docs) - F.floor(F.col("mix_before") / block_docs)).cast("int")]
+    placed = ranked.select(*kept, block.alias("mix_own"), F.pmod(rank, F.lit(block_docs)).cast("int").alias("mix_place"))
+    return placed.select(*kept, "mix_own.mix_block", "mix_own.mix_release", "mix_own.mix_deadline", "mix_own.mix_slot", "mix_place")

@@ -106,3 +106,15 @@ def test_sources_without_weight_come_last_and_edge_cases(spark):
     assert len(got) == 104 and len({(r.mix_slot, r.mix_place) for r in got}) == 104
     assert max(r.mix_slot for r in got if r.source == "a") < min(r.mix_slot for r in got if r.source != "a")
     assert run(spark, []) == []
+
+
+def test_many_sources_and_whole_rows(spark):
+    """More than 500 sources, one of them hot; every row stays with all its columns, in blocks of its source."""
+    rows = [(i, f"s{i % 700}" if i % 3 else "hot", f"text {i}", i % 5) for i in range(6000)] + [(None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot long")
+    got = mixed(df).collect()
+    assert sorted((r.doc_id or -1, r.source or "", r.text or "") for r in got) == sorted((d or -1, s or "", t or "") for d, s, t, _ in rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.mix_slot, []).append(r)
+    assert sorted(slots) == list(range(len(slots))) and all(len({x.source for x in v}) == 1 and sorted(x.mix_place for x in v) == list(range(len(v))) for v in slots.values())
