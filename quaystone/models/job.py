@@ -12,21 +12,21 @@ from quaystone.models import trees as t
 FOLDS = 5
 
 
-def run_training(spark: SparkSession, matrix: DataFrame, root: str, grid: list[dict] | None = None, params: dict | None = None, trees: int = t.TREES) -> tuple[str, dict, DataFrame]:
+def run_training(spark: SparkSession, matrix: DataFrame, root: str, grid: list[dict] | None = None, params: dict | None = None, trees: int = t.TREES, search_folds: int = FOLDS, backtest: bool = True) -> tuple[str, dict, DataFrame]:
     """Train, find anomalies, calibrate, explain, backtest and register: the version, its metrics and the backtest's report.
 
     matrix: the feature matrix of a gold table, read again and again. grid: settings of the parameter search, which is left out
     without them, without folds or with too few rows; params: the default setting. The backtest is of the default setting, as is
-    the baseline of the search. The curve is fitted on the last fifth of the rows.
+    the baseline of the search; without it both are 0. The curve is fitted on the last fifth of the rows.
     """
     labelled = t.with_vector(matrix.filter("is_disruption_week IS NOT NULL"))
     n, share = labelled.agg(F.count("*"), F.avg("is_disruption_week")).first()
     if n < t.LEAST_ROWS:
         raise ValueError(f"too few labelled rows to train: {n}")
-    splits = m.walk_forward(labelled.select("week_ending"), folds=FOLDS)
-    report = spark.createDataFrame(t.fold_report(labelled, splits, params).collect(), t.REPORT)  # one row a fold
+    folds = lambda n: m.walk_forward(labelled.select("week_ending"), folds=n)
+    report = spark.createDataFrame(t.fold_report(labelled, folds(FOLDS), params).collect() if backtest else [], t.REPORT)  # one row a fold
     baseline = t.cv_score(report).first()
-    tried = t.search_table(labelled, splits, grid or [])
+    tried = t.search_table(labelled, folds(search_folds), grid) if grid else []
     best = max(tried, key=lambda x: (x[2], -x[0]), default=None)
     model = t.train_gbt(labelled, best[1] if best else params)
     forest = t.fit_forest(matrix, trees=trees).cache()  # trees * 2 * SAMPLE rows at most
