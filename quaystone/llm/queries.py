@@ -78,6 +78,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(stored(format_chats(turns), shared_dir(spark), "chats"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystone.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystone.llm.conversation_repair import damaged, repair_report, repaired
+
+    return repair_report(repaired(damaged(table(spark, sf_dir, "conversations")), shared_dir(spark)))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystone.llm.lexical_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_source_mix": op2_source_mix,
@@ -89,6 +107,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _OP4_SQL = """
@@ -153,9 +174,104 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS r FROM documents),
+windows AS (SELECT r, i, w[i:i + 2] AS k FROM d, unnest(generate_series(1, len(w) - 2)) AS u(i)),
+repeats AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS c FROM windows), unnest([0, 1, 2]) AS v(j) WHERE c > 1 GROUP BY r),
+commonest AS (SELECT r, max(c) AS c FROM (SELECT r, x, count(*) AS c FROM d, unnest(w) AS u(x) GROUP BY r, x) GROUP BY r),
+b AS (
+    SELECT doc_id, text, w, lines, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+           len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(c, 0) AS most,
+           len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[a-z]')) AS lower
+    FROM d LEFT JOIN repeats USING (r) LEFT JOIN commonest USING (r)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > len(lines)
+            OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) < 7 * n_words OR 2 * upper > upper + lower
+            OR 10 * len(regexp_extract_all(text, '[0-9]')) > 3 * word_chars
+            OR 10 * coalesce(list_sum(list_transform(list_filter(w, lambda x: length(x) >= 40), lambda x: length(x))), 0) > 3 * word_chars OR 4 * most > n_words) AS kept
+FROM f
+"""
+
+_CRC = "(list_reduce(list_transform(range(1, length({key}) + 1), lambda i: ascii(substr({key}, i, 1))::UBIGINT), lambda c, b: list_reduce(range(8)::UBIGINT[], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END, xor(c, b)), 4294967295::UBIGINT))"
+_NEVER = "struct_pack(c := 1000000::BIGINT, a := '', r := '')"
+_ROLES = "['user', 'user', 'assistant', 'user']"
+
+
+def _best(*choices: str) -> str:
+    return f"list_min([{', '.join(choices)}])"
+
+
+def _edit(s: str, cost: str, letter: str, turn: str) -> str:
+    return f"struct_pack(c := {s}.c + {cost}, a := {s}.a || '{letter}', r := {s}.r || {turn})"
+
+
+def _inserted(v: str) -> str:
+    """Costs, edits and turns by state 1 to 4 (nothing, system, user, assistant), if turns may be put in."""
+    user = lambda s: _edit(s, "5", "I", "chr(10) || 'user:'")
+    answer = lambda s: _edit(s, "5", "I", "chr(10) || 'assistant:'")
+    third = f"{_best(f'{v}[3]', user(f'{v}[1]'), user(f'{v}[2]'), user(f'{v}[4]'))}"
+    fourth = f"{_best(f'{v}[4]', answer(f'{v}[3]'), answer(user(f'{v}[1]')), answer(user(f'{v}[2]')))}"
+    return f"[{v}[1], {v}[2], {third}, {fourth}]"
+
+
+def _row(v: str, x: str) -> str:
+    """The same after a row x (role, text, initial, forced, extra)."""
+    kept, user, answer = f"chr(10) || {x}.role || ':' || {x}.text", f"chr(10) || 'user:' || {x}.text", f"chr(10) || 'assistant:' || {x}.text"
+    gone = [_edit(f"{v}[{s}]", "2", "D", "''") for s in (1, 2, 3, 4)]
+    keep = lambda s, initial: f"CASE WHEN {x}.initial = '{initial}' AND NOT {x}.forced THEN {_edit(f'{v}[{s}]', f'{x}.extra', 'K', kept)} ELSE {_NEVER} END"
+    new = lambda s, turn: f"CASE WHEN NOT {x}.forced THEN {_edit(f'{v}[{s}]', f'(1 + {x}.extra)', 'R', turn)} ELSE {_NEVER} END"
+    third = _best(gone[2], *[keep(s, "u") for s in (1, 2, 4)], *[new(s, user) for s in (1, 2, 4)])
+    return f"[{gone[0]}, {_best(gone[1], keep(1, 's'))}, {third}, {_best(gone[3], keep(3, 'a'), new(3, answer))}]"
+
+
+_OP12_SQL = rf"""
+WITH keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+faulty AS (SELECT *, (xor({_CRC.format(key='key')}, 4294967295::UBIGINT) % 20)::INTEGER AS fault FROM keyed),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM faulty, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM damaged),
+marked AS (
+    SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' END AS mark,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), faults AS (
+    SELECT conv_id, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count_if(mark = 'blank')::BIGINT AS blank, count_if(mark = 'duplicate')::BIGINT AS duplicate, count_if(mark = 'truncated')::BIGINT AS truncated,
+           count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM marked GROUP BY conv_id
+), steps AS (
+    SELECT conv_id, i, kind, role, text, initial, coalesce(mark IN ('blank', 'duplicate'), FALSE) AS forced, CASE WHEN mark = 'truncated' THEN 5 ELSE 0 END AS extra FROM marked, unnest([0, 1]) AS u(kind)
+    UNION ALL SELECT conv_id, max(i) + 1, 0, '', '', '', FALSE, 0 FROM marked GROUP BY conv_id
+), listed AS (SELECT conv_id, list(struct_pack(kind := kind, role := role, text := text, initial := initial, forced := forced, extra := extra) ORDER BY i, kind) AS steps FROM steps GROUP BY conv_id),
+ends AS (
+    SELECT conv_id, list_reduce(steps, lambda v, x: CASE WHEN x.kind = 0 THEN {_inserted('v')} ELSE {_row('v', 'x')} END, [struct_pack(c := 0::BIGINT, a := '', r := ''), {_NEVER}, {_NEVER}, {_NEVER}]) AS v FROM listed
+), done AS (SELECT conv_id, list_min([v[1], v[4]]) AS best FROM ends)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count_if(len(terms) > 0)::BIGINT AS big_n, sum(len(terms))::BIGINT AS big_l FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(terms) * big_n) // big_l AS m FROM d, s WHERE len(terms) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM d, unnest(terms) AS u(term) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+scores AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) WHERE doc_id IS NOT NULL GROUP BY item_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores JOIN m USING (r) WHERE score > 0) WHERE rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": _OP1_SQL,
     "op3_warc_index": _OP3_SQL,
     "op4_line_dedup": _OP4_SQL,
     "op10_chat_format": _OP10_SQL,
+    "op11_quality_rules": _OP11_SQL,
+    "op12_conversation_repair": _OP12_SQL,
+    "op13_lexical_search": _OP13_SQL,
 }
