@@ -1,6 +1,6 @@
 """Model versions: what each training run saved, and which version serves.
 
-A version is a folder with Spark's boosted trees and the forest's node table. The log of events (saved, promoted) is a table with
+A version is a folder with the node tables of the boosted trees and of the forest. The log of events (saved, promoted) is a table with
 one row an event; the champion follows from it: the first version saved, then each that is strictly better than the champion of
 its time, and any that was promoted by hand.
 """
@@ -12,11 +12,11 @@ import json
 import uuid
 from typing import NamedTuple
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.models.trees import FOREST
+from quaystone.models.boosting import NODES, Model, model_of, node_table
+from quaystone.models.trees import FEATURES, FOREST
 from quaystone.sources.lake import exists
 
 LOG = "version string, event string, at timestamp, seq long, pr_auc double, n_train_rows long, feature_count int, metrics string, calibration string, forest_low double, forest_high double"
@@ -26,7 +26,7 @@ class Bundle(NamedTuple):
     """What serving needs of a version."""
 
     version: str
-    model: GBTClassificationModel
+    model: Model
     forest: DataFrame
     bounds: tuple[float, float]
     calibration: dict | None
@@ -47,7 +47,7 @@ def _log(spark: SparkSession, root: str, version: str, event: str, *rest) -> Non
 def save(spark: SparkSession, root: str, model, forest: DataFrame, bounds: tuple[float, float], calibration: dict | None, metrics: dict) -> str:
     """Save a version below root and return its name. metrics holds tuned_cv_pr_auc, n_train_rows and n_features, and what else there is."""
     version = f"v{dt.datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
-    model.write().overwrite().save(f"{root}/{version}/trees")
+    node_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{root}/{version}/trees")
     forest.coalesce(1).write.mode("overwrite").parquet(f"{root}/{version}/forest")
     _log(spark, root, version, "saved", float(metrics["tuned_cv_pr_auc"]), int(metrics["n_train_rows"]), int(metrics["n_features"]), json.dumps(metrics), json.dumps(calibration), *map(float, bounds))
     return version
@@ -89,4 +89,4 @@ def load(spark: SparkSession, root: str, version: str | None = None) -> Bundle:
     if row is None:
         raise ValueError(f"no version {version!r}")
     forest = spark.read.schema(FOREST).parquet(f"{root}/{version}/forest")
-    return Bundle(version, GBTClassificationModel.load(f"{root}/{version}/trees"), forest, (row["forest_low"], row["forest_high"]), json.loads(row["calibration"]), json.loads(row["metrics"]))
+    return Bundle(version, model_of(spark.read.schema(NODES).parquet(f"{root}/{version}/trees"), json.loads(row["metrics"]).get("columns", FEATURES)), forest, (row["forest_low"], row["forest_high"]), json.loads(row["calibration"]), json.loads(row["metrics"]))

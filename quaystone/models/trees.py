@@ -1,24 +1,23 @@
 """Boosted trees, calibration, isolation forest and tree attributions over the gold table.
 
-Spark ML trains; isolation trees are built one group a tree; scoring broadcasts tables of tree nodes, whose number depends on
-the number and depth of trees and not on the rows.
+Boosted trees are those of models/boosting; isolation trees are built one group a tree; scoring broadcasts tables of tree nodes,
+whose number depends on the number and depth of trees and not on the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystone.models import boosting
+from quaystone.models.boosting import Model, Spec
 from quaystone.models.metrics import average_precision, precision_at_k, roc_auc
 from quaystone.operators.quantiles import percentiles
 from quaystone.registry import ANOMALY_COLUMNS, MODEL_COLUMNS
@@ -26,19 +25,14 @@ from quaystone.registry import ANOMALY_COLUMNS, MODEL_COLUMNS
 FEATURES = [*MODEL_COLUMNS, "port_id_enc"]
 ROW_KEYS = ["port_id", "week_ending"]
 FOREST = "tree int, node int, feature int, split double, left int, right int, size int"
-#: The reference's model; its share of columns a tree is one a node here.
-DEFAULTS = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+#: The usual parameters, and trees, rows a tree and share of outliers of the isolation forest.
+DEFAULTS = dict(boosting.DEFAULTS)
 TREES, SAMPLE, CONTAMINATION = 200, 256, 0.05
-#: Trials of the search, and fits that run at a time.
-TRIALS, FITS_AT_ONCE = 30, 4
+#: Trials of the search.
+TRIALS = 30
 #: Fewest labelled rows to train at all, to search parameters, of a fold's training side, and to calibrate.
 LEAST_ROWS, LEAST_SEARCH, LEAST_TRAIN, LEAST_CALIBRATION = 10, 80, 20, 20
-#: Training rows of a partition. Every level of every tree is a job, so small tables are better off with few tasks.
-ROWS_PER_TASK = 50_000
-
-
-def with_vector(matrix: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(matrix)
+LABEL = "is_disruption_week"
 
 
 def class_weight(pos: int | None, n: int) -> float:
@@ -46,60 +40,65 @@ def class_weight(pos: int | None, n: int) -> float:
     return float((n - pos) / pos) if pos else 1.0
 
 
-def train_gbt(labelled: DataFrame, params: dict | None = None):
-    """labelled (features, is_disruption_week): boosted trees with the rarer class weighted up. A ValueError with under
+def train_gbt(labelled: DataFrame, params: dict | None = None, columns: list[str] = FEATURES, keys: list[str] = ROW_KEYS) -> Model:
+    """labelled (keys, columns, is_disruption_week): boosted trees with the rarer class weighted up. A ValueError with under
     LEAST_ROWS rows."""
-    pos, n = labelled.agg(F.sum("is_disruption_week"), F.count("*")).first()
+    pos, n = labelled.agg(F.sum(LABEL), F.count("*")).first()
     if n < LEAST_ROWS:
         raise ValueError(f"too few labelled rows to train: {n}")
-    weight = F.when(F.col("is_disruption_week") == 1, class_weight(pos, n)).otherwise(1.0)
-    rows = labelled.select("features", weight.alias("weight"), F.col("is_disruption_week").cast("double").alias("label"))
-    packed = rows.coalesce(-(-n // ROWS_PER_TASK)).cache()
-    try:
-        return GBTClassifier(labelCol="label", weightCol="weight", **(DEFAULTS | (params or {}))).fit(packed)
-    finally:
-        packed.unpersist()
-
-
-def predict(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-
-
-def _usable(rows: DataFrame, splits: DataFrame, least: int) -> list[tuple[int, DataFrame, DataFrame]]:
-    """Fold, training and test rows of each fold with at least `least` training rows and test rows of both classes."""
-    out = []
-    for fold in sorted(r["fold"] for r in splits.select("fold").distinct().collect()):
-        train, test = (rows.join(F.broadcast(splits.filter((F.col("fold") == fold) & (F.col("role") == role)).select("week_ending")), "week_ending", "left_semi") for role in ("train", "test"))
-        if train.count() >= least and test.select("is_disruption_week").distinct().count() == 2:
-            out.append((fold, train, test))
-    return out
+    spec = Spec(0, boosting.EVERY, class_weight(pos, n), DEFAULTS | (params or {}))
+    return boosting.model_of(boosting.train(labelled, [spec], columns, keys, LABEL), columns)
 
 
-def _scored_folds(folds: list[tuple[int, DataFrame, DataFrame]], grid: list[dict | None]) -> list[DataFrame]:
-    """For each setting of the grid, the scored test rows of all folds. Settings and folds are a handful; each fit is Spark's, some
-    at a time."""
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        models = list(pool.map(lambda x: train_gbt(x[1][1], x[0]), [(params, fold) for params in grid for fold in folds]))
-    out = []
-    for i in range(len(grid)):
-        own = zip(models[i * len(folds) : (i + 1) * len(folds)], folds, strict=True)
-        parts = [predict(model, test).select(F.lit(fold).alias("fold"), F.col("is_disruption_week").alias("y"), "p", "week_ending", "port_id") for model, (fold, _, test) in own]
-        out.append(reduce(DataFrame.unionByName, parts))
-    return out
+def predict(model: Model, rows: DataFrame) -> DataFrame:
+    return rows.withColumn("p", boosting.probability(rows.sparkSession, model))
+
+
+def with_folds(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """rows with trains and tests: the folds whose training and test weeks a row's week is one of."""
+    of = lambda role: F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("fold"))))
+    weeks = splits.groupBy("week_ending").agg(of("train").alias("trains"), of("test").alias("tests"))
+    none = F.array().cast("array<int>")
+    return rows.join(weeks, "week_ending", "left").withColumns({c: F.coalesce(c, none) for c in ("trains", "tests")})
+
+
+def usable_folds(folded: DataFrame, least: int = LEAST_TRAIN) -> dict[int, float]:
+    """The weight of a positive row in each fold with at least `least` training rows and test rows of both classes. One row a fold."""
+    each = lambda c: folded.select(F.explode(c).alias("fold"), F.col(LABEL).alias("y"))
+    train = each("trains").groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    test = each("tests").groupBy("fold").agg(F.count_distinct("y").alias("classes"))
+    found = train.join(test, "fold").filter((F.col("n") >= least) & (F.col("classes") == 2)).collect()
+    return {r["fold"]: class_weight(r["pos"], r["n"]) for r in sorted(found)}
+
+
+def cross_validated(rows: DataFrame, splits: DataFrame, grid: list[dict | None], columns: list[str] = FEATURES, keys: list[str] = ROW_KEYS, least: int = LEAST_TRAIN) -> tuple[DataFrame, list[int]] | None:
+    """Probabilities of the test rows by every setting of the grid in every usable fold: trial, fold, keys, y, p; and the folds. All
+    are trained at once. None without a fold."""
+    folded = with_folds(rows, splits)
+    folds = usable_folds(folded, least)
+    if not folds or not grid:
+        return None
+    pairs = [(i, fold) for i in range(len(grid)) for fold in folds]
+    specs = [Spec(n, fold, folds[fold], DEFAULTS | (grid[i] or {})) for n, (i, fold) in enumerate(pairs)]
+    found = boosting.cross_validate(folded, specs, columns, keys, LABEL, F.col("trains"), F.col("tests"))
+    return found.withColumn("trial", F.floor(F.col("model") / len(folds)).cast("int")), list(folds)
 
 
 REPORT = "fold int, n_test long, positive_share double, test_start date, test_end date, n_train long, train_start date, train_end date, pr_auc double, roc_auc double, precision_at_k double"
 
 
-def fold_report(rows: DataFrame, splits: DataFrame, params: dict | None = None, k: int = 10, least: int = LEAST_TRAIN) -> DataFrame:
+def fold_report(rows: DataFrame, splits: DataFrame, params: dict | None = None, k: int = 10, least: int = LEAST_TRAIN, columns: list[str] = FEATURES) -> DataFrame:
     """One row a fold, in the order of time: sizes, dates, share of positives, PR-AUC, ROC-AUC, precision at k. A fold with under
     `least` training rows or one class of test rows is left out."""
-    folds = _usable(rows, splits, least)
-    if not folds:
-        return rows.sparkSession.createDataFrame([], REPORT)
-    scored = _scored_folds(folds, [params])[0]
+    found = cross_validated(rows, splits, [params], columns, least=least)
+    return report_of(rows, splits, *found, k=k) if found else rows.sparkSession.createDataFrame([], REPORT)
+
+
+def report_of(rows: DataFrame, splits: DataFrame, scored: DataFrame, folds: list[int], trial: int = 0, k: int = 10) -> DataFrame:
+    """The report of one trial of cross_validated()."""
+    scored = scored.filter(F.col("trial") == trial)
     size = scored.groupBy("fold").agg(F.count("*").alias("n_test"), F.avg("y").alias("positive_share"), F.min("week_ending").alias("test_start"), F.max("week_ending").alias("test_end"))
-    train = reduce(DataFrame.unionByName, [t.select(F.lit(fold).alias("fold"), "week_ending") for fold, t, _ in folds])
+    train = with_folds(rows, splits).select(F.explode("trains").alias("fold"), "week_ending").filter(F.col("fold").isin(folds))
     train = train.groupBy("fold").agg(F.count("*").alias("n_train"), F.min("week_ending").alias("train_start"), F.max("week_ending").alias("train_end"))
     out = size.join(train, "fold").join(average_precision(scored, ["fold"]), "fold").join(roc_auc(scored, ["fold"]), "fold")
     return out.join(precision_at_k(scored, ["fold"], k, "port_id"), "fold").orderBy("fold")
@@ -111,34 +110,29 @@ def cv_score(report: DataFrame) -> DataFrame:
     return report.agg(zero("pr_auc").alias("cv_pr_auc"), zero("roc_auc").alias("cv_roc_auc"), F.count("*").alias("folds"))
 
 
-def settings(trials: int = TRIALS, seed: int = 42, trees: tuple[int, int] = (50, 400)) -> list[dict]:
-    """Seeded draws from the reference's ranges of all parameters that Spark's boosted trees have (they have no L1 and L2 terms).
-    trees: the range of their number."""
+def settings(trials: int = TRIALS, seed: int = 42) -> list[dict]:
+    """Seeded draws of all eight parameters from their ranges."""
     rng = np.random.default_rng(seed)
+    log = lambda a, b: float(np.exp(rng.uniform(np.log(a), np.log(b))))
     return [
         {
-            "maxIter": int(rng.integers(trees[0], trees[1] + 1)), "maxDepth": int(rng.integers(3, 9)), "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
-            "subsamplingRate": float(rng.uniform(0.6, 1.0)), "featureSubsetStrategy": f"{rng.uniform(0.5, 1.0):.4f}", "minInstancesPerNode": int(rng.integers(1, 11)),
+            "n_estimators": int(rng.integers(50, 401)), "max_depth": int(rng.integers(3, 9)), "learning_rate": log(0.01, 0.3), "subsample": float(rng.uniform(0.6, 1.0)),
+            "colsample_bytree": float(rng.uniform(0.5, 1.0)), "min_child_weight": int(rng.integers(1, 11)), "reg_alpha": log(1e-8, 1.0), "reg_lambda": log(1e-8, 1.0),
         }
         for _ in range(trials)
     ]
 
 
-def search_table(rows: DataFrame, splits: DataFrame, grid: list[dict]) -> list[tuple[int, dict, float, int]]:
-    """Trial, setting, mean PR-AUC over the folds and number of folds, for each setting of the grid; nothing without a fold or with
-    under LEAST_SEARCH rows."""
-    if not grid or rows.count() < LEAST_SEARCH:
-        return []
-    folds = _usable(rows, splits, LEAST_TRAIN)
-    if not folds:
-        return []
-    means = [average_precision(x, ["fold"]).agg(F.avg("pr_auc"), F.count("*")).first() for x in _scored_folds(folds, grid)]
-    return [(i, params, mean, n) for i, (params, (mean, n)) in enumerate(zip(grid, means, strict=True))]
+def trial_scores(scored: DataFrame) -> list[tuple[int, float, int]]:
+    """Trial, mean PR-AUC over the folds and number of folds of cross_validated(). One row a trial."""
+    means = average_precision(scored, ["trial", "fold"]).groupBy("trial").agg(F.avg("pr_auc").alias("mean"), F.count("*").alias("folds"))
+    return sorted((r["trial"], r["mean"], r["folds"]) for r in means.collect())
 
 
-def search(rows: DataFrame, splits: DataFrame, grid: list[dict]) -> DataFrame:
-    """search_table() as a table; one row a trial is on the driver."""
-    out = [(i, str(sorted(params.items())), mean, n) for i, params, mean, n in search_table(rows, splits, grid)]
+def search(rows: DataFrame, splits: DataFrame, grid: list[dict], columns: list[str] = FEATURES) -> DataFrame:
+    """trial, params, mean_pr_auc and folds of each setting of the grid; nothing without a fold or with under LEAST_SEARCH rows."""
+    found = cross_validated(rows, splits, grid, columns) if grid and rows.count() >= LEAST_SEARCH else None
+    out = [(i, str(sorted(grid[i].items())), mean, n) for i, mean, n in trial_scores(found[0])] if found else []
     return rows.sparkSession.createDataFrame(out, "trial int, params string, mean_pr_auc double, folds long")
 
 
@@ -309,29 +303,9 @@ def with_outliers(scored: DataFrame, contamination: float = CONTAMINATION) -> Da
 # Tree attributions (path-dependent Shapley values, Lundberg et al.) -----------------------------------------------------
 
 
-def node_tables(model) -> list[tuple[float, dict]]:
-    """Weight and nodes of each tree of a fitted GBT model: feature, threshold, left, right, value, cover."""
-    out = []
-    for weight, tree in zip(model.treeWeights, model.trees, strict=True):
-        feature, threshold, left, right, value, cover = [], [], [], [], [], []
-
-        def walk(node) -> int:
-            me = len(feature)
-            leaf = node.numDescendants() == 0
-            feature.append(-1 if leaf else node.split().featureIndex())
-            threshold.append(0.0 if leaf else node.split().threshold())
-            value.append(node.prediction())
-            cover.append(float(node.impurityStats().count()))
-            left.append(-1)
-            right.append(-1)
-            if not leaf:
-                left[me] = walk(node.leftChild())
-                right[me] = walk(node.rightChild())
-            return me
-
-        walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode"))
-        out.append((float(weight), {"feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left), "right": np.array(right), "value": np.array(value), "cover": np.array(cover)}))
-    return out
+def node_tables(model: Model) -> list[tuple[float, dict]]:
+    """Weight and nodes of each tree: feature, threshold, left, right, value, cover."""
+    return [(1.0, t) for t in model.trees]
 
 
 def _expected(t: dict, x: np.ndarray, known: frozenset, node: int = 0) -> np.ndarray:

@@ -113,13 +113,12 @@ def test_attributions_add_up_and_match_model(spark):
     rows = [(i, *map(float, rng.normal(size=3))) for i in range(300)]
     df = spark.createDataFrame([(*r, int(r[1] + 0.5 * r[2] > 0)) for r in rows], "id long, a double, b double, c double, is_disruption_week int")
     cols = ["a", "b", "c"]
-    vec = t.with_vector(df, cols)
-    model = t.train_gbt(vec, {"maxIter": 3, "maxDepth": 3})
+    model = t.train_gbt(df, {"n_estimators": 3, "max_depth": 3}, cols, ["id"])
     got = t.drivers(model, df, cols, ["id"]).collect()
-    p = {r.id: r.p for r in t.predict(model, vec).collect()}
+    p = {r.id: r.p for r in t.predict(model, df).collect()}
     for r in got:
         assert abs(r.base + r.total_impact - r.margin) < 1e-9
-        assert abs(1 / (1 + np.exp(-2 * r.margin)) - p[r.id]) < 1e-9
+        assert abs(1 / (1 + np.exp(-r.margin)) - p[r.id]) < 1e-9
     assert np.mean([r.drivers[0].feature == "a" for r in got]) > 0.5
 
 
@@ -127,7 +126,7 @@ def test_importance_is_the_mean_of_attributions(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, *map(float, r), int(r[1] > 0)) for i, r in enumerate(rng.normal(size=(200, 3)))], "id long, a double, b double, c double, is_disruption_week int").repartition(3)
     cols = ["a", "b", "c"]
-    model = t.train_gbt(t.with_vector(df, cols), {"maxIter": 3, "maxDepth": 3})
+    model = t.train_gbt(df, {"n_estimators": 3, "max_depth": 3}, cols, ["id"])
     got = t.importance(model, df, cols).collect()
     parts = np.abs(t.attributions(np.array([[r.a, r.b, r.c] for r in df.collect()]), t.node_tables(model))).mean(axis=0)
     assert got[0].feature == "b" and [r.mean_impact for r in got] == sorted((r.mean_impact for r in got), reverse=True) and all(r.n == 200 for r in got)
@@ -135,9 +134,9 @@ def test_importance_is_the_mean_of_attributions(spark):
 
 
 def test_guards(spark):
-    few = t.with_vector(spark.createDataFrame([(float(i), i % 2) for i in range(9)], "a double, is_disruption_week int"), ["a"])
+    few = spark.createDataFrame([(float(i), i % 2) for i in range(9)], "a double, is_disruption_week int")
     with pytest.raises(ValueError):
-        t.train_gbt(few)
+        t.train_gbt(few, columns=["a"], keys=["a"])
     p = spark.createDataFrame([(i / 30, int(i > 12)) for i in range(30)], "p double, y int")
     assert t.fit_calibration(p.limit(19)) is None and t.fit_calibration(p.filter("y = 1").union(p.filter("y = 1"))) is None
     assert [r.calibrated for r in t.calibrate(p.limit(5)).collect()] == [r.p for r in p.limit(5).collect()]
@@ -145,27 +144,29 @@ def test_guards(spark):
         got = [r.calibrated for r in t.calibrate(p, method).orderBy("p").collect()]
         assert all(0 <= x <= 1 for x in got) and got == sorted(got) and got[0] < 0.2 < 0.8 < got[-1]
     weeks = [dt.date(2022, 1, 2) + dt.timedelta(weeks=i) for i in range(80)]
-    flat = t.with_vector(spark.createDataFrame([(w, "x", float(i), int(i % 2 and i < 70)) for i, w in enumerate(weeks)], "week_ending date, port_id string, a double, is_disruption_week int"), ["a"])
+    flat = spark.createDataFrame([(w, "x", float(i), int(i % 2 and i < 70)) for i, w in enumerate(weeks)], "week_ending date, port_id string, a double, is_disruption_week int")
     splits = m.walk_forward(flat.select("week_ending"))
     # Test weeks from the 72nd on hold one class, so their folds are left out, though both classes are in the training rows.
-    assert [f for f, _, _ in t._usable(flat, splits, 20)] == [0, 1, 2] and t._usable(flat, splits, 1000) == []
-    assert t.search_table(flat.limit(79), splits, [{}]) == [] and t.search_table(flat, splits, []) == []
-    empty = t.fold_report(flat, splits.limit(0))
+    folded = t.with_folds(flat, splits)
+    assert list(t.usable_folds(folded, 20)) == [0, 1, 2] and t.usable_folds(folded, 1000) == {}
+    assert t.usable_folds(folded)[0] == 60 / 30 - 1
+    assert t.search(flat.limit(79), splits, [{}], ["a"]).count() == 0 and t.search(flat, splits, [], ["a"]).count() == 0
+    empty = t.fold_report(flat, splits.limit(0), columns=["a"])
     assert empty.count() == 0 and t.cv_score(empty).first().asDict() == {"cv_pr_auc": 0.0, "cv_roc_auc": 0.0, "folds": 0}
 
 
 def test_budgets():
+    """The registered queries use the whole budget: 30 settings of eight parameters, five folds, 200 trees."""
     from quaystone.plans import training
 
-    whole, part = t.settings(), t.settings(training.SEARCH["trials"], trees=training.SEARCH["trees"])
-    for grid in (whole, part):
-        assert all(len({g[k] for g in grid}) > 1 for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy", "minInstancesPerNode"))
-    assert len(whole) == 30 and max(g["maxIter"] for g in whole) > 300 and training.FOLDS == 5
-    assert training.SEARCH["trials"] >= 5 and training.SEARCH["folds"] >= 3 and training.SEARCH["trees"][0] >= 20
-    assert (t.DEFAULTS["maxIter"], t.DEFAULTS["maxDepth"], t.DEFAULTS["stepSize"], t.TREES) == (200, 5, 0.05, 200)
+    whole = t.settings()
+    names = {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree", "min_child_weight", "reg_alpha", "reg_lambda"}
+    assert len(whole) == 30 and all(set(g) == names for g in whole) and all(len({g[k] for g in whole}) > 1 for k in names)
+    assert max(g["n_estimators"] for g in whole) > 300 and min(g["n_estimators"] for g in whole) >= 50 and {g["max_depth"] for g in whole} == {3, 4, 5, 6, 7, 8}
+    assert training.FOLDS == 5 and (t.DEFAULTS["n_estimators"], t.DEFAULTS["max_depth"], t.DEFAULTS["learning_rate"], t.TREES) == (200, 5, 0.05, 200)
 
 
-SMALL = {"maxIter": 2, "maxDepth": 2}
+SMALL = {"n_estimators": 2, "max_depth": 2}
 
 
 @pytest.fixture(scope="module")
@@ -178,7 +179,7 @@ def matrix(spark):
 
 def test_versions(spark, tmp_path, matrix):
     root = str(tmp_path / "models")
-    known = t.with_vector(matrix.filter("is_disruption_week IS NOT NULL"))
+    known = matrix.filter("is_disruption_week IS NOT NULL")
     model, forest = t.train_gbt(known, SMALL), t.fit_forest(matrix, trees=3, sample=32)
     bounds = t.forest_bounds(matrix, forest)
     assert store.champion(spark, root) is None and store.versions(spark, root).count() == 0
@@ -205,7 +206,7 @@ def test_versions(spark, tmp_path, matrix):
 
 def test_training_job(spark, tmp_path, matrix):
     root = str(tmp_path / "models")
-    version, found, report = job.run_training(spark, matrix, root, [SMALL, SMALL | {"maxDepth": 1}], SMALL, trees=5)
+    version, found, report = job.run_training(spark, matrix, root, [SMALL, SMALL | {"max_depth": 1}], SMALL, trees=5)
     assert store.champion(spark, root) == version and found["trials"] == 2 and found["n_cv_folds"] == report.count() > 0 and found["n_features"] == 33
     assert 0 <= found["tuned_cv_pr_auc"] <= 1 and abs(found["backtest_mean_roc_auc"] - np.mean([r.roc_auc for r in report.collect()])) < 1e-12
     scored = job.score_newest(spark, matrix, root).collect()
@@ -221,7 +222,7 @@ def test_model_queries(spark, monkeypatch, matrix, name):
 
     monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: matrix)
     monkeypatch.setattr(t, "DEFAULTS", t.DEFAULTS | SMALL)
-    monkeypatch.setattr(t, "settings", lambda trials, trees: [SMALL, SMALL | {"maxDepth": 1}])
+    monkeypatch.setattr(t, "settings", lambda: [SMALL, SMALL | {"max_depth": 1}])
     rows = plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     known = matrix.filter("is_disruption_week IS NOT NULL").count()
     sizes = {"ml_gbt_predict": known, "ml_cv_score": 1, "ml_param_search": 2, "ml_iforest": matrix.count(), "ml_anomaly_share": 1, "ml_drivers": known, "ml_importance": 33, "ml_training_job": 1, "sc_risk_card_model": 10}
@@ -239,16 +240,16 @@ def test_model_queries(spark, monkeypatch, matrix, name):
 def test_report_and_search_over_folds(spark):
     rng = np.random.default_rng(3)
     rows = [(dt.date(2022, 1, 2) + dt.timedelta(weeks=i // 4), str(i % 4), *map(float, rng.normal(size=2))) for i in range(240)]
-    df = t.with_vector(spark.createDataFrame([(*r, int(r[2] > 0)) for r in rows], "week_ending date, port_id string, a double, b double, is_disruption_week int"), ["a", "b"])
+    df = spark.createDataFrame([(*r, int(r[2] > 0)) for r in rows], "week_ending date, port_id string, a double, b double, is_disruption_week int")
     splits = m.walk_forward(df.select("week_ending"))
-    small = {"maxIter": 1, "maxDepth": 2}
-    report = t.fold_report(df, splits, small).collect()
+    small = {"n_estimators": 1, "max_depth": 2}
+    report = t.fold_report(df, splits, small, columns=["a", "b"]).collect()
     assert [(r.fold, r.n_train, r.n_test) for r in report] == [(f, 4 * (40 + 4 * f), 16) for f in range(5)]
     assert all(r.train_start == dt.date(2022, 1, 2) and r.train_end < r.test_start <= r.test_end for r in report)
-    found = t.search(df, splits, [small, small | {"maxDepth": 1}]).collect()
+    found = t.search(df, splits, [small, small | {"max_depth": 1}], ["a", "b"]).collect()
     assert [(r.trial, r.folds) for r in found] == [(0, 5), (1, 5)]
     assert abs(found[0].mean_pr_auc - np.mean([r.pr_auc for r in report])) < 1e-9
-    assert t.search(df, splits.limit(0), [small]).count() == 0
+    assert t.search(df, splits.limit(0), [small], ["a", "b"]).count() == 0
 
 
 def grown(rng, depth, features):
