@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Every text gets the base measures. Texts that pass the base limits go through the rules one after another, and a rule sees only
-what all rules before it let through. The order is worked out beforehand on a sample: the first texts of every input split are
-put through all rules, which gives the CPU time a text of each rule and how many texts fail which rules together. From that the
-rules are ordered greedily by rejections per second among the texts that are still there. The order changes the time and never
-the verdict, which is the same for every order; so the sample, SAMPLE texts of a split at most, doesn't touch results.
+what all rules before it let through. The order is worked out on a sample: each task puts the first texts of its split, SAMPLE at
+most, through all rules, which gives the CPU time of each rule and how many texts fail which rules together. From that it orders
+the rules greedily by rejections per second among the texts that are still there. So there is no pass over the table beforehand,
+and splits of other sources get other orders. The order changes the time and never the verdict, which is the same for every order.
 
 Words and lines are compared by their bytes (Arrow's dictionaries), not by hashes. Texts are looked at in pieces of about 8 MB,
 a longer one alone and whole.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import pieces, release, string_buffer
 
 #: Texts of each input split that are looked at for the order of the rules.
-SAMPLE = 64
+SAMPLE = 256
 #: Base limits: fewest words, and percent of the words that may be in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A word is long from so many code points on.
@@ -218,31 +218,16 @@ RULES = [
 ]
 
 
-def _tried(rules: list[Rule], most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, times, patterns = most, np.zeros(len(rules)), {}
-        for batch in pieces(batches):
-            column = batch.column("text").slice(0, left)
-            left -= len(column)
-            whole = Texts(column)
-            able = np.flatnonzero(~whole.base_failed)
-            failed = np.zeros(len(able), np.int64)
-            for i, rule in enumerate(rules):
-                fresh = _take(column, able)  # so that no rule is charged for what another has worked out
-                fresh.n_words  # noqa: B018
-                began = time.thread_time()
-                failed |= rule.fails(fresh).astype(np.int64) << i
-                times[i] += time.thread_time() - began
-            for pattern, n in zip(*np.unique(failed, return_counts=True), strict=True):
-                patterns[int(pattern)] = patterns.get(int(pattern), 0) + int(n)
-            if left <= 0:
-                break
-        # One row a pattern; the times of the task are in the first.
-        for i, (pattern, n) in enumerate(patterns.items()):
-            cost = list(times) if i == 0 else [0.0] * len(rules)
-            yield pa.RecordBatch.from_arrays([pa.array([pattern], pa.int64()), pa.array([n], pa.int64()), pa.array([cost], pa.list_(pa.float64()))], ["pattern", "n", "seconds"])
-
-    return run
+def tried(column: pa.Array, rules: list[Rule]) -> tuple[np.ndarray, dict[int, int]]:
+    """CPU seconds of each rule over some texts, and how many of those that pass the base limits fail which set of rules."""
+    able = np.flatnonzero(~Texts(column).base_failed)
+    failed, seconds = np.zeros(len(able), np.int64), np.zeros(len(rules))
+    for i, rule in enumerate(rules):
+        fresh = _take(column, able)  # so that no rule is charged for what another has worked out
+        began = time.thread_time()
+        failed |= rule.fails(fresh).astype(np.int64) << i
+        seconds[i] = time.thread_time() - began
+    return seconds, {int(p): int(n) for p, n in zip(*np.unique(failed, return_counts=True), strict=True)}
 
 
 def greedy(costs: list[float], patterns: dict[int, int]) -> list[int]:
@@ -257,15 +242,6 @@ def greedy(costs: list[float], patterns: dict[int, int]) -> list[int]:
     return order
 
 
-def measured(docs: DataFrame, rules: list[Rule] = RULES, sample: int = SAMPLE) -> tuple[list[float], dict[int, int]]:
-    """CPU seconds a text of each rule, and the numbers of sampled texts by the set of rules they fail: at most 2 ** rules rows."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_tried(rules, sample), "pattern long, n long, seconds array<double>")
-    one = found.groupBy("pattern").agg(F.sum("n").alias("n"), *[F.sum(F.col("seconds")[i]).alias(f"s{i}") for i in range(len(rules))]).collect()
-    seen = max(1, sum(r["n"] for r in one))
-    return [sum(r[f"s{i}"] for r in one) / seen for i in range(len(rules))], {r["pattern"]: r["n"] for r in one}
-
-
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
@@ -285,16 +261,18 @@ def passes(column: pa.Array, texts: Texts, rules: list[Rule], order: list[int])
 
 
 def judged(docs: DataFrame, rules: list[Rule] = RULES, order: list[int] | None = None) -> DataFrame:
-    """docs (doc_id, text) to their base measures, base_failed and kept. order: of the rules; measured on a sample by default."""
+    """docs (doc_id, text) to their base measures, base_failed and kept. order: of the rules; by default each task finds its own."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = greedy(*measured(rows, rules)) if order is None else order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = order
         for batch in pieces(batches):
             column = batch.column("text")
+            if own is None:
+                own = greedy(*tried(column.slice(0, SAMPLE), rules))
             t = Texts(column)
             numbers = [t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words]
-            columns = [batch.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(t.base_failed), pa.array(passes(column, t, rules, order))]
+            columns = [batch.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(t.base_failed), pa.array(passes(column, t, rules, own))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
         release()
 
