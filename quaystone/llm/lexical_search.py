@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quaystone.llm.common import BREAKS, lists, pieces, release, shared_dir, stored, string_buffer, words
 
-#: Documents and postings of a part of a stratum; postings that a task holds before it visits their parts.
-PART_DOCS, PART_POSTINGS, HELD_POSTINGS = 2048, 1 << 18, 4 << 20
+#: Documents and postings of a part of a stratum; postings of a task's parts, and those it holds before it visits their parts.
+PART_DOCS, PART_POSTINGS, TASK_POSTINGS, HELD_POSTINGS = 2048, 1 << 18, 1 << 20, 4 << 20
 #: Terms of a group of queries, of which 16 bytes each are broadcast; different terms of all queries up to which only these are
 #: indexed, of which 8 bytes each are broadcast.
 GROUP_TERMS, ASKED_TERMS = 1 << 20, 1 << 22
@@ -134,7 +134,8 @@ def build_index(docs: DataFrame, base: str, asked: np.ndarray | None = None) ->
     df = stored(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), base, "frequencies")
     m = F.expr(f"50L + (50L * n * {n}L) DIV {max(1, total)}L")
     able = rows.filter(F.col("doc_id").isNotNull() & (F.size("terms") > 0)).withColumn("m", m)
-    parts = able.repartitionByRange("m", "doc_id").sortWithinPartitions("m", "doc_id").mapInArrow(_strata(PART_DOCS, PART_POSTINGS), _INDEX)
+    tasks = 1 + int(df.agg(F.sum("df")).first()[0] or 0) // TASK_POSTINGS
+    parts = able.repartitionByRange(tasks, "m", "doc_id").sortWithinPartitions("m", "doc_id").mapInArrow(_strata(PART_DOCS, PART_POSTINGS), _INDEX)
     return stored(parts, base, "index"), n, df
 
 
