@@ -1,7 +1,7 @@
 """Model versions: what each training run saved, and which version serves.
 
-A version is a folder with the node tables of the boosted trees and of the forest. The log of events (saved, promoted) is a table with
-one row an event; the champion follows from it: the first version saved, then each that is strictly better than the champion of
+A version is a folder with the node tables of the boosted trees and of the forest. Events (saved, promoted) are
+entries of a commit log, so that several jobs can save at a time; the champion follows from it: the first version saved, then each that is strictly better than the champion of
 its time, and any that was promoted by hand.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from quaystone.models.boosting import NODES, Model, model_of, node_table
 from quaystone.models.trees import FEATURES, FOREST
-from quaystone.sources.lake import exists
+from quaystone.sources import commits
 
 LOG = "version string, event string, at timestamp, seq long, pr_auc double, n_train_rows long, feature_count int, metrics string, calibration string, forest_low double, forest_high double"
+_SAVED = ("pr_auc", "n_train_rows", "feature_count", "metrics", "calibration", "forest_low", "forest_high")
 
 
 class Bundle(NamedTuple):
@@ -34,14 +35,14 @@ class Bundle(NamedTuple):
 
 
 def _events(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/log"
-    return spark.read.schema(LOG).parquet(path) if exists(spark, path) else spark.createDataFrame([], LOG)
+    """One row an event, in the order of the log's numbers."""
+    rows = [(e["version"], e["event"], dt.datetime.fromisoformat(e["at"]), e["number"], *[e.get(c) for c in _SAVED]) for e in commits.entries(spark, f"{root}/log")]
+    return spark.createDataFrame(rows, LOG)
 
 
 def _log(spark: SparkSession, root: str, version: str, event: str, *rest) -> None:
-    seq = _events(spark, root).count()
-    row = (version, event, dt.datetime.now(), seq, *rest, *[None] * (7 - len(rest)))
-    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    at = dt.datetime.now().isoformat()
+    commits.commit(spark, f"{root}/log", {"version": version, "event": event, "at": at} | dict(zip(_SAVED, rest, strict=False)))
 
 
 def save(spark: SparkSession, root: str, model, forest: DataFrame, bounds: tuple[float, float], calibration: dict | None, metrics: dict) -> str:

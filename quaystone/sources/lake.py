@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaystone.sources import commits
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see: below spark.checkpoint.dir, or one of our own where that is unset."""
@@ -123,6 +125,23 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
+RUNS = "run_id long, source string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, errors int, records_stored int"
+
+
+def record_runs(runs: DataFrame, root: str) -> int:
+    """Add records of runs to the log by one commit; a later record of a run replaces the earlier ones when the log is read.
+    runs: run_id, source, started_at, finished_at, status, errors, records_stored."""
+    names = [x.split(" ") for x in RUNS.split(", ")]
+    return commits.append_rows(runs.select(*[F.col(n).cast(k).alias(n) for n, k in names]), f"{root}/runs")
+
+
+def recorded_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The last record of each run: the one of the last commit; in it, the one that started and ended last."""
+    rows = commits.read_rows(spark, f"{root}/runs", RUNS)
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("commit"), F.desc("started_at"), F.desc_nulls_last("finished_at"), F.desc("source"), F.desc("status")))
+    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank", "commit")
+
+
 def run_status(runs: DataFrame) -> DataFrame:
     """Per run: success without errors, partial with some rows, else failed."""
     sums = runs.groupBy("run_id").agg(F.sum("errors").alias("errors"), F.sum("records_stored").alias("records_stored"))
