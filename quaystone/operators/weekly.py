@@ -57,14 +57,21 @@ def fire_weekly(fires: DataFrame) -> DataFrame:
     return weekly(fires, F.col("acquired_at"), F.count("*").alias("fire_count"), F.count_if(F.col("confidence") == "high").alias("fire_high_confidence_count"), F.max(frp).alias("fire_max_frp"), F.sum(frp).alias("fire_total_frp"))
 
 
-def spine(ports: DataFrame, weeks: DataFrame) -> DataFrame:
-    """Every port with every Sunday between the first and last week. Both sides are a few rows: ports, and one row of bounds."""
-    bounds = weeks.agg(F.min("week_ending").alias("a"), F.max("week_ending").alias("b")).filter("a IS NOT NULL")
+#: Weeks of the spine where there is no throughput.
+FALLBACK_WEEKS = 104
+
+
+def spine(ports: DataFrame, weeks: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Every port with every Sunday between the first and last week; without any week, with the last FALLBACK_WEEKS up to the week of
+    as_of (today). Both sides are a few rows: ports, and one row of bounds."""
+    end = week_ending(F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp"))
+    first, last = F.coalesce(F.min("week_ending"), F.date_sub(end, 7 * (FALLBACK_WEEKS - 1))), F.coalesce(F.max("week_ending"), end)
+    bounds = weeks.agg(first.alias("a"), last.alias("b"))
     sundays = bounds.select(F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("week_ending"))
     return sundays.crossJoin(F.broadcast(ports.select("port_id"))).select(*KEYS)
 
 
-def fallback_spine(ports: DataFrame, as_of: str, weeks: int = 104) -> DataFrame:
+def fallback_spine(ports: DataFrame, as_of: str, weeks: int = FALLBACK_WEEKS) -> DataFrame:
     """Every port with the last weeks up to the week of as_of."""
     end = week_ending(F.lit(as_of).cast("timestamp"))
     sundays = ports.select("port_id", F.explode(F.sequence(F.date_sub(end, 7 * (weeks - 1)), end, F.expr("interval 7 days"))).alias("week_ending"))
@@ -81,19 +88,26 @@ def _completeness(has_throughput, present: list) -> Column:
     return F.round((has_throughput.cast("int") + sum(present[1:], present[0])) / len(INDICATORS), 3)
 
 
-def gold(ports: DataFrame, port: DataFrame, weather: DataFrame, news: DataFrame, quakes: DataFrame, fires: DataFrame) -> DataFrame:
-    """The feature table, one row a port and week. A source without rows anywhere contributes to no row's completeness; one with
-    rows contributes to all, as its counts are filled with zeros first."""
-    out = spine(ports, port)
-    for side in (port, weather, news, quakes, fires):
+def assembled(keys: DataFrame, sides: list[DataFrame], flags: list[Column]) -> DataFrame:
+    """Gold rows of the keys from throughput features and the weekly aggregates of four feeds. flags: whether each of the four has
+    rows anywhere."""
+    out = keys
+    for side in sides:
         out = out.join(side, KEYS, "left")
+    out = out.fillna(0, subset=[c for c in ZERO_FILLED if c in out.columns])
+    return canonical(out.withColumn("data_completeness_score", _completeness(F.col(INDICATORS[0]).isNotNull(), flags)))
+
+
+def gold(ports: DataFrame, port: DataFrame, weather: DataFrame, news: DataFrame, quakes: DataFrame, fires: DataFrame, as_of: str | None = None) -> DataFrame:
+    """The feature table, one row a port and week; without throughput rows, of the last weeks up to as_of. A source without rows
+    anywhere contributes to no row's completeness; one with rows contributes to all, as its counts are filled with zeros first."""
+    events = [weather, news, quakes, fires]
     # Whether a source has rows. All its columns are named, so that this reads the rows that are shuffled for the join anyway.
     some = lambda side, name: side.agg(F.max(F.xxhash64(*side.columns)).isNotNull().cast("int").alias(name))
-    present = some(weather, "s1").crossJoin(some(news, "s2")).crossJoin(some(quakes, "s3")).crossJoin(some(fires, "s4"))  # one row each
-    filled = [c for c in ZERO_FILLED if c in out.columns]
-    out = out.fillna(0, subset=filled).crossJoin(F.broadcast(present))
-    score = _completeness(F.col(INDICATORS[0]).isNotNull(), [F.col(f"s{i}") for i in range(1, 5)])
-    return canonical(out.withColumn("data_completeness_score", score))
+    keys = spine(ports, port, as_of)
+    present = [some(side, f"s{i}") for i, side in enumerate(events, 1)]
+    flags = present[0].crossJoin(present[1]).crossJoin(present[2]).crossJoin(present[3])  # one row each
+    return assembled(keys.crossJoin(F.broadcast(flags)), [port, *events], [F.col(f"s{i}") for i in range(1, 5)])
 
 
 def newest(ports: DataFrame, throughput: DataFrame, sources: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
