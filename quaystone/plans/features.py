@@ -295,9 +295,10 @@ def win_topn_per_port(spark, sf_dir):
     return windows.top_per_key(a.a_gdelt(spark, sf_dir), ["port_id"], 20, F.desc("sql_date"), F.col("global_event_id")).select("port_id", "global_event_id")
 
 
-def gold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold_frame(spark: SparkSession, sf_dir: str, throughput: DataFrame | None = None) -> DataFrame:
+    throughput = a.a_bts(spark, sf_dir) if throughput is None else throughput
     news, quakes, fires = weekly.news_weekly(a.a_gdelt(spark, sf_dir)), weekly.quake_weekly(a.a_usgs(spark, sf_dir)), weekly.fire_weekly(a.a_firms(spark, sf_dir))
-    return weekly.gold(ports(spark), windows.port_features(a.a_bts(spark, sf_dir)), weekly.weather_weekly(a.a_nws(spark, sf_dir)), news, quakes, fires)
+    return weekly.gold(ports(spark), windows.port_features(throughput), weekly.weather_weekly(a.a_nws(spark, sf_dir)), news, quakes, fires, a.AS_OF)
 
 
 GOLD_VIEWS = ("a_bts", "a_ports", "a_nws", "a_gdelt", "a_usgs", "a_firms")
@@ -316,7 +317,10 @@ def gold_sql(body: str, *views: str, **more: str) -> str:
 _GOLD_DOUBLES = [c for c in GOLD_COLUMNS if c.startswith(("median", "avg_", "berthing", "call_count")) or c in (*_NEWS_DOUBLES, "eq_max_magnitude", "eq_energy_proxy", "eq_depth_min_km", "fire_max_frp", "fire_total_frp")]
 
 
-@query("gold_features", gold_sql(f"SELECT {', '.join(f'round({c}, {0 if "energy" in c else 6}) AS {c}' if c in _GOLD_DOUBLES else c for c in GOLD_COLUMNS)} FROM g"))
+GOLD_ROUNDED = f"SELECT {', '.join(f'round({c}, {0 if "energy" in c else 6}) AS {c}' if c in _GOLD_DOUBLES else c for c in GOLD_COLUMNS)} FROM g"
+
+
+@query("gold_features", gold_sql(GOLD_ROUNDED))
 def gold_features(spark, sf_dir):
     """The gold table as it reads back from the lake, in the order of port and week."""
     root = lake.scratch(spark)
@@ -324,6 +328,15 @@ def gold_features(spark, sf_dir):
     return rounded(lake.read_gold(spark, root), eq_energy_proxy=0).orderBy("port_id", "week_ending")
 
 
+_LAST_WEEKS = "SELECT p.port_id, d.w::DATE AS week_ending FROM a_ports p, (SELECT unnest(generate_series(DATE '2001-02-04' - INTERVAL 721 DAY, TIMESTAMP '2001-02-04', INTERVAL 7 DAY)) AS w) d"
+
+
+@query("gold_without_throughput", gold_sql(GOLD_ROUNDED, f_latest=_DEDUP.format(src="(SELECT * FROM a_bts WHERE FALSE)"), spine=_LAST_WEEKS))
+def gold_without_throughput(spark, sf_dir):
+    """Before the first throughput row: the last 104 weeks with what the event feeds have."""
+    return rounded(gold_frame(spark, sf_dir, a.a_bts(spark, sf_dir).filter("FALSE")), eq_energy_proxy=0)
+
+
 @query("agg_gold_summary", gold_sql("SELECT count(*) AS gold_rows, count(DISTINCT port_id) AS ports, sum(is_disruption_week)::BIGINT AS disruption_weeks, round(avg(data_completeness_score), 6) AS mean_completeness FROM g"))
 def agg_gold_summary(spark, sf_dir):
     return gold_frame(spark, sf_dir).agg(F.count("*").alias("gold_rows"), F.count_distinct("port_id").alias("ports"), F.sum("is_disruption_week").alias("disruption_weeks"), F.round(F.avg("data_completeness_score"), 6).alias("mean_completeness"))

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from quaystone import adapters as a
 from quaystone.adapters import sql
-from quaystone.operators import windows
-from quaystone.plans.features import _DEDUP, F_PORT, W_WEATHER
-from quaystone.plans.registry import query
-from quaystone.registry import PORT_IDS
+from quaystone.plans.features import GOLD_ROUNDED, W_WEATHER, gold_sql
+from quaystone.plans.registry import query, rounded
+from quaystone.registry import ports
 from quaystone.sources.lake import scratch
-from quaystone.streaming import jobs
+from quaystone.streaming import gold, jobs, late
 
 _ALERTS = "alert_id string, port_id string, event_type string, severity string, effective timestamp"
 
@@ -62,15 +61,36 @@ def str_sliding_active(spark, sf_dir):
     return jobs.read_keyed(spark, f"{root}/out", out, ["port_id", "day"])
 
 
-@query("str_gold_refresh", sql("SELECT port_id, week_ending, round(berthing_time_4w_avg, 6) AS berthing_time_4w_avg, is_disruption_week FROM f_port", "a_bts", f_latest=_DEDUP.format(src="a_bts"), f_port=F_PORT))
+@query("str_late_reconcile", sql("SELECT * FROM w", "a_nws", w=W_WEATHER))
+def str_late_reconcile(spark, sf_dir):
+    """The oldest tenth of the alerts arrives after all others, over 30 days late: the rows go aside and are then added to their weeks."""
+    root, files = _landed(spark, sf_dir)
+    rows = spark.read.schema(_ALERTS).parquet(files)
+    first, last = rows.agg(F.min(F.unix_seconds("effective")), F.max(F.unix_seconds("effective"))).first()
+    old = F.unix_seconds("effective") < F.lit(first + (last - first) // 10)
+    rows.filter(~old).repartition(3).write.parquet(f"{root}/feed")
+    late.run(jobs.stream(spark, f"{root}/feed", _ALERTS, 2), f"{root}/weeks", f"{root}/checkpoint")
+    rows.filter(old).repartition(2).write.mode("append").parquet(f"{root}/feed")
+    late.run(jobs.stream(spark, f"{root}/feed", _ALERTS, 2), f"{root}/weeks", f"{root}/checkpoint")
+    if last - first > 50 * 86_400 and not late.late_rows(spark, f"{root}/weeks").count():
+        raise RuntimeError("no row came late")
+    late.reconcile(spark, f"{root}/weeks")
+    late.compact(spark, f"{root}/weeks", least=2)
+    return late.read(spark, f"{root}/weeks")
+
+
+_FEEDS = {"throughput": (a.a_bts, 3), "weather": (a.a_nws, 2), "fires": (a.a_firms, 1), "quakes": (a.a_usgs, 1), "news": (a.a_gdelt, 2)}
+
+
+@query("str_gold_refresh", gold_sql(GOLD_ROUNDED))
 def str_gold_refresh(spark, sf_dir):
-    """Throughput arrives in several batches of files; the rows of touched ports are rebuilt after each."""
+    """Five feeds land in files and stream in by batches of two files, the last throughput after all others; each batch changes the
+    gold rows it can change."""
     root = scratch(spark)
-    bts = a.a_bts(spark, sf_dir).withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
-    bts.repartition(3).write.parquet(f"{root}/landed")
-    schema = ", ".join(f"{n} {t}" for n, t in bts.dtypes)
-    failed = jobs.refresh_gold(jobs.stream(spark, f"{root}/landed", schema, 2), f"{root}/lake", windows.port_features, f"{root}/gold", f"{root}/checkpoint")
-    if failed:
-        raise RuntimeError("; ".join(failed))
-    gold = spark.read.parquet(f"{root}/gold").filter(F.col("port_id").isin(PORT_IDS))
-    return gold.select("port_id", "week_ending", F.round("berthing_time_4w_avg", 6).alias("berthing_time_4w_avg"), "is_disruption_week")
+    for feed, (view, files) in _FEEDS.items():
+        rows = view(spark, sf_dir)
+        rows.repartition(files).write.parquet(f"{root}/landed/{feed}")
+    for feed in ("weather", "throughput", "fires", "quakes", "news"):
+        schema = spark.read.parquet(f"{root}/landed/{feed}").schema
+        gold.run_feed(feed, jobs.stream(spark, f"{root}/landed/{feed}", schema, 2), f"{root}/gold", f"{root}/checkpoint/{feed}", ports(spark), a.AS_OF)
+    return rounded(gold.read_gold(spark, f"{root}/gold"), eq_energy_proxy=0)

@@ -1,10 +1,10 @@
 """The gold table kept up to date by any of the five feeds.
 
-A batch of a feed changes few rows of the gold table: an event the row of its port and week, a throughput row those of its port from
-its week to REACH rows on, as the frames of the window features look back so far, and all ports' rows of weeks that the spine didn't
-have. Only these are computed anew, from the rows they need: feeds are stored by week, and weeks that don't matter aren't read. The
-whole table is built again where all rows change: with the first rows of a feed, which count for every row's completeness, and when
-throughput replaces the fallback weeks.
+A batch of a feed changes few rows of the gold table: an event its feed's columns in the row of its port and week, a throughput row
+those of its port from its week to REACH rows on, as the frames of the window features look back so far, and all ports' rows of weeks
+that the spine didn't have. Only these are computed anew, from the rows they need: feeds are stored by year and week, and what doesn't
+matter isn't read. All rows are written again with the first rows of a feed, which count for every row's completeness, and all are
+computed anew when throughput replaces the fallback weeks.
 
 The commit log at root says which batches are in, so a batch that runs again changes nothing. A batch that was computed while
 another was committed is computed again.
@@ -23,7 +23,7 @@ from quaystone.functions.scalar import sql_date, week_ending
 from quaystone.operators import weekly
 from quaystone.operators.weekly import KEYS
 from quaystone.operators.windows import port_features
-from quaystone.registry import CALENDAR_COLUMNS, PORT_COLUMNS
+from quaystone.registry import FIRE_COLUMNS, NEWS_COLUMNS, QUAKE_COLUMNS, WEATHER_COLUMNS
 from quaystone.sources import commits
 
 #: Rows after a throughput row whose features look back at it: the longest frame.
@@ -53,7 +53,8 @@ FEEDS = {
     "quakes": Feed("usgs_id string, port_id string, magnitude double, depth_km double, tsunami_flag boolean, occurred_at timestamp_ntz", lambda: week_ending(F.col("occurred_at")), weekly.quake_weekly),
     "fires": Feed("port_id string, frp double, confidence string, acquired_at timestamp_ntz", lambda: week_ending(F.col("acquired_at")), weekly.fire_weekly),
 }
-EVENTS = ["weather", "news", "quakes", "fires"]
+COLUMNS = {"weather": WEATHER_COLUMNS, "news": NEWS_COLUMNS, "quakes": QUAKE_COLUMNS, "fires": FIRE_COLUMNS}
+EVENTS = list(COLUMNS)
 
 
 def _shaped(rows: DataFrame, feed: str) -> DataFrame:
@@ -83,12 +84,19 @@ class _State:
 
     def read(self, spark: SparkSession, root: str, feed: str, weeks: list | None = None) -> DataFrame:
         """The rows of a feed, of some weeks."""
-        shape = _shaped(spark.createDataFrame([], FEEDS[feed].schema), feed).schema
+        shape = _shaped(spark.createDataFrame([], FEEDS[feed].schema), feed)
         paths = [f"{root}/{p}" for p in self.rows[feed]]
         if not paths:
-            return spark.createDataFrame([], shape)
-        df = spark.read.option("basePath", f"{root}/feeds/{feed}").schema(shape).parquet(*paths)
-        return df if weeks is None else df.filter(F.col("week_ending").isin(weeks))
+            return shape
+        df = spark.read.option("basePath", f"{root}/feeds/{feed}").schema(shape.withColumn("year", F.lit(0)).schema).parquet(*paths)
+        if weeks is not None:
+            df = df.filter(F.col("year").isin(sorted({w.year for w in weeks})) & F.col("week_ending").isin(weeks))
+        return df.drop("year")
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    """Rows by year, and inside a file by week, so that readers skip files and row groups of other weeks."""
+    rows.repartitionByRange("week_ending").sortWithinPartitions("week_ending").withColumn("year", F.year("week_ending")).write.partitionBy("year").parquet(path)
 
 
 def _changed_by_throughput(keys: DataFrame, touched: DataFrame) -> DataFrame:
@@ -106,15 +114,28 @@ def _weeks(df: DataFrame) -> list:
     return [r[0] for r in df.select("week_ending").distinct().collect()]
 
 
+def _event_rows(spark: SparkSession, root: str, state: _State, feed: str, touched: DataFrame, first: bool) -> DataFrame:
+    """The gold rows that events change: as they are, with the feed's columns anew. first: the feed's first rows change all of them."""
+    rows = read_gold(spark, root, state)
+    if first:
+        side = state.read(spark, root, feed)
+    else:
+        keys = touched.join(rows.select(*KEYS), KEYS, "left_semi")
+        rows = rows.join(keys, KEYS, "left_semi")
+        side = state.read(spark, root, feed, _weeks(keys)).join(keys, KEYS, "left_semi")
+    return weekly.assembled(rows.drop(*COLUMNS[feed]), [FEEDS[feed].weekly(side)], [F.lit(int(bool(state.rows[f]))) for f in EVENTS])
+
+
 def _gold_rows(spark: SparkSession, root: str, state: _State, feed: str, delta: DataFrame, ports: DataFrame, as_of: str | None, whole: bool, old: tuple) -> DataFrame:
     """The gold rows that a batch changes. old: the range of throughput weeks before it."""
     touched = delta.select(*KEYS).distinct()
+    if feed != "throughput" and state.gold:
+        return _event_rows(spark, root, state, feed, touched, whole)
     bounds = spark.createDataFrame([(state.first,), (state.last,)], "w string").select(F.col("w").cast("date").alias("week_ending"))
-    spine = weekly.spine(ports, bounds, as_of)
+    keys, weeks = weekly.spine(ports, bounds, as_of), None
     if whole:
-        keys, weeks = spine, None
         features = port_features(state.read(spark, root, "throughput"))
-    elif feed == "throughput":
+    else:
         mine = state.read(spark, root, "throughput").join(touched.select("port_id").distinct(), "port_id", "left_semi")
         marked = _changed_by_throughput(mine.select(*KEYS), touched)
         path = commits.write_rows(marked.filter("needed"), root, "marks")
@@ -122,14 +143,9 @@ def _gold_rows(spark: SparkSession, root: str, state: _State, feed: str, delta:
         needed = mine.filter(F.col("week_ending").isin(_weeks(marked))).join(marked.select(*KEYS), KEYS, "left_semi")
         changed = marked.filter("changed").select(*KEYS)
         features = port_features(needed).join(changed, KEYS, "left_semi")
-        new = spine.filter((F.col("week_ending") < F.lit(old[0]).cast("date")) | (F.col("week_ending") > F.lit(old[1]).cast("date")))
+        new = keys.filter((F.col("week_ending") < F.lit(old[0]).cast("date")) | (F.col("week_ending") > F.lit(old[1]).cast("date")))
         keys = changed.union(new).distinct()
         weeks = _weeks(keys)
-    else:
-        keys = touched.join(spine, KEYS, "left_semi")
-        weeks = _weeks(keys)
-        # The features of these weeks are in the gold table as they are.
-        features = read_gold(spark, root, state).select(*KEYS, *PORT_COLUMNS, *CALENDAR_COLUMNS, "is_disruption_week").join(keys, KEYS, "left_semi")
     sides = [features]
     for f in EVENTS:
         rows = state.read(spark, root, f, weeks)
@@ -144,7 +160,7 @@ def refresh(feed: str, rows: DataFrame, batch: int, root: str, ports: DataFrame,
         return False
     name = f"feeds/{feed}/commit={uuid.uuid4().hex}"
     delta = _shaped(rows, feed).join(F.broadcast(ports.select("port_id")), "port_id", "left_semi")
-    delta.write.partitionBy("week_ending").parquet(f"{root}/{name}")
+    _store(delta, f"{root}/{name}")
     delta = spark.read.schema(delta.schema).parquet(f"{root}/{name}")
     n, first, last = delta.agg(F.count("*"), F.min("week_ending").cast("string"), F.max("week_ending").cast("string")).first()
     while True:
@@ -192,8 +208,7 @@ def compact(spark: SparkSession, root: str, least: int = COMPACT_AFTER) -> bool:
         for feed, paths in state.rows.items():
             if paths:
                 kept[feed] = [f"feeds/{feed}/commit={uuid.uuid4().hex}"]
-                rows = spark.read.option("basePath", f"{root}/feeds/{feed}").parquet(*[f"{root}/{p}" for p in paths]).drop("commit")
-                rows.write.partitionBy("week_ending").parquet(f"{root}/{kept[feed][0]}")
+                _store(state.read(spark, root, feed), f"{root}/{kept[feed][0]}")
         entry = {"compacted": kept, "gold": gold, "whole": True, "first": state.first, "last": state.last}
         if commits.commit(spark, f"{root}/log", entry, unless=lambda log, seen=state.seen: len(log) != seen) is not None:
             return True

@@ -1,18 +1,15 @@
-"""Streaming forms of ingest, deduplication, weekly and sliding aggregates, and the gold refresh.
+"""Streaming forms of ingest, deduplication, weekly and sliding aggregates.
 
 Sources are file streams over landed snapshots: each file counts once, by the checkpoint. Rows more than `LATE` behind the
-newest are late; the nightly batch rebuild takes them in.
+newest are late here and dropped; streaming/late keeps them and repairs their weeks, streaming/gold keeps the gold table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.operators.weekly import weather_aggregates
-from quaystone.registry import PORT_IDS
 
 LATE = "14 days"
 
@@ -64,22 +61,3 @@ def read_keyed(spark: SparkSession, sink: str, like: DataFrame, keys: list[str])
     rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in like.dtypes)}, batch long").parquet(sink)
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v"))
     return newest.select(*keys, *[F.col("v")[c].alias(c) for c in rest]).select(*like.columns)
-
-
-def refresh_gold(throughput: DataFrame, lake_path: str, rebuild: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> list[str]:
-    """New throughput rows are appended to the lake, and the gold rows of the ports they touch are rebuilt from it (row windows
-    need whole series). A rebuild that fails is noted and ingest goes on; the next batch or the nightly build repairs it."""
-    failed: list[str] = []
-
-    def load(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(lake_path)
-        touched = [r[0] for r in batch.filter(F.col("port_id").isin(PORT_IDS)).select("port_id").distinct().collect()]  # at most the ports
-        spark = batch.sparkSession
-        try:
-            rows = spark.read.parquet(lake_path).filter(F.col("port_id").isin(touched))
-            rebuild(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("port_id").parquet(sink)
-        except Exception as e:  # noqa: BLE001  the reason is kept, ingest goes on
-            failed.append(f"batch {number}: {e}")
-
-    throughput.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return failed
