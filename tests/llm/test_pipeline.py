@@ -51,3 +51,16 @@ def test_hard_rows(spark, tmp_path):
     assert {r.doc_id for r in docs.collect()} == {1, 2, 3, 4, None} and docs.columns == columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DIR).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.filter(F.col("doc_id") < 3), DIR).count() == 2
+
+
+def test_columns_named_as_the_stages_own(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    odd = ["__file", "__ROW", "__kept_", "__kept0", "mix_slot", "MIX_place", "toxic_score", "Toxic_Score_2"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(odd)])
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for name in ("toxicity", "mix"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, DIR)
+        assert out.columns == docs.columns
+        assert {tuple(r[c] for c in odd) for r in out.collect()} == {tuple(range(len(odd)))}
+    assert corpus_pipeline.token_output(spark, docs, DIR).count() == 60
