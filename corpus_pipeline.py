@@ -23,9 +23,20 @@ from quaystone.llm.token_files import token_table
 from quaystone.llm.toxicity import THRESHOLD, scored
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, made longer until docs has no such column; Spark's names ignore case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _aside(docs: DataFrame, clashes: str) -> DataFrame:
     """docs with columns out of the way that an operator's own would replace; they get their names back at the end."""
-    return docs.toDF(*[f"__kept_{c}" if c.startswith(clashes) else c for c in docs.columns])
+    stem = _unused(docs, "__kept")
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem += "_"
+    return docs.toDF(*[f"{stem}{i}" if c.lower().startswith(clashes) else c for i, c in enumerate(docs.columns)])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +70,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the rows in docs' files (by doc_id, if docs doesn't come from files), read back:
     doc_id, start, n_tokens, ids_crc32."""
-    order = None
+    order, file, row = None, _unused(docs, "__file"), _unused(docs, "__row")
     try:
-        docs = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        number = F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long")
-        order = [number, F.col("__file"), F.col("__row")]
+        docs = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+        number = F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long")
+        order = [number, F.col(file), F.col(row)]
     except AnalysisException:
         pass
     return token_table(spark, docs, shared_dir(spark), order=order)
