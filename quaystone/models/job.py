@@ -49,11 +49,12 @@ def run_training(spark: SparkSession, matrix: DataFrame, root: str, grid: list[d
 
 
 def score_newest(spark: SparkSession, matrix: DataFrame, root: str, version: str | None = None) -> DataFrame:
-    """The newest row of each port by a saved version (the champion by default): port_id, p_disruption (calibrated), anomaly_score
-    and drivers."""
+    """The newest row of each port by a saved version (the champion by default): port_id, p_disruption (calibrated), anomaly_score,
+    drivers and model_info."""
     b = store.load(spark, root, version)
     newest = matrix.join(F.broadcast(matrix.groupBy("port_id").agg(F.max("week_ending").alias("week_ending"))), ["port_id", "week_ending"], "left_semi")
     p = t.predict(b.model, newest).select("port_id", t.calibrated(F.col("p"), b.calibration).alias("p_disruption"))
     odd = t.forest_score(newest, b.forest, bounds=b.bounds).select("port_id", "anomaly_score")
-    why = t.drivers(b.model, newest, t.FEATURES, ["port_id"]).select("port_id", F.transform("drivers", lambda d: F.struct(d["feature"].alias("feature"), d["impact"].alias("impact"))).alias("drivers"))
-    return p.join(odd, "port_id").join(why, "port_id")  # a row a port
+    why = t.drivers(b.model, newest, t.FEATURES, ["port_id"]).select("port_id", "drivers")
+    info = F.struct(F.lit(b.version).alias("version"), F.lit(float(b.metrics["tuned_cv_pr_auc"])).alias("cv_pr_auc"), F.lit(int(b.metrics["n_train_rows"])).cast("long").alias("n_train_rows"))
+    return p.join(odd, "port_id").join(why, "port_id").withColumn("model_info", info)  # a row a port

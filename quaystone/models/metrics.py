@@ -24,7 +24,7 @@ def by_score(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> Data
     )
     down = Window.partitionBy(*keys, "__range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.withColumns({"__own": F.sum("pos").over(down), "__count": F.sum("n").over(down)})
-    out = steps.join(F.broadcast(sums), [*keys, "__range"])  # at most RANGES + 1 rows a key
+    out = steps.join(sums, [*keys, "__range"])  # at most RANGES + 1 rows a key
     return out.select(*keys, p, "pos", "n", (F.col("__tp") + F.col("__own")).alias("tp"), (F.col("__seen") + F.col("__count")).alias("seen"), "positives", "total")
 
 
@@ -72,13 +72,13 @@ def drift(reference: DataFrame, current: DataFrame, columns: list[str], threshol
 
 
 def drift_between(df: DataFrame, is_reference: Column, is_current: Column, columns: list[str], threshold: float = 2.0) -> DataFrame:
-    """drift() of two parts of one table, in one pass."""
-    stats = {"m": lambda c: F.avg(F.when(is_reference, F.col(c))), "s": lambda c: F.stddev_samp(F.when(is_reference, F.col(c))), "k": lambda c: F.avg(F.when(is_current, F.col(c)))}
-    one = df.agg(*[f(c).alias(f"{k}__{c}") for c in columns for k, f in stats.items()])
-    pairs = ", ".join(f"'{c}', " + ", ".join(f"`{k}__{c}`" for k in stats) for c in columns)
-    long = one.select(F.expr(f"stack({len(columns)}, {pairs}) AS (feature, m, s, k)"))
+    """drift() of two parts of one table, in one pass. A column without values in either part is left out."""
+    part = {"m": (F.avg, is_reference), "s": (F.stddev_samp, is_reference), "k": (F.avg, is_current), "d": (F.stddev_samp, is_current)}
+    one = df.agg(*[f(F.when(where, F.col(c))).alias(f"{k}__{c}") for c in columns for k, (f, where) in part.items()])
+    pairs = ", ".join(f"'{c}', " + ", ".join(f"`{k}__{c}`" for k in part) for c in columns)
+    long = one.select(F.expr(f"stack({len(columns)}, {pairs}) AS (feature, m, s, k, d)")).filter("m IS NOT NULL AND k IS NOT NULL")
     z = F.abs(F.col("k") - F.col("m")) / F.greatest("s", F.lit(1e-6))
-    out = long.select("feature", F.col("m").alias("reference_mean"), F.col("s").alias("reference_std"), F.col("k").alias("current_mean"), z.alias("z"))
+    out = long.select("feature", F.col("m").alias("reference_mean"), F.col("s").alias("reference_std"), F.col("k").alias("current_mean"), F.col("d").alias("current_std"), z.alias("z"))
     return out.withColumn("drifted", F.col("z") > threshold).orderBy(F.desc_nulls_last("z"), "feature")
 
 

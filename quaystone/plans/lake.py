@@ -165,6 +165,16 @@ def sql_param_query(spark, sf_dir):
     return spark.sql("SELECT event_type, count(*) AS n FROM {events} WHERE value >= :least AND event_type <> :kind GROUP BY event_type", args={"least": 20, "kind": "error"}, events=a.table(spark, sf_dir, "events"))
 
 
+@query("sql_lake_query", sql("SELECT e.event_type, o.status, count(*) AS n, round(sum(e.value), 6) AS total FROM events e JOIN (SELECT * FROM r WHERE records_stored >= 2) o ON e.user_id = o.run_id WHERE e.value >= 20 GROUP BY ALL", "a_runs", r="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, finished_at DESC NULLS LAST, source DESC, status DESC) AS rk FROM a_runs) WHERE rk = 1"))
+def sql_lake_query(spark, sf_dir):
+    """SQL text over the lake's tables by their names, with bound parameters."""
+    root = lake.scratch(spark)
+    lake.write_silver(a.table(spark, sf_dir, "events").withColumn("date", F.col("ts").cast("date")), root, "events")
+    lake.record_runs(a.a_runs(spark, sf_dir), root)
+    text = "SELECT e.event_type, o.status, count(*) AS n, round(sum(e.value), 6) AS total FROM silver_events e JOIN runs o ON e.user_id = o.run_id WHERE o.records_stored >= :stored AND e.value >= :least GROUP BY e.event_type, o.status"
+    return lake.query(spark, root, text, {"stored": 2, "least": 20})
+
+
 @query("snk_silver_overwrite", "SELECT ts::DATE AS date, count(*) AS n, sum(CASE WHEN ts::DATE = (SELECT min(ts::DATE) FROM events) THEN 1 ELSE 0 END)::BIGINT AS rewritten FROM events GROUP BY 1")
 def snk_silver_overwrite(spark, sf_dir):
     """All dates once, then the first date again: counts stay."""
@@ -204,9 +214,10 @@ def log_last_run(spark, sf_dir):
     return a.a_runs(spark, sf_dir).groupBy("source").agg(F.max_by("run_id", F.struct("started_at", "seq")).alias("run_id"), F.max("started_at").alias("started_at"))
 
 
-@query("log_run_status", sql("SELECT run_id, sum(errors)::BIGINT AS errors, sum(records_stored)::BIGINT AS records_stored, CASE WHEN sum(errors) = 0 THEN 'success' WHEN sum(records_stored) > 0 THEN 'partial' ELSE 'failed' END AS status FROM a_runs GROUP BY run_id", "a_runs"))
+@query("log_run_status", sql("SELECT run_id, sum(errors)::BIGINT AS errors, sum(records_stored)::BIGINT AS records_stored, CASE WHEN bool_and(status = 'P') THEN 'skipped' WHEN sum(errors) = 0 THEN 'success' WHEN sum(records_stored) > 0 THEN 'partial' ELSE 'failed' END AS status FROM a_runs GROUP BY run_id", "a_runs"))
 def log_run_status(spark, sf_dir):
-    return lake.run_status(a.a_runs(spark, sf_dir))
+    """Runs all of whose records are pending found nothing new: skipped."""
+    return lake.run_status(a.a_runs(spark, sf_dir).withColumn("status", F.when(F.col("status") == "P", "skipped").otherwise(F.col("status"))))
 
 
 @query("log_bronze_manifest", " UNION ALL ".join(f"SELECT '{t}' AS source, TRUE AS has_files, count(*) AS n_rows FROM {t}" for t in ("events", "orders", "lineitem")))

@@ -9,6 +9,7 @@ from quaystone.adapters import sql
 from quaystone.models import metrics as m
 from quaystone.plans.features import gold_frame, gold_sql
 from quaystone.plans.registry import query, rounded
+from quaystone.registry import MODEL_COLUMNS
 
 _STEPS = """SELECT fold, p, pos, n, sum(pos) OVER d AS tp, sum(n) OVER d AS seen, sum(pos) OVER (PARTITION BY fold) AS positives, sum(n) OVER (PARTITION BY fold) AS total
     FROM (SELECT fold, p, sum(y) AS pos, count(*) AS n FROM a_preds WHERE y IS NOT NULL GROUP BY fold, p) WINDOW d AS (PARTITION BY fold ORDER BY p DESC ROWS UNBOUNDED PRECEDING)"""
@@ -43,13 +44,22 @@ def ml_calibration_bins(spark, sf_dir):
     return rounded(m.reliability(a.a_preds(spark, sf_dir)))
 
 
-_DRIFT_COLUMNS = ["median_berthing_time_hrs", "vessel_call_count", "alert_count", "gdelt_event_count"]
+_DRIFT_COLUMNS = ["median_berthing_time_hrs", "vessel_call_count", *MODEL_COLUMNS]
 _REF, _CUR = "week_ending < DATE '2000-01-01'", "week_ending >= DATE '2000-01-01'"
+_DRIFT = {"m": "avg({c}) FILTER ({r})", "s": "stddev_samp({c}) FILTER ({r})", "k": "avg({c}) FILTER ({w})", "d": "stddev_samp({c}) FILTER ({w})"}
+_DRIFT_LISTS = ", ".join(f"unnest([{', '.join(e.format(c=c, r=_REF, w=_CUR) for c in _DRIFT_COLUMNS)}]) AS {k}" for k, e in _DRIFT.items())
 
 
-@query("ml_drift", gold_sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(r, 6) AS reference_mean, round(s, 6) AS reference_std, round(k, 6) AS current_mean, round(abs(k - r) / greatest(s, 1e-6), 6) AS z, abs(k - r) / greatest(s, 1e-6) > 2 AS drifted FROM (SELECT avg({c}) FILTER ({_REF}) AS r, stddev_samp({c}) FILTER ({_REF}) AS s, avg({c}) FILTER ({_CUR}) AS k FROM g)" for c in _DRIFT_COLUMNS)))
+def _shown(c: str) -> str:
+    return f"CASE WHEN feature = 'eq_energy_proxy' THEN round({c}, 0) ELSE round({c}, 6) END"
+
+
+@query("ml_drift", gold_sql(f"""SELECT feature, {_shown('m')} AS reference_mean, {_shown('s')} AS reference_std, {_shown('k')} AS current_mean, {_shown('d')} AS current_std, round(abs(k - m) / greatest(s, 1e-6), 6) AS z, abs(k - m) / greatest(s, 1e-6) > 2 AS drifted
+    FROM (SELECT unnest([{', '.join(f"'{c}'" for c in _DRIFT_COLUMNS)}]) AS feature, {_DRIFT_LISTS} FROM g) WHERE m IS NOT NULL AND k IS NOT NULL"""))
 def ml_drift(spark, sf_dir):
-    return rounded(m.drift_between(gold_frame(spark, sf_dir), F.expr(_REF), F.expr(_CUR), _DRIFT_COLUMNS))
+    """All columns of the model and the two that throughput gives."""
+    out = m.drift_between(gold_frame(spark, sf_dir), F.expr(_REF), F.expr(_CUR), _DRIFT_COLUMNS)
+    return out.select("feature", *[F.expr(_shown(c)).alias(c) for c in ("reference_mean", "reference_std", "current_mean", "current_std")], F.round("z", 6).alias("z"), "drifted")
 
 
 @query("ml_class_weight", gold_sql("SELECT CASE WHEN sum(is_disruption_week) > 0 THEN round(count_if(is_disruption_week = 0)::DOUBLE / sum(is_disruption_week), 6) ELSE 1.0 END::DOUBLE AS class_weight FROM g"))

@@ -172,7 +172,7 @@ def newest_rows(spark, sf_dir) -> DataFrame:
 
 
 def card_frame(spark, sf_dir) -> DataFrame:
-    return c.cards(impact_table(spark), newest_rows(spark, sf_dir), signals(spark, sf_dir))
+    return c.cards(impact_table(spark), newest_rows(spark, sf_dir), signals(spark, sf_dir), generated_at=AS_OF)
 
 
 _CARD_CONF = _sql_confidence("dc", "ns", "0", "0.5", "FALSE")
@@ -182,7 +182,7 @@ _CARDS = f"""SELECT i.port_id, i.ord, i.name, i.region, i.impact_index, {_sql_sc
 
 
 def card_sql(body: str) -> str:
-    return sql(body, *GOLD_VIEWS, **(GOLD_PARTS | _SIGNAL_PARTS | {"i": SQL_IMPACT, "cards": f"SELECT *, {_sql_tier('risk_score')} AS risk_tier FROM ({_CARDS})"}))
+    return sql(body, *GOLD_VIEWS, **(GOLD_PARTS | _SIGNAL_PARTS | {"i": SQL_IMPACT, "cards": f"SELECT *, {_sql_tier('risk_score')} AS risk_tier, md5(port_id || ':' || coalesce(features_week_ending::VARCHAR, '') || ':7:{AS_OF} 00:00:00') AS card_id FROM ({_CARDS})"}))
 
 
 @query("sc_risk_card", card_sql("SELECT port_id, name, region, risk_score, risk_tier, 0.5::DOUBLE AS p_disruption, 0.5::DOUBLE AS anomaly_score, impact_index, confidence_score, confidence_flags, data_completeness, features_week_ending, n_signals, " + _sql_actions("risk_tier") + " AS recommended_actions, 7 AS forecast_horizon_days FROM cards"))
@@ -190,6 +190,16 @@ def sc_risk_card(spark, sf_dir):
     return card_frame(spark, sf_dir).select("port_id", "name", "region", "risk_score", "risk_tier", "p_disruption", "anomaly_score", "impact_index", "confidence_score", "confidence_flags", "data_completeness", "features_week_ending", "n_signals", "recommended_actions", "forecast_horizon_days")
 
 
+@query("sc_whole_card", card_sql(f"""SELECT port_id, card_id, TIMESTAMP '{AS_OF}' AS generated_at, NULL::VARCHAR AS model_version, 0 AS n_drivers, n_signals, s.listed, s.listed AS different, s.severest, s.oldest, s.chars
+    FROM cards JOIN (SELECT port_id, count(s_all.signal_id) AS listed, max(severity_order) AS severest, min(observed_at) AS oldest, coalesce(sum(length(description)), 0)::BIGINT AS chars FROM cards LEFT JOIN s_all USING (port_id) GROUP BY 1) s USING (port_id)"""))
+def sc_whole_card(spark, sf_dir):
+    """Cards with their signals, in parts: what the parts of each port hold together."""
+    found = signals(spark, sf_dir)
+    parts = c.with_signals(card_frame(spark, sf_dir), found).select("port_id", "card_id", "generated_at", F.col("model_info.version").alias("model_version"), F.size("drivers").alias("n_drivers"), "n_signals", F.explode_outer("active_signals").alias("x"))
+    own = parts.groupBy("port_id", "card_id", "generated_at", "model_version", "n_drivers", "n_signals")
+    return own.agg(F.count("x.signal_id").alias("listed"), F.count_distinct("x.signal_id").alias("different"), (-F.min("x.o")).alias("severest"), F.min("x.observed_at").alias("oldest"), F.coalesce(F.sum(F.char_length("x.description")), F.lit(0)).alias("chars"))
+
+
 @query("sc_rank_ports", card_sql("SELECT row_number() OVER (ORDER BY risk_score DESC, ord)::INTEGER AS place, port_id, risk_score, n_signals FROM cards"))
 def sc_rank_ports(spark, sf_dir, by: str = "risk_score", ascending: bool = False):
     """Ports by a column, from the top or the bottom."""
@@ -232,52 +242,43 @@ def sc_simulate(spark, sf_dir):
     return c.simulate(scenarios, i, baseline).select("scenario_id", "port_id", "risk_score", "risk_tier", "baseline_score", "delta_score", F.size("recommended_actions").alias("n_actions"))
 
 
-#: Signals of an evidence pack, about; a port with more gets several packs.
-PACK_SIGNALS = 500
+PACK_SIGNALS = c.PART_SIGNALS
 
 
-def evidence_packs(cards: DataFrame, found: DataFrame, port_ids: list[str] | None = None) -> DataFrame:
-    """Compact JSON packs of each port: its card, its signals, severest first, and the overview of all ports asked for. Ports with
-    more than PACK_SIGNALS signals get numbered parts, the severest in the first; n_signals counts all signals of the port.
+def evidence_packs(cards: DataFrame, found: DataFrame, port_ids: list[str] | None = None, as_of: str | None = None, lookback_days: int = DAYS) -> DataFrame:
+    """Compact JSON packs of each port: its whole card, its signals, severest first, where it lies, and the overview of all ports
+    asked for. Ports with more than PACK_SIGNALS signals get numbered parts, the severest in the first; n_signals counts all.
 
-    port_ids: the ports asked for; unknown ones are dropped, and none at all means every port. max_risk is the highest score of
-    the ports asked for, is_empty whether a port has no signals.
+    port_ids: the ports asked for; unknown ones are dropped, and None means every port. as_of: where given, only signals of the
+    last lookback_days up to it count. max_risk is the highest score of the ports asked for, is_empty whether a port has no signals.
     """
-    if port_ids:
+    if port_ids is not None:
         known = [p for p in port_ids if p in SORTED_IDS]
         cards, found = cards.filter(F.col("port_id").isin(known)), found.filter(F.col("port_id").isin(known))
-    counts = found.groupBy("port_id", "severity_order").agg(F.count("*").alias("n"))
-    port = Window.partitionBy("port_id")
-    chunks = F.ceil(F.col("n") / PACK_SIGNALS)
-    # One row for each port and severity: how many parts it takes, and how many come before.
-    sizes = counts.select("port_id", "severity_order", F.sum("n").over(port).alias("n_signals"), chunks.alias("chunks"), F.sum(chunks).over(port).alias("all"), F.sum(chunks).over(port.orderBy(F.desc("severity_order"))).alias("upto"))
-    one = F.col("n_signals") <= PACK_SIGNALS
-    sizes = sizes.select("port_id", "severity_order", "n_signals", F.when(one, 1).otherwise(F.col("all")).alias("parts"), F.when(one, 1).otherwise(F.col("chunks")).alias("chunks"), F.when(one, 0).otherwise(F.col("upto") - F.col("chunks")).alias("before"))
-    order = F.struct((-F.col("severity_order")).alias("o"), F.col("signal_id").alias("signal_id"), F.col("source"), F.col("severity"), F.col("description"), F.col("observed_at"))
-    part = (F.col("before") + F.pmod(F.xxhash64(order), F.col("chunks")) + 1).cast("int")
-    placed = found.join(F.broadcast(sizes), ["port_id", "severity_order"]).withColumn("part", part)
-    listed = placed.groupBy("port_id", "part").agg(F.sort_array(F.collect_list(order)).alias("active_signals"), F.max("n_signals").cast("int").alias("n_signals"), F.max("parts").cast("int").alias("parts"))
-    packed = cards.drop("n_signals").join(listed, "port_id", "left").withColumns({"active_signals": F.coalesce("active_signals", F.array()), "n_signals": F.coalesce("n_signals", F.lit(0)), "part": F.coalesce("part", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
-    card = F.struct("port_id", "risk_score", "risk_tier", "confidence_score", "confidence_flags", "recommended_actions")
-    place = F.struct("port_id", "name", "region")
+    if as_of is not None:
+        found = c.recent(found, "observed_at", as_of, lookback_days)
+    fields = [x for x in cards.columns if x not in ("ord", "n_signals")]
+    place = F.struct(*[F.col(x) for x in ("port_id", "name", "region", "state", "lat", "lon")]).alias("place")
+    where = ports(cards.sparkSession).select(F.col("port_id").alias("__port"), place)
+    packed = c.with_signals(cards, found).join(F.broadcast(where), F.col("port_id") == F.col("__port"), "left")  # ten ports
     # Ten ports at most, so the overview is a short list.
     line = F.struct((-F.col("risk_score")).alias("o"), F.col("port_id"), F.col("risk_tier"), F.col("risk_score"))
     overview = cards.agg(F.max("risk_score").alias("max_risk"), F.transform(F.sort_array(F.collect_list(line)), lambda x: x.dropFields("o")).alias("overview"))
     packed = packed.crossJoin(F.broadcast(overview))  # one row
-    pack = F.to_json(F.struct(card.alias("risk_card"), F.col("active_signals"), place.alias("port"), F.col("overview")))
+    pack = F.to_json(F.struct(F.struct(*fields, "n_signals").alias("risk_card"), F.col("active_signals"), F.col("place").alias("port"), F.col("overview")))
     return packed.select("port_id", "n_signals", "risk_score", pack.alias("pack"), "part", "parts", "max_risk", (F.col("n_signals") == 0).alias("is_empty"))
 
 
-_PACK_JSON = "risk_card struct<port_id:string,risk_tier:string>, active_signals array<struct<signal_id:string,severity:string>>, overview array<struct<port_id:string>>"
+_PACK_JSON = "risk_card struct<port_id:string,risk_tier:string,card_id:string>, port struct<state:string,lat:double,lon:double>, active_signals array<struct<signal_id:string,severity:string>>, overview array<struct<port_id:string>>"
 _PACKS = f"""SELECT port_id, risk_score, risk_tier, max(risk_score) OVER () AS max_risk, n_signals, n_signals = 0 AS is_empty, n_signals::BIGINT AS listed, n_signals::BIGINT AS different,
-    CASE WHEN n_signals <= {PACK_SIGNALS} THEN 1 ELSE (SELECT sum(-((-n) // {PACK_SIGNALS})) FROM (SELECT severity_order, count(*) AS n FROM s_all WHERE s_all.port_id = cards.port_id GROUP BY 1)) END::INTEGER AS parts, 10 AS ports_in_overview FROM cards"""
+    CASE WHEN n_signals <= {PACK_SIGNALS} THEN 1 ELSE (SELECT sum(-((-n) // {PACK_SIGNALS})) FROM (SELECT severity_order, count(*) AS n FROM s_all WHERE s_all.port_id = cards.port_id GROUP BY 1)) END::INTEGER AS parts, 10 AS ports_in_overview, card_id, state, lat, lon FROM cards JOIN (SELECT port_id, state, lat, lon FROM a_ports) USING (port_id)"""
 
 
 @query("sc_evidence_pack", card_sql(_PACKS))
 def sc_evidence_pack(spark, sf_dir):
     """Packs of all ports, read back from their JSON: each port's signals are in its parts, each once."""
     packs = evidence_packs(card_frame(spark, sf_dir), signals(spark, sf_dir)).withColumn("p", F.from_json("pack", _PACK_JSON))
-    each = packs.select("port_id", "risk_score", "p.risk_card.risk_tier", "max_risk", "n_signals", "is_empty", "parts", F.size("p.overview").alias("ports_in_overview"), F.size("p.active_signals").alias("n"))
+    each = packs.select("port_id", "risk_score", "p.risk_card.risk_tier", "max_risk", "n_signals", "is_empty", "parts", F.size("p.overview").alias("ports_in_overview"), "p.risk_card.card_id", "p.port.state", "p.port.lat", "p.port.lon", F.size("p.active_signals").alias("n"))
     own = packs.select("port_id", F.explode("p.active_signals").alias("x")).groupBy("port_id").agg(F.count_distinct("x.signal_id").alias("different"))
-    each = each.groupBy("port_id", "risk_score", "risk_tier", "max_risk", "n_signals", "is_empty", "parts", "ports_in_overview").agg(F.sum("n").alias("listed"))
+    each = each.groupBy("port_id", "risk_score", "risk_tier", "max_risk", "n_signals", "is_empty", "parts", "ports_in_overview", "card_id", "state", "lat", "lon").agg(F.sum("n").alias("listed"))
     return each.join(own, "port_id", "left").withColumn("different", F.coalesce("different", F.lit(0)))

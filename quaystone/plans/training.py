@@ -109,4 +109,4 @@ def sc_risk_card_model(spark, sf_dir):
     rows, root = matrix(spark, sf_dir), f"{scratch(spark)}/models"
     job.run_training(spark, rows, root, backtest=False)
     found = job.score_newest(spark, rows, root)
-    return c.cards(impact_table(spark), c.latest(rows), signals(spark, sf_dir), found).select("port_id", "risk_score", "risk_tier", "p_disruption", "anomaly_score", "confidence_score", "confidence_flags", c.shown_drivers(F.col("drivers")).alias("drivers"))
+    return c.cards(impact_table(spark), c.latest(rows), signals(spark, sf_dir), found).select("port_id", "risk_score", "risk_tier", "p_disruption", "anomaly_score", "confidence_score", "confidence_flags", c.shown_drivers(F.col("drivers")).alias("drivers"), "card_id", "generated_at", F.col("model_info.n_train_rows").alias("n_train_rows"))

@@ -10,6 +10,10 @@ from quaystone.registry import ACTIONS, CONFIDENCE_FLAGS, DEFAULT_IMPACT, SEVERI
 
 SIGNAL = ["signal_id", "source", "signal_type", "description", "severity", "port_id", "observed_at"]
 NEWS_CAP, MAX_TEXT = 20, 200
+DRIVERS = "array<struct<feature:string,value:double,impact:double,direction:string>>"
+MODEL_INFO = "struct<version:string,cv_pr_auc:double,n_train_rows:bigint>"
+#: Signals of one part of a card or pack, about; a port with more has several parts.
+PART_SIGNALS = 500
 
 
 def recent(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
@@ -86,23 +90,52 @@ def latest(gold: DataFrame) -> DataFrame:
     return gold.groupBy("port_id").agg(F.max("week_ending").alias("features_week_ending"), F.max_by("data_completeness_score", "week_ending").alias("data_completeness"))
 
 
-def cards(impact: DataFrame, newest: DataFrame, signals: DataFrame, predictions: DataFrame | None = None, horizon: int = 7) -> DataFrame:
+def cards(impact: DataFrame, newest: DataFrame, signals: DataFrame, predictions: DataFrame | None = None, horizon: int = 7, generated_at: str | None = None) -> DataFrame:
     """One card a port. newest (port_id, features_week_ending, data_completeness): the newest gold row of each port, as latest()
-    gives it; predictions (port_id, p_disruption, anomaly_score, drivers); without them neutral priors of 0.5."""
+    gives it; predictions (port_id, p_disruption, anomaly_score, drivers, model_info); without them neutral priors of 0.5.
+    generated_at: now by default. card_id follows from the port, its week, the horizon and generated_at. with_signals() adds the
+    signals themselves."""
     counts = signals.groupBy("port_id").agg(F.count("*").cast("int").alias("n_signals"))
     out = impact.join(newest, "port_id", "left").join(counts, "port_id", "left")
     out = out.withColumns({"n_signals": F.coalesce("n_signals", F.lit(0)), "data_completeness": F.coalesce("data_completeness", F.when(F.col("features_week_ending").isNotNull(), F.lit(0.5)).otherwise(0.0))})
+    none, no_model = F.array().cast(DRIVERS), F.lit(None).cast(MODEL_INFO)
     if predictions is None:
-        out = out.withColumns({"p_disruption": F.lit(0.5), "anomaly_score": F.lit(0.5), "drivers": F.array().cast("array<struct<feature:string,impact:double>>"), "model_loaded": F.lit(False)})
+        out = out.withColumns({"p_disruption": F.lit(0.5), "anomaly_score": F.lit(0.5), "drivers": none, "model_info": no_model, "model_loaded": F.lit(False)})
     else:
+        predictions = predictions if "model_info" in predictions.columns else predictions.withColumn("model_info", no_model)
         out = out.join(predictions.withColumn("model_loaded", F.lit(True)), "port_id", "left")
-        out = out.withColumns({"model_loaded": F.coalesce("model_loaded", F.lit(False)), "p_disruption": F.coalesce("p_disruption", F.lit(0.5)), "anomaly_score": F.coalesce("anomaly_score", F.lit(0.5)), "drivers": F.coalesce("drivers", F.array().cast("array<struct<feature:string,impact:double>>"))})
+        out = out.withColumns({"model_loaded": F.coalesce("model_loaded", F.lit(False)), "p_disruption": F.coalesce("p_disruption", F.lit(0.5)), "anomaly_score": F.coalesce("anomaly_score", F.lit(0.5)), "drivers": F.coalesce(F.col("drivers").cast(DRIVERS), none)})
     score = s.risk_score(F.col("p_disruption"), F.col("anomaly_score"), F.col("impact_index"))
     sure, flags = confidence(F.col("data_completeness"), F.col("n_signals"), F.size("drivers"), F.col("anomaly_score"), F.col("model_loaded"))
     out = out.withColumns({"risk_score": s.clamp(score, 0, 100, 2), "confidence_score": s.clamp(sure, 0, 100, 2), "confidence_flags": flags})
     out = out.withColumn("risk_tier", s.tier(F.col("risk_score")))
     unit = {c: s.clamp(F.col(c), 0, 1, 4) for c in ("p_disruption", "anomaly_score", "impact_index", "data_completeness")}
-    return out.withColumns(unit | {"recommended_actions": actions(F.col("risk_tier")), "forecast_horizon_days": F.lit(horizon)})
+    at = F.localtimestamp() if generated_at is None else F.lit(generated_at).cast("timestamp_ntz")
+    made = {"recommended_actions": actions(F.col("risk_tier")), "forecast_horizon_days": F.lit(horizon), "generated_at": at}
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return out.withColumns(unit | made).withColumn("card_id", F.md5(F.concat_ws(":", "port_id", text(F.col("features_week_ending")), F.lit(str(horizon)), text(F.col("generated_at")))))
+
+
+def signal_parts(signals: DataFrame, most: int = PART_SIGNALS) -> DataFrame:
+    """The signals of each port, severest first, in parts of about `most`: port_id, part, parts, n_signals (all of the port),
+    active_signals. The severest are in the first parts."""
+    counts = signals.groupBy("port_id", "severity_order").agg(F.count("*").alias("n"))
+    port = Window.partitionBy("port_id")
+    chunks = F.ceil(F.col("n") / most)
+    # One row for each port and severity: how many parts it takes, and how many come before.
+    sizes = counts.select("port_id", "severity_order", F.sum("n").over(port).alias("n_signals"), chunks.alias("chunks"), F.sum(chunks).over(port).alias("all"), F.sum(chunks).over(port.orderBy(F.desc("severity_order"))).alias("upto"))
+    one = F.col("n_signals") <= most
+    sizes = sizes.select("port_id", "severity_order", "n_signals", F.when(one, 1).otherwise(F.col("all")).alias("parts"), F.when(one, 1).otherwise(F.col("chunks")).alias("chunks"), F.when(one, 0).otherwise(F.col("upto") - F.col("chunks")).alias("before"))
+    order = F.struct((-F.col("severity_order")).alias("o"), F.col("signal_id").alias("signal_id"), F.col("source"), F.col("severity"), F.col("description"), F.col("observed_at"))
+    part = (F.col("before") + F.pmod(F.xxhash64(order), F.col("chunks")) + 1).cast("int")
+    placed = signals.join(sizes, ["port_id", "severity_order"]).withColumn("part", part)
+    return placed.groupBy("port_id", "part").agg(F.sort_array(F.collect_list(order)).alias("active_signals"), F.max("n_signals").cast("int").alias("n_signals"), F.max("parts").cast("int").alias("parts"))
+
+
+def with_signals(cards: DataFrame, signals: DataFrame) -> DataFrame:
+    """cards with active_signals, in as many parts as signal_parts() makes; a port without signals has one part with none."""
+    out = cards.drop("n_signals").join(signal_parts(signals), "port_id", "left")
+    return out.withColumns({"active_signals": F.coalesce("active_signals", F.array()), "n_signals": F.coalesce("n_signals", F.lit(0)), "part": F.coalesce("part", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
 
 
 def ranked(cards: DataFrame, by: str = "risk_score", ascending: bool = False) -> DataFrame:

@@ -143,9 +143,40 @@ def recorded_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_status(runs: DataFrame) -> DataFrame:
-    """Per run: success without errors, partial with some rows, else failed."""
-    sums = runs.groupBy("run_id").agg(F.sum("errors").alias("errors"), F.sum("records_stored").alias("records_stored"))
-    return sums.withColumn("status", F.when(F.col("errors") == 0, "success").when(F.col("records_stored") > 0, "partial").otherwise("failed"))
+    """Per run: skipped if all its records say so, success without errors, partial with some rows, else failed."""
+    sums = runs.groupBy("run_id").agg(F.sum("errors").alias("errors"), F.sum("records_stored").alias("records_stored"), F.coalesce(F.bool_and(F.col("status") == "skipped"), F.lit(False)).alias("skipped"))
+    status = F.when(F.col("skipped"), "skipped").when(F.col("errors") == 0, "success").when(F.col("records_stored") > 0, "partial").otherwise("failed")
+    return sums.select("run_id", "errors", "records_stored", status.alias("status"))
+
+
+LAYERS = {"gold": "gold", "silver": "silver", "bronze": "bronze_parquet"}
+
+
+def tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """Folders of the lake's tables by name: gold_x, silver_x, bronze_x."""
+    out = {}
+    for layer, folder in LAYERS.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
+            out |= {f"{layer}_{n}": f"{root}/{folder}/{n}" for n in sorted(names)}
+    return out
+
+
+def query(spark: SparkSession, root: str, text: str, params: dict | list | None = None) -> DataFrame:
+    """SQL over all tables of the lake, as gold_x, silver_x and bronze_x, and `runs`, with bound parameters (:name or ?). The names
+    hold in a session of their own."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        value = spark.conf.get(key, None)
+        if value is not None:
+            session.conf.set(key, value)
+    for name, path in tables(spark, root).items():
+        session.read.parquet(path).createOrReplaceTempView(name)
+    if exists(spark, f"{root}/runs/log"):
+        recorded_runs(session, root).createOrReplaceTempView("runs")
+    return session.sql(text, args=params)
 
 
 def manifest(df: DataFrame) -> DataFrame:
