@@ -84,16 +84,57 @@ def src_availability(spark, sf_dir):
     return lake.stop_if_empty(lake.availability({k: v(spark, sf_dir) for k, v in views.items()}))
 
 
+_NEWS_GIVEN = {"GlobalEventID": "global_event_id", "SQLDATE": "sql_date", "EventCode": "event_code", "EventRootCode": "event_root_code", "GoldsteinScale": "goldstein_scale", "NumMentions": "num_mentions", "NumArticles": "num_articles", "AvgTone": "avg_tone", "ActionGeo_Lat": "lat", "ActionGeo_Long": "lon"}
+
+
+def _news_lines(spark, sf_dir):
+    """Lines of 58 columns, and some that are cut short."""
+    r = a.a_gdelt_raw(spark, sf_dir)
+    cells = [F.coalesce(F.col(_NEWS_GIVEN[c]).cast("string"), F.lit("")) if c in _NEWS_GIVEN else F.lit("") for c in feeds.NEWS_COLUMNS]
+    return r.select(F.concat_ws("\t", *cells).alias("value")).union(r.filter("global_event_id % 50 = 0").select(F.lit("cut\tshort")))
+
+
 @query("src_gdelt_tsv", sql("SELECT global_event_id AS GlobalEventID, sql_date AS SQLDATE, event_code AS EventCode, event_root_code AS EventRootCode, goldstein_scale AS GoldsteinScale, num_mentions AS NumMentions, num_articles AS NumArticles, avg_tone AS AvgTone, lat AS ActionGeo_Lat, lon AS ActionGeo_Long FROM a_gdelt_raw", "a_gdelt_raw"))
 def src_gdelt_tsv(spark, sf_dir):
     """58 columns without a header, and lines that are cut short."""
-    r = a.a_gdelt_raw(spark, sf_dir)
-    given = {"GlobalEventID": "global_event_id", "SQLDATE": "sql_date", "EventCode": "event_code", "EventRootCode": "event_root_code", "GoldsteinScale": "goldstein_scale", "NumMentions": "num_mentions", "NumArticles": "num_articles", "AvgTone": "avg_tone", "ActionGeo_Lat": "lat", "ActionGeo_Long": "lon"}
-    cells = [F.coalesce(F.col(given[c]).cast("string"), F.lit("")) if c in given else F.lit("") for c in feeds.NEWS_COLUMNS]
     path = f"{lake.scratch(spark)}/news"
-    good = r.select(F.concat_ws("\t", *cells).alias("value"))
-    good.union(r.filter("global_event_id % 50 = 0").select(F.lit("cut\tshort"))).write.text(path)
-    return feeds.read_news_tsv(spark, path).filter("GlobalEventID IS NOT NULL").select(*given)
+    _news_lines(spark, sf_dir).write.text(path)
+    return feeds.read_news_tsv(spark, path).filter("GlobalEventID IS NOT NULL").select(*_NEWS_GIVEN)
+
+
+def _zipped(folder: str):
+    """Writes each task's lines as a zip of two members; returns the files' names."""
+
+    def run(batches):
+        import io
+        import uuid
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        lines = [x for batch in batches for x in batch.column("value").to_pylist()]
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for i in (0, 1):
+                z.writestr(f"{i}.export.CSV", "".join(x + "\n" for x in lines[i::2]))
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        name = f"{uuid.uuid4().hex}.zip"
+        with system.open_output_stream(f"{path}/{name}") as out:
+            out.write(packed.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    return run
+
+
+@query("src_gdelt_zip", sql("SELECT global_event_id AS GlobalEventID, sql_date AS SQLDATE, event_code AS EventCode, event_root_code AS EventRootCode, goldstein_scale AS GoldsteinScale, num_mentions AS NumMentions, num_articles AS NumArticles, avg_tone AS AvgTone, lat AS ActionGeo_Lat, lon AS ActionGeo_Long FROM a_gdelt_raw", "a_gdelt_raw"))
+def src_gdelt_zip(spark, sf_dir):
+    """The news export as it is published: zip files of several members; lines that are cut short go."""
+    lines, root = _news_lines(spark, sf_dir), lake.scratch(spark)
+    # A file that a task wrote before it ran again isn't named by its result.
+    names = [r["name"] for r in lines.repartition(4).mapInArrow(_zipped(f"{root}/news"), "name string").collect()]
+    return feeds.read_news_zip(spark, [f"{root}/news/{n}" for n in names]).filter("GlobalEventID IS NOT NULL").select(*_NEWS_GIVEN)
 
 
 @query("src_firms_csv", sql("SELECT lat, lon, CASE WHEN event_id % 10 = 0 THEN NULL ELSE frp END AS frp, CASE WHEN event_id % 8 = 0 THEN 'nominal' ELSE confidence END AS confidence, date_trunc('minute', acquired_at) AS acquired_at FROM a_firms_raw", "a_firms_raw"))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.functions.scalar import lenient, lookup
 from quaystone.registry import SEVERITY_SCORE, TEU_COLUMNS
 
-#: Columns of the headerless news export, in file order (fixed by its publisher). The kept ones have a type other than string.
-NEWS_COLUMNS = """GlobalEventID SQLDATE MonthYear Year FractionDate
-Actor1Code Actor1Name Actor1CountryCode Actor1KnownGroupCode Actor1EthnicCode Actor1Religion1Code Actor1Religion2Code Actor1Type1Code Actor1Type2Code Actor1Type3Code
-Actor2Code Actor2Name Actor2CountryCode Actor2KnownGroupCode Actor2EthnicCode Actor2Religion1Code Actor2Religion2Code Actor2Type1Code Actor2Type2Code Actor2Type3Code
-IsRootEvent EventCode EventBaseCode EventRootCode QuadClass GoldsteinScale NumMentions NumSources NumArticles AvgTone
-Actor1Geo_Type Actor1Geo_FullName Actor1Geo_CountryCode Actor1Geo_ADM1Code Actor1Geo_Lat Actor1Geo_Long Actor1Geo_FeatureID
-Actor2Geo_Type Actor2Geo_FullName Actor2Geo_CountryCode Actor2Geo_ADM1Code Actor2Geo_Lat Actor2Geo_Long Actor2Geo_FeatureID
-ActionGeo_Type ActionGeo_FullName ActionGeo_CountryCode ActionGeo_ADM1Code ActionGeo_Lat ActionGeo_Long ActionGeo_FeatureID DATEADDED SOURCEURL""".split()
+#: Columns of the headerless news export, in file order (fixed values of its publisher). The kept ones have a type other than string.
+NEWS_COLUMNS = [
+    "GlobalEventID", "SQLDATE", "MonthYear", "Year", "FractionDate",
+    "Actor1Code", "Actor1Name", "Actor1CountryCode", "Actor1KnownGroupCode", "Actor1EthnicCode", "Actor1Religion1Code", "Actor1Religion2Code", "Actor1Type1Code", "Actor1Type2Code", "Actor1Type3Code",
+    "Actor2Code", "Actor2Name", "Actor2CountryCode", "Actor2KnownGroupCode", "Actor2EthnicCode", "Actor2Religion1Code", "Actor2Religion2Code", "Actor2Type1Code", "Actor2Type2Code", "Actor2Type3Code",
+    "IsRootEvent", "EventCode", "EventBaseCode", "EventRootCode", "QuadClass", "GoldsteinScale", "NumMentions", "NumSources", "NumArticles", "AvgTone",
+    "Actor1Geo_Type", "Actor1Geo_FullName", "Actor1Geo_CountryCode", "Actor1Geo_ADM1Code", "Actor1Geo_Lat", "Actor1Geo_Long", "Actor1Geo_FeatureID",
+    "Actor2Geo_Type", "Actor2Geo_FullName", "Actor2Geo_CountryCode", "Actor2Geo_ADM1Code", "Actor2Geo_Lat", "Actor2Geo_Long", "Actor2Geo_FeatureID",
+    "ActionGeo_Type", "ActionGeo_FullName", "ActionGeo_CountryCode", "ActionGeo_ADM1Code", "ActionGeo_Lat", "ActionGeo_Long", "ActionGeo_FeatureID", "DATEADDED", "SOURCEURL",
+]
 NEWS_KEPT = {
     "GlobalEventID": "long", "SQLDATE": "string", "EventCode": "string", "EventBaseCode": "string", "EventRootCode": "string", "GoldsteinScale": "double", "NumMentions": "long", "NumArticles": "long", "AvgTone": "double",
     "ActionGeo_FullName": "string", "ActionGeo_CountryCode": "string", "ActionGeo_Lat": "double", "ActionGeo_Long": "double", "SOURCEURL": "string",
@@ -28,6 +36,32 @@ def read_news_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("mode", "DROPMALFORMED").option("quote", "").csv(path).select(*NEWS_KEPT)
 
 
+def _zip_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of all members of zip files, member by member as they unpack. A file that is cut off or fails its checksums gives none."""
+    for batch in batches:
+        for content in batch.column("content"):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as packed:
+                    if packed.testzip() is not None:
+                        continue
+                    for member in packed.infolist():
+                        with packed.open(member) as f:
+                            while lines := f.readlines(4 << 20):
+                                text = [x.decode("utf-8", "replace").rstrip("\r\n") for x in lines]
+                                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["value"])
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError):
+                continue
+
+
+def read_news_zip(spark: SparkSession, path: str) -> DataFrame:
+    """read_news_tsv() of zip files, as they are published: a task a file, whose packed bytes it holds, and rows as they unpack."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    schema = ", ".join(f"`{c}` {NEWS_KEPT.get(c, 'string')}" for c in NEWS_COLUMNS) + ", `__bad` string"
+    options = {"sep": "\t", "quote": "", "columnNameOfCorruptRecord": "__bad"}
+    rows = files.mapInArrow(_zip_lines, "value string").select(F.from_csv("value", schema, options).alias("r"))
+    return rows.filter("r.__bad IS NULL").select(*[F.col("r")[c].alias(c) for c in NEWS_KEPT])
+
+
 def read_fire_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; date and HHMM to a timestamp, lenient numbers, confidence n by default."""
     schema = "latitude string, longitude string, brightness string, acq_date string, acq_time string, satellite string, confidence string, frp string"

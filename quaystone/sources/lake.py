@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystone.sources import commits
+from quaystone.sources.json_split import read_records
 
 
 def scratch(spark: SparkSession) -> str:
@@ -51,24 +52,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_envelopes(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Records of envelopes, of bare arrays and of bare objects: one JSON text to a file, over any number of lines, or one to a
-    line. What is malformed goes, and a missing folder has no records. A file is a snapshot and is parsed in memory as a whole.
-    record: schema of a record."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], record)
-    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    # A file is read line by line if its first line is closed in itself.
-    first = F.trim(F.regexp_extract(text, r"^[^\r\n]*", 0))
-    closed = lambda line, ends: line.startswith(ends[0]) & line.endswith(ends[1])
-    by_line = closed(first, "{}") | closed(first, "[]") | ~(first.startswith("{") | first.startswith("["))
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.when(by_line, F.split(text, r"\r?\n")).otherwise(F.array(text))).alias("value"))
-    envelope = F.from_json("value", f"records array<struct<{record}>>")["records"]
-    array = F.from_json("value", f"array<struct<{record}>>")
-    one = F.array(F.from_json("value", f"struct<{record}>"))
-    bare = F.ltrim("value").startswith("[")
-    wrapped = F.get_json_object("value", "$.records").isNotNull()
-    found = F.when(bare, array).when(wrapped, envelope).otherwise(one)
-    return rows.select(F.inline(found)).dropna(how="all")
+    """Records of envelopes, of bare arrays and of bare objects, over any number of lines; files of any size are read by many tasks.
+    A file that isn't whole goes, and of JSON lines the bad lines; a missing folder has no records. record: schema of a record."""
+    return read_records(spark, path, record) if exists(spark, path) else spark.createDataFrame([], record)
 
 
 def write_snapshot_parquet(df: DataFrame, root: str, source: str) -> str:
@@ -143,8 +129,10 @@ def recorded_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_status(runs: DataFrame) -> DataFrame:
-    """Per run: skipped if all its records say so, success without errors, partial with some rows, else failed."""
-    sums = runs.groupBy("run_id").agg(F.sum("errors").alias("errors"), F.sum("records_stored").alias("records_stored"), F.coalesce(F.bool_and(F.col("status") == "skipped"), F.lit(False)).alias("skipped"))
+    """Per run: skipped if all its records say so, success without errors, partial with some rows, else failed. Records without a
+    status say nothing."""
+    skipped = F.coalesce(F.bool_and(F.col("status") == "skipped"), F.lit(False)) if "status" in runs.columns else F.max(F.lit(False))
+    sums = runs.groupBy("run_id").agg(F.sum("errors").alias("errors"), F.sum("records_stored").alias("records_stored"), skipped.alias("skipped"))
     status = F.when(F.col("skipped"), "skipped").when(F.col("errors") == 0, "success").when(F.col("records_stored") > 0, "partial").otherwise("failed")
     return sums.select("run_id", "errors", "records_stored", status.alias("status"))
 

@@ -129,3 +129,22 @@ def test_entry_points(spark):
     found = __spark_entry__.queries()
     assert set(plans.QUERIES) <= set(found) and set(__spark_entry__.oracle_sql()) <= set(found)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_zipped_news(spark, tmp_path):
+    """Members of several zip files; one that is cut off, one with a bad checksum and one that is no zip are left out."""
+    import zipfile
+
+    line = lambda i: "\t".join([str(i), "20240101", *[""] * 56])
+    for name, members in {"a": [range(3), range(3, 5)], "b": [range(5, 9)], "cut": [range(100, 400)], "bad": [range(500, 600)], "empty": [[]]}.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for k, ids in enumerate(members):
+                z.writestr(f"{k}.csv", "\r\n".join([*map(line, ids), "too\tshort", "x" + line("")]) + "\n")
+    (tmp_path / "cut.zip").write_bytes((tmp_path / "cut.zip").read_bytes()[:-60])
+    raw = bytearray((tmp_path / "bad.zip").read_bytes())
+    raw[60] ^= 255
+    (tmp_path / "bad.zip").write_bytes(raw)
+    (tmp_path / "no.zip").write_bytes(b"not a zip")
+    (tmp_path / "other.txt").write_text("x")
+    got = feeds.read_news_zip(spark, str(tmp_path))
+    assert sorted(r.GlobalEventID for r in got.filter("GlobalEventID IS NOT NULL").collect()) == list(range(9)) and got.columns == list(feeds.NEWS_KEPT)
