@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions.scalar import haversine_km
+from quaystone.operators import cells
 from quaystone.registry import PORTS
 
 
@@ -23,13 +24,8 @@ def with_nearest_port(df: DataFrame, radius_km: float | None = None) -> DataFram
 
 
 def within_radius(df: DataFrame, ports: DataFrame, radius_km: float) -> DataFrame:
-    """Each row of df with every port within the radius. ports is a dimension of a few rows; a box of latitudes, which the
-    radius implies, goes first so that most pairs never reach the distance."""
-    degrees = radius_km / 111.0 + 0.1
-    p = F.broadcast(ports.select(F.col("port_id"), F.col("ord"), F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon")))
-    near = (F.col("lat") - F.col("port_lat")).between(-degrees, degrees)
-    joined = df.join(p, near).withColumn("distance_km", haversine_km(F.col("port_lat"), F.col("port_lon"), F.col("lat"), F.col("lon")))
-    return joined.filter(F.col("distance_km") <= radius_km).drop("port_lat", "port_lon")
+    """Each row of df with every port within the radius, by cells of the sphere: port_id, ord, distance_km."""
+    return cells.within(df, ports, radius_km)
 
 
 def first_port_wins(df: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaystone import adapters as a
 from quaystone.adapters import sql, sql_week
 from quaystone.functions import scalar as s
-from quaystone.operators import geo, quantiles, weekly, windows
+from quaystone.operators import cells, geo, quantiles, weekly, windows
 from quaystone.plans.registry import query, rounded
 from quaystone.registry import ALERT_WORDS, DEFAULT_BASE_HOURS, DEFAULT_IMPACT, EVENT_CODES, GOLD_COLUMNS, HAZARD_KM, LAG_WORDS, MIN_MAGNITUDE, MODEL_COLUMNS, PORTS, ROOT_CODES, WHOLE_COLUMNS, ZERO_FILLED, ports
 from quaystone.sources import lake
@@ -115,6 +115,29 @@ def join_radius(spark, sf_dir):
     return geo.first_port_wins(near, "usgs_id").select("usgs_id", "port_id", F.round("distance_km", 4).alias("distance_km"))
 
 
+_SITES = f"SELECT 's' || s_suppkey AS port_id, s_suppkey AS ord, {a._sql_where('s_suppkey')[0]} AS lat, {a._sql_where('s_suppkey')[1]} AS lon FROM supplier"
+SITE_KM = 120.0
+
+
+def _sites(spark, sf_dir) -> DataFrame:
+    """A registry that grows with the tables: suppliers as sites."""
+    return a.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("port_id"), F.col("s_suppkey").alias("ord"), a._lat("s_suppkey").alias("lat"), a._lon("s_suppkey").alias("lon"))
+
+
+@query("join_nearest_site", sql(f"""SELECT global_event_id, port_id, round(distance_km, 4) AS distance_km FROM (SELECT r.global_event_id, p.port_id, {a._km('r.lat', 'r.lon')} AS distance_km,
+    row_number() OVER (PARTITION BY r.global_event_id ORDER BY round({a._km('r.lat', 'r.lon')}, 6), p.ord) AS rk FROM a_gdelt_raw r, p WHERE r.lat IS NOT NULL) WHERE rk = 1 AND distance_km <= {SITE_KM}""", "a_gdelt_raw", p=_SITES))
+def join_nearest_site(spark, sf_dir):
+    """The nearest of any number of sites, by cells of the sphere; the first site wins where the distances are equal."""
+    near = cells.nearest(a.a_gdelt_raw(spark, sf_dir), _sites(spark, sf_dir), SITE_KM)
+    return near.select("global_event_id", "port_id", F.round("distance_km", 4).alias("distance_km"))
+
+
+@query("join_sites_in_radius", sql(f"SELECT r.usgs_id, p.port_id, round({a._km('r.lat', 'r.lon')}, 4) AS distance_km FROM a_usgs_raw r, p WHERE {a._km('r.lat', 'r.lon')} <= {SITE_KM}", "a_usgs_raw", p=_SITES))
+def join_sites_in_radius(spark, sf_dir):
+    """Every site within a radius of each earthquake: an equi-join on cells."""
+    return cells.within(a.a_usgs_raw(spark, sf_dir), _sites(spark, sf_dir), SITE_KM).select("usgs_id", "port_id", F.round("distance_km", 4).alias("distance_km"))
+
+
 _STATES = ["CA", "NJ", "GA", "WA", "TX"]
 _AREAS = ["Coastal waters off Oakland", "Greater Los Angeles basin", "Savannah river", "Puget Sound"]
 

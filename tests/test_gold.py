@@ -49,7 +49,7 @@ def feeds(spark, tmp_path_factory):
 def test_shuffled_batches_and_replays_give_the_whole_table(spark, tmp_path, feeds):
     """Batches of all feeds in any order, some twice; and between them the table is that of the rows so far."""
     root, rng, so_far = str(tmp_path / "gold"), random.Random(5), {}
-    parts = {"throughput": 4, "weather": 2, "news": 1, "quakes": 1, "fires": 2}
+    parts = {"throughput": 3, "weather": 2, "news": 1, "quakes": 1, "fires": 1}
     todo = [(f, i) for f, n in parts.items() for i in range(n)]
     rng.shuffle(todo)
     for step, (feed, i) in enumerate(todo):
@@ -59,7 +59,7 @@ def test_shuffled_batches_and_replays_give_the_whole_table(spark, tmp_path, feed
         if rng.random() < 0.3:
             assert not g.refresh(feed, batch, i, root, ports(spark), a.AS_OF)
         so_far[feed] = batch if feed not in so_far else so_far[feed].union(batch)
-        if step in (3, 6):
+        if step == 4:
             assert rows(g.read_gold(spark, root)) == rows(at_once(spark, so_far)), step
     assert rows(g.read_gold(spark, root)) == rows(at_once(spark, feeds))
     assert not g.compact(spark, root) and g.compact(spark, root, 2) and not g.compact(spark, root, 2)
