@@ -268,10 +268,23 @@ def log_bronze_manifest(spark, sf_dir):
     return found.select("source", ((F.col("n_files") > 0) & (F.col("n_bytes") > 0)).alias("has_files"), "n_rows")
 
 
-@query("dq_checks", "SELECT * FROM (SELECT 'value_known' AS check_name, count_if(value IS NULL)::BIGINT AS failed, count(*) AS checked, count_if(value IS NULL) = 0 AS passed FROM events UNION ALL SELECT 'value_over_ten', count_if(coalesce(value <= 10, TRUE))::BIGINT, count(*), count_if(coalesce(value <= 10, TRUE)) = 0 FROM events UNION ALL SELECT 'known_type', count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup'))::BIGINT, count(*), count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup')) = 0 FROM events)")
+_CHECKS = {"value_known": "value IS NOT NULL", "value_over_ten": "value > 10", "known_type": "event_type IN ('view', 'click', 'error', 'purchase', 'signup')"}
+_DQ_SQL = "SELECT * FROM (SELECT 'value_known' AS check_name, count_if(value IS NULL)::BIGINT AS failed, count(*) AS checked, count_if(value IS NULL) = 0 AS passed FROM events UNION ALL SELECT 'value_over_ten', count_if(coalesce(value <= 10, TRUE))::BIGINT, count(*), count_if(coalesce(value <= 10, TRUE)) = 0 FROM events UNION ALL SELECT 'known_type', count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup'))::BIGINT, count(*), count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup')) = 0 FROM events)"
+
+
+@query("dq_checks", _DQ_SQL)
 def dq_checks(spark, sf_dir):
-    checks = {"value_known": "value IS NOT NULL", "value_over_ten": "value > 10", "known_type": "event_type IN ('view', 'click', 'error', 'purchase', 'signup')"}
-    return lake.quality_checks(a.table(spark, sf_dir, "events"), checks)
+    return lake.quality_checks(a.table(spark, sf_dir, "events"), _CHECKS)
+
+
+@query("dq_write_checks", f"SELECT check_name, failed, checked, passed, checked AS written FROM ({_DQ_SQL})")
+def dq_write_checks(spark, sf_dir):
+    """Checks that are counted while the rows are written, by two writes; the log's rows and what was written."""
+    root, e = lake.scratch(spark), a.table(spark, sf_dir, "events")
+    for half in (0, 1):
+        lake.write_checked(e.filter(F.col("event_id") % 2 == half), f"{root}/events", _CHECKS, root, "events", batch=half)
+    log = lake.quality_log(spark, root).groupBy("check_name").agg(F.sum("failed").alias("failed"), F.sum("checked").alias("checked"), F.bool_and("passed").alias("passed"))
+    return log.crossJoin(F.broadcast(spark.read.parquet(f"{root}/events").agg(F.count("*").alias("written"))))  # one row
 
 
 @query("set_union_schema_drift", "SELECT event_id, user_id, value, NULL::VARCHAR AS props FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, NULL, props FROM events WHERE event_id % 2 <> 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystone.sources import commits
@@ -188,3 +188,33 @@ def quality_checks(df: DataFrame, checks: dict[str, str]) -> DataFrame:
     one = df.agg(F.count("*").alias("__n"), *[F.count_if(~F.coalesce(F.expr(test), F.lit(False))).alias(name) for name, test in checks.items()])
     pairs = ", ".join(f"'{name}', `{name}`" for name in checks)
     return one.select(F.expr(f"stack({len(checks)}, {pairs}) AS (check_name, failed)"), F.col("__n").alias("checked")).withColumn("passed", F.col("failed") == 0)
+
+
+QUALITY = "commit long, table string, batch long, check_name string, failed long, checked long, passed boolean"
+
+
+def write_checked(df: DataFrame, path: str, checks: dict[str, str], root: str, table: str, batch: int | None = None, mode: str = "append") -> int | None:
+    """Write df to path and log what quality_checks() would find, counted while the rows are written: one pass over df. The log below
+    root gets one commit a write, after the rows are there; a batch that is in the log already isn't logged again."""
+    seen = Observation()
+    failing = [F.count_if(~F.coalesce(F.expr(test), F.lit(False))).alias(f"f{i}") for i, test in enumerate(checks.values())]
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *failing).write.mode(mode).parquet(path)
+    found = seen.get
+    entry = {"table": table, "batch": batch, "checked": found["n"], "failed": {name: found[f"f{i}"] for i, name in enumerate(checks)}}
+    known = lambda log: batch is not None and any((e["table"], e["batch"]) == (table, batch) for e in log)
+    return commits.commit(df.sparkSession, f"{root}/quality", entry, unless=known)
+
+
+def quality_log(spark: SparkSession, root: str) -> DataFrame:
+    """One row a check and write: commit, table, batch, check_name, failed, checked, passed."""
+    rows = [(e["number"], e["table"], e["batch"], name, n, e["checked"], n == 0) for e in commits.entries(spark, f"{root}/quality") for name, n in e["failed"].items()]
+    return spark.createDataFrame(rows, QUALITY)
+
+
+def run_checked(stream: DataFrame, path: str, checks: dict[str, str], root: str, table: str, checkpoint: str) -> None:
+    """Write what a stream has with write_checked(), a folder a batch, then stop. A batch that runs again replaces its folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        write_checked(batch, f"{path}/batch={number}", checks, root, table, number, "overwrite")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -148,3 +148,36 @@ def test_zipped_news(spark, tmp_path):
     (tmp_path / "other.txt").write_text("x")
     got = feeds.read_news_zip(spark, str(tmp_path))
     assert sorted(r.GlobalEventID for r in got.filter("GlobalEventID IS NOT NULL").collect()) == list(range(9)) and got.columns == list(feeds.NEWS_KEPT)
+
+
+def test_checks_during_writes(spark, tmp_path):
+    """Counted in the pass that writes: a source that is read once more would count its rows twice. A row a check and batch; a batch
+    that runs again isn't logged twice."""
+    root, reads = str(tmp_path), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).withColumn("v", F.when(F.col("id") % 10 != 0, F.col("id"))).mapInArrow(counted, "id long, v long")
+    checks = {"known": "v IS NOT NULL", "small": "v < 90", "all": "id >= 0"}
+    for _ in range(2):
+        lake.write_checked(rows, f"{root}/t", checks, root, "t", batch=1, mode="overwrite")
+    assert reads.value == 200 and spark.read.parquet(f"{root}/t").count() == 100
+    got = sorted(tuple(r) for r in lake.quality_log(spark, root).collect())
+    assert got == [(0, "t", 1, "all", 0, 100, True), (0, "t", 1, "known", 10, 100, False), (0, "t", 1, "small", 19, 100, False)]
+    again = sorted(tuple(r)[:2] for r in lake.quality_checks(spark.read.parquet(f"{root}/t"), checks).collect())
+    assert again == [("all", 0), ("known", 10), ("small", 19)]
+
+
+def test_checks_of_a_stream(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    for _ in range(2):
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        lake.run_checked(stream, f"{root}/out", {"even": "id % 2 = 0", "known": "id IS NOT NULL"}, root, "ids", f"{root}/checkpoint")
+    got = lake.quality_log(spark, root).collect()
+    assert sorted((r.batch, r.check_name, r.failed, r.checked, r.passed) for r in got) == sorted((b, c, f, 10, f == 0) for b in range(3) for c, f in (("even", 5), ("known", 0)))
+    assert spark.read.parquet(f"{root}/out").count() == 30
