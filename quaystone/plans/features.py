@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaystone import adapters as a
 from quaystone.adapters import sql, sql_week
 from quaystone.functions import scalar as s
-from quaystone.operators import cells, geo, quantiles, weekly, windows
+from quaystone.operators import cells, geo, places, quantiles, weekly, windows
 from quaystone.plans.registry import query, rounded
 from quaystone.registry import ALERT_WORDS, DEFAULT_BASE_HOURS, DEFAULT_IMPACT, EVENT_CODES, GOLD_COLUMNS, HAZARD_KM, LAG_WORDS, MIN_MAGNITUDE, MODEL_COLUMNS, PORTS, ROOT_CODES, WHOLE_COLUMNS, ZERO_FILLED, ports
 from quaystone.sources import lake
@@ -152,6 +152,18 @@ def join_state_text(spark, sf_dir):
     return windows.keep_first(n.join(p, "state"), ["alert_id"], F.desc(F.col("area").contains(F.col("city"))), F.col("ord")).select("alert_id", "port_id")
 
 
+@query("join_place_names", """WITH t AS (SELECT o_orderkey, o_orderkey % 7 AS state, 'Storm off S' || (o_custkey % 120) || '-S' || (o_orderkey % 97) || '.' AS area FROM orders),
+    p AS (SELECT 's' || s_suppkey AS port_id, s_suppkey AS ord, s_suppkey % 7 AS state, 'S' || s_suppkey AS name FROM supplier)
+    SELECT o_orderkey, port_id FROM (SELECT o_orderkey, port_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY contains(lower(area), lower(name)) DESC, ord) AS rk FROM t JOIN p USING (state)) WHERE rk = 1""")
+def join_place_names(spark, sf_dir):
+    """Texts to places of their state by the names they hold, any number of names in one scan of a text."""
+    key = F.col("o_orderkey")
+    area = F.concat(F.lit("Storm off S"), (F.col("o_custkey") % 120).cast("string"), F.lit("-S"), (key % 97).cast("string"), F.lit("."))
+    rows = a.table(spark, sf_dir, "orders").select("o_orderkey", (key % 7).alias("state"), area.alias("area"))
+    sites = _sites(spark, sf_dir).select("port_id", "ord", (F.col("ord") % 7).alias("state"), F.upper("port_id").alias("name"))
+    return places.place_of_text(rows, "o_orderkey", "area", sites)
+
+
 # Weekly aggregates ---------------------------------------------------------------------------------------------------
 
 
