@@ -61,16 +61,24 @@ def fire_weekly(fires: DataFrame) -> DataFrame:
 FALLBACK_WEEKS = 104
 
 
-def spine(ports: DataFrame, weeks: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Every port with every Sunday between the first and last week; without any week, with the last FALLBACK_WEEKS up to the week of
-    as_of (today). Both sides are a few rows: ports, and one row of bounds."""
-    end = week_ending(F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp"))
-    first, last = F.coalesce(F.min("week_ending"), F.date_sub(end, 7 * (FALLBACK_WEEKS - 1))), F.coalesce(F.max("week_ending"), end)
-    bounds = weeks.agg(first.alias("a"), last.alias("b"))
+def _every_sunday(ports: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Every port with every Sunday from a to b. Both sides are a few rows: ports, and one row of bounds."""
     sundays = bounds.select(F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("week_ending"))
     return sundays.crossJoin(F.broadcast(ports.select("port_id"))).select(*KEYS)
 
 
+def spine(ports: DataFrame, weeks: DataFrame) -> DataFrame:
+    """Every port with every Sunday between the first and last week."""
+    return _every_sunday(ports, weeks.agg(F.min("week_ending").alias("a"), F.max("week_ending").alias("b")).filter("a IS NOT NULL"))
+
+
+def gold_spine(ports: DataFrame, weeks: DataFrame, as_of: str | None = None) -> DataFrame:
+    """spine(); without any week, with the last FALLBACK_WEEKS up to the week of as_of (today)."""
+    end = week_ending(F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp"))
+    first, last = F.coalesce(F.min("week_ending"), F.date_sub(end, 7 * (FALLBACK_WEEKS - 1))), F.coalesce(F.max("week_ending"), end)
+    return _every_sunday(ports, weeks.agg(first.alias("a"), last.alias("b")))
+
+
 def fallback_spine(ports: DataFrame, as_of: str, weeks: int = FALLBACK_WEEKS) -> DataFrame:
     """Every port with the last weeks up to the week of as_of."""
     end = week_ending(F.lit(as_of).cast("timestamp"))
@@ -104,7 +112,7 @@ def gold(ports: DataFrame, port: DataFrame, weather: DataFrame, news: DataFrame,
     events = [weather, news, quakes, fires]
     # Whether a source has rows. All its columns are named, so that this reads the rows that are shuffled for the join anyway.
     some = lambda side, name: side.agg(F.max(F.xxhash64(*side.columns)).isNotNull().cast("int").alias(name))
-    keys = spine(ports, port, as_of)
+    keys = gold_spine(ports, port, as_of)
     present = [some(side, f"s{i}") for i, side in enumerate(events, 1)]
     flags = present[0].crossJoin(present[1]).crossJoin(present[2]).crossJoin(present[3])  # one row each
     return assembled(keys.crossJoin(F.broadcast(flags)), [port, *events], [F.col(f"s{i}") for i in range(1, 5)])

@@ -132,7 +132,7 @@ def _gold_rows(spark: SparkSession, root: str, state: _State, feed: str, delta:
     if feed != "throughput" and state.gold:
         return _event_rows(spark, root, state, feed, touched, whole)
     bounds = spark.createDataFrame([(state.first,), (state.last,)], "w string").select(F.col("w").cast("date").alias("week_ending"))
-    keys, weeks = weekly.spine(ports, bounds, as_of), None
+    keys, weeks = weekly.gold_spine(ports, bounds, as_of), None
     if whole:
         features = port_features(state.read(spark, root, "throughput"))
     else:
