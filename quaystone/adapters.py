@@ -29,7 +29,7 @@ def pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def _sql_pick(values: list[str], index: str) -> str:
+def sql_pick(values: list[str], index: str) -> str:
     return "([" + ", ".join(f"'{v}'" for v in values) + f"])[({index})::INTEGER + 1]"
 
 
@@ -158,11 +158,11 @@ _ROOT_SQL = "CASE left(o_orderpriority, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'"
 #: name: (views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "a_ports": ((), f"SELECT * FROM (VALUES {_values(port_rows())}) t(ord, enc, port_id, name, lat, lon, state, region, nws_zone, teu_m, base_hrs)"),
-    "a_bts": ((), f"""SELECT {_sql_pick(SORTED_IDS, 'l_suppkey % 10')} AS port_id, {sql_week('l_shipdate')} AS week_ending, median(l_quantity) AS median_berthing_time_hrs,
+    "a_bts": ((), f"""SELECT {sql_pick(SORTED_IDS, 'l_suppkey % 10')} AS port_id, {sql_week('l_shipdate')} AS week_ending, median(l_quantity) AS median_berthing_time_hrs,
         avg(l_quantity) AS avg_berthing_time_hrs, count(DISTINCT l_orderkey)::INTEGER AS vessel_call_count, count(*) * 100 AS teu_count, max(l_shipdate) AS ingested_at FROM lineitem GROUP BY 1, 2"""),
     "a_bts_dup": (("a_bts",), """SELECT * FROM a_bts UNION ALL SELECT port_id, week_ending, median_berthing_time_hrs + 1, avg_berthing_time_hrs, vessel_call_count, teu_count, ingested_at + INTERVAL 1 DAY FROM a_bts WHERE teu_count % 700 = 0"""),
-    "a_nws": ((), f"""SELECT event_id::VARCHAR AS alert_id, {_sql_pick(SORTED_IDS, 'user_id % 10')} AS port_id, {_sql_pick(EVENT_TYPES, 'event_id % 6')} AS event_type,
-        {_sql_pick(SEVERITIES, 'event_id % 5')} AS severity, ts - {SHIFT} AS effective, json_extract_string(props, '$.k')::INTEGER AS k, event_id FROM events WHERE event_type IN ('error', 'view')"""),
+    "a_nws": ((), f"""SELECT event_id::VARCHAR AS alert_id, {sql_pick(SORTED_IDS, 'user_id % 10')} AS port_id, {sql_pick(EVENT_TYPES, 'event_id % 6')} AS event_type,
+        {sql_pick(SEVERITIES, 'event_id % 5')} AS severity, ts - {SHIFT} AS effective, json_extract_string(props, '$.k')::INTEGER AS k, event_id FROM events WHERE event_type IN ('error', 'view')"""),
     "a_gdelt_raw": ((), f"""SELECT o_orderkey AS global_event_id, strftime(o_orderdate, '%Y%m%d') AS sql_date, {_ROOT_SQL} || (o_orderkey % 7)::VARCHAR AS event_code, {_ROOT_SQL} AS event_root_code,
         ((o_orderkey * 37) % 201)::DOUBLE / 10 - 10 AS goldstein_scale, o_custkey % 50 AS num_mentions, o_custkey % 20 AS num_articles, ((o_orderkey * 13) % 101)::DOUBLE / 10 - 5 AS avg_tone,
         CASE WHEN o_orderkey % 17 <> 0 THEN {_ORDER_LAT} END AS lat, {_ORDER_LON} AS lon FROM orders"""),
@@ -171,7 +171,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "a_usgs_raw": ((), f"""SELECT event_id::VARCHAR AS usgs_id, 3.5 + (event_id % 40)::DOUBLE / 10 AS magnitude, (event_id % 70)::DOUBLE AS depth_km, event_id % 11 = 0 AS tsunami_flag,
         {_EVENT_LAT} AS lat, {_EVENT_LON} AS lon, ts - {SHIFT} AS occurred_at, event_id FROM events WHERE event_type = 'click'"""),
     "a_usgs": (("a_ports", "a_usgs_raw"), _nearest("a_usgs_raw", HAZARD_KM, "usgs_id")),
-    "a_firms_raw": ((), f"""SELECT event_id, value AS frp, {_sql_pick(CONFIDENCES, 'event_id % 3')} AS confidence, {_EVENT_LAT} AS lat, {_EVENT_LON} AS lon, ts - {SHIFT} AS acquired_at
+    "a_firms_raw": ((), f"""SELECT event_id, value AS frp, {sql_pick(CONFIDENCES, 'event_id % 3')} AS confidence, {_EVENT_LAT} AS lat, {_EVENT_LON} AS lon, ts - {SHIFT} AS acquired_at
         FROM events WHERE event_type = 'purchase'"""),
     "a_firms": (("a_ports", "a_firms_raw"), _nearest("a_firms_raw", HAZARD_KM, "event_id")),
     "a_preds": ((), "SELECT doc_id, quality AS y, (n_chars % 1000)::DOUBLE / 1000 AS p, (doc_id % 3)::INTEGER AS fold FROM documents JOIN labels USING (doc_id)"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaystone import adapters as a
 from quaystone.adapters import sql, sql_week
 from quaystone.functions import scalar as s
-from quaystone.operators import cells, geo, places, quantiles, weekly, windows
+from quaystone.operators import cells, geo, places, quantiles, series, weekly, windows
 from quaystone.plans.registry import query, rounded
 from quaystone.registry import ALERT_WORDS, DEFAULT_BASE_HOURS, DEFAULT_IMPACT, EVENT_CODES, GOLD_COLUMNS, HAZARD_KM, LAG_WORDS, MIN_MAGNITUDE, MODEL_COLUMNS, PORTS, ROOT_CODES, WHOLE_COLUMNS, ZERO_FILLED, ports
 from quaystone.sources import lake
@@ -143,7 +143,7 @@ _AREAS = ["Coastal waters off Oakland", "Greater Los Angeles basin", "Savannah r
 
 
 @query("join_state_text", sql(f"""SELECT alert_id, port_id FROM (SELECT n.alert_id, p.port_id, row_number() OVER (PARTITION BY n.alert_id ORDER BY contains(lower(n.area), lower(split_part(p.name, '/', 1)[:greatest(length(trim(split_part(p.name, '/', 1))), 1)])) DESC, p.ord) AS rk
-    FROM (SELECT alert_id, {a._sql_pick(_STATES, 'event_id % 5')} AS state, {a._sql_pick(_AREAS, 'event_id % 4')} AS area FROM a_nws) n JOIN a_ports p USING (state)) WHERE rk = 1""", "a_nws", "a_ports"))
+    FROM (SELECT alert_id, {a.sql_pick(_STATES, 'event_id % 5')} AS state, {a.sql_pick(_AREAS, 'event_id % 4')} AS area FROM a_nws) n JOIN a_ports p USING (state)) WHERE rk = 1""", "a_nws", "a_ports"))
 def join_state_text(spark, sf_dir):
     """Alert to port by state; where a state has several, one whose city is in the area's text, else the first."""
     n = a.a_nws(spark, sf_dir).select("alert_id", a.pick(_STATES, F.col("event_id") % 5).alias("state"), F.lower(a.pick(_AREAS, F.col("event_id") % 4)).alias("area"))
@@ -304,6 +304,20 @@ def win_disruption_label(spark, sf_dir):
     return _features(spark, sf_dir).select("port_id", "week_ending", _X, "is_disruption_week")
 
 
+_LONG = "OVER (PARTITION BY port_id ORDER BY l_shipdate, l_orderkey, l_linenumber, x ROWS BETWEEN {} PRECEDING AND {})"
+_LONG_NOW, _LONG_PRIOR = _LONG.format(999, "CURRENT ROW"), _LONG.format(1000, "1 PRECEDING")
+
+
+@query("win_long_series", f"""SELECT port_id, l_shipdate, l_orderkey, l_linenumber, n AS roll_n, round(CASE WHEN n >= 4 THEN m END, 9) AS roll_mean, round(CASE WHEN n >= 4 THEN s END, 6) AS roll_std, round(CASE WHEN n >= 4 THEN (x - m) / greatest(s, 1e-6) END, 6) AS roll_z, round(CASE WHEN before >= 4 THEN p END, 6) AS roll_prior
+    FROM (SELECT *, count(x) {_LONG_NOW} AS n, avg(x) {_LONG_NOW} AS m, stddev_samp(x) {_LONG_NOW} AS s, count(x) {_LONG_PRIOR} AS before, quantile_cont(x, 0.75) {_LONG_PRIOR} AS p
+    FROM (SELECT {a.sql_pick(a.SORTED_IDS, 'l_suppkey % 10')} AS port_id, l_shipdate, l_orderkey, l_linenumber, l_quantity::DOUBLE AS x FROM lineitem))""")
+def win_long_series(spark, sf_dir):
+    """Frames of 1000 rows over each port's single shipments, its series cut into ranges. Means of up to 1000 whole numbers have
+    nine digits at most where they end, so nine never round a tie."""
+    x = a.table(spark, sf_dir, "lineitem").select(a.pick(a.SORTED_IDS, F.col("l_suppkey") % 10).alias("port_id"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"))
+    return rounded(series.rolling(x, "port_id", "l_shipdate", "x", 1000, ties=["l_orderkey", "l_linenumber", "x"]).drop("x"), roll_mean=9)
+
+
 @query("win_dedup_latest", sql(f"SELECT port_id, week_ending, {_X}, ingested_at FROM f_latest", "a_bts_dup", f_latest=_DEDUP.format(src="a_bts_dup")))
 def win_dedup_latest(spark, sf_dir):
     return windows.latest_bts(a.a_bts_dup(spark, sf_dir)).select("port_id", "week_ending", _X, "ingested_at")
@@ -434,7 +448,7 @@ def impact_table(spark: SparkSession) -> DataFrame:
 SQL_IMPACT = "SELECT port_id, ord, name, region, round(teu_m / max(teu_m) OVER (), 4) AS impact_index FROM a_ports"
 
 
-@query("sc_impact", sql(f"SELECT b.key, coalesce(i.impact_index, {DEFAULT_IMPACT}::DOUBLE) AS impact_index, b.n FROM (SELECT CASE WHEN user_id % 11 = 10 THEN 'elsewhere' ELSE {a._sql_pick([*sorted(p[0] for p in a.PORTS), 'elsewhere'], 'user_id % 11')} END AS key, count(*) AS n FROM events GROUP BY 1) b LEFT JOIN i ON i.port_id = b.key", "a_ports", i=SQL_IMPACT))
+@query("sc_impact", sql(f"SELECT b.key, coalesce(i.impact_index, {DEFAULT_IMPACT}::DOUBLE) AS impact_index, b.n FROM (SELECT CASE WHEN user_id % 11 = 10 THEN 'elsewhere' ELSE {a.sql_pick([*sorted(p[0] for p in a.PORTS), 'elsewhere'], 'user_id % 11')} END AS key, count(*) AS n FROM events GROUP BY 1) b LEFT JOIN i ON i.port_id = b.key", "a_ports", i=SQL_IMPACT))
 def sc_impact(spark, sf_dir):
     key = a.pick([*sorted(p[0] for p in a.PORTS), "elsewhere"], F.col("user_id") % 11)
     b = a.table(spark, sf_dir, "events").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
@@ -508,7 +522,7 @@ _CODES = ["14", "141", "144", "145", "146", "172", "173", "174", "201", "20", "9
 _CODE_SQL = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_CODES.items()) + " ELSE 'Other' END"
 
 
-@query("fn_map_lookup", f"SELECT event_id, {_CODE_SQL} AS label FROM (SELECT event_id, {a._sql_pick(_CODES, 'event_id % 11')} AS code FROM events)")
+@query("fn_map_lookup", f"SELECT event_id, {_CODE_SQL} AS label FROM (SELECT event_id, {a.sql_pick(_CODES, 'event_id % 11')} AS code FROM events)")
 def fn_map_lookup(spark, sf_dir):
     return a.table(spark, sf_dir, "events").select("event_id", s.lookup(a.pick(_CODES, F.col("event_id") % 11), EVENT_CODES, "Other").alias("label"))
 

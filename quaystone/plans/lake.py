@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from quaystone import adapters as a
 from quaystone.adapters import sql
 from quaystone.plans.registry import query
 from quaystone.registry import TEU_COLUMNS
-from quaystone.sources import feeds, lake
+from quaystone.sources import feeds, footers, lake
 
 #: Features of a GeoJSON page, about.
 PAGE_ROWS = 500
@@ -268,6 +270,45 @@ def log_bronze_manifest(spark, sf_dir):
     return found.select("source", ((F.col("n_files") > 0) & (F.col("n_bytes") > 0)).alias("has_files"), "n_rows")
 
 
+_ZONED = "events"
+
+
+def _zoned(spark, sf_dir):
+    """events in files by time: the folder and its zone map."""
+    root = lake.scratch(spark)
+    path = f"{root}/{_ZONED}"
+    a.table(spark, sf_dir, _ZONED).repartitionByRange(16, "ts", "event_id").sortWithinPartitions("ts").write.parquet(path)
+    return path, footers.refresh(spark, path, f"{root}/zones")
+
+
+@query("log_footer_manifest", f"SELECT '{_ZONED}' AS source, TRUE AS has_files, count(*)::BIGINT AS n_rows FROM {_ZONED}")
+def log_footer_manifest(spark, sf_dir):
+    """Files and rows of a table from its footers, without a look at its rows."""
+    files = footers.by_file(_zoned(spark, sf_dir)[1]).agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"), F.sum("n_rows").alias("n_rows"))
+    return files.select(F.lit(_ZONED).alias("source"), ((F.col("n") > 1) & (F.col("bytes") > 0)).alias("has_files"), "n_rows")
+
+
+def _sql_zone(column: str, value: str = "NULL::BIGINT", double: str = "NULL::DOUBLE", text: str = "NULL::VARCHAR") -> str:
+    bounds = ", ".join(f"{f}({x}) AS {n}{kind}" for kind, x in (("", value), ("_double", double), ("_text", text)) for f, n in (("min", "low"), ("max", "high")))
+    return f"SELECT '{column}' AS name, (count(*) - count({column}))::BIGINT AS nulls, {bounds} FROM {_ZONED}"
+
+
+@query("log_zone_map", " UNION ALL ".join([_sql_zone("event_id", "event_id"), _sql_zone("ts", "epoch_us(ts)"), _sql_zone("user_id", "user_id"), _sql_zone("event_type", text="event_type"), _sql_zone("value", double="value"), _sql_zone("props", text="props")]))
+def log_zone_map(spark, sf_dir):
+    """Bounds and nulls of each column over all files of a table, from their footers."""
+    kinds = [("", "low", "high"), ("_double", "low", "high"), ("_text", "low", "high")]
+    bounds = [f(f"{n}{kind}").alias(f"{n}{kind}") for kind, low, high in kinds for f, n in ((F.min, low), (F.max, high))]
+    return footers.by_column(_zoned(spark, sf_dir)[1]).groupBy("name").agg(F.sum("nulls").alias("nulls"), *bounds)
+
+
+@query("flt_lookback_pruned", f"SELECT event_id, event_type, ts, TRUE AS files_skipped FROM {_ZONED} WHERE ts >= TIMESTAMP '2024-01-23 12:00:00' AND ts <= TIMESTAMP '2024-01-30 12:00:00'")
+def flt_lookback_pruned(spark, sf_dir):
+    """The rows of seven days, from the files whose footers say that they can hold some."""
+    path, zones = _zoned(spark, sf_dir)
+    got = footers.read_between(spark, path, zones, "ts", datetime.datetime(2024, 1, 23, 12), datetime.datetime(2024, 1, 30, 12))
+    return got.select("event_id", "event_type", "ts", F.lit(len(got.inputFiles()) < zones.count()).alias("files_skipped"))
+
+
 _CHECKS = {"value_known": "value IS NOT NULL", "value_over_ten": "value > 10", "known_type": "event_type IN ('view', 'click', 'error', 'purchase', 'signup')"}
 _DQ_SQL = "SELECT * FROM (SELECT 'value_known' AS check_name, count_if(value IS NULL)::BIGINT AS failed, count(*) AS checked, count_if(value IS NULL) = 0 AS passed FROM events UNION ALL SELECT 'value_over_ten', count_if(coalesce(value <= 10, TRUE))::BIGINT, count(*), count_if(coalesce(value <= 10, TRUE)) = 0 FROM events UNION ALL SELECT 'known_type', count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup'))::BIGINT, count(*), count_if(event_type NOT IN ('view', 'click', 'error', 'purchase', 'signup')) = 0 FROM events)"
 

@@ -230,7 +230,7 @@ def sc_overview(spark, sf_dir):
     return card_frame(spark, sf_dir).agg(*tiers, F.round(F.avg("risk_score"), 6).alias("mean_score"), F.sum("n_signals").alias("signals"))
 
 
-_SCENARIOS = f"SELECT doc_id AS scenario_id, {a._sql_pick(sorted(p[0] for p in a.PORTS), 'doc_id % 10')} AS port_id, {_PRED} AS p_disruption, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 11)::DOUBLE / 10 END AS anomaly_score FROM documents"
+_SCENARIOS = f"SELECT doc_id AS scenario_id, {a.sql_pick(sorted(p[0] for p in a.PORTS), 'doc_id % 10')} AS port_id, {_PRED} AS p_disruption, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 11)::DOUBLE / 10 END AS anomaly_score FROM documents"
 
 
 @query("sc_simulate", sql(f"""SELECT scenario_id, port_id, risk_score, {_sql_tier('risk_score')} AS risk_tier, baseline_score, round(risk_score - baseline_score, 2) AS delta_score, len({_sql_actions(f'({_sql_tier("risk_score")})')})::INTEGER AS n_actions
