@@ -7,13 +7,15 @@ In the space scaled by those, overlapping passages of documents that have a high
 candidates, whatever words they share. A candidate is checked on all words of the item and the text around it: it is
 contaminated if their longest common subsequence covers `VERBATIM` of the item, or `PARAPHRASE` of it and the item's answer is
 found there too, or `DENSE` of it within `SPAN` times the item's words of text, or if `RUN` words of the item stand there in a row.
-Words are compared by 32 bits of their hashes.
+Words are compared by 32 bits of their hashes. An item of more than `PART_WORDS` words is cut into parts of so many words that
+overlap by half, each of which counts as the item: a text that holds a part is contaminated by the item.
 
 The model has WORDS x RANK numbers, whatever the input; items are worked through in blocks of a bounded size, one pass over the
 tokenized documents for each.
 
 Cases: null or empty texts hold no passage; items without words match nothing; a null doc_id is reported as null; rows that
-repeat a doc_id are reported once for each item, with the best of them; empty tables give an empty table; extra columns are
+repeat a doc_id are reported once for each item, with the best of them and, of a long item, with the best part, whose words
+item_words then counts; empty tables give an empty table; extra columns are
 not carried.
 """
 
@@ -32,6 +34,8 @@ from quaystone.llm.common import BREAKS, blobs, pieces, shared_dir, shingles, st
 WORDS, RANK, STEP = 4096, 128, 12
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS = 0.25, 0.7, 0.5, 5
 DENSE, SPAN, RUN = 0.45, 1.5, 13
+#: Words of an item that are compared as one.
+PART_WORDS = 1024
 #: Items of a block at most, and bytes of its table of words by item.
 ITEMS_AT_ONCE, MASK_BYTES = 2000, 64 << 20
 #: Buckets in a row of the partial sums that tasks send, lanes that those are summed in first; words, passages and rows of a sum
@@ -302,8 +306,8 @@ def densest(item: np.ndarray, text: np.ndarray) -> int:
 def longest_run(item: np.ndarray, text: np.ndarray) -> int:
     """Words of the item that stand in a row in text, at most."""
     best, runs = 0, np.zeros(len(text) + 1, np.int32)
-    for row in item[:, None] == text:
-        runs[1:] = (runs[:-1] + 1) * row
+    for word in item:
+        runs[1:] = (runs[:-1] + 1) * (text == word)
         best = max(best, int(runs.max()))
     return best
 
@@ -373,8 +377,14 @@ def _search(model):
     return run
 
 
+def item_parts(item: np.ndarray) -> list[np.ndarray]:
+    """The item, or parts of PART_WORDS words that overlap by half and cover it; the last one ends with the item."""
+    last = len(item) - PART_WORDS
+    return [item] if last <= 0 else [item[at : at + PART_WORDS] for at in (*range(0, last, PART_WORDS // 2), last)]
+
+
 def _item_blocks(rows: Iterator, answer: bool) -> Iterator[dict]:
-    """Items (those with words) with their answers, in blocks of a bounded number of items and bytes of masks."""
+    """Items (those with words) or their parts, with their answers, in blocks of a bounded number of items and bytes of masks."""
     block: dict = {"ids": [], "items": [], "answers": []}
     known: set[int] = set()
     longest = 0
@@ -382,14 +392,15 @@ def _item_blocks(rows: Iterator, answer: bool) -> Iterator[dict]:
         item, _ = tokens(pa.array([row["text"]]))
         if not len(item):
             continue
-        given = tokens(pa.array([row["answer"]]))[0] if answer else item[-ANSWER_WORDS:]
-        more, wide = known | set(item.tolist()), -(-max(longest, len(item)) // 64)
-        if block["ids"] and (len(block["ids"]) == ITEMS_AT_ONCE or 8 * (len(block["ids"]) + 1) * (len(more) + 1) * wide > MASK_BYTES):
-            yield block
-            block, more, longest = {"ids": [], "items": [], "answers": []}, set(item.tolist()), 0
-        known, longest = more, max(longest, len(item))
-        for k, x in zip(("ids", "items", "answers"), (row["item_id"], item, given), strict=True):
-            block[k].append(x)
+        told = tokens(pa.array([row["answer"]]))[0] if answer else None
+        for part in item_parts(item):
+            more, wide = known | set(part.tolist()), -(-max(longest, len(part)) // 64)
+            if block["ids"] and (len(block["ids"]) == ITEMS_AT_ONCE or 8 * (len(block["ids"]) + 1) * (len(more) + 1) * wide > MASK_BYTES):
+                yield block
+                block, more, longest = {"ids": [], "items": [], "answers": []}, set(part.tolist()), 0
+            known, longest = more, max(longest, len(part))
+            for k, x in zip(("ids", "items", "answers"), (row["item_id"], part, part[-ANSWER_WORDS:] if told is None else told), strict=True):
+                block[k].append(x)
     if block["ids"]:
         yield block
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quaystone.llm import decontaminate as d
 from quaystone.llm.decontaminate import common_subsequence, contaminated
@@ -165,3 +166,32 @@ def test_all_planted_passages_are_found(spark):
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items if i.text in d.text}
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert want and got == want
+
+
+def test_very_long_items_are_compared_in_parts(spark):
+    """Parts bound what a task holds, whatever the item's length; a text with a part of a long item is found."""
+    rng = random.Random(21)
+    long = [f"l{rng.randrange(60_000)}" for _ in range(200_000)]
+    blocks = list(d._item_blocks(iter([{"item_id": 5, "text": " ".join(long), "answer": ""}]), False))
+    parts = [x for b in blocks for x in b["items"]]
+    whole = d.tokens(pa.array([" ".join(long)]))[0]
+    assert max(map(len, parts)) == d.PART_WORDS and {b for x in blocks for b in x["ids"]} == {5}
+    assert all((x == whole[i * 512 : i * 512 + 1024]).all() for i, x in enumerate(parts[:-1])) and (parts[-1] == whole[-1024:]).all()
+    for b in blocks:
+        masks, _ = d.item_masks(b["items"], np.unique(np.concatenate(b["items"])))
+        assert masks.nbytes <= d.MASK_BYTES + (1 << 20)
+    item = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    other = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    changed = [w if rng.random() < 0.8 else f"c{i}" for i, w in enumerate(item[1000:2700])]
+    texts = [other(300) + item[1500:3200] + other(300), other(100) + changed + other(50), item, other(2500), item[700:708] + other(400)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    short = other(40)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs, bench).collect()}
+    assert {k[0] for k in got if k[1] == 1} == {0, 1, 2} and all(r.item_words == d.PART_WORDS for r in got.values())
+    assert got[2, 1].lcs_words == 1024 and got[1, 1].lcs_words >= 700
+
+
+def test_longest_run_row_by_row():
+    a, b = np.array([1, 2, 3, 4, 1, 2], np.uint32), np.array([9, 2, 3, 4, 1, 9, 1, 2, 3], np.uint32)
+    assert d.longest_run(a, b) == 4 and d.longest_run(a, b[:1]) == 0
