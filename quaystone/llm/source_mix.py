@@ -3,9 +3,11 @@
 Each source's documents, in a seeded order, are cut into blocks. With weight w, block k of a source is released at slot
 floor(k / w) and due by slot ceil((k + 1) / w); at each slot the released block with the earliest deadline goes out. At any
 slot each source has then had less than one block more or less than its weight asks for. Weights are not rounded: they become
-whole units by their exact fractions. A schedule repeats after a round of as many slots as there are units, if it gets that far.
-When a source runs out, the others go on with their weights scaled up (a new phase). Counts by source and the slot of each block
-are on the driver, a row for every `block_docs` documents.
+whole units by their exact fractions. When a source runs out, the others go on with their weights scaled up (a new phase).
+
+The schedule is cut into stretches of slots that tasks walk apart from each other: the blocks that are placed before any slot
+follow from the weights (`placed`), so no task walks what is before its stretch. The driver has counts by source and finds the end
+of each phase; it sees neither blocks nor slots one by one.
 
 Cases: a null source is a source; sources without a target weight get none of the schedule's rounds and follow in a last phase
 by their counts; rows that repeat a document are each mixed; empty tables give empty tables; all documents stay. Other columns
@@ -15,14 +17,13 @@ stay, but for those whose names begin with mix_, which are replaced.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from itertools import chain, pairwise
 from math import lcm
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS, SEED = 16, 17
@@ -32,6 +33,10 @@ RANK_ROWS = 5_000
 LISTED = 100_000
 #: Releases and deadlines of sources with next to no weight end here.
 FAR = 1 << 62
+#: Slots of a stretch of the schedule, slots that the driver walks to find the end of a phase, and slots looked back on at a time.
+STRETCH, WALK, LOOK = 1 << 16, 1 << 12, 1 << 22
+MOST_TASKS = 2_000
+BLOCK_COLUMNS = ["mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"]
 
 
 def whole_units(weights: Mapping, total: int) -> dict:
@@ -52,74 +57,151 @@ def exact_units(weights: Mapping) -> dict:
     return {s: int(x * scale) for s, x in exact.items()}
 
 
-def one_round(units: Mapping, left: Mapping | None = None) -> dict:
-    """Slots of a round by source, by earliest deadline among the released; ties to the longer-waiting, then to the name.
-    It ends early when a source has had the blocks it has left."""
-    total = sum(units.values())
-    releases: dict[int, list] = {}
-    done = dict.fromkeys(units, 0)
-    slots: dict = {s: [] for s in units}
-    releases[0] = list(units)
-    ready: list = []
-    t = 0
-    while t < total:
-        for s in releases.pop(t, ()):
-            k, u = done[s], units[s]
-            heapq.heappush(ready, (-(-(k + 1) * total // u), k * total // u, str(s), s))
-        _, _, _, s = heapq.heappop(ready)
-        slots[s].append(t)
-        done[s] += 1
-        if left is not None and done[s] == left[s]:
-            break
-        if done[s] < units[s]:
-            again = max(t + 1, done[s] * total // units[s])
-            releases.setdefault(again, []).append(s)
+def multiples(k: np.ndarray, size: int, unit: int, less: int = 0) -> np.ndarray:
+    """floor((k * size - less) / unit) of ascending k, exactly whatever the size of the units, but at most FAR."""
+    most = max(1, int(k[-1])) if len(k) else 1
+    if most * size < FAR:
+        return (k * size - less) // unit
+    exact = lambda i: min(FAR, (int(i) * size - less) // unit)
+    whole, part = divmod(size, unit)
+    if most >> 40 or most * (whole + 1) >= FAR:
+        return np.array([exact(i) for i in k], np.int64)
+    # Doubles tell the quotient unless it is next to a whole number.
+    parts = k * (part / unit)
+    out = k * whole + np.floor(parts).astype(np.int64)
+    unsure = np.flatnonzero(np.abs(parts - np.rint(parts)) < 1e-3)
+    out[unsure] = [exact(i) for i in k[unsure]]
+    return out
+
+
+def placed(t: int, units: list[int]) -> list[int]:
+    """Blocks of each source that are placed before slot t of a phase, without a walk to t.
+
+    Earliest deadline first has placed all blocks due by t, and of those released before t and due later as many as there are
+    slots left: in their order, each that still fits. A choice fits if from no slot a on it holds more blocks released at a
+    or later than there are slots from a to t for them. That looks back to the release of the oldest of those blocks.
+    """
+    size = sum(units)
+    base = [t * u // size for u in units]
+    rest = t - sum(base)
+    if not rest:
+        return base
+    later = [i for i, u in enumerate(units) if t * u % size]
+    released = [base[i] * size // units[i] for i in later]
+    points = np.unique(released)
+    low, room, taken = int(points[0]), np.full(len(points), FAR), 0
+    for end in range(int(t), low, -LOOK):
+        begin = max(low, end - LOOK)
+        near = [multiples(np.arange(-(-begin * u // size), min(base[i], -(-end * u // size))), size, u) for i, u in enumerate(units)]
+        counts = np.bincount(np.concatenate(near) - begin, minlength=end - begin)
+        slots = np.arange(begin, end)
+        free = t - slots - taken - np.cumsum(counts[::-1])[::-1]
+        inside = slots <= points[-1]
+        np.minimum.at(room, np.searchsorted(points, slots[inside]), free[inside])
+        taken += int(counts.sum())
+    at = np.searchsorted(points, released).tolist()
+    for _, _, i, j in sorted((-(-(base[i] + 1) * size // units[i]), r, i, j) for i, r, j in zip(later, released, at, strict=True)):
+        if room[: j + 1].min() > 0:
+            room[: j + 1] -= 1
+            base[i] += 1
+            rest -= 1
+            if not rest:
+                break
+    return base
+
+
+def walk(units: list[int], done: list[int], t: int, end: int | None = None, left: list[int] | None = None) -> np.ndarray:
+    """Sources of the slots from t on, by earliest deadline among the released; ties to the longer-waiting, then to the first
+    by name. `done` are the blocks placed before t; it ends before slot `end`, or when a source has had all it has left."""
+    size, done = sum(units), list(done)
+    ready, waiting, order = [], {}, []
+    for i, u in enumerate(units):
+        waiting.setdefault(max(t, done[i] * size // u), []).append(i)
+    while end is None or t < end:
+        for i in waiting.pop(t, ()):
+            k, u = done[i], units[i]
+            heapq.heappush(ready, (-(-(k + 1) * size // u), k * size // u, i))
+        _, _, i = heapq.heappop(ready)
+        order.append(i)
+        done[i] += 1
         t += 1
-    return slots
-
-
-def phases(blocks: Mapping, units: Mapping) -> list[dict]:
-    """Until all blocks are placed: the sources that still have some, their first block and round, and the first slot."""
-    return list(each_phase(blocks, units))
-
-
-def each_phase(blocks: Mapping, units: Mapping) -> Iterator[dict]:
-    """Phases one at a time, as there are as many as sources at most and each names all sources that are left."""
-    used, slot = dict.fromkeys(blocks, 0), 0
-    while left := {s: u for s, u in units.items() if blocks[s] > used[s]}:
-        size = sum(left.values())
-        rounds = one_round(left, {s: blocks[s] - used[s] for s in left})
-        ends = {}
-        for s, u in left.items():
-            last = blocks[s] - used[s] - 1
-            if len(rounds[s]) > last % u:
-                ends[s] = last // u * size + rounds[s][last % u]
-        length = min(ends.values()) + 1
-        yield {"slot": slot, "size": size, "first": {s: used[s] for s in left}, "rounds": rounds}
-        for s, u in left.items():
-            used[s] += length // size * u + sum(t < length % size for t in rounds[s])
-        slot += length
-
-
-def block_table(plan: Iterable[dict], blocks: Mapping, units: Mapping) -> pa.Table:
-    """Each block's source, number, slot, release and deadline; the plan's slots count from 0."""
-    names, columns = [], []
-    for p, following in pairwise(chain(plan, [None])):
-        live = p["first"]
-        size = p["size"]
-        for s, first in live.items():
-            n = (following["first"].get(s, blocks[s]) if following else blocks[s]) - first
-            if not n:
-                continue
-            u, own = units[s], p["rounds"][s]
-            j = range(n)
-            names += [s] * n
-            columns.append([
-                np.arange(first, first + n), np.array([p["slot"] + i // u * size + own[i % u] for i in j], np.int64),
-                np.array([min(FAR, p["slot"] + i * size // u) for i in j], np.int64), np.array([min(FAR, p["slot"] - (-(i + 1) * size // u)) for i in j], np.int64),
-            ])
-    whole = [np.concatenate([c[i] for c in columns]) if columns else np.zeros(0, np.int64) for i in range(4)]
-    return pa.table([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in whole)], ["mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"])
+        if left is not None and done[i] == left[i]:
+            break
+        waiting.setdefault(max(t, done[i] * size // units[i]), []).append(i)
+    return np.array(order, np.int64)
+
+
+def each_phase(blocks: list[int], units: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+    """Until all blocks are placed: a phase's first slot, its length and the blocks placed before it. A phase ends when a source
+    runs out. Its end is found by halves and a short walk, so the time grows with the sources and not with the blocks."""
+    used, slot = [0] * len(blocks), 0
+    while live := [i for i, n in enumerate(blocks) if n > used[i]]:
+        own, left = [units[i] for i in live], [blocks[i] - used[i] for i in live]
+        size = sum(own)
+        low = min((n - 1) * size // u for n, u in zip(left, own, strict=True))
+        high = min(-(-n * size // u) for n, u in zip(left, own, strict=True))
+        while high - low > WALK:
+            middle = (low + high) // 2
+            over = any(x >= n for x, n in zip(placed(middle, own), left, strict=True))
+            low, high = (low, middle) if over else (middle, high)
+        done = placed(low, own)
+        order = walk(own, done, low, left=left)
+        yield slot, low + len(order), used
+        more = np.bincount(order, minlength=len(live)).tolist()
+        used = list(used)
+        for i, x, y in zip(live, done, more, strict=True):
+            used[i] += x + y
+        slot += low + len(order)
+
+
+def stretch_rows(blocks: list[int], units: list[int], group: int = 0, start: int = 0) -> Iterator[dict]:
+    """Parts of the schedule that are worked out apart from each other: slots from begin to end of the phase that starts at slot."""
+    for slot, length, used in each_phase(blocks, units):
+        live = [u for u, n, x in zip(units, blocks, used, strict=True) if n > x]
+        step = max(STRETCH, -(-sum(live) // min(live)))  # no shorter than what its state looks back on
+        for begin in range(0, length, step):
+            yield {"group": group, "slot": start + slot, "begin": begin, "end": min(length, begin + step), "used": np.array(used, np.int64).tobytes()}
+
+
+def stretch_table(row: dict, names: list[str], blocks: list[int], units: list[int]) -> Iterator[pa.RecordBatch]:
+    """Each block of a stretch: source, number, slot, release and deadline; the slots of all phases count from 0. It walks in
+    short pieces, so memory doesn't grow with the stretch."""
+    used = np.frombuffer(row["used"], np.int64).tolist()
+    live = [i for i, n in enumerate(blocks) if n > used[i]]
+    own, slot = [units[i] for i in live], row["slot"]
+    size, done = sum(own), placed(row["begin"], own)
+    for begin in range(row["begin"], row["end"], STRETCH):
+        order = walk(own, done, begin, min(row["end"], begin + STRETCH))
+        by_source = np.argsort(order, kind="stable")
+        counts = np.bincount(order, minlength=len(live))
+        columns, ends = [], np.cumsum(counts).tolist()
+        for j, n in enumerate(counts.tolist()):
+            if n:
+                k = np.arange(done[j], done[j] + n)
+                due = np.minimum(FAR - slot, multiples(k + 1, size, own[j], 1) + 1)
+                columns.append((k + used[live[j]], slot + begin + by_source[ends[j] - n : ends[j]], slot + np.minimum(FAR - slot, multiples(k, size, own[j])), slot + due))
+                done[j] += n
+        whole = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*columns, strict=True)]
+        source = pa.array(np.repeat([names[i] for i in live], counts).tolist(), pa.string())
+        yield pa.RecordBatch.from_arrays([source, *whole], BLOCK_COLUMNS)
+
+
+def scheduled(spark: SparkSession, groups: list[tuple[dict, dict]]) -> DataFrame:
+    """The slot of each block, in tasks: groups of sources follow one another, each by the blocks and units of its sources."""
+    listed, rows, start = [], [], 0
+    for number, (blocks, units) in enumerate(groups):
+        names = sorted(blocks)
+        listed.append((names, [blocks[s] for s in names], [units[s] for s in names]))
+        rows += stretch_rows(*listed[-1][1:], number, start)
+        start += sum(blocks.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from stretch_table(row, *listed[row["group"]])
+
+    plan = spark.createDataFrame(rows, "group int, slot long, begin long, end long, used binary")
+    return plan.repartition(min(MOST_TASKS, max(1, -(-start // STRETCH)))).mapInArrow(run, f"mix_source string, {', '.join(f'{c} long' for c in BLOCK_COLUMNS[1:])}")
 
 
 def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, block_docs: int = BLOCK_DOCS, units: int | None = None, seed: int = SEED, key: Column | None = None) -> DataFrame:
@@ -141,15 +223,8 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, power: float = 0.5, b
         given = {"" if s is None else f"={s}": w for s, w in weights.items() if w > 0}
         first = {s: given[s] for s in counts if s in given}
         rest = {s: float(n) for s, n in counts.items() if s not in given}
-    tables, start = [], 0
-    for group in (first, rest):
-        if group:
-            own, whole = {s: blocks[s] for s in group}, whole_units(group, units) if units else exact_units(group)
-            plan = (p | {"slot": p["slot"] + start} for p in each_phase(own, whole))
-            tables.append(block_table(plan, own, whole))
-            start += sum(own.values())
-    schema = "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
-    slots = spark.createDataFrame(pa.concat_tables(tables), schema) if tables else spark.createDataFrame([], schema)
+    planned = [({s: blocks[s] for s in group}, whole_units(group, units) if units else exact_units(group)) for group in (first, rest) if group]
+    slots = scheduled(spark, planned)
 
     # Rank within a source in two levels, so that no task sorts a whole source: ranges of the hash, then places in a range.
     whole = F.xxhash64(F.lit(seed), *kept)

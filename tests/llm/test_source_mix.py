@@ -1,6 +1,11 @@
 import random
 
-from quaystone.llm.source_mix import block_table, exact_units, mixed, one_round, phases, whole_units
+import numpy as np
+import pytest
+
+from quaystone.llm import source_mix
+from quaystone.llm.source_mix import each_phase, exact_units, mixed, multiples, placed, scheduled, stretch_rows, stretch_table, walk, whole_units
+from tests.llm.plain_mix import block_table, one_round, phases
 
 
 def edf(blocks, units):
@@ -118,3 +123,69 @@ def test_many_sources_and_whole_rows(spark):
     for r in got:
         slots.setdefault(r.mix_slot, []).append(r)
     assert sorted(slots) == list(range(len(slots))) and all(len({x.source for x in v}) == 1 and sorted(x.mix_place for x in v) == list(range(len(v))) for v in slots.values())
+
+
+def planned(blocks, units):
+    """All stretches one after another, as tasks work them out."""
+    names = sorted(blocks)
+    args = names, [blocks[s] for s in names], [units[s] for s in names]
+    return [r for row in stretch_rows(*args[1:]) for batch in stretch_table(row, *args) for r in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("stretch", [3, 17, 1 << 16])
+def test_stretches_against_the_plain_planner(stretch, monkeypatch):
+    """Tasks that know no slot before their stretch give the schedule of a walk over all slots."""
+    monkeypatch.setattr(source_mix, "STRETCH", stretch)
+    monkeypatch.setattr(source_mix, "WALK", stretch)
+    monkeypatch.setattr(source_mix, "LOOK", stretch)
+    rng = random.Random(stretch)
+    by_slot = lambda rows: sorted(rows, key=lambda r: r["mix_slot"])
+    for trial in range(60):
+        names = [f"s{i}" for i in range(rng.randint(1, 9))]
+        weights = {s: rng.choice([1, 2, 3, rng.random() + 1e-3, rng.random() ** 6 + 1e-4]) for s in names}
+        units = exact_units(weights) if trial % 2 else whole_units(weights, rng.randint(5, 60))
+        blocks = {s: rng.randint(1, 150) for s in names}
+        assert by_slot(planned(blocks, units)) == by_slot(block_table(phases(blocks, units), blocks, units).to_pylist())
+
+
+def test_state_before_any_slot_is_that_of_a_walk():
+    rng = random.Random(2)
+    for _ in range(40):
+        units = list(exact_units({i: rng.random() ** rng.choice([1, 4]) + 1e-4 for i in range(rng.randint(1, 30))}).values())
+        order = walk(units, [0] * len(units), 0, 400)
+        for t in range(0, 400, 7):
+            assert placed(t, units) == np.bincount(order[:t], minlength=len(units)).tolist()
+
+
+def test_multiples_are_exact():
+    rng = random.Random(3)
+    for bits in (3, 30, 60, 110):
+        for _ in range(30):
+            size, k = rng.getrandbits(bits) + 2, np.sort(np.array([rng.randrange(10 ** rng.randint(1, 9)) for _ in range(50)], np.int64))
+            for unit in (1, 3, size, size - 1, rng.randrange(1, size), size // 2):
+                for less in (0, 1):
+                    assert multiples(k, size, unit, less).tolist() == [min(source_mix.FAR, (int(i) * size - less) // unit) for i in k]
+
+
+def test_ten_million_blocks(spark):
+    """The driver sees a row a source and a few stretches; at every slot tried each source is within one block of its weight."""
+    weights = {f"s{i:02}": (i + 1) ** 0.5 for i in range(20)}
+    units = exact_units(weights)
+    total = sum(weights.values())
+    blocks = {s: int(10_000_000 * w / total) + 5 for s, w in weights.items()}
+    assert len(list(stretch_rows(list(blocks.values()), list(units.values())))) < 250
+    slots = scheduled(spark, [(blocks, units)]).cache()
+    n, ends, least, most, late = slots.selectExpr("count(*)", "count(DISTINCT mix_slot)", "min(mix_slot)", "max(mix_slot)", "count_if(mix_slot < mix_release OR mix_slot >= mix_deadline)").first()
+    assert (n, ends, least, most, late) == (sum(blocks.values()), n, 0, n - 1, 0)
+    for t in (65_535, 65_536, 1_234_567, 9_999_000):
+        got = {r[0]: r[1] for r in slots.filter(f"mix_slot < {t}").groupBy("mix_source").count().collect()}
+        assert all(abs(got[s] - t * w / total) < 1 for s, w in weights.items())
+    slots.unpersist()
+
+
+def test_the_least_weight_makes_stretches_longer_not_wrong(monkeypatch):
+    monkeypatch.setattr(source_mix, "STRETCH", 50)
+    units = exact_units({"a": 1.0, "b": 0.7, "c": 1e-3})
+    blocks = {"a": 3000, "b": 2000, "c": 3}
+    by_slot = lambda rows: sorted(rows, key=lambda r: r["mix_slot"])
+    assert by_slot(planned(blocks, units)) == by_slot(block_table(phases(blocks, units), blocks, units).to_pylist())
