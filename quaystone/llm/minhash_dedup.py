@@ -7,12 +7,13 @@
    the similarity; pairs that may reach the threshold are checked on full shingle sets.
 4. Buckets that still hold several components are searched completely, in blocks of members. Their odd sketches tell which
    members of a block may be linked with one of another component; the full sets of those, and only those, go into the block and
-   settle it. Only links that join components leave a block, so no task emits all pairs of a group.
+   settle it. A block whose sets have more than ITEMS shingles is searched by pairs of its parts, so long texts don't add up in a
+   task. Only links that join components leave a block, so no task emits all pairs of a group.
 5. Connected components of the links give each document the smallest doc_id that it reaches.
 
 A pair at the threshold of 0.85 misses all bands with a chance of 6e-11, at 0.8 of 5e-8.
 
-Cases: a document without words (or null text) has an empty set and no links; one with fewer than 5 words has one shingle, the
+Cases: a very long text is in a part with others, whose sets have about ITEMS / 2 shingles with it; a document without words (or null text) has an empty set and no links; one with fewer than 5 words has one shingle, the
 whole sequence; a null doc_id has no links and a null component_id, and is kept. doc_id is a key: rows that repeat one are
 judged each on its text. Extra columns are not carried.
 """
@@ -31,6 +32,8 @@ from quaystone.llm.components import connected
 
 SHINGLE, BANDS, ROWS, BITS, BLOCK = 5, 32, 4, 512, 1024
 SAMPLES = BANDS * ROWS
+#: Shingles of the full sets that are searched together; blocks of longer texts are searched in parts.
+ITEMS = 2_000_000
 #: Columns of a member of a block: the block (bucket, parts p and q of it, whether q is of the largest component), side and node.
 MEMBER = ["bucket", "p", "q", "cored", "side", "rep", "label"]
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -132,7 +135,7 @@ def _sketch_block(most: int):
         for k in range(words_of.shape[1]):
             odd += np.bitwise_count(words_of[:, None, k] ^ words_of[None, :, k])
         near = (odd <= most) & _apart(group.column("label").to_numpy(), group.column("side").to_numpy())
-        return group.select(MEMBER).filter(pa.array(near.any(axis=1)))
+        return group.drop_columns("sketch").filter(pa.array(near.any(axis=1)))
 
     return run
 
@@ -163,6 +166,15 @@ def _search_block(percent: int):
     return run
 
 
+def _in_parts(blocks: DataFrame, block: list[str]) -> DataFrame:
+    """Members of blocks, with columns low and high: the pair of parts of the block that they are searched in. A block of few
+    shingles is one part; of one with more, every two members meet in some pair of parts."""
+    wide = blocks.groupBy(*block).agg(F.sum("n_shingles").alias("total")).filter(F.col("total") > ITEMS).select(*block, F.ceil(2 * F.col("total") / ITEMS).cast("int").alias("parts"))
+    found = blocks.join(wide, block, "left").withColumn("part", F.expr("int(pmod(xxhash64(rep), coalesce(parts, 1)))"))
+    found = found.withColumn("other", F.explode(F.expr("IF(parts IS NULL, array(0), filter(sequence(0, parts - 1), x -> x <> part))")))
+    return found.select(*MEMBER, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Link documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -218,9 +230,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         left = rest.withColumn("q", F.explode(F.expr("sequence(0, cores - 1)"))).select("bucket", F.col("blk").alias("p"), "q", F.lit(True).alias("cored"), F.lit(1).alias("side"), "rep", "label")
         right = cores.withColumn("p", F.explode(F.expr("sequence(0, rests - 1)"))).select("bucket", "p", F.col("blk").alias("q"), F.lit(True).alias("cored"), F.lit(2).alias("side"), "rep", "label")
         block = MEMBER[:4]
-        drawn = inner.unionByName(left).unionByName(right).join(sketches, "rep").groupBy(*block).applyInArrow(_sketch_block(most), "bucket long, p int, q int, cored boolean, side int, rep long, label long")
-        blocks = stored(drawn, base, "blocks").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-        more = blocks.groupBy(*block).applyInArrow(_search_block(percent), "a long, b long")
+        sized = classes.select("rep", "n_shingles", "sketch")
+        drawn = inner.unionByName(left).unionByName(right).join(sized, "rep").select(*MEMBER, "n_shingles", "sketch").groupBy(*block).applyInArrow(
+            _sketch_block(most), "bucket long, p int, q int, cored boolean, side int, rep long, label long, n_shingles long")
+        blocks = _in_parts(stored(drawn, base, "blocks"), block).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        more = blocks.groupBy(*block, "low", "high").applyInArrow(_search_block(percent), "a long, b long")
         more = stored(more.distinct(), base, "more-links")
         if more.limit(1).count():
             labels = connected(links.unionByName(more), base, "second")

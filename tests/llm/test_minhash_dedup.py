@@ -79,6 +79,23 @@ def test_near_misses_in_one_bucket(spark):
     assert run(spark, rows) == brute(rows, 85)
 
 
+def test_blocks_of_many_shingles_are_searched_in_parts(spark, monkeypatch):
+    """Blocks whose sets are too much for one task: same links, and no search holds many more shingles than the bound."""
+    monkeypatch.setattr(m, "ITEMS", 5_000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(260)]
+    rows = [(i, edited(rng, base, rng.choice([2, 5, 7, 8, 9, 10]))) for i in range(400)]
+    assert run(spark, rows) == brute(rows, 85)
+    members = [(1, 0, 0, False, 0, r, r, 250) for r in range(300)] + [(2, 0, 1, True, 1 + r % 2, r, r, 9) for r in range(40)]
+    df = spark.createDataFrame(members, "bucket long, p int, q int, cored boolean, side int, rep long, label long, n_shingles long")
+    together = {}
+    for r in m._in_parts(df, m.MEMBER[:4]).collect():
+        together.setdefault((r.bucket, r.low, r.high), set()).add(r.rep)
+    assert together.pop((2, 0, 0)) == set(range(40))
+    assert len(together) > 100 and max(map(len, together.values())) * 250 <= 2 * m.ITEMS
+    assert {(a, b) for reps in together.values() for a in reps for b in reps} == {(a, b) for a in range(300) for b in range(300)}
+
+
 def test_sketches_leave_out_far_members_only():
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in np.where(rng.random(300) < share, rng.integers(0, 10**6, 300), np.arange(300))) for share in (0.0, 0.002, 0.005, 0.3, 0.9, 0.95)]
