@@ -41,6 +41,8 @@ ITEMS_AT_ONCE, MASK_BYTES = 2000, 64 << 20
 #: Buckets in a row of the partial sums that tasks send, lanes that those are summed in first; words, passages and rows of a sum
 #: that are worked on at a time.
 SLICE, LANES, AT_ONCE, PASSAGES, AT_A_TIME = 256, 64, 1 << 16, 1024, 16
+#: Known words of a text whose places in the items are joined at a time; pairs that are compared at once.
+RUNS, PAIRS = 8, 1 << 14
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -296,6 +298,61 @@ def common_subsequences(masks: np.ndarray, full: np.ndarray, item: np.ndarray, l
     return out
 
 
+class Places:
+    """Upper bounds of common subsequences: how many places of an item have a word that a stretch of text has.
+
+    The words of many items have a row over all items (row 0: any other word); those of few are listed with their items.
+    """
+
+    def __init__(self, masks: np.ndarray):
+        held = masks.any(axis=0)
+        items, count = len(held), held.sum(axis=0)
+        often = np.flatnonzero(32 * count > items)
+        self.row = np.zeros(len(count), np.int64)
+        self.row[often] = np.arange(1, len(often) + 1)
+        self.rows = [np.concatenate([np.zeros((1, items), np.uint64), table[:, often].T]) for table in masks]
+        held[:, often] = False
+        word, self.item = np.nonzero(held.T)
+        self.bits = masks[:, self.item, word]
+        self.bounds = np.searchsorted(word, np.arange(len(count) + 1))
+
+    def covered(self, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """For each item and its stretch lo:hi of the text's known words, rounded to whole runs of RUNS words: places with one of
+        these words. The bits of a run are joined once for all items, then those of 2, 4, 8 ... runs."""
+        out, some = np.zeros(len(item), np.int64), np.flatnonzero(hi > lo)
+        if not len(some):
+            return out
+        start, end = lo[some] // RUNS, -(-hi[some] // RUNS)
+        first, total = int(start.min()), int(end.max() - start.min())
+        numbers = numbers[first * RUNS : (first + total) * RUNS]
+        runs = np.zeros((total, RUNS), np.int64)
+        runs.ravel()[: len(numbers)] = self.row[numbers]
+        runs = runs.T.copy()
+        # Each entry of a word of few items, and the run it is for.
+        size = self.bounds[numbers + 1] - self.bounds[numbers]
+        entry = np.arange(int(size.sum())) + np.repeat(self.bounds[numbers] - np.cumsum(size) + size, size)
+        each = self.rows[0].shape[1]
+        cell = np.repeat(np.arange(len(numbers)) // RUNS, size) * each + self.item[entry]
+        # A stretch is the union of two that are a power of two of runs long.
+        level = (np.frexp(end - start)[1] - 1).astype(np.int8)
+        groups = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1)]
+        left, right = (start - first) * each + item[some], (end - first - (1 << level.astype(np.int64))) * each + item[some]
+        for table, bits in zip(self.rows, self.bits, strict=True):
+            joined, part = np.zeros((total, each), np.uint64), np.empty((64, each), np.uint64)
+            for at in range(0, total, 64):
+                into = joined[at : at + 64]
+                for row in runs[:, at : at + 64]:
+                    np.take(table, row, axis=0, out=part[: len(into)], mode="clip")
+                    into |= part[: len(into)]
+            flat = joined.ravel()
+            np.bitwise_or.at(flat, cell, bits[entry])
+            for k, pairs in enumerate(groups):
+                if k:
+                    flat[: -each << k - 1] |= flat[each << k - 1 :]
+                out[some[pairs]] += np.bitwise_count(flat[left[pairs]] | flat[right[pairs]])
+        return out
+
+
 def densest(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence with any stretch of text of SPAN times the item's words (or an eighth more)."""
     step = max(1, len(item) // 8)
@@ -325,6 +382,7 @@ def _search(model):
         items, answers, vectors, owner, table = m["items"], m["answers"], m["vectors"], m["owner"], _with_zero(m["table"])
         known = np.unique(np.concatenate(items))
         masks, full = item_masks(items, known)
+        places = Places(masks)
         sizes = np.array([len(x) for x in items])
         rows = np.unique(np.concatenate([shingles(x.astype(np.uint64), RUN) for x in items]))
         for batch, ids, bounds in _parts(batches):
@@ -339,29 +397,38 @@ def _search(model):
                 h = shingles(ids.astype(np.uint64), RUN)[whole]
                 begun[whole[np.isin(h, rows)] + 1] = 1
             begun = np.cumsum(begun)
+            kept: list[tuple[np.ndarray, ...]] = []
             every, text_of_passage = _overlapping(bounds)
             for first in range(0, len(every), PASSAGES):
                 starts, text = every[first : first + PASSAGES], text_of_passage[first : first + PASSAGES]
                 x = _latent(ids, starts, np.minimum(starts + 2 * STEP, bounds[text + 1]), table)
-                row, v = np.nonzero(x @ vectors.T >= COSINE)
-                if not len(row):
+                hits = np.flatnonzero((x @ vectors.T >= COSINE).ravel())
+                if len(hits):
+                    row, v = np.divmod(hits, len(vectors))
+                    # Vectors of an item follow one another, so the first of those it has with a passage stands for all.
+                    item = owner[v]
+                    head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+                    size, row, item = np.diff(np.append(head, len(v))), row[head], item[head]
+                    slack = sizes[item] + STEP
+                    lo = np.maximum(bounds[text[row]], starts[row] - slack)
+                    hi = np.minimum(bounds[text[row] + 1], starts[row] + 2 * STEP + slack)
+                    in_row = begun[np.maximum(lo, hi - RUN + 1)] > begun[lo]
+                    least = DENSE * sizes[item]
+                    least[in_row] = np.minimum(least[in_row], RUN)
+                    able = places.covered(item, inner[lo], inner[hi], only) >= least
+                    v = v[np.repeat(able, size)]
+                    row, item, lo, hi, in_row, size = (c[able] for c in (row, item, lo, hi, in_row, size))
+                    if len(row):
+                        cosine = np.maximum.reduceat(np.einsum("ij,ij->i", x[np.repeat(row, size)], vectors[v]), np.cumsum(size) - size)
+                        kept.append((text[row], item, lo, hi, in_row, cosine))
+                if not kept or (first + PASSAGES < len(every) and sum(len(c[0]) for c in kept) < PAIRS):
                     continue
-                # Vectors of an item follow one another, so the first of those it has with a passage stands for all.
-                item = owner[v]
-                head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
-                cosine = np.maximum.reduceat(np.einsum("ij,ij->i", x[row], vectors[v]), head)
-                row, item = row[head], item[head]
-                slack = sizes[item] + STEP
-                lo = np.maximum(bounds[text[row]], starts[row] - slack)
-                hi = np.minimum(bounds[text[row] + 1], starts[row] + 2 * STEP + slack)
-                in_row = begun[np.maximum(lo, hi - RUN + 1)] > begun[lo]
-                # A subsequence has no more words than the text has of all items together.
-                able = np.flatnonzero((inner[hi] - inner[lo] >= DENSE * sizes[item]) | in_row)
-                row, item, lo, hi, cosine, in_row = (c[able] for c in (row, item, lo, hi, cosine, in_row))
+                text, item, lo, hi, in_row, cosine = (np.concatenate(c) for c in zip(*kept, strict=True))
+                kept = []
                 lcs = common_subsequences(masks, full, item, inner[lo], inner[hi], only)
                 in_row &= lcs >= RUN
                 for c in np.flatnonzero((lcs >= DENSE * sizes[item]) | in_row).tolist():
-                    own, t, size = items[item[c]], int(text[row[c]]), int(lcs[c])
+                    own, t, size = items[item[c]], int(text[c]), int(lcs[c])
                     around = ids[lo[c] : hi[c]]
                     answer = _has_answer(answers[item[c]], around)
                     alike = size >= VERBATIM * len(own) or (answer and size >= PARAPHRASE * len(own))

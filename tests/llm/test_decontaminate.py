@@ -66,6 +66,49 @@ def test_common_subsequences_of_many_pairs():
     assert got.tolist() == [common_subsequence(items[i], ids[a:b]) for i, a, b in zip(item, lo, hi, strict=True)]
 
 
+def test_places_covered_bound_common_subsequences():
+    """Against sets of words, for items of one and of several words of bits, with words of many and of few items."""
+    rng = np.random.default_rng(6)
+    for count in (7, 100):
+        items = [np.where(rng.random(n) < 0.3, rng.integers(0, 5, n), rng.integers(5, 900, n)).astype(np.uint32) for n in rng.integers(1, 90, count)]
+        ids = np.where(rng.random(3000) < 0.4, rng.integers(0, 5, 3000), rng.integers(5, 1200, 3000)).astype(np.uint32)
+        known = np.unique(np.concatenate(items))
+        masks, full = d.item_masks(items, known)
+        numbers = d.known_words(ids, known)
+        ids, numbers = ids[numbers > 0], numbers[numbers > 0]
+        item, lo = rng.integers(0, count, 400), rng.integers(0, len(ids), 400)
+        hi = np.minimum(lo + rng.integers(0, 200, 400), len(ids))
+        got = d.Places(masks).covered(item, lo, hi, numbers)
+        want = [int(np.isin(items[i], ids[a // d.RUNS * d.RUNS : -(-b // d.RUNS) * d.RUNS]).sum()) if b > a else 0 for i, a, b in zip(item, lo, hi, strict=True)]
+        assert got.tolist() == want
+        assert (got >= d.common_subsequences(masks, full, item, lo, hi, numbers)).all()
+
+
+def test_few_pairs_are_compared(monkeypatch):
+    """Every passage is a candidate for every item, but only pairs that can be long enough are compared; none that counts is lost."""
+    rng = random.Random(29)
+    text = lambda n: [f"c{rng.randrange(40)}" if rng.random() < 0.4 else f"r{rng.randrange(3000)}" for _ in range(n)]
+    items, docs = [(i, text(rng.randint(16, 60))) for i in range(40)], []
+    for i in range(60):
+        own = [w if rng.random() < 0.6 else f"x{j}" for j, w in enumerate(items[i % 40][1])]
+        docs.append((i, " ".join(text(150) + own * (i % 2) + text(100))))
+    block = next(d._item_blocks(iter([{"item_id": i, "text": " ".join(w), "answer": ""} for i, w in items]), False))
+    noise = np.random.default_rng(1).normal(size=(d.WORDS, 4)).astype(np.float32)
+
+    class Model:
+        value = block | {"vectors": np.ones((40, 4), np.float32), "owner": np.arange(40), "table": noise}
+
+    seen, compare = [], d.common_subsequences
+    monkeypatch.setattr(d, "COSINE", -9.0)
+    monkeypatch.setattr(d, "common_subsequences", lambda *a: seen.append(len(a[2])) or compare(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    tokenized = list(d._tokenize(iter([batch])))
+    got = {(r["doc_id"], r["item_id"]) for b in d._search(Model)(iter(tokenized)) for r in b.to_pylist()}
+    assert got == by_definition(docs, [(i, " ".join(w)) for i, w in items]) and len(got) > 20
+    passages = sum(len(d._overlapping(bounds)[0]) for _, _, bounds in d._parts(iter(tokenized)))
+    assert 0 < sum(seen) < 0.1 * passages * len(items)
+
+
 def test_passage_vectors():
     """Against sums over each passage alone; a text that ends where another begins takes nothing from it."""
     rng = np.random.default_rng(4)
