@@ -6,8 +6,9 @@
 3. In each band bucket the smallest member is paired with every other. The popcount of the XOR of two odd sketches estimates
    the similarity; pairs that may reach the threshold are checked on full shingle sets.
 4. Buckets that still hold several components are searched completely, in blocks of members. Their odd sketches tell which
-   members of a block may be linked with one of another component; the full sets of those, and only those, go into the block and
-   settle it. A block whose sets have more than ITEMS shingles is searched by pairs of its parts, so long texts don't add up in a
+   members of a block may be linked with one of another component, and so do parities of their full sets: two sets differ in as
+   many shingles at least as their parities differ in bits. The full sets of members that are left, and only those, go into the
+   block and settle it. A block whose sets have more than ITEMS shingles is searched by pairs of its parts, so long texts don't add up in a
    task. Only links that join components leave a block, so no task emits all pairs of a group.
 5. Connected components of the links give each document the smallest doc_id that it reaches.
 
@@ -34,6 +35,8 @@ SHINGLE, BANDS, ROWS, BITS, BLOCK = 5, 32, 4, 512, 1024
 SAMPLES = BANDS * ROWS
 #: Shingles of the full sets that are searched together; blocks of longer texts are searched in parts.
 ITEMS = 2_000_000
+#: Words of 64 parities of a full set at most.
+PARITY = 512
 #: Columns of a member of a block: the block (bucket, parts p and q of it, whether q is of the largest component), side and node.
 MEMBER = ["bucket", "p", "q", "cored", "side", "rep", "label"]
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -82,10 +85,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "sketch"])
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of items with equal last bits of their hashes, about two or more an item, up to PARITY words."""
+    wide = min(PARITY, max(8, 1 << (2 * len(values) // 64).bit_length()))
+    bit = (mix(values ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(64 * wide - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * wide) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, limit=4 << 20):
         sets = list(_sets(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(sets).view(np.int64), np.cumsum([0, *map(len, sets)]), pa.int64())], ["doc_id", "items"])
+        parity, size = [_parity(x) for x in sets], np.array([len(x) for x in sets], np.int64)
+        columns = [
+            batch.column(0), pa.array(size), lists(np.concatenate(parity), np.cumsum([0, *map(len, parity)]), pa.int64()),
+            lists(np.concatenate(sets).view(np.int64), np.append(0, np.cumsum(size)), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "parity", "items"])
 
 
 def _similar(percent: int) -> Column:
@@ -126,16 +141,36 @@ def _apart(labels: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out & (side[:, None] != side[None, :]) if side.any() else out
 
 
-def _sketch_block(most: int):
+def _differing(parities: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the parities of a and b differ; the longer one is folded to the length of the shorter."""
+    out, wide = np.zeros(len(a), np.int64), np.array([len(x) for x in parities])
+    for size in np.unique(wide).tolist():
+        folded = np.array([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) >= size else np.zeros(size, np.uint64) for x in parities])
+        pairs = np.flatnonzero(np.minimum(wide[a], wide[b]) == size)
+        for some in np.array_split(pairs, -(-len(pairs) * size // (1 << 20))) if len(pairs) else []:
+            out[some] = np.bitwise_count(folded[a[some]] ^ folded[b[some]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _sketch_block(most: int, percent: int = 0):
     def run(group: pa.Table) -> pa.Table:
-        """Members of a block whose odd sketches are near enough to one of another component."""
+        """Members of a block whose odd sketches are near enough to one of another component and, with percent, whose sets can be."""
         flat, _ = _arrays(group.column("sketch"))
         words_of = flat.reshape(group.num_rows, -1)
         odd = np.zeros((len(words_of), len(words_of)), np.int32)
         for k in range(words_of.shape[1]):
             odd += np.bitwise_count(words_of[:, None, k] ^ words_of[None, :, k])
         near = (odd <= most) & _apart(group.column("label").to_numpy(), group.column("side").to_numpy())
-        return group.drop_columns("sketch").filter(pa.array(near.any(axis=1)))
+        if not percent:
+            return group.drop_columns("sketch").filter(pa.array(near.any(axis=1)))
+        flat, bounds = _arrays(group.column("parity"))
+        a, b = np.nonzero(np.triu(near, 1))
+        total = group.column("n_shingles").to_numpy()[a] + group.column("n_shingles").to_numpy()[b]
+        # 100 * intersection >= percent * union, where their sum is total and their difference at least that of the parities.
+        able = (100 + percent) * _differing(np.split(flat, bounds[1:-1]), a, b) <= (100 - percent) * total
+        left = np.zeros(group.num_rows, bool)
+        left[a[able]] = left[b[able]] = True
+        return group.drop_columns(["sketch", "parity"]).filter(pa.array(left))
 
     return run
 
@@ -205,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     stars = stored(stars, base, "stars")
     needed = stored(members.filter("n > 2").select(F.col("rep").alias("doc_id")).union(stars.select("rep")).union(stars.select("center")).distinct(), base, "needed")
-    sets = stored(docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(_full_sets, "doc_id long, items array<long>"), base, "sets")
+    sets = stored(docs.join(needed, "doc_id").select("doc_id", "text").mapInArrow(_full_sets, "doc_id long, n_shingles long, parity array<long>, items array<long>"), base, "sets")
     pairs = (
         stars.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
         .join(sets.select(F.col("doc_id").alias("center"), F.col("items").alias("x")), "center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "x", "y")
@@ -230,10 +265,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         left = rest.withColumn("q", F.explode(F.expr("sequence(0, cores - 1)"))).select("bucket", F.col("blk").alias("p"), "q", F.lit(True).alias("cored"), F.lit(1).alias("side"), "rep", "label")
         right = cores.withColumn("p", F.explode(F.expr("sequence(0, rests - 1)"))).select("bucket", "p", F.col("blk").alias("q"), F.lit(True).alias("cored"), F.lit(2).alias("side"), "rep", "label")
         block = MEMBER[:4]
-        sized = classes.select("rep", "n_shingles", "sketch")
-        drawn = inner.unionByName(left).unionByName(right).join(sized, "rep").select(*MEMBER, "n_shingles", "sketch").groupBy(*block).applyInArrow(
-            _sketch_block(most), "bucket long, p int, q int, cored boolean, side int, rep long, label long, n_shingles long")
-        blocks = _in_parts(stored(drawn, base, "blocks"), block).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        sized = sketches.join(sets.select(F.col("doc_id").alias("rep"), "n_shingles", "parity"), "rep")
+        drawn = inner.unionByName(left).unionByName(right).join(sized, "rep").select(*MEMBER, "n_shingles", "sketch", "parity").groupBy(*block).applyInArrow(
+            _sketch_block(most, percent), "bucket long, p int, q int, cored boolean, side int, rep long, label long, n_shingles long")
+        blocks = _in_parts(stored(drawn, base, "blocks"), block).join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
         more = blocks.groupBy(*block, "low", "high").applyInArrow(_search_block(percent), "a long, b long")
         more = stored(more.distinct(), base, "more-links")
         if more.limit(1).count():

@@ -108,6 +108,26 @@ def test_sketches_leave_out_far_members_only():
     assert m._sketch_block(75)(one).num_rows == 0
 
 
+def test_parities_leave_out_near_misses_and_no_link():
+    """Full sets go to a block only for members that can be linked: not for a group of documents just too far from one another."""
+    rng = random.Random(12)
+    far, near, long = ([f"{k}{i}" for i in range(n)] for k, n in (("f", 260), ("n", 260), ("l", 4000)))
+    texts = [edited(rng, far, 8) for _ in range(60)] + [edited(rng, near, 2) for _ in range(20)] + [edited(rng, long, 20) for _ in range(3)]
+    texts += [" ".join(near[: 60 + k]) for k in range(0, 130, 10)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], ["doc_id", "text"])
+    sets, signed = next(m._full_sets(iter([batch]))), next(m._signatures(iter([batch])))
+    zero, ids = pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64())
+    group = pa.table([pa.array([1] * n, pa.int64()), zero, zero, pa.array([False] * n), zero, ids, ids, sets.column(1), signed.column(5), sets.column(2)], [*m.MEMBER, "n_shingles", "sketch", "parity"])
+    parities = [np.array(x, np.int64).view(np.uint64) for x in sets.column(2).to_pylist()]
+    full, (a, b) = [shingle_set(t) for t in texts], np.triu_indices(n, 1)
+    apart = np.array([len(full[i] ^ full[j]) for i, j in zip(a, b, strict=True)])
+    assert (m._differing(parities, a, b) <= apart).all() and len(set(map(len, parities))) > 2
+    linked = {x for i, j, d in zip(a.tolist(), b.tolist(), apart.tolist(), strict=True) if 185 * d <= 15 * (len(full[i]) + len(full[j])) for x in (i, j)}
+    got = set(m._sketch_block(256, 85)(group).column("rep").to_pylist())
+    assert linked <= got and {*range(60, 83)} <= linked and len(got & {*range(60)} - linked) <= 5
+
+
 def test_null_ids_and_empty(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
