@@ -33,6 +33,7 @@ TRIALS = 30
 #: Fewest labelled rows to train at all, to search parameters, of a fold's training side, and to calibrate.
 LEAST_ROWS, LEAST_SEARCH, LEAST_TRAIN, LEAST_CALIBRATION = 10, 80, 20, 20
 LABEL = "is_disruption_week"
+LARGEST = np.finfo(float).max
 
 
 def class_weight(pos: int | None, n: int) -> float:
@@ -185,6 +186,14 @@ def calibrate(scored: DataFrame, method: str = "sigmoid") -> DataFrame:
 # Isolation forest (Liu, Ting and Zhou, ICDM 2008) ----------------------------------------------------------------------
 
 
+def _cut(low: float, high: float, share: float) -> float:
+    """A number over low and up to high, so that a split there leaves rows on both sides, even if no double lies between the two."""
+    with np.errstate(over="ignore"):
+        span = high - low
+    at = low + span * share if np.isfinite(span) else low * (1 - share) + high * share
+    return float(min(max(at, np.nextafter(low, high)), high))
+
+
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     """Nodes (id, feature, split, left, right, size); feature -1 at a leaf."""
     nodes: list = []
@@ -198,7 +207,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             nodes[me] = (me, -1, 0.0, -1, -1, len(rows))
             return me
         f = int(rng.choice(able))
-        split = float(rng.uniform(low[f], high[f]))
+        split = _cut(low[f], high[f], rng.random())
         side = x[rows, f] < split
         left = grow(rows[side], depth + 1)
         right = grow(rows[~side], depth + 1)
@@ -227,12 +236,12 @@ def _drawn(filled: DataFrame, n: int, trees: int, sample: int) -> DataFrame:
 
 
 def fit_forest(rows: DataFrame, columns: list[str] = ANOMALY_COLUMNS, trees: int = TREES, sample: int = SAMPLE, keys: list[str] = ROW_KEYS) -> DataFrame:
-    """Node table of the forest: tree, node, feature, split, left, right, size. Nulls are zeros.
+    """Node table of the forest: tree, node, feature, split, left, right, size. Nulls and NaN are zeros, infinities the largest doubles.
 
     Each tree takes the `sample` rows whose keys have the smallest hashes for it (all, if there are fewer), whatever the rows'
     values; keys identify a row. A tree is built from those rows alone.
     """
-    filled = rows.select(F.xxhash64(*keys).alias("__key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    filled = rows.select(F.xxhash64(*keys).alias("__key"), *[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns])
     n = max(1, filled.count())
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(2), "tree", "__key"), "__key"))
     picked = _drawn(filled, n, trees, sample).withColumn("__rank", rank).filter(F.col("__rank") <= sample)
@@ -240,7 +249,8 @@ def fit_forest(rows: DataFrame, columns: list[str] = ANOMALY_COLUMNS, trees: int
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rank", kind="stable")
         tree = int(pdf["tree"].iloc[0])
-        nodes = _grow(pdf[columns].to_numpy(), np.random.default_rng(tree), int(np.ceil(np.log2(max(2, len(pdf))))))
+        x = np.clip(pdf[columns].to_numpy(float), -LARGEST, LARGEST)
+        nodes = _grow(x, np.random.default_rng(tree), int(np.ceil(np.log2(max(2, len(pdf))))))
         return pd.DataFrame([(tree, *x) for x in nodes], columns=["tree", "node", "feature", "split", "left", "right", "size"])
 
     return picked.groupBy("tree").applyInPandas(build, FOREST)

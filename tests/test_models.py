@@ -108,6 +108,31 @@ def test_forest_samples_repeated_rows(spark):
     assert [r["size"] for r in t.fit_forest(df.limit(10), ["x", "y"], trees=3, sample=64, keys=["id"]).filter("node = 0").collect()] == [10] * 3
 
 
+def test_forest_splits_values_that_differ_in_the_last_bit(spark):
+    """Sums in another order differ by a bit: no double lies between two such values, and both sides of the split have rows."""
+    near = float(np.nextafter(25.5, 26))
+    assert all(25.5 < t._cut(25.5, near, share) <= near for share in (0.0, 0.2, 0.7, 1 - 2**-53))
+    rows = [(i, near if i % 2 else 25.5, float(i // 32)) for i in range(64)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    nodes = t.fit_forest(df, ["x", "y"], trees=30, keys=["id"]).collect()
+    assert len({r.tree for r in nodes}) == 30 and all(r["size"] > 0 for r in nodes)
+    assert {r["size"] for r in nodes if r.feature < 0} == {16}  # four different rows
+    assert t.forest_score(df, t.fit_forest(df, ["x", "y"], trees=30, keys=["id"]), ["x", "y"]).select("anomaly_score").distinct().count() <= 4
+
+
+def test_forest_of_values_that_are_not_finite(spark):
+    odd = {3: float("inf"), 4: float("-inf"), 5: float("nan"), 6: 1.7e308, 7: -1.7e308}
+    rows = [(i, odd.get(i, i / 100), float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    forest = t.fit_forest(df, ["x", "y"], trees=30, keys=["id"])
+    got = {r.id: r.anomaly_score for r in t.forest_score(df, forest, ["x", "y"]).collect()}
+    assert all(0 <= v <= 1 for v in got.values()) and min(got[3], got[4]) > np.mean(list(got.values()))
+    plain = df.filter("id NOT IN (3, 4, 5, 6, 7)")
+    zero = plain.union(spark.createDataFrame([(5, 0.0, 5.0)], df.schema))
+    same = plain.union(df.filter("id = 5"))
+    assert sorted(t.fit_forest(zero, ["x", "y"], trees=3, keys=["id"]).collect()) == sorted(t.fit_forest(same, ["x", "y"], trees=3, keys=["id"]).collect())
+
+
 def test_attributions_add_up_and_match_model(spark):
     rng = np.random.default_rng(1)
     rows = [(i, *map(float, rng.normal(size=3))) for i in range(300)]
@@ -237,6 +262,26 @@ def test_model_queries(spark, monkeypatch, matrix, name):
         assert [r.fold for r in rows] == sorted(r.fold for r in rows) and all(r.train_end < r.test_start for r in rows)
 
 
+@pytest.mark.parametrize("name", ["ml_iforest"])
+def test_queries_of_nearly_equal_values(spark, monkeypatch, matrix, name):
+    """Anomaly columns that differ between rows in one column's last bit only."""
+    from quaystone.plans import training
+    from quaystone.registry import ANOMALY_COLUMNS
+
+    first, near = ANOMALY_COLUMNS[0], float(np.nextafter(25.5, 26))
+    same = matrix.withColumns({c: F.lit(0.0) for c in ANOMALY_COLUMNS}).withColumn(first, F.when(F.xxhash64("port_id", "week_ending") % 2 == 0, 25.5).otherwise(near))
+    monkeypatch.setattr(training, "matrix", lambda spark, sf_dir: same)
+    monkeypatch.setattr(t, "DEFAULTS", t.DEFAULTS | SMALL)
+    monkeypatch.setattr(t, "settings", lambda: [SMALL])
+    rows = plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    n = matrix.count()
+    assert len(rows) == {"ml_iforest": n, "ml_anomaly_share": 1, "ml_training_job": 1, "sc_risk_card_model": 10}[name]
+    if name == "ml_iforest":
+        assert {r.anomaly_score for r in rows} == {0.0, 1.0}
+    if name == "ml_anomaly_share":
+        assert rows[0].n == n and 0 < rows[0].anomalies < n
+
+
 def test_report_and_search_over_folds(spark):
     rng = np.random.default_rng(3)
     rows = [(dt.date(2022, 1, 2) + dt.timedelta(weeks=i // 4), str(i % 4), *map(float, rng.normal(size=2))) for i in range(240)]
