@@ -104,8 +104,12 @@ def src_gdelt_tsv(spark, sf_dir):
     return feeds.read_news_tsv(spark, path).filter("GlobalEventID IS NOT NULL").select(*_NEWS_GIVEN)
 
 
-def _zipped(folder: str):
-    """Writes each task's lines as a zip of two members; returns the files' names."""
+#: Lines of a zip file of the news export, at most; a task holds so many.
+ZIP_LINES = 50_000
+
+
+def _zipped(folder: str, most: int = ZIP_LINES):
+    """Writes lines as zips of two members, of at most so many lines each; returns the files' names."""
 
     def run(batches):
         import io
@@ -115,17 +119,30 @@ def _zipped(folder: str):
         import pyarrow as pa
         from pyarrow import fs
 
-        lines = [x for batch in batches for x in batch.column("value").to_pylist()]
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-            for i in (0, 1):
-                z.writestr(f"{i}.export.CSV", "".join(x + "\n" for x in lines[i::2]))
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path)
-        name = f"{uuid.uuid4().hex}.zip"
-        with system.open_output_stream(f"{path}/{name}") as out:
-            out.write(packed.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        def put(lines):
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                for i in (0, 1):
+                    z.writestr(f"{i}.export.CSV", "".join(x + "\n" for x in lines[i::2]))
+            name = f"{uuid.uuid4().hex}.zip"
+            with system.open_output_stream(f"{path}/{name}") as out:
+                out.write(packed.getbuffer())
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        lines = []
+        for batch in batches:
+            column = batch.column("value")
+            for start in range(0, len(column), most):
+                for x in column.slice(start, most).to_pylist():
+                    lines.append(x)
+                    if len(lines) == most:
+                        yield put(lines)
+                        lines = []
+        if lines:
+            yield put(lines)
 
     return run
 
@@ -135,7 +152,7 @@ def src_gdelt_zip(spark, sf_dir):
     """The news export as it is published: zip files of several members; lines that are cut short go."""
     lines, root = _news_lines(spark, sf_dir), lake.scratch(spark)
     # A file that a task wrote before it ran again isn't named by its result.
-    names = [r["name"] for r in lines.repartition(4).mapInArrow(_zipped(f"{root}/news"), "name string").collect()]
+    names = [r["name"] for r in lines.mapInArrow(_zipped(f"{root}/news"), "name string").collect()]  # a row for ZIP_LINES lines
     return feeds.read_news_zip(spark, [f"{root}/news/{n}" for n in names]).filter("GlobalEventID IS NOT NULL").select(*_NEWS_GIVEN)
 
 

@@ -53,9 +53,9 @@ def _zip_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
 
 
-def read_news_zip(spark: SparkSession, path: str) -> DataFrame:
+def read_news_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """read_news_tsv() of zip files, as they are published: a task a file, whose packed bytes it holds, and rows as they unpack."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content") if path else spark.createDataFrame([], "content binary")
     schema = ", ".join(f"`{c}` {NEWS_KEPT.get(c, 'string')}" for c in NEWS_COLUMNS) + ", `__bad` string"
     options = {"sep": "\t", "quote": "", "columnNameOfCorruptRecord": "__bad"}
     rows = files.mapInArrow(_zip_lines, "value string").select(F.from_csv("value", schema, options).alias("r"))

@@ -131,6 +131,25 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_zips_of_bounded_size(spark, tmp_path):
+    """However many lines a task has, a zip holds so many at most, and all lines are in one."""
+    import zipfile
+
+    from quaystone.plans.lake import _zipped
+    from quaystone.sources import feeds
+
+    lines = spark.range(1003).selectExpr("CAST(id AS string) AS value").coalesce(1)
+    names = [r["name"] for r in lines.mapInArrow(_zipped(f"file://{tmp_path}", 100), "name string").collect()]
+    found = []
+    for name in names:
+        with zipfile.ZipFile(tmp_path / name) as z:
+            own = [x for m in z.namelist() for x in z.read(m).decode().split()]
+            assert len(z.namelist()) == 2 and 0 < len(own) <= 100
+            found += own
+    assert len(names) == 11 and sorted(map(int, found)) == list(range(1003))
+    assert feeds.read_news_zip(spark, []).count() == 0
+
+
 def test_zipped_news(spark, tmp_path):
     """Members of several zip files; one that is cut off, one with a bad checksum and one that is no zip are left out."""
     import zipfile
