@@ -18,6 +18,8 @@ from quaystone.sources.lake import scratch
 
 #: First radius of a search for the nearest; it doubles until every row has one.
 FIRST_KM = 50.0
+#: Registries up to so many rows are broadcast (27 rows each). The optimiser would judge by the file's size, before rows are multiplied.
+BROADCAST_ROWS = 4096
 _HALF_WAY = math.pi * EARTH_KM
 
 
@@ -37,14 +39,15 @@ def _cube(lat: Column, lon: Column, side: float) -> dict[str, Column]:
 
 def within(df: DataFrame, registry: DataFrame, km: float) -> DataFrame:
     """Each row of df (lat, lon, ...) with every row of the registry (port_id, ord, lat, lon) within km: port_id, ord, distance_km.
-    Rows without coordinates go."""
+    Rows without coordinates go. The registry is looked at once, for whether it is small enough to broadcast."""
     side = _side(km)
     places = registry.filter("lat IS NOT NULL AND lon IS NOT NULL").select("port_id", "ord", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    small = len(places.select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
     places = places.withColumns(_cube(F.col("__lat"), F.col("__lon"), side))
     for c in _CUBE:
         places = places.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
     rows = df.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumns(_cube(F.col("lat"), F.col("lon"), side))
-    met = rows.join(places, _CUBE).withColumn("distance_km", haversine_km(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")))
+    met = rows.join(places.hint("broadcast" if small else "merge"), _CUBE).withColumn("distance_km", haversine_km(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")))
     return met.filter(F.col("distance_km") <= km).drop(*_CUBE, "__lat", "__lon")
 
 

@@ -80,3 +80,12 @@ def test_same_as_the_small_registry(spark):
     rows = lambda df: sorted((r.event_id, r.port_id, round(r.distance_km, 6)) for r in df.collect())
     assert rows(cells.nearest(e, p, 500.0)) == rows(geo.with_nearest_port(e, 500.0))
     assert rows(cells.within(e, p, 900.0)) == rows(geo.within_radius(e.filter(F.col("lat").isNotNull()), p, 900.0))
+
+
+def test_a_registry_of_few_bytes_and_many_rows_is_not_broadcast(spark):
+    """Its rows go to 27 cubes each, which the optimiser doesn't count: 20,000 rows of a range look like 160 kB."""
+    place = ["24 + (id * 7919) % 2600 / 100D AS lat", "-125 + (id * 104729) % 6000 / 100D AS lon"]
+    e = spark.range(10).selectExpr("id AS event_id", *place)
+    plan = lambda n: cells.within(e, spark.range(n).selectExpr("'p' || id AS port_id", "id AS ord", *place), 120.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(20_000) and "SortMergeJoin" in plan(20_000)
+    assert "BroadcastHashJoin" in plan(10)
