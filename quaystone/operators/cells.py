@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from quaystone.functions.scalar import EARTH_KM, haversine_km
 from quaystone.sources.lake import scratch
 
-#: First radius of a search for the nearest; it doubles until every row has one.
+#: First radius of a search for the nearest, where the registry isn't dense; it doubles until every row has one.
 FIRST_KM = 50.0
 #: Registries up to so many rows are broadcast (27 rows each). The optimiser would judge by the file's size, before rows are multiplied.
 BROADCAST_ROWS = 4096
+#: Places of the registry in the cube of one of them, on average, with which a search for the nearest begins.
+CROWDED = 4.0
+#: Smallest first radius.
+LEAST_KM = 0.05
 _HALF_WAY = math.pi * EARTH_KM
 
 
@@ -51,29 +55,46 @@ def within(df: DataFrame, registry: DataFrame, km: float) -> DataFrame:
     return met.filter(F.col("distance_km") <= km).drop(*_CUBE, "__lat", "__lon")
 
 
+def _first_radius(places: DataFrame, km: float) -> float:
+    """km, or a smaller radius with which a place of the registry has about CROWDED in its cube, itself counted."""
+    while km > LEAST_KM:
+        cubes = places.select(*[x.alias(c) for c, x in _cube(F.col("lat"), F.col("lon"), _side(km)).items()]).groupBy(*_CUBE).agg(F.count("*").cast("double").alias("n"))
+        crowd = cubes.agg(F.sum(F.col("n") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0.0))).first()[0]
+        if crowd is None or crowd <= 2 * CROWDED:
+            return km
+        km = max(LEAST_KM, km * max(1 / 16, math.sqrt(CROWDED / crowd)))
+    return km
+
+
 def nearest(df: DataFrame, registry: DataFrame, km: float | None = None, first_km: float = FIRST_KM) -> DataFrame:
     """df (lat, lon, ...) with port_id and distance_km of the nearest row of the registry, the first by ord of those that are as near to
-    a millimetre. Rows without
-    coordinates or with none within km go. Rows that find none in a radius try the double one; each round is written, as it is used
-    twice, and there are at most ten."""
-    spark, radius, out = df.sparkSession, first_km if km is None else min(first_km, km), None
-    base, names = f"{scratch(spark)}/nearest", df.columns
-    rest = df.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("__row", F.struct(*names))
+    a millimetre. Rows without coordinates or with none within km go.
+
+    Different places are searched for once, however many rows lie there, and so is the registry's; df is read twice. Places that find
+    none in a radius try the double one; the first is smaller where the registry is dense, so that a place meets a few of its rows.
+    Each round is written, as it is used twice, and there are about 20 at most."""
+    spark, out, base = df.sparkSession, None, f"{scratch(df.sparkSession)}/nearest"
+    rows = df.filter("lat IS NOT NULL AND lon IS NOT NULL")
     limit = _HALF_WAY if km is None else km
-    rest = rest.select("lat", "lon", "__row", F.monotonically_increasing_id().alias("__id"))
-    rest.write.parquet(f"{base}/0")  # numbers that stay the same from round to round
+    first = F.min(F.struct("ord", "port_id")).alias("first")
+    sites = registry.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(first).select("lat", "lon", "first.*")
+    sites.write.parquet(f"{base}/sites")
+    sites = spark.read.schema(sites.schema).parquet(f"{base}/sites")
+    radius = _first_radius(sites, min(first_km, limit))
+    rest = rows.select(F.col("lat").alias("__lat0"), F.col("lon").alias("__lon0")).distinct()
+    rest.write.parquet(f"{base}/0")
     rest = spark.read.schema(rest.schema).parquet(f"{base}/0")
-    number = 0
+    at, number = ["__lat0", "__lon0"], 0
     while True:
         best = F.min(F.struct(F.round("distance_km", 6).alias("r"), "ord", "port_id", F.col("distance_km").alias("km"))).alias("best")
-        met = within(rest.select("__id", "lat", "lon"), registry, radius).groupBy("__id").agg(best)
+        met = within(rest.withColumns({"lat": F.col("__lat0"), "lon": F.col("__lon0")}), sites, radius).groupBy(*at).agg(best)
         number += 1
-        both = rest.join(met, "__id", "left")
+        both = rest.join(met, at, "left")
         both.write.parquet(f"{base}/{number}")
         both = spark.read.schema(both.schema).parquet(f"{base}/{number}")
-        found = both.filter("best IS NOT NULL").select(*[F.col("__row")[c].alias(c) for c in names], F.col("best.port_id").alias("port_id"), F.col("best.km").alias("distance_km"))
+        found = both.filter("best IS NOT NULL").select(*at, F.col("best.port_id").alias("port_id"), F.col("best.km").alias("distance_km"))
         out = found if out is None else out.unionByName(found)
         rest = both.filter("best IS NULL").drop("best")
         if radius >= limit or rest.isEmpty():
-            return out
+            return rows.join(out, (F.col("lat") == F.col("__lat0")) & (F.col("lon") == F.col("__lon0"))).drop(*at)
         radius = min(2 * radius, limit)

@@ -89,3 +89,18 @@ def test_a_registry_of_few_bytes_and_many_rows_is_not_broadcast(spark):
     plan = lambda n: cells.within(e, spark.range(n).selectExpr("'p' || id AS port_id", "id AS ord", *place), 120.0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(20_000) and "SortMergeJoin" in plan(20_000)
     assert "BroadcastHashJoin" in plan(10)
+
+
+def test_nearest_of_a_dense_registry(spark):
+    """Many rows at few places, and a registry of one city: the search begins with a radius by density, a place is searched for once."""
+    rng = np.random.default_rng(5)
+    city = np.column_stack([rng.uniform(40, 40.5, 3000), rng.uniform(-74.5, -74, 3000)])
+    registry = np.vstack([city, city[:500], [[10.0, 10.0]]])  # the first of equal ones wins
+    spots = np.vstack([np.column_stack([rng.uniform(40, 40.5, 20), rng.uniform(-74.5, -74, 20)]), city[:5], [[41.5, -74.2], [10.2, 10.1], [-50.0, 100.0]]])
+    events = spots[np.arange(1400) % len(spots)]
+    e, p = frames(spark, events, registry)
+    assert cells._first_radius(p.select("lat", "lon"), 50.0) < 5 and cells._first_radius(p.filter("ord % 700 = 0").select("lat", "lon"), 50.0) == 50.0
+    got = {r.event_id: (r.port_id, r.distance_km, r.ord_) for r in cells.nearest(e, p, 500.0).collect()}
+    d = km(events, registry)
+    want = {i: int(d[i].argmin()) for i in range(1400) if d[i].min() <= 500}
+    assert len(got) == len(want) == 1350 and all(got[i][0] == f"p{j}" and abs(got[i][1] - d[i, j]) < 1e-6 and got[i][2] == 1 for i, j in want.items())
