@@ -122,9 +122,10 @@ def record_runs(runs: DataFrame, root: str) -> int:
 
 
 def recorded_runs(spark: SparkSession, root: str) -> DataFrame:
-    """The last record of each run: the one of the last commit; in it, the one that started and ended last."""
+    """The last record of each run: the one of the last commit; in it, the one that started and ended last. Of records that are equal
+    but in their counts, the one with the most errors, then the most rows, so that files and tasks don't decide."""
     rows = commits.read_rows(spark, f"{root}/runs", RUNS)
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("commit"), F.desc("started_at"), F.desc_nulls_last("finished_at"), F.desc("source"), F.desc("status")))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("commit"), F.desc("started_at"), F.desc_nulls_last("finished_at"), F.desc("source"), F.desc("status"), F.desc("errors"), F.desc("records_stored")))
     return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank", "commit")
 
 

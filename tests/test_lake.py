@@ -200,3 +200,31 @@ def test_checks_of_a_stream(spark, tmp_path):
     got = lake.quality_log(spark, root).collect()
     assert sorted((r.batch, r.check_name, r.failed, r.checked, r.passed) for r in got) == sorted((b, c, f, 10, f == 0) for b in range(3) for c, f in (("even", 5), ("known", 0)))
     assert spark.read.parquet(f"{root}/out").count() == 30
+
+
+def _orders(spark, path, rows):
+    kind = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{path}/orders.parquet")
+
+
+def test_run_records_of_any_number(spark, tmp_path):
+    """Numbers below zero and none have a commit too; records that differ in their counts only are settled by these."""
+    import datetime as dt
+
+    import duckdb
+
+    from quaystone import plans
+    from quaystone.sources import lake
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k, c, "F", 1.0, day + dt.timedelta(days=d), "1-URGENT") for k, c, d in [(-4, 1, 0), (-2, 1, 1), (-3, 2, 0), (-1, 3, 0), (None, 4, 0), (None, 5, 1), (-6, 5, 0), (5, 6, 0), (4, 6, 3), (7, 7, 0)]]
+    _orders(spark, tmp_path, rows)
+    got = plans.QUERIES["log_run_writes"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLE_SQL['log_run_writes']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 7
+    same = "SELECT 1L AS run_id, 'a' AS source, TIMESTAMP_NTZ '2024-01-01' AS started_at, TIMESTAMP_NTZ '2024-01-02' AS finished_at, 'F' AS status, 0 AS errors, {} AS records_stored"
+    for i, order in enumerate(([1, 4, 2], [2, 1, 4], [4, 2, 1])):
+        lake.record_runs(spark.sql(" UNION ALL ".join(same.format(x) for x in order)).coalesce(1), f"{tmp_path}/{i}")
+        assert [r.records_stored for r in lake.recorded_runs(spark, f"{tmp_path}/{i}").collect()] == [4]
