@@ -231,7 +231,10 @@ def sql_lake_query(spark, sf_dir):
     root = lake.scratch(spark)
     lake.write_silver(a.table(spark, sf_dir, "events").withColumn("date", F.col("ts").cast("date")), root, "events")
     lake.record_runs(a.a_runs(spark, sf_dir), root)
-    text = "SELECT e.event_type, o.status, count(*) AS n, round(sum(e.value), 6) AS total FROM silver_events e JOIN runs o ON e.user_id = o.run_id WHERE o.records_stored >= :stored AND e.value >= :least GROUP BY e.event_type, o.status"
+    # Doubles added one by one are off in the sixth digit after some million; decimals are exact in any order.
+    exact = "CAST(sum(TRY_CAST(e.value AS DECIMAL(38, 12))) AS DOUBLE)"
+    total = f"CASE WHEN coalesce(max(abs(e.value)), 0) < 1e14D THEN {exact} ELSE sum(e.value) END"
+    text = f"SELECT e.event_type, o.status, count(*) AS n, round({total}, 6) AS total FROM silver_events e JOIN runs o ON e.user_id = o.run_id WHERE o.records_stored >= :stored AND e.value >= :least GROUP BY e.event_type, o.status"
     return lake.query(spark, root, text, {"stored": 2, "least": 20})
 
 

@@ -228,3 +228,19 @@ def test_run_records_of_any_number(spark, tmp_path):
     for i, order in enumerate(([1, 4, 2], [2, 1, 4], [4, 2, 1])):
         lake.record_runs(spark.sql(" UNION ALL ".join(same.format(x) for x in order)).coalesce(1), f"{tmp_path}/{i}")
         assert [r.records_stored for r in lake.recorded_runs(spark, f"{tmp_path}/{i}").collect()] == [4]
+
+
+def test_sums_over_the_lake_are_exact(spark, tmp_path):
+    """A million cents in one task: doubles added one by one end at another sixth digit. Values that are no numbers stay so."""
+    import datetime as dt
+
+    from quaystone import plans
+
+    day = dt.datetime(2024, 1, 1)
+    _orders(spark, tmp_path, [(4, 1, "F", 1.0, day, "1-URGENT"), (9, 2, "O", 1.0, day, "1-URGENT")])
+    events = spark.range(1_000_000).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01 01:00:00' AS ts", "1L AS user_id", "'click' AS event_type", "20.1D + id % 7 / 10D AS value", "'' AS props")
+    odd = spark.sql("SELECT -1L AS event_id, TIMESTAMP_NTZ '2024-01-01 01:00:00' AS ts, 2L AS user_id, 'view' AS event_type, double('Infinity') AS value, '' AS props UNION ALL SELECT -2L, TIMESTAMP_NTZ '2024-01-01 01:00:00', 2L, 'error', 1e300D, ''")
+    events.union(odd).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_type: (r.n, r.total) for r in plans.QUERIES["sql_lake_query"](spark, str(tmp_path)).collect()}
+    cents = sum(201 + i % 7 for i in range(1_000_000))
+    assert got == {"click": (1_000_000, cents / 10), "view": (1, float("inf")), "error": (1, 1e300)}
