@@ -262,7 +262,7 @@ def test_model_queries(spark, monkeypatch, matrix, name):
         assert [r.fold for r in rows] == sorted(r.fold for r in rows) and all(r.train_end < r.test_start for r in rows)
 
 
-@pytest.mark.parametrize("name", ["ml_iforest", "ml_anomaly_share", "ml_training_job"])
+@pytest.mark.parametrize("name", ["ml_iforest", "ml_anomaly_share", "ml_training_job", "sc_risk_card_model"])
 def test_queries_of_nearly_equal_values(spark, monkeypatch, matrix, name):
     """Anomaly columns that differ between rows in one column's last bit only."""
     from quaystone.plans import training
